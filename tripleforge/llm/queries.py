@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 from .common import read
 
 QUERIES: dict = {}
@@ -29,3 +29,8 @@ def query(name: str, sql: str | None = None):
 )
 def op10(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).drop("raw")
+
+
+@query("op4_mixing")
+def op4(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents"))
