@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, simhash
 from .common import read
 
 QUERIES: dict = {}
@@ -34,3 +34,8 @@ def op10(spark, sf_dir):
 @query("op4_mixing")
 def op4(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+@query("op8_simhash")
+def op8(spark, sf_dir):
+    return simhash.near_dedup(read(spark, sf_dir, "documents"))
