@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, simhash
+from . import exact_dedup, mixing, sentencepiece_viterbi, simhash
 from .common import read
 
 QUERIES: dict = {}
@@ -39,3 +39,8 @@ def op4(spark, sf_dir):
 @query("op8_simhash")
 def op8(spark, sf_dir):
     return simhash.near_dedup(read(spark, sf_dir, "documents"))
+
+
+@query("op9_sentencepiece")
+def op9(spark, sf_dir):
+    return sentencepiece_viterbi.encode(read(spark, sf_dir, "documents"), sentencepiece_viterbi.model_bytes())
