@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Default model; any other is a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose ids are remembered, per task; when full, the memory is emptied.
-REMEMBERED = 100_000
+#: Words whose ids are remembered, in each of two generations; when the newer is full, the older is forgotten.
+REMEMBERED = 200_000
 #: Pairs of pieces whose merging is remembered, likewise.
 MOST_PAIRS = 400_000
 LONGEST_REMEMBERED = 64
@@ -158,7 +158,9 @@ class Encoder:
     def __init__(self, data: bytes):
         self.model = Model(data)
         self.merges = _Merges(self.model)  # for BPE models
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, list[int]] = {}  # of two generations, the newer
+        self.older: dict[str, list[int]] = {}
+        self.text_of = [self._bytes(k) for k in range(len(self.model.pieces))]
         self.tree: dict = {}
         for piece, k in self.model.ids.items() if self.model.bpe else ():
             if self.merges.stays(piece):
@@ -249,22 +251,27 @@ class Encoder:
         ids, last = [-1], [0]  # of the last piece on the way to each boundary: its id (0: no piece), its length
         for end in range(1, len(word) + 1):
             node, start, found = tree, end, 0
+            ends_here = []
             while start:
                 start -= 1
                 node = node.get(word[start])
                 if node is None:
                     break
-                if (k := node.get("")) is not None:
-                    left = ids[start]
-                    if left <= 0:
-                        stay = True
-                    elif (stay := apart.get(left << 20 | k)) is None:
-                        if len(apart) > MOST_PAIRS:
-                            apart.clear()
-                        stay = apart[left << 20 | k] = self.merges.merge(pieces[left] + pieces[k]) == [pieces[left], pieces[k]]
-                    if stay:
-                        found = k
-                        break
+                if "" in node:
+                    ends_here.append((start, node[""]))
+            for start, k in reversed(ends_here):  # the longest is the likeliest
+                left = ids[start]
+                if left <= 0:
+                    found = k
+                    break
+                stay = apart.get(left << 20 | k)
+                if stay is None:
+                    if len(apart) > MOST_PAIRS:
+                        apart.clear()
+                    stay = apart[left << 20 | k] = self.merges.merge(pieces[left] + pieces[k]) == [pieces[left], pieces[k]]
+                if stay:
+                    found = k
+                    break
             ids.append(found)
             last.append(end - start if found else 1)
         out: list[list[int]] = []
@@ -283,27 +290,29 @@ class Encoder:
         known = self.known
         for word in self.model.chunks.findall(text):
             ids = known.get(word)
-            if ids is None:
+            if ids is None and (ids := self.older.get(word)) is not None:
+                known[word] = ids
+            elif ids is None:
                 ids = self._merged(word) if self.model.bpe and len(word) <= LONGEST_REMEMBERED else self._ids(self.stream(word))
                 if len(word) <= LONGEST_REMEMBERED:
                     if len(known) >= REMEMBERED:
-                        known.clear()
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[word] = ids
             out += ids
         return out
 
+    def _bytes(self, k: int) -> bytes:
+        piece, kind = self.model.pieces[k], self.model.kinds[k]
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        if kind == UNKNOWN:
+            return " \u2047 ".encode()
+        return b"" if kind == CONTROL else piece.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids; bytes that aren't UTF-8 become U+FFFD."""
-        parts: list[bytes] = []
-        for k in ids:
-            kind = self.model.kinds[k]
-            if kind == BYTE:
-                parts.append(bytes([int(self.model.pieces[k][3:5], 16)]))
-            elif kind == UNKNOWN:
-                parts.append(" \u2047 ".encode())
-            elif kind != CONTROL:
-                parts.append(self.model.pieces[k].replace(SPACE, " ").encode("utf-8", "surrogatepass"))
-        text = b"".join(parts).decode("utf-8", "replace")
+        text = b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.prefix and text.startswith(" ") else text
 
 
