@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sentencepiece_viterbi, simhash
+from . import exact_dedup, language_id, mixing, sentencepiece_viterbi, simhash
 from .common import read
 
 QUERIES: dict = {}
@@ -44,3 +44,8 @@ def op8(spark, sf_dir):
 @query("op9_sentencepiece")
 def op9(spark, sf_dir):
     return sentencepiece_viterbi.encode(read(spark, sf_dir, "documents"), sentencepiece_viterbi.model_bytes())
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    return language_id.identify(read(spark, sf_dir, "documents"))
