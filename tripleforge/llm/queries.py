@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, sentencepiece_viterbi, simhash
+from . import exact_dedup, language_id, mixing, sentencepiece_viterbi, simhash, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -49,3 +49,8 @@ def op9(spark, sf_dir):
 @query("op1_language_id")
 def op1(spark, sf_dir):
     return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
