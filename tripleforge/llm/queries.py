@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, sentencepiece_viterbi, simhash, toxicity
+from pyspark.sql import functions as F
+
+from . import ann, exact_dedup, language_id, mixing, sentencepiece_viterbi, simhash, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -54,3 +56,8 @@ def op1(spark, sf_dir):
 @query("op7_toxicity")
 def op7(spark, sf_dir):
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op5_nearest")
+def op5(spark, sf_dir):
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
