@@ -114,7 +114,8 @@ class _Merges:
         self.numbers: dict[str, int] = {}
         self.pairs: dict[int, bool] = {}
         self.alone: dict[str, bool] = {}
-        self.joins: dict[int, bool] = {}
+        self.rows: dict[int, dict[int, bool]] = {}  # by ids, left and right, for words
+        self.held = 0
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merging, again and again, the two neighbours whose join scores best; leftmost first."""
@@ -165,7 +166,7 @@ class Encoder:
         for piece, k in self.model.ids.items() if self.model.bpe else ():
             if self.merges.stays(piece):
                 node = self.tree
-                for c in reversed(piece):
+                for c in piece:
                     node = node.setdefault(c, {})
                 node[""] = k
 
@@ -245,35 +246,30 @@ class Encoder:
     def _merged(self, word: str) -> list[int]:
         """Ids of a word of a BPE model: the same search over a window that is the word, committed at its end.
 
-        The pieces that end at a boundary are read off a tree of reversed pieces, one step back for each character.
+        Boundaries are gone through from the left; from each, the pieces that start there are read off a tree, and each
+        is the way to its end if that is still open, so that of several pieces the longest is asked first.
         """
-        apart, pieces, tree = self.merges.joins, self.model.pieces, self.tree
-        ids, last = [-1], [0]  # of the last piece on the way to each boundary: its id (0: no piece), its length
-        for end in range(1, len(word) + 1):
-            node, start, found = tree, end, 0
-            ends_here = []
-            while start:
-                start -= 1
-                node = node.get(word[start])
+        rows, pieces, tree, size = self.merges.rows, self.model.pieces, self.tree, len(word)
+        ids, last = [0] * (size + 1), [1] * (size + 1)  # of the last piece on the way to each boundary: its id (0: none), its length
+        for start in range(size):
+            left, node = ids[start], tree
+            row = rows.get(left)
+            if row is None:
+                row = rows[left] = {}
+            for end in range(start + 1, size + 1):
+                node = node.get(word[end - 1])
                 if node is None:
                     break
-                if "" in node:
-                    ends_here.append((start, node[""]))
-            for start, k in reversed(ends_here):  # the longest is the likeliest
-                left = ids[start]
-                if left <= 0:
-                    found = k
-                    break
-                stay = apart.get(left << 20 | k)
-                if stay is None:
-                    if len(apart) > MOST_PAIRS:
-                        apart.clear()
-                    stay = apart[left << 20 | k] = self.merges.merge(pieces[left] + pieces[k]) == [pieces[left], pieces[k]]
-                if stay:
-                    found = k
-                    break
-            ids.append(found)
-            last.append(end - start if found else 1)
+                if not ids[end] and (k := node.get("")) is not None:
+                    stay = row.get(k)
+                    if stay is None:
+                        stay = row[k] = not left or self.merges.merge(pieces[left] + pieces[k]) == [pieces[left], pieces[k]]
+                        self.merges.held += 1
+                    if stay:
+                        ids[end], last[end] = k, end - start
+        if self.merges.held > MOST_PAIRS:
+            rows.clear()
+            self.merges.held = 0
         out: list[list[int]] = []
         end = len(word)
         while end:
