@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, language_id, mixing, sentencepiece_viterbi, simhash, toxicity
+from . import ann, exact_dedup, html_text, language_id, mixing, sentencepiece_viterbi, simhash, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -61,3 +61,8 @@ def op7(spark, sf_dir):
 @query("op5_nearest")
 def op5(spark, sf_dir):
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op3_html_text")
+def op3(spark, sf_dir):
+    return html_text.extract(read(spark, sf_dir, "pages"))
