@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +18,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a local folder is set only where none is named."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Rows written to the shared checkpoint folder, with their lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``; a local one is set only where none is named.
-    """
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named or LOCAL_CHECKPOINTS)
+    """Rows written to the shared checkpoint folder, with their lineage cut.  For narrow rows; Spark removes the files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Rows written to the shared checkpoint folder as Parquet and read again.  For rows with texts."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def words_text(text: Column) -> Column:
     """The text with each run of white space made one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_text, kneser_ney, language_id, mixing, sentencepiece_viterbi, simhash, toxicity
+from . import ann, exact_dedup, html_text, kneser_ney, language_id, mixing, quotes, sentencepiece_viterbi, simhash, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -72,3 +72,8 @@ def op3(spark, sf_dir):
 def op6(spark, sf_dir):
     good = read(spark, sf_dir, "labels").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     return kneser_ney.classify(read(spark, sf_dir, "documents").join(good, "doc_id", "left"), F.col("good"))
+
+
+@query("op2_reply_order")
+def op2(spark, sf_dir):
+    return quotes.reply_ordered(read(spark, sf_dir, "conversations"))
