@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -209,12 +210,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar | None:
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            words = [sorted({w for w in WORD.findall((t or "").lower()) if len(w) >= STEM_LETTERS}) for t in pdf["text"]]
+            words = [" ".join(sorted({w for w in WORD.findall((t or "").lower()) if len(w) >= STEM_LETTERS})) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "words": words})
 
-    found = sorted(rows.mapInPandas(reduce, f"doc_id {dict(rows.dtypes)['doc_id']}, toxic int, words array<string>").collect(), key=lambda r: (r.doc_id, r.toxic))
-    toxic = [set(r.words) for r in found if r.toxic]
-    clean = [set(r.words) for r in found if not r.toxic]
+    found = sorted(rows.mapInPandas(reduce, f"doc_id {dict(rows.dtypes)['doc_id']}, toxic int, words string").collect(), key=lambda r: (r.doc_id, r.toxic))
+    toxic = [set(map(sys.intern, r.words.split())) for r in found if r.toxic]
+    clean = [set(map(sys.intern, r.words.split())) for r in found if not r.toxic]
     if not toxic or not clean:
         return None
     stems = learn_stems(toxic, clean, (n[0] / len(clean)) / (n[1] / len(toxic)))
