@@ -1 +1,123 @@
-"""To be filled."""
+"""Queries over knowledge graphs: one triple a sentence of every document, or of customers, nations and regions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import kg, similarity
+from .registry import query, read
+
+
+def sentences(spark, sf_dir):
+    """pair_id, side, pos, s, p, o: documents 2k and 2k + 1 are a pair; a triple is a sentence's first, second and last word."""
+    d = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 2).alias("pair_id"), (F.col("doc_id") % 2).cast("int").alias("side"), F.posexplode(F.split(F.lower("text"), r"[.\n]+")).alias("pos", "x"))
+    w = d.withColumn("w", F.regexp_extract_all("x", F.lit("[a-z]+"), F.lit(0))).where("size(w) >= 3")
+    return w.select("pair_id", "side", "pos", F.get("w", F.lit(0)).alias("s"), F.get("w", F.lit(1)).alias("p"), F.element_at("w", -1).alias("o"))
+
+
+KG = """
+with x as (select doc_id // 2 as pair_id, (doc_id % 2)::int as side, unnest(range(len(a)))::int as pos, unnest(a) as x from (select doc_id, regexp_split_to_array(lower(text), '[.\\n]+') as a from documents)),
+w as (select *, regexp_extract_all(x, '[a-z]+') as w from x),
+kg as (select pair_id, side, pos, w[1] as s, w[2] as p, w[-1] as o from w where len(w) >= 3)
+"""
+EDGES = ", e as (select pair_id, side, least(s, o) as u, greatest(s, o) as v, arg_max(p, pos) as relation from kg group by 1, 2, 3, 4)"
+
+
+def _wl(levels: int) -> str:
+    sql = ", b as (select pair_id, side, u, v from e union select pair_id, side, v, u from e), l0 as (select distinct pair_id, side, u, u as label from b)"
+    for k in range(1, levels + 1):
+        sql += f", l{k} as (select a.pair_id, a.side, a.u, md5(any_value(a.label) || '#' || string_agg(n.label, ',' order by n.label)) as label from l{k - 1} a join b using (pair_id, side, u) join l{k - 1} n on n.pair_id = b.pair_id and n.side = b.side and n.u = b.v group by 1, 2, 3)"
+    parts = " union all ".join(f"select {k} as h, pair_id, label, sum((side = 0)::int) as c0, sum((side = 1)::int) as c1 from l{k} group by 1, 2, 3" for k in range(levels + 1))
+    return sql + f", c as ({parts}), t as (select pair_id, sum(c0 * c1) as k01, sum(c0 * c0) as k00, sum(c1 * c1) as k11 from c group by 1)"
+
+
+@query("wl_kernel_h2", KG + EDGES + _wl(2) + "select pair_id, round(case when k00 > 0 and k11 > 0 then k01 / sqrt(k00::double * k11::double) end, 6) as wl from (select distinct doc_id // 2 as pair_id from documents) left join t using (pair_id)")
+def wl_kernel_h2(spark, sf_dir):
+    pairs = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 2).alias("pair_id"))
+    return kg.wl_relational(sentences(spark, sf_dir), pairs, 2).withColumn("wl", F.round("wl", 6))
+
+
+@query("kg_undirected_edges", KG + EDGES + "select * from e")
+def kg_undirected_edges(spark, sf_dir):
+    return kg.edges(sentences(spark, sf_dir))
+
+
+@query("kg_vocabulary", KG + ", v as (select pair_id, 'entity' as kind, s as label from kg union select pair_id, 'entity', o from kg union select pair_id, 'relation', p from kg) select *, row_number() over (partition by pair_id, kind order by label) - 1 as id from v")
+def kg_vocabulary(spark, sf_dir):
+    return kg.vocabulary(sentences(spark, sf_dir))
+
+
+@query("kg_node_counts", KG + EDGES + "select pair_id, side, count(distinct n) as nodes, count(distinct (u, v)) as edges, count(distinct relation) as relations from (select *, unnest([u, v]) as n from e) group by 1, 2")
+def kg_node_counts(spark, sf_dir):
+    e = kg.edges(sentences(spark, sf_dir)).withColumn("n", F.explode(F.array("u", "v")))
+    return e.groupBy("pair_id", "side").agg(F.countDistinct("n").alias("nodes"), F.countDistinct("u", "v").alias("edges"), F.countDistinct("relation").alias("relations"))
+
+
+@query("kg_normal_labels", "select p_partkey, trim(regexp_replace(lower(replace(replace(p_name || '__' || p_type, ' ', '_'), '_', ' ')), ' {2,}', ' ', 'g')) as label from part")
+def kg_normal_labels(spark, sf_dir):
+    rows = read(spark, sf_dir, "part")
+    return rows.select("p_partkey", kg.normal_label(F.replace(F.concat("p_name", F.lit("__"), "p_type"), F.lit(" "), F.lit("_"))).alias("label"))
+
+
+PLACES = ", ".join(f"'{x}'" for x in kg.PLACEHOLDERS)
+
+
+@query("kg_valid_triples", f"select c_custkey, case when c_custkey % 7 = 0 then 'Unknown' else c_name end as s, c_mktsegment as p, n_name as o from customer join nation on c_nationkey = n_nationkey where lower(case when c_custkey % 7 = 0 then 'Unknown' else c_name end) not in ({PLACES}) and lower(n_name) not in ({PLACES})")
+def kg_valid_triples(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    rows = rows.select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, "Unknown").otherwise(F.col("c_name")).alias("s"), F.col("c_mktsegment").alias("p"), F.col("n_name").alias("o"))
+    return rows.where(kg.valid(F.col("s"), F.col("p"), F.col("o")))
+
+
+@query("kg_canonical_key", "select s_suppkey, lower(s_name) || '|in nation|' || lower(trim(n_name)) as key from supplier join nation on s_nationkey = n_nationkey")
+def kg_canonical_key(spark, sf_dir):
+    rows = read(spark, sf_dir, "supplier").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.select("s_suppkey", kg.canonical(F.col("s_name"), F.lit(" In  Nation"), F.col("n_name")).alias("key"))
+
+
+@query("kg_parse_cells", KG + "select pair_id, side, count(*) as triples, count(distinct p) as relations from kg group by 1, 2")
+def kg_parse_cells(spark, sf_dir):
+    """Graphs written to cells, as JSON or as tuples, and parsed again."""
+    triple = F.when(F.col("pair_id") % 2 == 0, F.concat(F.lit("["), F.concat_ws(", ", *[F.concat(F.lit("'"), c, F.lit("'")) for c in ("s", "p", "o")]), F.lit("]")))
+    triple = triple.otherwise(F.concat(F.lit("("), F.concat_ws(", ", *[F.concat(F.lit("'"), c, F.lit("'")) for c in ("s", "p", "o")]), F.lit(")")))
+    rows = sentences(spark, sf_dir).select("pair_id", "side", "pos", triple.alias("t"))
+    cells = rows.groupBy("pair_id", "side").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("l"))
+    cells = cells.select("pair_id", "side", F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["t"]), ", "), F.lit("]")).alias("cell"))
+    out = kg.parse_cells(cells, "cell").select("pair_id", "side", F.explode("kg").alias("t"))
+    return out.groupBy("pair_id", "side").agg(F.count(F.lit(1)).alias("triples"), F.countDistinct(F.get("t", F.lit(1))).alias("relations"))
+
+
+@query("paragraphs_until_blank", """
+with t as (select conv_id, max(text) filter (turn = 0) as p1, max(case when turn = 1 and role = 'assistant' then text end) as p2, max(text) filter (turn = 2) as p3 from conversations group by 1)
+select conv_id, 0 as place, p1 as text from t where p1 is not null union all select conv_id, 1, p2 from t where p1 is not null and p2 is not null union all select conv_id, 2, p3 from t where p1 is not null and p2 is not null and p3 is not null
+""")
+def paragraphs_until_blank(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    at = lambda k: F.max(F.when(F.col("turn") == k, F.col("text")))
+    wide = c.groupBy("conv_id").agg(at(0).alias("p1"), F.max(F.when((F.col("turn") == 1) & (F.col("role") == "assistant"), F.col("text"))).alias("p2"), at(2).alias("p3"))
+    return kg.until_blank(wide, ["conv_id"], ["p1", "p2", "p3"])
+
+
+@query("resume_left_anti", "select doc_id, source from documents where doc_id not in (select doc_id from labels)")
+def resume_left_anti(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("kg_similarity_all")
+def kg_similarity_all(spark, sf_dir):
+    """Every method on the graphs of customers' nations: one pair of graphs for each market segment and nation."""
+    c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = c.groupBy(F.col("n_nationkey").alias("pair_id"), F.pmod(F.xxhash64("c_mktsegment", F.floor(F.col("c_acctbal") / 500)), F.lit(2)).cast("int").alias("side"), "c_mktsegment", F.floor(F.col("c_acctbal") / 500).alias("band"), "n_name", "r_name").agg(F.min("c_custkey").alias("pos"))
+    triples = rows.select("pair_id", "side", F.col("pos").cast("long").alias("pos"), F.concat(F.lit("segment "), F.lower("c_mktsegment"), F.lit(" band "), "band").alias("s"), F.concat(F.lit("buys in "), "r_name").alias("p"), F.col("n_name").alias("o"))
+    return similarity.score_pairs(triples)
+
+
+@query("kg_similarity_texts")
+def kg_similarity_texts(spark, sf_dir):
+    """Kernel and matching methods on the sentence graphs of all pairs of documents."""
+    return similarity.score_pairs(sentences(spark, sf_dir), ["wl", "snea", "pooled", "kea_gaussian", "kea_bert"])
+
+
+@query("kg_coverage")
+def kg_coverage(spark, sf_dir):
+    return similarity.coverage(kg_similarity_all(spark, sf_dir))
