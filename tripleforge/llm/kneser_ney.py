@@ -4,9 +4,10 @@ The model is counted over all trusted texts: raw counts for the longest n-grams,
 discounts an order from the counts of counts.  It stays a sharded table (language, key, value) of weights: what an
 n-gram adds at its order, and what a context passes on to the order below.
 
-Scoring never joins single positions.  Texts are dealt into buckets by a hash of the id; each bucket asks for the
-distinct n-grams it holds, those join the sharded weights, and what comes back meets the bucket's texts again, whose
-positions are then read off a table.  Both uses of the dealt texts share one exchange.
+Texts are dealt into buckets by a hash of the id, packed and compressed by batch, bucket and language, so that shuffling
+them costs less than they take on disk.  A bucket meets the ids of its trusted texts to count those.  Scoring never joins
+single positions: each bucket asks for the distinct n-grams it holds, those join the sharded weights, and what comes back
+meets the bucket's texts again, whose positions are then read off a table.
 
 A text is kept if its perplexity is at most a quantile of the trusted texts' perplexities in its language (of all texts,
 if none is trusted).  A null text counts as empty; an empty text has the perplexity of its end alone and is judged like
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,8 @@ def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 class _Grams:
     """The n-grams of some texts as places in a table of their distinct pairs of bytes."""
 
-    def __init__(self, texts: list[str | None]):
-        data, self.sizes = _joined(texts)
+    def __init__(self, data: np.ndarray, sizes: np.ndarray):
+        self.sizes = sizes
         pair = data[:-1].astype(np.uint16) << 8 | data[1:]
         self.pairs = np.flatnonzero(np.bincount(pair, minlength=65536))
         number = np.zeros(65536, np.int64)
@@ -80,22 +82,45 @@ class _Grams:
         return np.add.reduceat(value[self.at], np.concatenate(([0], np.cumsum(self.sizes)[:-1])))
 
 
-def _by_language(pdf: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame]]:
-    for lang, own in pdf.groupby("lang", sort=True):
-        for at in range(0, len(own), 2000):
-            yield lang, own.iloc[at : at + 2000]
+def _deal(docs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, lang, ids, sizes, packed: the texts of docs (doc_id, lang, text) of a batch, bucket and language."""
 
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for pdf in batches:
+            for (bucket, lang), own in pdf.groupby(["bucket", "lang"], sort=True):
+                data, sizes = _joined(list(own["text"]))
+                yield pd.DataFrame({"bucket": np.int32([bucket]), "lang": [lang], "ids": [list(own["doc_id"])], "sizes": [sizes], "packed": [squeeze.compress(data.tobytes())]})
 
-def count(texts: DataFrame) -> DataFrame:
-    """lang, code, c: the counts of the longest n-grams of all texts (lang, text)."""
+    rows = docs.select(_bucket(buckets), "doc_id", "lang", "text")
+    return rows.mapInPandas(pack, f"bucket int, lang string, ids array<{dict(docs.dtypes)['doc_id']}>, sizes array<long>, packed binary")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lang, own in _by_language(pdf):
-                grams = _Grams(list(own["text"]))
-                yield pd.DataFrame({"lang": lang, "code": grams.codes(), "c": grams.counts})
 
-    return texts.select("lang", "text").mapInPandas(run, "lang string, code long, c long").groupBy("lang", "code").agg(F.sum("c").alias("c"))
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+
+
+def count(dealt: DataFrame, trusted: DataFrame) -> DataFrame:
+    """lang, code, c: the counts of the longest n-grams of the dealt texts whose id is in trusted (bucket, doc_id)."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out, good = [], set(right["doc_id"])
+        for lang, ids, sizes, packed in zip(left["lang"], left["ids"], left["sizes"], left["packed"], strict=True):
+            own = np.array([i in good for i in ids], bool)
+            if own.any():
+                sizes = np.asarray(sizes)
+                data = _unpacked(packed)[np.repeat(own, sizes + ORDER - 1)]
+                grams = _Grams(data, sizes[own])
+                out.append(pd.DataFrame({"lang": lang, "code": grams.codes(), "c": grams.counts}))
+        none = pd.DataFrame({"lang": pd.Series(dtype=object), "code": pd.Series(dtype="int64"), "c": pd.Series(dtype="int64")})
+        return pd.concat(out).groupby(["lang", "code"], as_index=False)["c"].sum() if out else none
+
+    found = dealt.groupBy("bucket").cogroup(trusted.groupBy("bucket")).applyInPandas(run, "lang string, code long, c long")
+    return found.groupBy("lang", "code").agg(F.sum("c").alias("c"))
 
 
 def weights(top: DataFrame) -> DataFrame:
@@ -141,43 +166,41 @@ def log_probabilities(codes: np.ndarray, key: np.ndarray, value: np.ndarray) ->
     return np.log(p)
 
 
-def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, lang, trusted, n_bytes, perplexity of docs (doc_id, lang, text, trusted)."""
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = dict(docs.dtypes)["doc_id"]
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition("bucket")
+def perplexities(dealt: DataFrame, model: DataFrame) -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity of dealt texts; both uses of them share one exchange."""
+    kind = dict(dealt.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+    dealt = dealt.repartition("bucket")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for bucket, part in pdf.groupby("bucket"):
-                for lang, own in _by_language(part):
-                    codes = _Grams(list(own["text"])).codes()
-                    yield pd.DataFrame({"bucket": np.int32(bucket), "lang": lang, "key": np.unique(np.concatenate([x for pair in keys(codes) for x in pair]))})
+            for bucket, lang, sizes, packed in zip(pdf["bucket"], pdf["lang"], pdf["sizes"], pdf["packed"], strict=True):
+                codes = _Grams(_unpacked(packed), np.asarray(sizes)).codes()
+                yield pd.DataFrame({"bucket": np.int32(bucket), "lang": lang, "key": np.unique(np.concatenate([x for pair in keys(codes) for x in pair]))})
 
     asked = dealt.mapInPandas(ask, "bucket int, lang string, key long").distinct()
     told = asked.join(model, ["lang", "key"])
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [left.iloc[:0][["doc_id", "lang", "trusted"]].assign(n_bytes=np.zeros(0, np.int64), perplexity=np.zeros(0))]
-        if len(left):
-            known = {lang: own.sort_values("key") for lang, own in right.groupby("lang")}
-            for lang, own in _by_language(left):
-                grams = _Grams(list(own["text"]))
-                table = known.get(lang)
-                key, value = (table["key"].to_numpy(), table["value"].to_numpy()) if table is not None else (np.zeros(0, np.int64), np.zeros(0))
-                total = grams.sums(log_probabilities(grams.codes(), key, value))
-                out.append(own[["doc_id", "lang", "trusted"]].assign(n_bytes=grams.sizes - 1, perplexity=np.exp(-total / grams.sizes)))
+        out = [pd.DataFrame({"doc_id": pd.Series(dtype=object), "lang": pd.Series(dtype=object), "n_bytes": pd.Series(dtype="int64"), "perplexity": pd.Series(dtype="float64")})]
+        known = {lang: own.sort_values("key") for lang, own in right.groupby("lang")}
+        for lang, ids, sizes, packed in zip(left["lang"], left["ids"], left["sizes"], left["packed"], strict=True):
+            grams, table = _Grams(_unpacked(packed), np.asarray(sizes)), known.get(lang)
+            key, value = (table["key"].to_numpy(), table["value"].to_numpy()) if table is not None else (np.zeros(0, np.int64), np.zeros(0))
+            total = grams.sums(log_probabilities(grams.codes(), key, value))
+            out.append(pd.DataFrame({"doc_id": pd.Series(list(ids), dtype=object), "lang": lang, "n_bytes": grams.sizes - 1, "perplexity": np.exp(-total / grams.sizes)}))
         return pd.concat(out[1:] or out)
 
-    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(answer, f"doc_id {kind}, lang string, trusted boolean, n_bytes long, perplexity double")
+    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(answer, f"doc_id {kind}, lang string, n_bytes long, perplexity double")
 
 
-def classify(docs: DataFrame, trusted: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """One row per document: doc_id, lang, trusted, n_bytes, perplexity, threshold, kept."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("")).alias("lang"), F.col(text_col).alias("text"), F.coalesce(trusted, F.lit(False)).alias("trusted"))
-    model = durable(weights(count(rows.where("trusted"))))
-    scored = durable(perplexities(rows, model))
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+    """One row per document: doc_id, lang, trusted, n_bytes, perplexity, threshold, kept; ``trusted`` holds the ids (doc_id) of trusted texts."""
+    lang = F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit(""))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _deal(docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text")), buckets)
+    good = trusted.select("doc_id").where("doc_id is not null").distinct()
+    model = durable(weights(count(dealt, good.select(_bucket(buckets), "doc_id"))))
+    scored = durable(perplexities(dealt, model).join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))))
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     own = F.percentile_approx(F.when(F.col("trusted"), F.col("perplexity")), F.lit(quantile), F.lit(10_000))
     limit = scored.groupBy("lang").agg((F.coalesce(own, at) * slack).alias("threshold"))

@@ -70,8 +70,8 @@ def op3(spark, sf_dir):
 
 @query("op6_quality")
 def op6(spark, sf_dir):
-    good = read(spark, sf_dir, "labels").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    return kneser_ney.classify(read(spark, sf_dir, "documents").join(good, "doc_id", "left"), F.col("good"))
+    good = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
+    return kneser_ney.classify(read(spark, sf_dir, "documents"), good)
 
 
 @query("op2_reply_order")
