@@ -1 +1,135 @@
-"""To be filled."""
+"""Queries that build labelled pairs from documents and triples."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import kg, perturb
+from . import graphs
+from .registry import query, read
+
+#: Common words of the synthetic texts and what stands for their opposite there.
+SWAPS = {"the": "that", "of": "from", "la": "le", "der": "die", "que": "para"}
+
+
+def draw(seed, *columns):
+    return "('0x' || substr(md5('" + seed + "' || '|' || " + " || '|' || ".join(columns) + "), 1, 8))::bigint"
+
+
+def hashed(x):
+    """A long text as its md5, so that results stay narrow."""
+    return F.md5(x)
+
+
+S = """
+with s as (select doc_id, text, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as s from documents)
+"""
+
+
+def docs(spark, sf_dir):
+    return read(spark, sf_dir, "documents")
+
+
+@query("balanced_sample_md5", f"with d as (select *, row_number() over (partition by toxic order by {draw('42', 'doc_id')}, doc_id) as n from labels) select doc_id, toxic from d where n <= (select min(c) from (select count(*) as c from labels group by toxic))")
+def balanced_sample_md5(spark, sf_dir):
+    return perturb.balanced_sample(read(spark, sf_dir, "labels"), "toxic", ["doc_id"]).select("doc_id", "toxic")
+
+
+@query("binarize_rescale", "select doc_id, (((doc_id * 13) % 101) / 100.0::double * 5 >= 3)::int as label from documents")
+def binarize_rescale(spark, sf_dir):
+    return perturb.binarize(docs(spark, sf_dir).select("doc_id", ((F.col("doc_id") * 13) % 101 / 100.0).alias("score")), "score").select("doc_id", "label")
+
+
+@query("prose_filter", "select doc_id from documents where not regexp_matches(text, '\\[\\[|\\{\\{|==') and len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) between 80 and 400 and length(text) - length(replace(text, '.', '')) >= 2")
+def prose_filter(spark, sf_dir):
+    return docs(spark, sf_dir).where(perturb.is_prose(F.col("text"))).select("doc_id")
+
+
+@query("proper_phrases", "select doc_id, list_sort(list_distinct(regexp_extract_all(text, '[a-z,;] ([A-Z][a-z]{3,})', 1))) as phrases from documents")
+def proper_phrases(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_sort(perturb.phrases(F.col("text"))).alias("phrases"))
+
+
+@query("sentence_reorder", S + "select doc_id, md5(array_to_string(list_concat(s[1:1], list_reverse(s[2:-2]), s[-1:]), ' ')) as digest from s where len(s) >= 4")
+def sentence_reorder(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", hashed(perturb.reorder(F.col("text"))).alias("digest")).where("digest is not null")
+
+
+@query("sentence_deletion", S + ", h as (select doc_id, s, list_filter(s, lambda x: not contains(x, 'th')) as k from s) select doc_id, md5(array_to_string(k, ' ')) as digest from h where len(k) > 0 and len(k) < len(s)")
+def sentence_deletion(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", hashed(perturb.delete_sentence(F.col("text"), F.lit("th"))).alias("digest")).where("digest is not null")
+
+
+KEYS = ", ".join(f"'{k}'" for k in SWAPS)
+CASE = "case " + " ".join(f"when x = '{k}' then '{v}'" for k, v in SWAPS.items()) + " else x end"
+
+
+@query("relation_replacement", f"with w as (select doc_id, string_split(text, ' ') as w from documents), p as (select doc_id, w, list_position(list_transform(w, lambda x: x in ({KEYS})), true) as pos from w) select doc_id, md5(array_to_string(list_transform(w, lambda x, i: case when i = pos then {CASE} else x end), ' ')) as digest from p where pos > 0")
+def relation_replacement(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", hashed(perturb.replace_relation(F.col("text"), SWAPS)).alias("digest")).where("digest is not null")
+
+
+IMPORTANCE = "2 * len(regexp_extract_all(x, '[A-Z][a-z]+')) + case when regexp_matches(x, '[0-9]') then 1.5 else 0 end + length(x) / 30.0::double"
+
+
+@query("fact_omission", S + f", r as (select doc_id, s, list_transform(s, lambda x: ({IMPORTANCE})::double) as v from s where len(s) > 1), d as (select doc_id, s, list_position(v, list_max(v)) as pos from r) select doc_id, md5(array_to_string(list_filter(s, lambda x, i: i <> pos), ' ')) as digest from d")
+def fact_omission(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", hashed(perturb.omit_fact(F.col("text"))).alias("digest")).where("digest is not null")
+
+
+@query("number_distortion")
+def number_distortion(spark, sf_dir):
+    factor = 0.4 + (perturb.draw("3", "doc_id") % 31) / 100.0
+    return docs(spark, sf_dir).select("doc_id", hashed(perturb.scale_number(F.col("text"), factor)).alias("digest")).where("digest is not null")
+
+
+@query("triple_inversion", graphs.KG + "select pair_id, side, pos, o as s, p, s as o from kg")
+def triple_inversion(spark, sf_dir):
+    return perturb.invert_triples(graphs.sentences(spark, sf_dir)).select("pair_id", "side", "pos", "s", "p", "o")
+
+
+@query("inversion_blindness", graphs.KG + graphs.EDGES + "select count(*) as same from e")
+def inversion_blindness(spark, sf_dir):
+    """Inverting triples leaves the undirected graph as it is: edges of both that are equal."""
+    t = graphs.sentences(spark, sf_dir)
+    return kg.edges(t).intersect(kg.edges(perturb.invert_triples(t))).agg(F.count(F.lit(1)).alias("same"))
+
+
+def brands(spark, sf_dir):
+    """Suppliers and the brands that they delivered: id, topic."""
+    return read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("id"), F.concat("p_brand", F.lit(" "), "p_size").alias("topic")).distinct()
+
+
+@query(
+    "least_overlap",
+    f"""
+with i as (select s_suppkey as id from supplier), m as (select greatest(1, ceil(count(*) / 4))::bigint as m from i),
+d as ({" union all ".join(f"select id, {k} as k, {draw(f'7-{k}', 'id')} % m as slot from i, m" for k in range(4))}),
+p as (select distinct a.id, b.id as other from d a join d b on a.k = b.k and a.slot = b.slot and a.id <> b.id),
+t as (select distinct l_suppkey as id, p_brand || ' ' || p_size as topic from lineitem join part on l_partkey = p_partkey),
+c as (select p.id, p.other, count(y.topic) as shared from p left join t x on x.id = p.id left join t y on y.id = p.other and y.topic = x.topic group by 1, 2)
+select id, other, shared from c qualify row_number() over (partition by id order by shared, other) = 1
+""",
+)
+def least_overlap(spark, sf_dir):
+    return perturb.least_overlap(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), brands(spark, sf_dir))
+
+
+QUADS = S + f"""
+, a as (select doc_id from s where len(s) >= 4), b as (select doc_id from (select doc_id, s, list_filter(s, lambda x: not contains(x, 'th')) as k from s) where len(k) > 0 and len(k) < len(s)),
+c as (select doc_id from documents where len(list_filter(string_split(text, ' '), lambda x: x in ({KEYS}))) > 0)
+select doc_id, unnest([4, 3, 2, 1]) as level from a join b using (doc_id) join c using (doc_id)
+"""
+
+
+@query("quadruplets", QUADS)
+def quadruplets(spark, sf_dir):
+    d, text = docs(spark, sf_dir), F.col("text")
+    made = {4: text, 3: perturb.reorder(text), 2: perturb.delete_sentence(text, F.lit("th")), 1: perturb.replace_relation(text, SWAPS)}
+    return perturb.quadruplets({k: d.select("doc_id", c.alias("text")) for k, c in made.items()}, "doc_id").select("doc_id", "level")
+
+
+@query("domain_union", "select 'labels.' || n as domain, count(*) as n from (select case when quality = 1 then 'good' else 'bad' end as n from labels) group by 1 union all select 'documents.' || lang, count(*) from documents group by lang")
+def domain_union(spark, sf_dir):
+    a = read(spark, sf_dir, "labels").select(F.concat(F.lit("labels."), F.when(F.col("quality") == 1, "good").otherwise("bad")).alias("domain"))
+    return a.unionByName(docs(spark, sf_dir).select(F.concat(F.lit("documents."), "lang").alias("domain"))).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
