@@ -165,7 +165,8 @@ def _unlike(texts: list[set[str]]) -> list[set[str]]:
 
 def learn_stems(toxic: list[set[str]], clean: list[set[str]], odds: float) -> dict[str, float]:
     """Stems with their weights, from the words of toxic and clean texts; ``odds``: clean texts in all per sampled one, over the same for toxic."""
-    toxic = _unlike(toxic)
+    unlike = _unlike(toxic)
+    toxic = unlike if len(unlike) > STEM_TEXTS else toxic
     holds: dict[str, set[int]] = defaultdict(set)
     for i, words in enumerate(toxic):
         for w in words:
