@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ANSWER = "map<string, array<array<string>>>"
 
@@ -51,7 +52,7 @@ def extract(df: DataFrame, prompts: str, client: Callable[[], Callable[[str], st
                 out.append(answer)
             yield pdf.assign(answer=out)
 
-    return df.mapInPandas(run, df.schema.add("answer", "string"))
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("answer", T.StringType())]))
 
 
 def not_done(df: DataFrame, done: DataFrame, key: str, cells: list[str]) -> DataFrame:
