@@ -114,7 +114,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     snapshot = durable(exact_buckets(rows.where(old)))
     batch = exact_buckets(rows.where(~old))
     groups = durable(merge(batch, snapshot))
-    groups = verified(docs, rows, groups, id_col, text_col)
+    groups = durable(verified(docs, rows, groups, id_col, text_col))  # so that the join below can split a hot digest's rows
     # Rows that repeat an id and a text are counted here and dealt out again, so that one of them is kept.
     counted = rows.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.min("raw").alias("raw"))
     out = counted.join(groups, "text_sha256").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
