@@ -30,6 +30,8 @@ from .common import durable
 ORDER = 4  # n-grams are read as two pairs of bytes
 SYMBOLS = 257
 QUANTILE, SLACK = 0.995, 1.1
+#: Texts of a bucket, about; what a bucket asks for grows much more slowly than its texts.
+BUCKET_TEXTS = 3000
 FIRST, LAST = 0, 1
 _CLEAN = bytes([32 if i < 33 else i for i in range(256)])
 #: Keys: order, then whether it is a context's weight, then the bytes.
@@ -172,10 +174,13 @@ def perplexities(dealt: DataFrame, model: DataFrame) -> DataFrame:
     dealt = dealt.repartition("bucket")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, str], np.ndarray] = {}  # distinct n-grams of the partition's buckets
         for pdf in batches:
             for bucket, lang, sizes, packed in zip(pdf["bucket"], pdf["lang"], pdf["sizes"], pdf["packed"], strict=True):
                 codes = _Grams(_unpacked(packed), np.asarray(sizes)).codes()
-                yield pd.DataFrame({"bucket": np.int32(bucket), "lang": lang, "key": np.unique(np.concatenate([x for pair in keys(codes) for x in pair]))})
+                held[bucket, lang] = np.union1d(held[bucket, lang], codes) if (bucket, lang) in held else codes
+        for (bucket, lang), codes in held.items():
+            yield pd.DataFrame({"bucket": np.int32(bucket), "lang": lang, "key": np.unique(np.concatenate([x for pair in keys(codes) for x in pair]))})
 
     asked = dealt.mapInPandas(ask, "bucket int, lang string, key long").distinct()
     told = asked.join(model, ["lang", "key"])
@@ -196,7 +201,7 @@ def perplexities(dealt: DataFrame, model: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """One row per document: doc_id, lang, trusted, n_bytes, perplexity, threshold, kept; ``trusted`` holds the ids (doc_id) of trusted texts."""
     lang = F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit(""))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, -(-docs.count() // BUCKET_TEXTS))
     dealt = _deal(docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text")), buckets)
     good = trusted.select("doc_id").where("doc_id is not null").distinct()
     model = durable(weights(count(dealt, good.select(_bucket(buckets), "doc_id"))))
