@@ -29,16 +29,16 @@ def test_relational_kernel_equals_grouped(spark):
     got = {r.pair_id: r.wl for r in kg.wl_relational(df, pairs, 5).collect()}
     assert got[1] == pytest.approx(5 / 24) and got[2] is None and got[3] is None
     scores = {r.pair_id: r for r in similarity.score_pairs(df).collect()}
-    assert scores[1].wl == pytest.approx(5 / 24) and scores[2].wl is None and scores[2].s3kg_5 is None
+    assert scores[1].wl == pytest.approx(5 / 24) and scores[2].wl is None and scores[2].blend_5 is None
     for k in range(11):
-        want = k / 10 * scores[1].snea + (1 - k / 10) * min(1, max(0, scores[1].pooled))
-        assert scores[1][f"s3kg_{k}"] == pytest.approx(want)
+        want = k / 10 * scores[1].aligned_wl + (1 - k / 10) * min(1, max(0, scores[1].pooled))
+        assert scores[1][f"blend_{k}"] == pytest.approx(want)
     assert all(scores[1][m] is not None for m in similarity.METHODS)
 
 
 def test_methods_on_identical_graphs():
     enc = similarity.hashed_encoder
-    for name in ("wl", "snea", "pooled", "kea", "kea_gaussian", "kea_bert", "transe", "rotate", "gnn"):
+    for name in ("wl", "aligned_wl", "pooled", "cluster_wl", "gaussian", "best_match", "transe", "rotate", "gnn"):
         assert similarity.METHODS[name](A, A, enc) == pytest.approx(1, abs=1e-6), name
 
 

@@ -115,7 +115,7 @@ def kg_similarity_all(spark, sf_dir):
 @query("kg_similarity_texts")
 def kg_similarity_texts(spark, sf_dir):
     """Kernel and matching methods on the sentence graphs of all pairs of documents."""
-    return similarity.score_pairs(sentences(spark, sf_dir), ["wl", "snea", "pooled", "kea_gaussian", "kea_bert"])
+    return similarity.score_pairs(sentences(spark, sf_dir), ["wl", "aligned_wl", "pooled", "gaussian", "best_match"])
 
 
 @query("kg_coverage")
