@@ -32,6 +32,8 @@ SYMBOLS = 257
 QUANTILE, SLACK = 0.995, 1.1
 #: Texts of a bucket, about; what a bucket asks for grows much more slowly than its texts.
 BUCKET_TEXTS = 3000
+#: Thresholds of so many languages are broadcast; more are joined by shuffling.
+FEW_LANGUAGES = 10_000
 FIRST, LAST = 0, 1
 _CLEAN = bytes([32 if i < 33 else i for i in range(256)])
 #: Keys: order, then whether it is a context's weight, then the bytes.
@@ -209,6 +211,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     own = F.percentile_approx(F.when(F.col("trusted"), F.col("perplexity")), F.lit(quantile), F.lit(10_000))
     limit = scored.groupBy("lang").agg((F.coalesce(own, at) * slack).alias("threshold"))
-    out = scored.join(limit, "lang")
+    limit = durable(limit)
+    out = scored.join(F.broadcast(limit) if limit.count() <= FEW_LANGUAGES else limit, "lang")
     name = F.when(F.col("lang") == "", F.lit(None)).otherwise(F.substring("lang", 2, 1_000_000))
     return out.select("doc_id", name.alias("lang"), "trusted", "n_bytes", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("kept"))
