@@ -39,6 +39,16 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from the table's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def words_text(text: Column) -> Column:
     """The text with each run of white space made one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import binary_fuse
-from .common import durable, words_text
+from .common import durable, unused, words_text
 
 #: Digests that one filter holds, about: a filter is built in one task and is some 60 kB.
 KEYS_PER_FILTER = 50_000
@@ -124,9 +124,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("raw").alias("_kept_raw"))
-    raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    out = docs.withColumn("_raw", raw)
-    out = out.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_raw") == F.col("_kept_raw")), "left_semi")
-    one = Window.partitionBy(id_col, "_raw").orderBy(F.lit(1))
-    return out.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth", "_raw")
+    kept_id, kept_raw, raw, nth = unused(docs, "_kept_id", "_kept_raw", "_raw", "_nth")
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.col("raw").alias(kept_raw))
+    out = docs.withColumn(raw, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    out = out.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(raw) == F.col(kept_raw)), "left_semi")
+    one = Window.partitionBy(id_col, raw).orderBy(F.lit(1))
+    return out.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth, raw)

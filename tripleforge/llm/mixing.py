@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, durable
+from .common import WORDS, durable, unused
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_COPIES = 3
@@ -127,7 +127,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it has copies, with all its columns.  Ids are unique here."""
-    plan = mix(docs, id_col, text_col, source_col).where("copies > 0").groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_mixed_id")))
-    return out.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_nth", "_copies", "_mixed_id")
+    """The mix itself: every row of ``docs`` as often as it has copies, with all its columns.
+
+    Rows that share an id, or have none, cannot be told apart: each is taken as often as the most copied of them.
+    """
+    name, copies, nth = unused(docs, "_mixed_id", "_copies", "_nth")
+    plan = mix(docs, id_col, text_col, source_col).where("copies > 0").groupBy(F.col("doc_id").alias(name)).agg(F.max("copies").alias(copies))
+    out = docs.join(plan, F.col(id_col).eqNullSafe(F.col(name)))
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).drop(nth, copies, name)

@@ -40,7 +40,7 @@ def op4(spark, sf_dir):
 
 @query("op8_simhash")
 def op8(spark, sf_dir):
-    return simhash.near_dedup(read(spark, sf_dir, "documents"))
+    return simhash.near_dedup(read(spark, sf_dir, "documents")).drop("raw")
 
 
 @query("op9_sentencepiece")

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, unused
 from .graphs import components
 
 BITS = 64
@@ -58,16 +58,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits((2 * count > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
+    """doc_id, raw, fp (64 bits as a signed long); raw is ``mark``, a number that tells rows of one id apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.array([fingerprint(t) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "raw": pdf["raw"], "fp": fp.view(np.int64)})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.lit(0) if mark is None else mark).cast("long").alias("raw"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, raw long, fp long")
 
 
 def tables(blocks: int, distance: int = DISTANCE) -> tuple[list[list[int]], int]:
@@ -271,16 +271,24 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return components(durable(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest id that links reach)."""
-    rows = durable(fingerprints(docs, id_col, text_col))
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest id that links reach), raw (``mark``)."""
+    rows = durable(fingerprints(docs, id_col, text_col, mark))
     distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     linked = near_links(distinct.where("rep is not null"))
     of = distinct.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "raw")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's, with all their columns; ids are unique here."""
-    kept = near_dedup(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    """The rows of ``docs`` that stay for their component, with all their columns.
+
+    That is the row whose id is the component's.  Rows that repeat this id stay together if their texts are equal or
+    linked as well.  Rows without an id stay if no row with an id has their
+    fingerprint.
+    """
+    name, same = unused(docs, "_stays_id", "_stays_raw")
+    raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    stays = near_dedup(docs, id_col, text_col, raw).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = stays.select(F.col("doc_id").alias(name), F.col("raw").alias(same))
+    return docs.join(stays, F.col(id_col).eqNullSafe(F.col(name)) & (raw == F.col(same)), "left_semi")
