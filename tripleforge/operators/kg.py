@@ -108,3 +108,37 @@ def wl_relational(triples: DataFrame, pairs: DataFrame, iterations: int = 2) ->
     total = counts.groupBy("pair_id").agg(*[F.sum(k).alias(k) for k in ("k01", "k00", "k11")])
     wl = F.when((F.col("k00") > 0) & (F.col("k11") > 0), F.col("k01") / F.sqrt(F.col("k00").cast("double") * F.col("k11")))
     return pairs.select("pair_id").distinct().join(total.select("pair_id", wl.alias("wl")), "pair_id", "left")
+
+
+def relabel(triples: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Triples whose subjects and objects are replaced as ``mapping`` (pair_id, label, anchor) says; others and relations stay."""
+    out = triples
+    for c in ("s", "o"):
+        own = mapping.select("pair_id", F.col("label").alias(c), F.col("anchor").alias("_anchor"))
+        out = out.join(own, ["pair_id", c], "left").withColumn(c, F.coalesce("_anchor", c)).drop("_anchor")
+    return out.select(*triples.columns)
+
+
+def contract(triples: DataFrame, clusters: DataFrame) -> DataFrame:
+    """pair_id, side, u, v, relation: the graph with each cluster (pair_id, label, anchor) as one node; the first relation stays."""
+    rows = relabel(triples, clusters)
+    u, v = F.least("s", "o").alias("u"), F.greatest("s", "o").alias("v")
+    return rows.groupBy("pair_id", "side", u, v).agg(F.min_by("p", "pos").alias("relation"))
+
+
+def first_seen(triples: DataFrame) -> DataFrame:
+    """pair_id, side, label, id: nodes numbered as they first appear, a subject before its object."""
+    from pyspark.sql import Window
+
+    ends = F.array(F.struct((2 * F.col("pos")).alias("at"), F.col("s").alias("label")), F.struct((2 * F.col("pos") + 1).alias("at"), F.col("o").alias("label")))
+    rows = triples.select("pair_id", "side", F.explode(ends).alias("e")).groupBy("pair_id", "side", "e.label").agg(F.min("e.at").alias("at"))
+    return rows.select("pair_id", "side", "label", (F.row_number().over(Window.partitionBy("pair_id", "side").orderBy("at")) - 1).cast("long").alias("id"))
+
+
+def triple_ids(triples: DataFrame, words: DataFrame) -> DataFrame:
+    """pair_id, side, pos, h, r, t: numbers of a vocabulary (pair_id, kind, label, id); 0 for what it lacks."""
+    out = triples.select("pair_id", "side", "pos", *[F.lower(c).alias(c) for c in ("s", "p", "o")])
+    for c, kind, name in (("s", "entity", "h"), ("p", "relation", "r"), ("o", "entity", "t")):
+        own = words.where(F.col("kind") == kind).select("pair_id", F.col("label").alias(c), F.col("id").alias(name))
+        out = out.join(own, ["pair_id", c], "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return out.select("pair_id", "side", "pos", "h", "r", "t")

@@ -80,3 +80,13 @@ def extras(two: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of the second side that no classified match uses."""
     used = classes.where(~F.col("class").isin("missing", "unclassified")).select("pair_id", F.col("pos2").alias("pos")).distinct()
     return two.join(used, ["pair_id", "pos"], "left_anti")
+
+
+def label_clusters(vectors: DataFrame, key: str, vector: str = "v", seed: int = 0, steps: int = 10) -> DataFrame:
+    """key, cluster by k-means with k = max(3, sqrt of the number of rows), distributed; for tables of labels."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    k = max(3, int(rows.count() ** 0.5))
+    return KMeans(k=k, seed=seed, maxIter=steps).fit(rows).transform(rows).select(key, F.col("prediction").alias("cluster"))

@@ -172,3 +172,22 @@ def blend(structure: Column, meaning: Column, alpha: Column) -> Column:
 def append_unseen(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``old`` and those rows of ``new`` whose key it lacks."""
     return old.unionByName(new.join(old, key, "left_anti"))
+
+
+def only_first_by(correct: DataFrame, ids: list[str], stratum: str) -> DataFrame:
+    """method1, method2, stratum, n: where rows lie that the first method has right and the second has wrong."""
+    a = correct.where("correct = 1").select(*ids, stratum, F.col("method").alias("method1"))
+    b = correct.where("correct = 0").select(*ids, F.col("method").alias("method2"))
+    return a.join(b, ids).groupBy("method1", "method2", stratum).agg(F.count(F.lit(1)).alias("n"))
+
+
+def override(rows: DataFrame, other: DataFrame, method: str, ids: list[str]) -> DataFrame:
+    """Rows (ids, method, score, ...) in which one method's scores come from another table (ids, score), and only where it has them."""
+    own = rows.where(F.col("method") == method).drop("score").join(other.select(*ids, "score"), ids).select(*rows.columns)
+    return rows.where(F.col("method") != method).unionByName(own)
+
+
+def first_seen(df: DataFrame, key: list[str], place: str) -> DataFrame:
+    """Of rows that share a key, the one that comes first by ``place``."""
+    columns = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.min_by(F.struct(*columns), F.col(place)).alias("_row")).select(*key, *[F.col("_row")[c].alias(c) for c in columns])

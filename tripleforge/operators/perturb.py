@@ -108,8 +108,8 @@ def omit_fact(text: Column) -> Column:
     return F.when(F.size(s) > 1, F.array_join(F.concat(F.slice(s, 1, drop), F.slice(s, drop + 2, F.size(s))), " "))
 
 
-def least_overlap(items: DataFrame, topics: DataFrame, rounds: int = 4, seed: str = "7") -> DataFrame:
-    """id, other, shared: for each item (id) another that shares fewest topics (id, topic) of those drawn for it.
+def least_overlap(items: DataFrame, topics: DataFrame, rounds: int = 4, seed: str = "7", most: bool = False) -> DataFrame:
+    """id, other, shared: for each item (id) another that shares fewest (or ``most``) topics (id, topic) of those drawn for it.
 
     Items are drawn together by hash, in each round into slots of about four, so candidates are few for every item and
     no item is compared with all others; of equals the smaller id is taken.
@@ -120,7 +120,8 @@ def least_overlap(items: DataFrame, topics: DataFrame, rounds: int = 4, seed: st
     pairs = dealt.join(dealt.withColumnRenamed("id", "other"), ["k", "slot"]).where("id <> other").select("id", "other").distinct()
     shared = pairs.join(topics, "id").join(topics.withColumnRenamed("id", "other"), ["other", "topic"]).groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"))
     rows = pairs.join(shared, ["id", "other"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    return rows.groupBy("id").agg(F.min(F.struct("shared", "other")).alias("b")).select("id", "b.other", "b.shared")
+    order = F.struct((-F.col("shared") if most else F.col("shared")).alias("by"), "other", "shared")
+    return rows.groupBy("id").agg(F.min(order).alias("b")).select("id", "b.other", "b.shared")
 
 
 def quadruplets(levels: dict[int, DataFrame], key: str) -> DataFrame:
@@ -131,3 +132,78 @@ def quadruplets(levels: dict[int, DataFrame], key: str) -> DataFrame:
         rows = own if rows is None else rows.unionByName(own)
     whole = rows.groupBy(key).agg(F.count_distinct("level").alias("n")).where(F.col("n") == len(levels)).select(key)
     return rows.join(whole, key, "left_semi")
+
+
+def text_kind(text: Column, keywords: dict[str, list[str]], default: str) -> Column:
+    """The kind most of whose keywords the text holds, the first of equals; ``default`` if it holds none."""
+    words = F.split(F.lower(text), "[^a-z]+")
+    held = [F.size(F.array_intersect(words, F.array(*map(F.lit, own)))) for own in keywords.values()]
+    most = F.greatest(*held) if len(held) > 1 else held[0]
+    out = F.when(most == 0, default)
+    for kind, n in zip(keywords, held, strict=True):
+        out = out.when(n == most, kind)
+    return out
+
+
+def first_paragraph(text: Column, of: int = 4, least: int = 80, most: int = 400) -> Column:
+    """The first of the text's first paragraphs that is prose; null if none is."""
+    return F.get(F.filter(F.slice(F.split(text, "\n"), 1, of), lambda x: is_prose(x, least, most)), F.lit(0))
+
+
+def consecutive(df: DataFrame, kind: str, title: str, key: str, seed: str = "11", block: int = 1000) -> DataFrame:
+    """key, other: rows of one kind two by two in hash order, where their titles differ.
+
+    Rows are dealt by hash into blocks of about ``block`` rows, so that no kind is ordered as a whole.
+    """
+    blocks = max(1, df.count() // block)
+    order = Window.partitionBy(kind, "_block").orderBy("_draw", key)
+    rows = df.withColumn("_draw", draw(seed, key)).withColumn("_block", F.col("_draw") % blocks)
+    rows = rows.withColumns({"_nth": F.row_number().over(order), "other": F.lead(key).over(order), "_title": F.lead(title).over(order)})
+    return rows.where((F.col("_nth") % 2 == 1) & F.col("other").isNotNull() & (F.col(title) != F.col("_title"))).select(key, "other")
+
+
+def delete_linked_sentence(text: Column, phrase: str = r"[A-Z][a-z]{3,}", at_least: int = 2) -> Column:
+    """Without the first sentence that links so many phrases; null if there is none or it is all."""
+    s = sentences(text)
+    at = F.array_position(F.transform(s, lambda x: F.size(F.regexp_extract_all(x, F.lit(phrase), F.lit(0))) >= at_least), True).cast("int")
+    return F.when((at > 0) & (F.size(s) > 1), F.array_join(F.concat(F.slice(s, 1, at - 1), F.slice(s, at + 1, F.size(s))), " "))
+
+
+def swap_words(text: Column, vocabulary: dict[str, str], most: int = 2) -> Column:
+    """The first occurrence of each word of the vocabulary, in any case, replaced, for ``most`` entries in order; null if none occurs."""
+    entries = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in vocabulary.items()])
+    start = F.struct(F.split(text, " ").alias("words"), F.lit(0).alias("n"))
+
+    def step(now: Column, entry: Column) -> Column:
+        at = F.array_position(F.transform(now["words"], F.lower), entry["a"])
+        hit = (at > 0) & (now["n"] < most)
+        one = at.cast("int")  # slices, so that no function over the words looks for the place again
+        words = F.concat(F.slice(now["words"], 1, one - 1), F.array(entry["b"]), F.slice(now["words"], one + 1, F.size(now["words"])))
+        return F.struct(F.when(hit, words).otherwise(now["words"]).alias("words"), (now["n"] + hit.cast("int")).alias("n"))
+
+    done = F.aggregate(entries, start, step)
+    return F.when(done["n"] > 0, F.array_join(done["words"], " "))
+
+
+def entity_pool(df: DataFrame, text: str, pattern: str) -> DataFrame:
+    """entity, n: what matches the pattern anywhere, and how often."""
+    return df.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def corrupt(text: Column, factor: Column, vocabulary: dict[str, str]) -> Column:
+    """struct<text, subtype>: a changed number, or else changed words; null if neither is there."""
+    number, words = scale_number(text, factor), swap_words(text, vocabulary, 1)
+    made = F.struct(F.coalesce(number, words).alias("text"), F.when(number.isNotNull(), "number").otherwise("entity").alias("subtype"))
+    return F.when(number.isNotNull() | words.isNotNull(), made)
+
+
+def until_enough(df: DataFrame, made: str, n: int, key: str, seed: str = "13") -> DataFrame:
+    """``n`` of the rows for which something was made, the first in hash order."""
+    return df.where(F.col(made).isNotNull()).withColumn("_draw", draw(seed, key)).orderBy("_draw", key).limit(n).drop("_draw")
+
+
+def papers(df: DataFrame, text: str, words: int = 30, least_sentences: int = 2, most_words: int = 300) -> DataFrame:
+    """Rows with so many words and sentences, with ``context``: the first words of the text, single-spaced."""
+    w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    rows = df.where((F.size(w) >= words) & (F.size(sentences(F.col(text))) >= least_sentences))
+    return rows.withColumn("context", F.array_join(F.slice(w, 1, most_words), " "))
