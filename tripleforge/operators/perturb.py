@@ -153,13 +153,22 @@ def first_paragraph(text: Column, of: int = 4, least: int = 80, most: int = 400)
 def consecutive(df: DataFrame, kind: str, title: str, key: str, seed: str = "11", block: int = 1000) -> DataFrame:
     """key, other: rows of one kind two by two in hash order, where their titles differ.
 
-    Rows are dealt by hash into blocks of about ``block`` rows, so that no kind is ordered as a whole.
+    A row's number in its kind is the count of the kind's earlier hash ranges and its place in its own range of about
+    ``block`` rows, so no kind is ordered as a whole and yet at most one row of a kind is left over.
     """
-    blocks = max(1, df.count() // block)
-    order = Window.partitionBy(kind, "_block").orderBy("_draw", key)
-    rows = df.withColumn("_draw", draw(seed, key)).withColumn("_block", F.col("_draw") % blocks)
-    rows = rows.withColumns({"_nth": F.row_number().over(order), "other": F.lead(key).over(order), "_title": F.lead(title).over(order)})
-    return rows.where((F.col("_nth") % 2 == 1) & F.col("other").isNotNull() & (F.col(title) != F.col("_title"))).select(key, "other")
+    ranges = max(1, df.count() // block)
+    rows = df.select(F.col(kind).alias("_kind"), F.col(title).alias("_title"), F.col(key).alias("_key"), draw(seed, key).alias("_draw"))
+    rows = rows.withColumn("_range", F.floor(F.col("_draw") * ranges / 2**32))
+    before = F.sum("_n").over(Window.partitionBy("_kind").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    held = rows.groupBy("_kind", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    held = held.select(F.col("_kind").alias("_k"), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_kind", "_range").orderBy("_draw", "_key", "_title"))
+    rows = rows.withColumn("_nth", nth).join(held, F.col("_kind").eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
+    rows = rows.withColumn("_nth", F.col("_before") + F.col("_nth") - 1).withColumn("_pair", F.floor(F.col("_nth") / 2))
+    row = F.struct("_nth", "_key", "_title")
+    pairs = rows.groupBy("_kind", "_pair").agg(F.min(row).alias("a"), F.max(row).alias("b"))
+    whole = (F.col("a._nth") < F.col("b._nth")) & F.col("b._key").isNotNull() & (F.col("a._title") != F.col("b._title"))
+    return pairs.where(whole).select(F.col("a._key").alias(key), F.col("b._key").alias("other"))
 
 
 def delete_linked_sentence(text: Column, phrase: str = r"[A-Z][a-z]{3,}", at_least: int = 2) -> Column:
