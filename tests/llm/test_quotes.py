@@ -59,3 +59,18 @@ def test_order_repeats_and_empty(spark):
     frame = spark.createDataFrame(rows, SCHEMA)
     plan = quotes.reply_ordered(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_quotes(spark):
+    rows = [
+        (1, 0, "a", "Yes, at 9"),
+        (1, 1, "b", "明天九点见。"),
+        (1, 2, "c", "> Yes, at 9\nfine with me"),
+        (1, 3, "a", "> 明天九点见。\nsee you then"),
+        (1, 4, "b", "ok"),
+        (1, 5, "c", "A longer message that is said once.\nok"),
+        (1, 6, "a", "> ok\n>> A longer message that is said once.\nthis goes to the longer one"),
+        (1, 7, "b", "> ok\n>\nonly the doubtful line"),
+    ]
+    got = run(spark, rows)
+    assert [(got[1, t].reply_to, got[1, t].n_linked) for t in (2, 3, 6, 7)] == [(0, 1), (1, 1), (5, 2), (4, 1)]

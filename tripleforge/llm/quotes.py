@@ -3,7 +3,8 @@
 A line's quote level is the number of ``>`` that begin it.  A passage is a run of lines of one level.  Passages and
 their lines are normalised (lower case, single spaces), hashed, and joined to the first message of the conversation
 that says the same in its own words, that is at level 0.  A message replies to the earlier message that most characters
-of its outermost linked passages come from; of equals, to the latest.  Following replies upwards gives each message its
+of its outermost linked passages come from; of equals, to the latest.  Short passages that several turns say come after
+all others.  Following replies upwards gives each message its
 thread (the turn at which it starts) and its depth.
 
 A null text has no words and quotes nothing; a null conversation or turn is passed through without a link.  Rows that
@@ -19,7 +20,7 @@ from .common import durable
 
 MARKERS = r"^\s*(?:>\s?)+"
 QUOTES = r"(?m)^\s*>"
-#: Shorter lines and passages, in characters, are too common to say where they come from.
+#: Shorter lines and passages, in characters, are doubtful where several turns say them: any other link goes before.
 LEAST_CHARS = 12
 
 
@@ -63,11 +64,11 @@ def passages(said: DataFrame) -> DataFrame:
 def _units(words: Column) -> Column:
     """What a passage is looked for by: its whole and its lines, normalised, as distinct strings."""
     whole = F.array(normal(F.array_join(words, "\n")))
-    return F.array_distinct(F.filter(F.concat(whole, F.transform(words, normal)), lambda x: F.length(x) >= LEAST_CHARS))
+    return F.array_distinct(F.filter(F.concat(whole, F.transform(words, normal)), lambda x: x != ""))
 
 
 def links(said: DataFrame) -> DataFrame:
-    """conv_id, turn, level, place, chars, origin: for each quoted passage the turns it comes from, and how much of it.
+    """conv_id, turn, level, place, chars, sure, origin: for each quoted passage the turns it comes from, and how much of it.
 
     What a conversation says is reduced to one row for each (conversation, hash) before the join, so the join makes no
     pairs however often a line is repeated or quoted.
@@ -77,14 +78,15 @@ def links(said: DataFrame) -> DataFrame:
     asked = asked.select("conv_id", "turn", "place", "level", key[0].alias("hash"), key[1])
     own = F.split(_own(F.col("lines")), "\n")
     told = said.join(asked.select("conv_id").distinct(), "conv_id", "left_semi")
-    told = told.select("conv_id", "turn", F.explode(_units(own)).alias("unit")).groupBy("conv_id", F.xxhash64("unit").alias("hash")).agg(F.min("turn").alias("origin"))
-    return asked.join(told, ["conv_id", "hash"]).where("origin < turn").groupBy("conv_id", "turn", "level", "place", "origin").agg(F.max("chars").alias("chars"))
+    told = told.select("conv_id", "turn", F.explode(_units(own)).alias("unit")).groupBy("conv_id", F.xxhash64("unit").alias("hash")).agg(F.min("turn").alias("origin"), F.max("turn").alias("last"))
+    sure = (F.col("chars") >= LEAST_CHARS) | (F.col("last") == F.col("origin"))
+    return asked.join(told, ["conv_id", "hash"]).where("origin < turn").groupBy("conv_id", "turn", "level", "place", "origin").agg(F.max("chars").alias("chars"), F.max(sure).alias("sure"))
 
 
 def parents(linked: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to."""
-    by = linked.groupBy("conv_id", "turn", "level", "origin").agg(F.sum("chars").alias("chars"))
-    best = F.max_by("origin", F.struct(-F.col("level"), F.col("chars"), F.col("origin")))
+    by = linked.groupBy("conv_id", "turn", "level", "origin").agg(F.sum("chars").alias("chars"), F.max("sure").alias("sure"))
+    best = F.max_by("origin", F.struct("sure", -F.col("level"), F.col("chars"), F.col("origin")))
     return by.groupBy("conv_id", "turn").agg(best.alias("reply_to"))
 
 
