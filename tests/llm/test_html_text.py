@@ -39,3 +39,15 @@ def test_decoding_is_consistent():
     odds = np.array([0.0 if t is None else 1.0 for t in page.text])
     odds[page.tag.index("div")] = -5.0
     assert h.decode(page, odds) == "c", "a dropped part drops what is inside"
+
+
+def test_unclosed_and_self_closed():
+    read = lambda source: " ".join(t for t in h.Page(source).text if t)
+    for tag in ("svg", "object", "video", "audio", "canvas", "select", "noscript", "template"):
+        assert read(f"<div><p>a</p><{tag} id=x><p>b</p></div><p>c</p>") == "a b c", tag
+        assert read(f"<div><p>a</p><{tag} id=x><p>b</p></div><p>c</p><{tag}><i>d</i></{tag}>e") == ("a b c de" if tag == "object" else "a b c e"), tag
+    assert read('<p>a <svg class="i"/> b <svg><title/><path d=""/><text>x</text></svg> c</p>') == "a b c"
+    assert read("<p>as <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p>") == "as x=2 holds"
+    assert read("<p>a<object data=x><p>instead</p></object><p>b") == "a instead b"
+    assert read("<p>a<script>var s='</video>'</script><video>x</video>b<!-- <video> --><svg><svg>y</svg>z</svg>c") == "abc"
+    assert read("<p>a<textarea>b") == "a" and read("<p>a<iframe src=x>b") == "a"

@@ -9,7 +9,8 @@ text is all dropped for a gain.  The trees are trained on labelled pages that a
 
 A null or empty page has an empty text.  Character references are decoded; white space in a block becomes one space;
 blocks are joined in page order by one space.  Unclosed tags, comments and scripts are closed as browsers do, in time
-linear in the page.  Repeated rows are treated alike and an empty table gives an empty result.
+linear in the page.  Drawings, players, lists of choices and the like are left out with their content where they are
+closed inside the element that holds them; a tag that nothing closes there, or that closes itself, hides nothing.  Repeated rows are treated alike and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -34,9 +36,12 @@ HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true
 TOKEN = re.compile(r"[a-z]+")
 MARK = "\ue000"  # a private-use character
 
-#: Content of these is no text of the page.
-RAW = set("script style noscript template textarea title iframe object svg math select audio video canvas head".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img picture source input ruby rb rt rp output meter progress map area nobr".split())
+#: Content of these is no markup and no text of the page; without a closing tag it goes on to the end of the page.
+RAW = set("script style textarea title iframe head".split())
+#: Elements whose content is no text of the page, if they are closed.
+UNSEEN = set("noscript template svg select audio video canvas annotation annotation-xml".split())
+SEEKS = re.compile(rf"<(?:{'|'.join(sorted(UNSEEN, reverse=True))})\b", re.I)
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img picture source input ruby rb rt rp output meter progress map area nobr object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose merror msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the left kind ends where one of the right kinds begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
@@ -48,12 +53,54 @@ REMARKS = set("comment comments commentlist reply replies discussion disqus resp
 FAVOUR = set("article content contents post entry story main body text articlebody maincontent page hentry prose markdown read".split())
 
 
+def _raw_end(source: str, tag: str, at: int) -> int:
+    """Where the content of a RAW element that begins at ``at`` ends."""
+    end = re.compile(rf"</{tag}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|<body\b", re.I).search(source, at)
+    return len(source) if end is None and tag != "head" else at if end is None else end.start() if end[0].lower().startswith("<body") else end.end()
+
+
+def _unseen(source: str) -> dict[int, int]:
+    """Where the UNSEEN elements that begin at these places end; those that something else ends are not among them."""
+    out: dict[int, int] = {}
+    if not SEEKS.search(source):
+        return out
+    stack, held, at = [], Counter(), 0
+    while (found := TAG.search(source, at)) is not None:
+        at = found.end()
+        if found[1] or found[2]:
+            end = source.find("-->", found.start() + 2) if found[1] else source.find(">", at)
+            at = len(source) if end < 0 else end + (3 if found[1] else 1)
+            continue
+        closing, tag = found[3], found[4].lower()
+        drawn = held["svg"] + held["math"] > 0 or tag in ("svg", "math")
+        if drawn and not closing and found[5].endswith("/"):
+            out[found.start()] = at
+        elif tag in RAW:
+            if not closing:
+                at = _raw_end(source, tag, at)
+        elif tag in VOID:
+            continue
+        elif not closing:
+            stack.append((tag, found.start()))
+            held[tag] += 1
+        elif held[tag]:
+            while True:
+                name, start = stack.pop()
+                held[name] -= 1
+                if name == tag:
+                    break
+            if tag in UNSEEN:
+                out[start] = at
+    return out
+
+
 class Page:
     """Nodes in page order: parent, tag, attribute text; leaves also their text."""
 
     def __init__(self, source: str):
         self.parent, self.tag, self.attributes, self.text, self.linked = [-1], ["body"], [""], [None], [0]
         stack, buffer, links, linked, at, size = [0], [], 0, 0, 0, len(source)
+        unseen = _unseen(source)
 
         def flush() -> None:
             nonlocal linked
@@ -84,10 +131,14 @@ class Page:
                 at = size if end < 0 else end + 1
                 continue
             closing, tag = found[3], found[4].lower()
+            if not closing and found.start() in unseen:
+                at = unseen[found.start()]
+                continue
             if tag in RAW:
                 if not closing:
-                    end = re.compile(rf"</{tag}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|<body\b", re.I).search(source, at)
-                    at = size if end is None and tag != "head" else at if end is None else end.start() if end[0].lower().startswith("<body") else end.end()
+                    at = _raw_end(source, tag, at)
+                continue
+            if tag in UNSEEN:
                 continue
             if tag in INLINE:
                 if tag == "a":
