@@ -14,3 +14,20 @@ def test_rare_kinds_are_paired(spark):
     held = lambda m: sum(k % 1000 == m for k in used)
     assert (held(0), held(1), len(used)) == (20, 20, 20000)
     assert all((r.key % 1000 == 0) == (r.other % 1000 == 0) and (r.key % 1000 == 1) == (r.other % 1000 == 1) for r in got)
+
+
+def test_sparse_topics_find_all_partners(spark):
+    items = spark.range(600)
+    topics = items.select("id", F.concat(F.lit("t"), F.floor(F.col("id") / 2)).alias("topic")).where("id < 599")
+    got = {r.id: r for r in perturb.overlap_partner(items, topics, most=True).collect()}
+    assert len(got) == 600 and all((got[i].other, got[i].shared) == (i ^ 1, 1) for i in range(598))
+    assert {(got[i].shared, got[i].other != i) for i in (598, 599)} == {(0, True)}
+    # all but the last share a topic, so only the last shares nothing with the others
+    hub = items.where("id < 599").select("id", F.lit("hub").alias("topic"))
+    least = {r.id: r for r in perturb.overlap_partner(items, hub).collect()}
+    assert len(least) == 600 and all((least[i].other, least[i].shared) == (599, 0) for i in range(599)) and least[599].shared == 0
+    every = items.where("id < 30")
+    least = perturb.overlap_partner(every, every.select("id", F.lit("hub").alias("topic"))).collect()
+    assert len(least) == 30 and all(r.shared == 1 and r.other != r.id for r in least)
+    assert perturb.overlap_partner(items.limit(1), topics).count() == 0
+    assert sum(r.shared == 0 for r in perturb.least_overlap(items, topics, most=True).collect()) > 300, "a sample misses most"

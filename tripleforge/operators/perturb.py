@@ -111,6 +111,8 @@ def omit_fact(text: Column) -> Column:
 def least_overlap(items: DataFrame, topics: DataFrame, rounds: int = 4, seed: str = "7", most: bool = False) -> DataFrame:
     """id, other, shared: for each item (id) another that shares fewest (or ``most``) topics (id, topic) of those drawn for it.
 
+    A sample: some 16 candidates an item, however many items there are.  ``overlap_partner`` looks at all of them.
+
     Items are drawn together by hash, in each round into slots of about four, so candidates are few for every item and
     no item is compared with all others; of equals the smaller id is taken.
     """
@@ -124,6 +126,32 @@ def least_overlap(items: DataFrame, topics: DataFrame, rounds: int = 4, seed: st
     return rows.groupBy("id").agg(F.min(order).alias("b")).select("id", "b.other", "b.shared")
 
 
+def overlap_partner(items: DataFrame, topics: DataFrame, seed: str = "7", most: bool = False) -> DataFrame:
+    """id, other, shared: for each item (id) the one of all others that shares fewest (or ``most``) topics (id, topic).
+
+    Items that share something meet through their topics.  The first item that shares nothing is the first number missing
+    among those of the item itself and of all that meet it, so no item is compared with all others.  Of equals, the
+    first in hash order is taken; a single item has no partner.
+    """
+    order = numbered(items.select("id").distinct().withColumns({"_draw": draw(seed, "id"), "_one": F.lit(0)}), "_one", ["id"])
+    order = order.select("id", F.col("_nth").alias("nth")).localCheckpoint()
+    n = order.count()
+    held = topics.select("id", "topic").distinct().join(order, "id").select("nth", "topic")
+    met = held.join(held.withColumnRenamed("nth", "b"), "topic").where("nth <> b").groupBy("nth", "b").agg(F.count(F.lit(1)).alias("shared"))
+    pick = F.min(F.struct((-F.col("shared") if most else F.col("shared")).alias("by"), "b", "shared"))
+    best = met.groupBy("nth").agg(pick.alias("p")).select("nth", "p.b", "p.shared")
+    if most:
+        missing = order.select("nth", F.when(F.col("nth") == 0, 1).otherwise(0).cast("long").alias("free"))
+    else:
+        taken = met.select("nth", "b").unionByName(order.select("nth", F.col("nth").alias("b")))
+        place = F.row_number().over(Window.partitionBy("nth").orderBy("b")) - 1
+        missing = taken.withColumn("place", place).groupBy("nth").agg(F.count_if(F.col("b") == F.col("place")).alias("free"))
+    known = F.col("b").isNotNull() if most else F.col("free") >= n
+    rows = missing.join(best, "nth", "left").select("nth", F.when(known, F.col("b")).otherwise(F.col("free")).alias("b"), F.when(known, F.col("shared")).otherwise(0).alias("shared"))
+    named = rows.join(order, "nth").join(order.select(F.col("nth").alias("b"), F.col("id").alias("other")), "b")
+    return named.select("id", "other", "shared")
+
+
 def quadruplets(levels: dict[int, DataFrame], key: str) -> DataFrame:
     """Rows key, level, text of the keys that have a text at every level; ``levels`` maps a level to (key, text)."""
     rows = None
@@ -150,21 +178,26 @@ def first_paragraph(text: Column, of: int = 4, least: int = 80, most: int = 400)
     return F.get(F.filter(F.slice(F.split(text, "\n"), 1, of), lambda x: is_prose(x, least, most)), F.lit(0))
 
 
+def numbered(rows: DataFrame, kind: str, ties: list[str], block: int = 1000) -> DataFrame:
+    """``rows`` with ``_nth``: the number from 0 of each row in its kind, by ``_draw``; in two levels, by hash ranges of about ``block`` rows."""
+    ranges = max(1, rows.count() // block)
+    rows = rows.withColumn("_range", F.floor(F.col("_draw") * ranges / 2**32))
+    before = F.sum("_n").over(Window.partitionBy(kind).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    held = rows.groupBy(kind, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    held = held.select(F.col(kind).alias("_k"), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(kind, "_range").orderBy("_draw", *ties))
+    rows = rows.withColumn("_place", nth).join(held, F.col(kind).eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
+    return rows.withColumn("_nth", F.col("_before") + F.col("_place") - 1).drop("_range", "_place", "_k", "_r", "_before")
+
+
 def consecutive(df: DataFrame, kind: str, title: str, key: str, seed: str = "11", block: int = 1000) -> DataFrame:
     """key, other: rows of one kind two by two in hash order, where their titles differ.
 
     A row's number in its kind is the count of the kind's earlier hash ranges and its place in its own range of about
     ``block`` rows, so no kind is ordered as a whole and yet at most one row of a kind is left over.
     """
-    ranges = max(1, df.count() // block)
     rows = df.select(F.col(kind).alias("_kind"), F.col(title).alias("_title"), F.col(key).alias("_key"), draw(seed, key).alias("_draw"))
-    rows = rows.withColumn("_range", F.floor(F.col("_draw") * ranges / 2**32))
-    before = F.sum("_n").over(Window.partitionBy("_kind").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    held = rows.groupBy("_kind", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    held = held.select(F.col("_kind").alias("_k"), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_kind", "_range").orderBy("_draw", "_key", "_title"))
-    rows = rows.withColumn("_nth", nth).join(held, F.col("_kind").eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
-    rows = rows.withColumn("_nth", F.col("_before") + F.col("_nth") - 1).withColumn("_pair", F.floor(F.col("_nth") / 2))
+    rows = numbered(rows, "_kind", ["_key", "_title"], block).withColumn("_pair", F.floor(F.col("_nth") / 2))
     row = F.struct("_nth", "_key", "_title")
     pairs = rows.groupBy("_kind", "_pair").agg(F.min(row).alias("a"), F.max(row).alias("b"))
     whole = (F.col("a._nth") < F.col("b._nth")) & F.col("b._key").isNotNull() & (F.col("a._title") != F.col("b._title"))

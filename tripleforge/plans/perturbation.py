@@ -115,6 +115,27 @@ def least_overlap(spark, sf_dir):
     return perturb.least_overlap(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), brands(spark, sf_dir))
 
 
+def overlap_sql(by):
+    return f"""
+with t as (select distinct l_suppkey as id, p_brand || ' ' || p_size as topic from lineitem join part on l_partkey = p_partkey),
+p as (select a.s_suppkey as id, b.s_suppkey as other from supplier a join supplier b on a.s_suppkey <> b.s_suppkey),
+c as (select p.id, p.other, count(y.topic) as shared from p left join t x on x.id = p.id left join t y on y.id = p.other and y.topic = x.topic group by 1, 2)
+select id, other, shared from c qualify row_number() over (partition by id order by {by}, {draw('7', 'other')}, other) = 1
+"""
+
+
+@query("least_overlap_all", overlap_sql("shared"))
+def least_overlap_all(spark, sf_dir):
+    """Of all other suppliers the one that shares fewest brands."""
+    return perturb.overlap_partner(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), brands(spark, sf_dir))
+
+
+@query("same_domain_partner_all", overlap_sql("shared desc"))
+def same_domain_partner_all(spark, sf_dir):
+    """Of all other suppliers the one that shares most brands."""
+    return perturb.overlap_partner(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), brands(spark, sf_dir), most=True)
+
+
 QUADS = S + f"""
 , a as (select doc_id from s where len(s) >= 4), b as (select doc_id from (select doc_id, s, list_filter(s, lambda x: not contains(x, 'th')) as k from s) where len(k) > 0 and len(k) < len(s)),
 c as (select doc_id from documents where len(list_filter(string_split(text, ' '), lambda x: x in ({KEYS}))) > 0)
