@@ -42,3 +42,15 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert t.score(docs, none).first().score == 0.0 and t.score(docs.limit(0), none).count() == 0
+
+
+def test_reach_is_counted_in_words():
+    g = t.Grammar({"idiot": 2.0, "scum": 2.0})
+    read = lambda text: {t.READINGS[i]: round(float(x), 3) for i, x in enumerate(g.features(text)) if x}
+    long = " ".join(["extraordinarily"] * 7)
+    assert set(read(f"he said {long} idiot")) == {"reported"}
+    for n in range(95, 115):  # an insult across any place behind the first one
+        words = "idiot " + "x" * (n - 12) + " scum"
+        assert read(words) == read("idiot x scum"), n
+    assert set(read("idiot " + "x " * 50 + "never scum")) == {"plain", "negated"}
+    assert read("a. idiot; b, scum! c") == read("idiot. scum") and read("scum") == read("scum " + "x " * 500)

@@ -21,6 +21,7 @@ import heapq
 import re
 import sys
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -41,6 +42,8 @@ STEM_LETTERS, STEM_TEXTS, STEM_PRECISION = 4, 3, 0.97
 MOST_STEMS = 2000
 #: Words that the transducers look back or ahead.
 NEGATED_WITHIN, REPORTED_WITHIN, AIMED_WITHIN = 3, 8, 4
+#: Words before a stem that its reading depends on.
+BACK = max(NEGATED_WITHIN, REPORTED_WITHIN, AIMED_WITHIN)
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 CLAUSE_END = re.compile(r"[.!?;\n]")
 
@@ -112,20 +115,26 @@ class Grammar:
 
     def _clauses(self, text: str) -> Iterator[list[str]]:
         """Words of the clauses in which a stem begins a word; parts of a clause out of every reach are left out."""
-        reach, to = 12 * (REPORTED_WITHIN + 1), -1
-        at = sorted(end + 1 - len(stem) for end, stem in self.finder.iter(text))
-        spans: list[list[int]] = []
-        for start in at:
-            if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
-                continue
-            if start < to:
-                continue
-            begin = max((m.end() for m in CLAUSE_END.finditer(text, max(0, start - reach), start)), default=max(0, start - reach))
-            after = CLAUSE_END.search(text, start, start + reach)
-            to = after.start() if after else min(len(text), start + reach)
-            spans.append([begin if not spans else max(begin, spans[-1][1]), to])
-        for begin, end in spans:
-            yield WORD.findall(text[begin:end])
+        at = sorted({end + 1 - len(stem) for end, stem in self.finder.iter(text)})
+        at = [start for start in at if not start or not (text[start - 1].isalnum() or text[start - 1] == "_")]
+        begin = end = k = 0
+        while k < len(at):
+            if at[k] >= end:  # the next clause that holds a stem
+                begin = max(end, 1 + max(text.rfind(c, end, at[k]) for c in ".!?;\n"))
+                after = CLAUSE_END.search(text, at[k])
+                end = after.start() if after else len(text)
+            words = list(WORD.finditer(text, begin, end))
+            starts, spans = [m.start() for m in words], []
+            while k < len(at) and at[k] < end:
+                i = bisect_right(starts, at[k]) - 1
+                first, last = max(0, i - BACK), i + 1 + AIMED_WITHIN
+                if spans and first <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], last)
+                elif i >= 0:
+                    spans.append([first, last])
+                k += 1
+            for first, last in spans:
+                yield [m[0] for m in words[first:last]]
 
     def features(self, text: str | None) -> np.ndarray:
         """Sums of the weights of the text's arcs, by reading; each sum is damped so that length alone doesn't decide."""
