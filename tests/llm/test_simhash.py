@@ -100,3 +100,27 @@ def test_documents(spark, sf):
     pdf = docs.toPandas()
     want = brute([simhash.fingerprint(t) for t in pdf["text"]], pdf["doc_id"].tolist())
     assert {r.doc_id: r.component_id for r in simhash.near_dedup(docs).collect()} == want
+
+
+def test_components_with_hubs_and_many_links(spark, monkeypatch):
+    """A hub's neighbours are looked up by broadcast; the sign of the links cannot overflow in ANSI mode."""
+    from tripleforge.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 8)
+    star = spark.range(1, 3000).select(F.lit(5000).cast("long").alias("a"), F.col("id").alias("b"))
+    path = spark.range(6000, 6040).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = {r.node: r.component for r in components(star.union(path).union(star.limit(5))).collect()}
+    assert {k for k, v in got.items() if v == 1} == {*range(2, 3000), 5000}
+    assert {k for k, v in got.items() if v == 6000} == set(range(6001, 6041)) and len(got) == 3039
+    assert spark.range(1 << 22).agg(F.bit_xor(F.xxhash64("id"))).first()[0] is not None
+
+
+def test_hot_keys_join_once(spark, monkeypatch):
+    from tripleforge.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    rows = spark.createDataFrame([("x" if i % 3 else str(i), i) for i in range(60)] + [(None, 1)], "k string, _hot long")
+    facts = rows.where("k != '0'").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("_hot").alias("top"))
+    got = common.with_facts(rows, facts, "k", "n", 61)
+    assert got.columns == ["k", "_hot", "n", "top"]
+    assert sorted(map(tuple, got.collect())) == sorted((("x", i, 40, 59) if i % 3 else (str(i), i, 1, i)) for i in range(1, 60))

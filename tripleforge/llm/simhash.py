@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, unused
+from .common import durable, unused, with_facts
 from .graphs import components
 
 BITS = 64
@@ -36,6 +36,8 @@ SEED = 42
 LEAF = 16
 #: Part of a group that one task of the second pass takes.
 CHUNK = 2048
+#: Rows of the tables that one range holds, about; the ranges grow in number, not in size.
+RANGE_ROWS = 1 << 20
 #: Shingles hashed at a time, so that a long text needs no more memory than its words.
 BATCH = 1 << 16
 
@@ -245,7 +247,8 @@ def near_links(distinct: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"t": np.full(len(fp), t, np.int32), "rank": rank.view(np.int64), "rep": rep})
 
     dealt = distinct.mapInPandas(deal, "t int, rank long, rep long")
-    ranges = dealt.repartitionByRange("t", "rank").sortWithinPartitions("t", "rank")
+    cuts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(orders) // RANGE_ROWS))
+    ranges = dealt.repartitionByRange(cuts, "t", "rank").sortWithinPartitions("t", "rank")
     found = durable(ranges.mapInPandas(lambda x: _range_links(x, front), "a long, b long, key long"))
     first = components(found.where("b is not null").select("a", "b"))
     # The second pass: groups that lie in several ranges.  There are fewer of them than ranges.
@@ -274,10 +277,11 @@ def near_links(distinct: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest id that links reach), raw (``mark``)."""
     rows = durable(fingerprints(docs, id_col, text_col, mark))
-    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    linked = near_links(distinct.where("rep is not null"))
-    of = distinct.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "raw")
+    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times")))
+    linked = near_links(distinct.where("rep is not null").drop("times"))
+    of = distinct.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "times")
+    total = distinct.agg(F.sum("times")).first()[0] or 0
+    return with_facts(rows, of, "fp", "times", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "raw")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
