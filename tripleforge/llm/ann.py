@@ -1,37 +1,45 @@
 """Approximate nearest neighbours by stable projections, a kd-tree and a chi-square stopping test.
 
-Vectors of length one are projected onto a few Gaussian directions.  If x is at distance d of a query, its projected
-distance is d * sqrt(chi2), chi2 having as many degrees of freedom as there are directions.  A search takes projected
-neighbours in order of their distance and verifies each against the original vectors; it stops when a neighbour as near
-as the worst found so far would, with probability CONFIDENCE, have been projected nearer than what comes next.
+Vectors of length one are projected onto a few Gaussian directions, made orthogonal to each other so that projected
+lengths scatter less.  If x is at distance d of a query, its projected distance is about d * sqrt(chi2), chi2 having as
+many degrees of freedom as there are directions.  A search takes projected neighbours in order of their distance and
+verifies each against the original vectors; it stops when a neighbour as near as the worst found so far would, with
+probability CONFIDENCE, have been projected nearer than what comes next.
 
 The upper levels of the kd-tree cut the projected space into cells, each the rows of one task with a subtree of its own.
-A query first searches its own cell; the stopping radius that this gives then selects the other cells it must visit.
-Equal vectors are one entry with the smallest few of their ids, so that copies neither crowd a cell nor a search.
+They are fitted on a bounded sample; where the table outgrows the cells of that sample, each cell is dealt into parts of
+about the same size.  A query searches its nearest few cells; the stopping radius that this gives then selects the other
+cells it must visit.  Equal vectors are one entry with the smallest few of their ids, and are searched for once, so that
+copies crowd neither a cell nor a search.
 
 Nearness is the cosine in double precision on the original vectors, ties to the smaller id.  Vectors that are null, zero,
-of another length than most, or hold a null or a component that isn't finite take no part.  Null ids take no part.
-Repeated rows count once.  An empty table gives an empty result.
+or hold a null or a component that isn't finite take no part; vectors of each length are searched among themselves.  Null
+ids take no part.  Repeated rows count once; of an id with several vectors, the query is the smallest by its bytes.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, with_facts
 
-DIRECTIONS = 8
-CONFIDENCE = 0.99
+DIRECTIONS = 24
+CONFIDENCE = 0.9
 NEIGHBOURS = 5
-#: Vectors of a cell, about, and rows of the sample that the upper levels are fitted on.
-CELL_ROWS, SAMPLE_ROWS = 20_000, 20_000
-LEAF = 64
+#: Bytes of a cell's vectors, about, and rows of the sample that the upper levels are fitted on, so many to a cell at least.
+CELL_BYTES, SAMPLE_ROWS, CELL_SAMPLE = 16 << 20, 20_000, 8
+#: Cells that a query searches first.
+NEAR = 3
+LEAF = 128
 SEED = 5
 
 
@@ -46,58 +54,126 @@ def chi_square_quantile(p: float, k: int) -> float:
 
 
 def directions(width: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((width, DIRECTIONS))
+    """An even number of directions, no more than the vectors are long (2 at least)."""
+    k = max(2, min(DIRECTIONS, width - width % 2))
+    gaussian = np.random.default_rng(SEED).standard_normal((width, k))
+    return np.linalg.qr(gaussian)[0] * math.sqrt(width) if width >= k else gaussian
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    largest = np.abs(vectors).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
+    vectors = vectors / largest
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 class Tree:
-    """A kd-tree by medians over projected points; node i has children 2i + 1 and 2i + 2, and leaves hold row numbers."""
+    """A kd-tree by medians.  Nodes are numbered from the root; a leaf is its own children."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.order = points, np.arange(len(points))
-        self.low, self.high, self.span = [], [], []
-        todo = [(0, len(points))]
+        self.order = np.arange(len(points))
+        self.span, self.low, self.high, self.axis, self.cut, self.left, self.right = [], [], [], [], [], [], []
+        todo = [(0, len(points), -1, False)]
         while todo:
-            a, b = todo.pop()
-            own = points[self.order[a:b]]
+            a, b, above, is_right = todo.pop()
+            me, own = len(self.span), points[self.order[a:b]]
             low, high = own.min(axis=0), own.max(axis=0)
             axis = int((high - low).argmax())
+            if above >= 0:
+                (self.right if is_right else self.left)[above] = me
+            for column, value in ((self.span, (a, b)), (self.low, low), (self.high, high), (self.axis, axis), (self.left, me), (self.right, me)):
+                column.append(value)
             if b - a <= leaf or high[axis] == low[axis]:
-                self.low.append(low)
-                self.high.append(high)
-                self.span.append((a, b))
+                self.cut.append(0.0)
                 continue
             middle = (b - a) // 2
             self.order[a:b] = self.order[a:b][np.argpartition(own[:, axis], middle)]
-            todo += [(a, a + middle), (a + middle, b)]
-        self.low, self.high = np.array(self.low), np.array(self.high)
-
-    def leaves(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Leaves by their least squared distance to a point, nearest first, and those distances."""
-        gap = np.maximum(0, np.maximum(self.low - at, at - self.high))
-        far = (gap * gap).sum(axis=1)
-        order = far.argsort(kind="stable")
-        return order, far[order]
-
-
-def search(tree: Tree, vectors: np.ndarray, ids: list, at: np.ndarray, query: np.ndarray, own: int, best: list[tuple[float, int]], ratio: float, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-    """The k best of ``best`` and the tree's vectors, as (-cosine, id); ``ratio``: chi-square quantile of the stopping test."""
-    order, far = tree.leaves(at)
-    for leaf, distance in zip(order.tolist(), far.tolist(), strict=True):
-        # Squared distance of unit vectors: 2 - 2 cosine.
-        if len(best) >= k and distance > ratio * max(0.0, 2 + 2 * best[-1][0]) * (1 + 1e-9) + 1e-12:
-            break
-        a, b = tree.span[leaf]
-        rows = tree.order[a:b]
-        cosine = vectors[rows] @ query
-        near = rows if len(best) < k else rows[-cosine <= best[-1][0] + 1e-9]
-        score = dict(zip(rows.tolist(), cosine.tolist(), strict=True))
-        best = best + [(-score[r], int(i)) for r in near.tolist() for i in ids[r] if i != own]
-        best = sorted(set(best))[:k]
-    return best
+            self.cut.append(float(points[self.order[a + middle], axis]))
+            todo += [(a, a + middle, me, False), (a + middle, b, me, True)]
+        self.span, self.low, self.high = np.array(self.span), np.array(self.low), np.array(self.high)
+        self.axis, self.cut, self.left, self.right = np.array(self.axis), np.array(self.cut), np.array(self.left), np.array(self.right)
+        self.leaves = np.flatnonzero(self.left == np.arange(len(self.left)))
+
+    def descend(self, points: np.ndarray) -> np.ndarray:
+        """The leaf that each point falls into."""
+        node = np.zeros(len(points), np.int64)
+        while True:
+            further = np.where(points[np.arange(len(points)), self.axis[node]] < self.cut[node], self.left[node], self.right[node])
+            if (further == node).all():
+                return node
+            node = further
+
+    def within(self, point: np.ndarray, reach: float) -> np.ndarray:
+        """Leaves that hold anything at most ``reach`` (squared) from the point, by going down the nodes that do."""
+        out, node = [], np.zeros(1, np.int64)
+        while len(node):
+            gap = np.maximum(0, np.maximum(self.low[node] - point, point - self.high[node]))
+            node = node[(gap * gap).sum(axis=1) <= reach]
+            ends = self.left[node] == node
+            out.append(node[ends])
+            node = np.concatenate([self.left[node[~ends]], self.right[node[~ends]]])
+        return np.sort(np.concatenate(out))
+
+
+class Cell:
+    """The vectors of one cell in the order of their tree, with their projections."""
+
+    def __init__(self, vectors: np.ndarray, ids: list, onto: np.ndarray, ratio: float):
+        u = unit(vectors)
+        self.tree, self.onto, self.ratio, self.verified = Tree(u @ onto), onto, ratio, 0
+        at = self.tree.order
+        self.vectors, self.unit, self.ids = vectors[at], u[at], [ids[i] for i in at.tolist()]
+        self.points = self.unit @ onto
+        self.squares = (self.points * self.points).sum(axis=1)
+
+    def search(self, query: np.ndarray, bound: float, keep: int) -> list[tuple[float, int]]:
+        """The ``keep`` best as (-cosine, id), and fewer where they cannot be better than the cosine ``bound``."""
+        u = unit(query[None])[0]
+        p = u @ self.onto
+        rows, cosine = np.zeros(0, np.int64), np.zeros(0)
+        worst = bound  # cosine of the keep-th best known
+
+        def reach() -> float:
+            return self.ratio * max(0.0, 2 - 2 * worst) * (1 + 1e-9) + 1e-12 if worst > -np.inf else np.inf
+
+        def verify(at: np.ndarray) -> None:
+            nonlocal rows, cosine, worst
+            self.verified += len(at)
+            c = self.unit[at] @ u
+            good = c >= worst - 1e-9
+            rows, cosine = np.concatenate([rows, at[good]]), np.concatenate([cosine, c[good]])
+            if len(rows) >= keep:
+                worst = max(worst, float(np.partition(cosine, -keep)[-keep]))
+                good = cosine >= worst - 1e-9
+                rows, cosine = rows[good], cosine[good]
+
+        tree = self.tree
+        first = tree.span[tree.descend(p[None])[0]]
+        verify(np.arange(*first))
+        leaves = tree.within(p, reach())
+        if 2 * len(leaves) > len(tree.leaves):  # most of the cell: its rows are gone through as they lie
+            distance = self.squares - 2 * (self.points @ p) + p @ p
+            near = distance <= reach()
+            inside = np.zeros(len(near) + 1, np.int8)
+            np.add.at(inside, tree.span[leaves, 0], 1)
+            np.add.at(inside, tree.span[leaves, 1], -1)
+            near &= np.cumsum(inside[:-1]) > 0
+            near[first[0] : first[1]] = False
+            at = np.flatnonzero(near)
+            distance = distance[at]
+        else:
+            at = np.concatenate([np.arange(*tree.span[leaf]) for leaf in leaves.tolist() if tree.span[leaf, 0] != first[0]] or [np.zeros(0, np.int64)])
+            distance = ((self.points[at] - p) ** 2).sum(axis=1)
+        order = np.argsort(distance, kind="stable")
+        at, distance, done, many = at[order], distance[order], 0, 64
+        while done < len(at) and distance[done] <= reach():
+            verify(at[done : done + many])
+            done, many = done + many, min(2 * many, 1024)
+        v = self.vectors[rows]
+        scale = np.sqrt((v * v).sum(axis=1)) * np.sqrt((query * query).sum())
+        with np.errstate(all="ignore"):
+            exact = (v * query).sum(axis=1) / scale
+        exact = np.where(np.isfinite(exact) & (scale > 0), exact, cosine)  # squares out of range: the scaled vectors' cosine
+        return sorted((-s, int(i)) for s, r in zip(exact.tolist(), rows.tolist(), strict=True) for i in self.ids[r])[:keep]
 
 
 def valid(vector: Column) -> Column:
@@ -105,122 +181,142 @@ def valid(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _first_ids(rows: DataFrame, keep: int) -> DataFrame:
-    """One row per distinct vector: v, ids (the smallest few).  Copies are reduced in each partition before the shuffle."""
+def _matrix(column, kind: str, width: int) -> np.ndarray:
+    """Rows of packed vectors as doubles."""
+    return np.frombuffer(b"".join(column), kind).reshape(-1, width).astype(np.float64)
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            seen: dict[bytes, list] = {}
-            for i, v in zip(pdf["vec_id"].tolist(), pdf["v"], strict=True):
-                seen.setdefault(np.asarray(v, np.float64).tobytes(), []).append(i)
-            yield pd.DataFrame({"v": [np.frombuffer(v) for v in seen], "ids": [np.array(sorted(set(i))[:keep]) for i in seen.values()]})
 
-    parts = rows.mapInPandas(reduce, "v array<double>, ids array<long>")
-    ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
-    return parts.groupBy("v").agg(ids.alias("ids"))
+_BEST = "array<struct<neg: double, id: long>>"
 
 
 def nearest(embeddings: DataFrame, is_query: Column, k: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding", confidence: float = CONFIDENCE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row that ``is_query`` (over ``vec_id``) marks."""
     spark = embeddings.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & valid(F.col("v")))
-    widths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    if widths is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == widths["n"])
-    onto, ratio = directions(widths["n"]), chi_square_quantile(confidence, DIRECTIONS)
-    entries = durable(_first_ids(rows, k + 1))  # a query's own id may be among them
-    n = entries.count()
-
-    # The upper levels: cells fitted on a bounded sample, balanced by medians.
-    sample = entries.select("v").where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE_ROWS / n)).collect()
-    points = unit(np.array([r.v for r in sample] or [entries.first().v])) @ onto
-    upper = Tree(points, max(1, int(CELL_ROWS * len(points) / n)))
-    centres = (upper.low + upper.high) / 2
-
-    def cell_of(p: np.ndarray) -> np.ndarray:
-        """The cell nearest to each point; cells are the boxes of the sample's leaves."""
-        out = np.empty(len(p), np.int64)
-        for i in range(0, len(p), 1024):
-            part = p[i : i + 1024, None, :]
-            gap = np.maximum(0, np.maximum(upper.low - part, part - upper.high))
-            out[i : i + 1024] = ((gap * gap).sum(axis=2) + 1e-9 * ((part - centres) ** 2).sum(axis=2)).argmin(axis=1)
-        return out
+    own = dict(embeddings.dtypes)[vector_col]
+    v = F.col(vector_col) if own == "array<float>" else F.col(vector_col).cast("array<double>")
+    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & valid(F.col("v")))
+    rows = rows.withColumn("asks", F.coalesce(is_query, F.lit(False)))
+    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()  # one row a length of vectors
+    parts = [_among(rows.where(F.size("v") == n), n, count, k, "<f4" if own == "array<float>" else "<f8", confidence) for n, count in sizes]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _among(rows: DataFrame, width: int, n: int, k: int, kind: str, confidence: float) -> DataFrame:
+    """``nearest`` among n vectors of one length."""
+    onto = directions(width)
+    ratio, keep = chi_square_quantile(confidence, onto.shape[1]), k + 1  # a query's own id is among what it finds
+    cell_rows = max(1000, CELL_BYTES // (8 * width))
+
+    # The upper levels: cells fitted on a bounded sample of the distinct vectors, balanced by medians.
+    draw = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE_ROWS / n)
+    sample = rows.where(draw).select("v").distinct().collect() or rows.select("v").limit(1).collect()
+    points = unit(np.array([r.v for r in sample], np.float64)) @ onto
+    upper = Tree(points, max(CELL_SAMPLE, int(cell_rows * len(points) / n)))
+    parts = max(1, -(-n // (2 * cell_rows * len(upper.leaves))))
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch's distinct vectors, packed, with the smallest few of their ids and how many rows ask for them."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            packed = np.ascontiguousarray(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)).tobytes()
+            size, seen = len(packed) // batch.num_rows, {}
+            for i, (vec_id, asks) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                one = seen.setdefault(packed[i * size : (i + 1) * size], ([], [0]))
+                one[0].append(vec_id)
+                one[1][0] += asks
+            yield pa.RecordBatch.from_arrays([
+                pa.array(seen, pa.binary()), pa.array([sorted(set(ids))[:keep] for ids, _ in seen.values()], pa.list_(pa.int64())), pa.array([c for _, (c,) in seen.values()], pa.int64()),
+            ], ["v", "ids", "asked"])
+
+    entries = rows.mapInArrow(reduced, "v binary, ids array<long>, asked long").groupBy("v")
+    entries = entries.agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"), F.sum("asked").alias("asked"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(cell=cell_of(unit(np.array(pdf["v"].tolist())) @ onto))
-
-    dealt = durable(entries.mapInPandas(place, "v array<double>, ids array<long>, cell long"))
-
-    def box(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = unit(np.array(pdf["v"].tolist())) @ onto
-        return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "low": [p.min(axis=0)], "high": [p.max(axis=0)]})
+                yield pdf.assign(cell=upper.descend(unit(_matrix(pdf["v"], kind, width)) @ onto))
 
-    # One box a cell, of all its rows: a cell is some CELL_ROWS vectors, so this is a small part of the data.
-    boxes = dealt.groupBy("cell").applyInPandas(box, "cell long, low array<double>, high array<double>").orderBy("cell").collect()
-    cells, low, high = np.array([b.cell for b in boxes]), np.array([b.low for b in boxes]), np.array([b.high for b in boxes])
-    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
+    dealt = entries.mapInPandas(place, "v binary, ids array<long>, asked long, cell long")
+    dealt = durable(dealt.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int")))
 
-    def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Searches one cell for each of its queries, from the best that earlier cells gave."""
-        out = {"query_id": [], "found": [], "scores": []}
-        if len(left):
-            vectors = unit(np.array(right["v"].tolist())) if len(right) else np.zeros((0, len(onto)))
-            tree, ids = (Tree(vectors @ onto) if len(right) else None), right["ids"].tolist()
-            for q, v, found, scores in zip(left["query_id"], unit(np.array(left["v"].tolist())), left["found"], left["scores"], strict=True):
-                best = sorted((-s, int(i)) for i, s in zip(found, scores, strict=True))
-                best = search(tree, vectors, ids, v @ onto, v, int(q), best, ratio, k) if tree else best
-                out["query_id"].append(q)
-                out["found"].append([i for _, i in best])
-                out["scores"].append([-s for s, _ in best])
-        return pd.DataFrame({c: pd.Series(x, dtype=object if c != "query_id" else "int64") for c, x in out.items()})
-
-    told = "query_id long, found array<long>, scores array<double>"
-    none = F.array().cast("array<long>").alias("found"), F.array().cast("array<double>").alias("scores")
-    placed = asked.mapInPandas(lambda it: (p.assign(cell=cell_of(unit(np.array(p["v"].tolist())) @ onto)) for p in it if len(p)), "query_id long, v array<double>, cell long")
-    placed = durable(placed)
-    home = placed.select("query_id", "v", "cell", *none).groupBy("cell").cogroup(dealt.groupBy("cell")).applyInPandas(visit, told)
-    home = durable(home)
-
-    def onward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The other cells that the stopping radius of a query reaches."""
-        for pdf in batches:
-            out = []
-            for q, v, own, found, scores in zip(pdf["query_id"], pdf["v"], pdf["cell"], pdf["found"], pdf["scores"], strict=True):
-                at = unit(np.array(v)[None])[0] @ onto
-                gap = np.maximum(0, np.maximum(low - at, at - high))
-                reach = np.inf if len(found) < k else ratio * max(0.0, 2 - 2 * scores[-1]) * (1 + 1e-9) + 1e-12
-                out += [(q, v, int(c), found, scores) for c in cells[((gap * gap).sum(axis=1) <= reach) & (cells != own)]]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = {"query_id": "int64", "v": object, "cell": "int64", "found": object, "scores": object}
-            yield pd.DataFrame({c: pd.Series(list(x), dtype=kind) for (c, kind), x in zip(kinds.items(), columns, strict=True)})
-
-    more = placed.join(home, "query_id").mapInPandas(onward, "query_id long, v array<double>, cell long, found array<long>, scores array<double>")
-    others = more.groupBy("cell").cogroup(dealt.groupBy("cell")).applyInPandas(visit, told)
-
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The best of a query's cells, a few rows for each cell visited."""
-        best = sorted({(-s, int(i)) for f, c in zip(pdf["found"], pdf["scores"], strict=True) for i, s in zip(f, c, strict=True)})
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "vec_id": [i for _, i in best], "by": [-s for s, _ in best]})
-
-    # Candidates are ranked by the contract's measure itself, computed again on the original vectors.
-    lists = home.unionByName(others).groupBy("query_id").applyInPandas(rank, "query_id long, vec_id long, by double")
-    lists = durable(lists)
-    mine = asked.select("query_id", F.col("v").alias("q"))
-    theirs = rows.select("vec_id", "v").join(lists.select("vec_id").distinct(), "vec_id", "left_semi").dropDuplicates(["vec_id"])
-    pairs = lists.join(mine, "query_id").join(theirs, "vec_id")
-
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def boxes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in batches:
             if len(pdf):
-                a, b = np.array(pdf["q"].tolist()), np.array(pdf["v"].tolist())
-                s = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-                yield pd.DataFrame({"query_id": pdf["query_id"], "vec_id": pdf["vec_id"], "score": s})
-
-    scored = pairs.mapInPandas(exact, "query_id long, vec_id long, score double")
-    by_query = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))
-    ranked = scored.groupBy("query_id").agg(F.slice(by_query, 1, k).alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+                p = unit(_matrix(pdf["v"], kind, width)) @ onto
+                for cell, at in pdf.groupby("cell").indices.items():
+                    low, high = held.get(cell, (np.inf, -np.inf))
+                    held[cell] = np.minimum(low, p[at].min(axis=0)), np.maximum(high, p[at].max(axis=0))
+        yield pd.DataFrame({"cell": list(held), "box": [np.concatenate(b) for b in held.values()]})
+
+    # No more rows than tasks times the sample's cells; one box a cell reaches the driver.
+    each = dealt.select("cell", "v").mapInPandas(boxes_of, "cell long, box array<double>").select("cell", F.posexplode("box").alias("at", "x"))
+    ends = each.groupBy("cell", "at").agg(F.when(F.col("at") < onto.shape[1], F.min("x")).otherwise(F.max("x")).alias("x"))
+    boxes = ends.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("b")).orderBy("cell").collect()
+    cells, box = np.array([b.cell for b in boxes]), np.array([[x.x for x in b.b] for b in boxes])
+    low, high = box[:, : onto.shape[1]], box[:, onto.shape[1] :]
+
+    def gaps(p: np.ndarray) -> np.ndarray:
+        gap = np.maximum(0, np.maximum(low - p, p - high))
+        return (gap * gap).sum(axis=1)
+
+    def send(first: bool):
+        """To its nearest cells each query that comes; or, with what it found there, to the others that it must visit."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                bounds = pdf["bound"] if not first else [-np.inf] * len(pdf)
+                for v, p, bound in zip(pdf["v"], unit(_matrix(pdf["v"], kind, width)) @ onto if len(pdf) else [], bounds, strict=True):
+                    gap = gaps(p)
+                    order = gap.argsort(kind="stable")
+                    reach = ratio * max(0.0, 2 - 2 * bound) * (1 + 1e-9) + 1e-12 if bound > -np.inf else np.inf
+                    to = order[:NEAR] if first else [c for c in order[NEAR:] if gap[c] <= reach]
+                    out += [(v, int(cells[c]), bound) for c in to]
+                yield pd.DataFrame(out, columns=["v", "cell", "bound"])
+
+        return run
+
+    def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Searches one part of a cell for each of its queries."""
+        out = []
+        if len(left) and len(right):
+            cell = Cell(_matrix(right["v"], kind, width), right["ids"].tolist(), onto, ratio)
+            for packed, q, bound in zip(left["v"], _matrix(left["v"], kind, width), left["bound"], strict=True):
+                out.append((packed, [{"neg": s, "id": i} for s, i in cell.search(q, bound, keep)]))
+        return pd.DataFrame(out, columns=["v", "best"])
+
+    def searched(sent: DataFrame) -> DataFrame:
+        sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return sent.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInPandas(visit, f"v binary, best {_BEST}")
+
+    def best(found: DataFrame) -> DataFrame:
+        """A query's best over the cells it visited, a few of each."""
+        return found.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, keep).alias("best"))
+
+    sent = "v binary, cell long, bound double"
+    asking = dealt.where("asked > 0").select("v")
+    found = best(searched(asking.mapInPandas(send(True), sent)))
+    if len(cells) > NEAR:
+        found = durable(found)
+        bound = F.coalesce(-F.get("best", F.lit(k))["neg"], F.lit(float("-inf")))
+        onward = found.select("v", bound.alias("bound")).mapInPandas(send(False), sent)
+        found = best(found.unionByName(searched(onward)))
+    found = found.join(dealt.select("v", "asked"), "v")
+    asked = rows.where("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.min(_packed(F.col("v"), kind)).alias("v"))
+    told = with_facts(asked, durable(found), "v", "asked", n)
+    theirs = F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k)
+    told = told.select("query_id", F.posexplode(theirs).alias("at", "b"))
+    return told.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.neg")).alias("score"))
+
+
+def _packed(vector: Column, kind: str) -> Column:
+    """The bytes of a vector, as the entries hold them."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in batches:
+            yield pd.Series([np.asarray(x, kind).tobytes() for x in part], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "binary")(vector)
