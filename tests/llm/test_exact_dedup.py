@@ -40,13 +40,43 @@ def test_against_brute_force(spark):
     assert sorted(map(str, kept)) == sorted(map(str, [3, 4, 7, 8, None, 11])), "one row of each text"
 
 
-def test_split_into_snapshot_and_batch_does_not_matter(spark):
+def test_snapshots_and_batch_do_not_matter(spark, monkeypatch):
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(exact_dedup, "KEYS_PER_FILTER", 2)
     df = spark.createDataFrame(ROWS, SCHEMA)
-    all_ = [sorted(map(str, exact_dedup.exact_dedup(df, in_snapshot=s).collect())) for s in (F.lit(True), F.lit(False), F.col("doc_id") > 4)]
-    # A null id is in neither part of a condition that is null for it.
-    assert all_[0] == all_[1] and len(all_[2]) == len(ROWS) - 1 or all_[2] == all_[0]
+    parts = [(F.lit(0), 1), (F.lit(None).cast("int"), 2), ((F.col("doc_id") > 4).cast("int"), 2), (F.col("doc_id") % 4, 3), (None, 0)]
+    all_ = [sorted(map(str, exact_dedup.exact_dedup(df, part=p, snapshots=n).collect())) for p, n in parts]
+    assert all(x == all_[0] for x in all_) and len(all_[0]) == len(ROWS)
+
+
+def test_stored_snapshots_are_opened_again(spark, tmp_path):
+    """A batch meets two stored snapshots, one of which is empty; only what they hold passes the filters."""
+    from pyspark.sql import functions as F
+
+    groups = exact_dedup.exact_buckets(exact_dedup.digests(spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), "id").alias("text"))))
+    exact_dedup.write_snapshot(groups, str(tmp_path / "a"))
+    exact_dedup.write_snapshot(groups.limit(0), str(tmp_path / "b"))
+    stored = [exact_dedup.open_snapshot(spark, str(tmp_path / x)) for x in "ba"]
+    batch = exact_dedup.exact_buckets(exact_dedup.digests(spark.range(400, 900).select((F.col("id") - 399).alias("doc_id"), F.concat(F.lit("t\t"), "id").alias("text"))))
+    screened = exact_dedup.screen(batch, stored[1], 10_000_000)  # by many tasks
+    assert 100 <= screened.where("maybe").count() <= 110 and screened.count() == 500
+    got = exact_dedup.merge(batch, stored)
+    assert got.count() == 900 and got.where("group_size = 2").count() == 100
+    assert sorted(r[0] for r in got.where("group_size = 2").select("keep_id").collect()) == list(range(1, 101))
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_texts_of_one_digest_are_compared(spark, monkeypatch, most):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "MOST_BROADCAST", most)
+    df = spark.createDataFrame([*ROWS, (30, "a c", None, None, None)], SCHEMA)
+    groups = exact_dedup.exact_buckets(exact_dedup.digests(df))
+    exact_dedup.verify(df, groups)
+    monkeypatch.setattr(exact_dedup, "_sha", lambda text: F.sha2(F.substring(text, 1, 1).cast("binary"), 256))
+    with pytest.raises(ValueError):
+        exact_dedup.verify(df, exact_dedup.exact_buckets(exact_dedup.digests(df)))
 
 
 def test_keep_first_keeps_columns_and_empty(spark):
