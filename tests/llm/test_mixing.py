@@ -54,3 +54,23 @@ def test_repeat_and_edges(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "a b", "s")] * 3, "doc_id long, text string, source string")
     assert [r.taken for r in mixing.mix(twice).collect()] == [2, 2, 2]
+
+
+def test_repeat_tells_rows_without_ids_apart(spark):
+    """Rows without an id, and rows that share one, are taken as often as the mix says; equal rows share their copies."""
+    rows = [(None, f"{'w ' * (i % 7 + 1)}{i}", "ab"[i % 3 == 0], i) for i in range(400)] + [(7, f"x {i}", "b", i) for i in range(60)] + [(None, "y y y", "b", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mixed_k long")
+    out = mixing.repeat(df).collect()
+    taken, size = {}, {}
+    for _, t, s, _ in rows:
+        size["=" + s] = size.get("=" + s, 0) + len(t.split())
+    for r in out:
+        taken["=" + r.source] = taken.get("=" + r.source, 0) + len(r.text.split())
+    for k, n in mixing.targets(size).items():
+        assert abs(taken[k] - n) <= 8
+    times = {}
+    for r in out:
+        times[r.text, r._mixed_k] = times.get((r.text, r._mixed_k), 0) + 1
+    equal = [times.get(("y y y", i), 0) for i in range(50)]
+    assert max(equal) - min(equal) <= 1
+    assert sum(r.copies for r in mixing.mix(df).collect()) == len(out)

@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORDS, durable, unused
@@ -28,11 +28,17 @@ NEWTON_STEPS = 40
 TOLERANCE = 1e-10
 
 
-def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, k (the source as a non-null key; ``=`` and its name, or nothing), size."""
+def _source_key(source_col: str) -> Column:
+    """The source as a non-null key: ``=`` and its name, or nothing."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+
+
+def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mark: Column | None = None) -> DataFrame:
+    """doc_id, k (the source's key), size, raw: ``mark``, a number that tells rows of one id apart."""
     return docs.select(
         F.col(id_col).alias("doc_id"),
-        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("k"),
+        _source_key(source_col).alias("k"),
+        (F.lit(0) if mark is None else mark).cast("long").alias("raw"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
     )
 
@@ -96,10 +102,10 @@ def _additional(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["k", "size", "n", "rate"]].assign(base=base, extra=extra)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies, rate."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mark: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, copies, rate; with a ``mark``, also k and raw (the mark)."""
     spark = docs.sparkSession
-    rows = durable(word_counts(docs, id_col, text_col, source_col))
+    rows = durable(word_counts(docs, id_col, text_col, source_col, mark))
     histogram = durable(rows.groupBy("k", "size").agg(F.count(F.lit(1)).alias("n")))
     sizes = {r.k: int(r.words) for r in histogram.groupBy("k").agg(F.sum(F.col("n") * F.col("size")).alias("words")).collect()}
     target = targets(sizes)
@@ -113,25 +119,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     settled = (F.col("extra") == 0) | (F.col("extra") == F.col("n"))
     whole = planned.where(settled).withColumn("more", F.when(F.col("extra") > 0, 1).otherwise(0).cast("long"))
     # Documents of one source and length are dealt into sqrt(n) blocks; blocks get copies in order, and one block is cut.
-    block = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.ceil(F.sqrt("n")))
+    block = F.pmod(F.xxhash64("doc_id", "raw", F.lit("mix")), F.ceil(F.sqrt("n")))
     some = planned.where(~settled).withColumn("block", block).repartition("k", "size", "block")
     held = some.groupBy("k", "size", "block").agg(F.count(F.lit(1)).alias("held"))
     before = F.sum("held").over(Window.partitionBy("k", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     held = held.select("k", "size", "block", F.coalesce(before, F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("k", "size", "block").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    nth = F.row_number().over(Window.partitionBy("k", "size", "block").orderBy(F.xxhash64("doc_id"), "doc_id", "raw"))
     cut = some.withColumn("nth", nth).join(held, ["k", "size", "block"])
     cut = cut.withColumn("more", (F.col("before") + F.col("nth") <= F.col("extra")).cast("long"))
-    both = whole.select("doc_id", "k", "size", "base", "more").unionByName(cut.select("doc_id", "k", "size", "base", "more"))
+    columns = ["doc_id", "k", "raw", "size", "base", "more"]
+    both = whole.select(columns).unionByName(cut.select(columns))
     copies = (F.col("base") + F.col("more")).alias("copies")
-    return both.join(facts, "k").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies, "rate")
+    return both.join(facts, "k").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies, "rate", *([] if mark is None else ["k", "raw"]))
 
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it has copies, with all its columns.
 
-    Rows that share an id, or have none, cannot be told apart: each is taken as often as the most copied of them.
+    A row is known by its id, source and text.  Rows that are equal in all three, or have no id and are equal in the other
+    two, share what the mix takes of them as evenly as whole copies allow.
     """
-    name, copies, nth = unused(docs, "_mixed_id", "_copies", "_nth")
-    plan = mix(docs, id_col, text_col, source_col).where("copies > 0").groupBy(F.col("doc_id").alias(name)).agg(F.max("copies").alias(copies))
-    out = docs.join(plan, F.col(id_col).eqNullSafe(F.col(name)))
-    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).drop(nth, copies, name)
+    name, key, same, copies, held, nth = unused(docs, "_mixed_id", "_mixed_k", "_mixed_raw", "_copies", "_held", "_nth")
+    raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    plan = mix(docs, id_col, text_col, source_col, raw).groupBy(F.col("doc_id").alias(name), F.col("k").alias(key), F.col("raw").alias(same))
+    plan = durable(plan.agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(held)).where(F.col(copies) > 0))
+    met = docs.join(plan, F.col(id_col).eqNullSafe(F.col(name)) & (_source_key(source_col) == F.col(key)) & (raw == F.col(same)))
+    alone = met.where(F.col(held) == 1).withColumn(nth, F.lit(1))
+    window = Window.partitionBy(name, key, same).orderBy(F.lit(1))
+    equal = met.where(F.col(held) > 1).withColumn(nth, F.row_number().over(window))
+    equal = equal.withColumn(copies, F.floor(F.col(copies) / F.col(held)) + (F.col(nth) <= F.col(copies) % F.col(held)).cast("long"))
+    out = alone.unionByName(equal.where(F.col(copies) > 0))
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).drop(nth, copies, held, name, key, same)
