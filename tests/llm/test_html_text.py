@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+import pytest
 
 from tripleforge.llm import html_text as h
 
@@ -51,3 +54,30 @@ def test_unclosed_and_self_closed():
     assert read("<p>a<object data=x><p>instead</p></object><p>b") == "a instead b"
     assert read("<p>a<script>var s='</video>'</script><video>x</video>b<!-- <video> --><svg><svg>y</svg>z</svg>c") == "abc"
     assert read("<p>a<textarea>b") == "a" and read("<p>a<iframe src=x>b") == "a"
+
+
+HOSTILE = {
+    "tags without an end": "<a ", "quotes around ends": '<a ">" ', "one quote a tag": "<a '>", "ends of nothing": "<div></section>", "open elements": "<div>", "heads": "<head>x",
+    "rows in forms": "<form><tr></tr>", "items in items": "<li><ul>", "comments": "<!-- ", "drawings": "<svg><g>", "scripts": "<script", "references": "&#x", "declarations": "<!a ",
+}
+
+
+@pytest.mark.parametrize("unit", HOSTILE.values(), ids=HOSTILE)
+def test_time_is_linear(unit):
+    """A page of one megabyte is parsed in seconds, whatever it holds; so is one with a last stray quote and end."""
+    source = unit * (1_000_000 // len(unit))
+    for page in (source, source + "'>", "<table><tr>" + source + '">'):
+        began = time.process_time()
+        h.Page(page)
+        assert time.process_time() - began < 8
+
+
+def test_odd_pages(spark):
+    """Repeated rows, clashing columns, nulls and a long page."""
+    long = "<article><p>" + "word and more. " * 40_000 + "</p></article>"
+    rows = [(1, "u", "<article><p>One, two, three and four are numbers.</p></article>", "x")] * 2 + [(None, None, None, None), (2, "u", long, "y"), (3, "u", "", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(((r.page_id or 0, r.n_chars, r.text[:9]) for r in h.extract(df).collect()))
+    n = len("One, two, three and four are numbers.")
+    assert got == [(0, 0, ""), (1, n, "One, two,"), (1, n, "One, two,"), (2, 599_999, "word and "), (3, 0, "")]
+    assert h.extract(df.limit(0)).count() == 0

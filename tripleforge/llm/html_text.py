@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .html_trees import Boosted
 
-TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*)|[^>]*)>)")
+TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)(?:((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*))|([^>]*))>)")
+#: The same without regard to quotes, for what follows a quote that nothing closes.
+LOOSE_TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)()([^>]*)>)")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 TOKEN = re.compile(r"[a-z]+")
@@ -40,11 +42,11 @@ MARK = "\ue000"  # a private-use character
 RAW = set("script style textarea title iframe head".split())
 #: Elements whose content is no text of the page, if they are closed.
 UNSEEN = set("noscript template svg select audio video canvas annotation annotation-xml".split())
-SEEKS = re.compile(rf"<(?:{'|'.join(sorted(UNSEEN, reverse=True))})\b", re.I)
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img picture source input ruby rb rt rp output meter progress map area nobr object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose merror msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the left kind ends where one of the right kinds begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+ENDED = {tag: [name for name, tags in ENDS.items() if tag in tags] for tag in set().union(*ENDS.values())}
 HOLDERS = set("ul ol dl table div article section body main td".split())
 
 GROUPS = {name: i for i, names in enumerate(["nav", "header", "footer", "aside", "article main", "section", "div", "p", "h1 h2", "h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "table tbody thead tfoot tr td th caption", "form fieldset button", "figure figcaption", "blockquote pre address", "body html", "dialog details summary"]) for name in names.split()}
@@ -53,44 +55,59 @@ REMARKS = set("comment comments commentlist reply replies discussion disqus resp
 FAVOUR = set("article content contents post entry story main body text articlebody maincontent page hentry prose markdown read".split())
 
 
-def _raw_end(source: str, tag: str, at: int) -> int:
-    """Where the content of a RAW element that begins at ``at`` ends."""
-    end = re.compile(rf"</{tag}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|<body\b", re.I).search(source, at)
-    return len(source) if end is None and tag != "head" else at if end is None else end.start() if end[0].lower().startswith("<body") else end.end()
-
-
-def _unseen(source: str) -> dict[int, int]:
+def _tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it closes, name and attributes of each tag; comments and RAW elements are one nameless tag each.
+
+    The time is linear in the page: no tag is looked for behind the last ``>``, and quotes count only until one is found
+    that nothing closes, so no part of the page is gone through again and again.
+    """
+    pattern, at, last, size, no_end, drawn = TAG, 0, source.rfind(">") + 1, len(source), set(), 0
+    while (found := pattern.search(source, at, last)) is not None:
+        start, at, tag = found.start(), found.end(), (found[4] or "").lower()
+        closing = bool(found[3])
+        if not tag:
+            end = source.find("-->", start + 2) if found[1] else source.find(">", at)
+            at = size if end < 0 else end + (3 if found[1] else 1)
+        elif found[5] is None:
+            pattern = LOOSE_TAG
+        if tag in ("svg", "math"):
+            drawn = max(0, drawn - 1) if closing else drawn + (not source.endswith("/>", start, at))
+        if tag in RAW and not (drawn and source.endswith("/>", start, at)):
+            if not closing and tag not in no_end:
+                ends = rf"</{tag}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|<body\b"
+                if (end := re.compile(ends, re.I).search(source, at, last)) is not None:
+                    at = end.start() if end[0].lower() == "<body" else end.end()
+                elif tag == "head":
+                    no_end.add(tag)
+                else:
+                    at = size
+            tag = ""
+        yield start, at, closing, tag, found[5] or found[6] or ""
+
+
+def _unseen(tags: list[tuple[int, int, bool, str, str]]) -> dict[int, int]:
     """Where the UNSEEN elements that begin at these places end; those that something else ends are not among them."""
     out: dict[int, int] = {}
-    if not SEEKS.search(source):
+    if not any(t[3] in UNSEEN for t in tags):
         return out
-    stack, held, at = [], Counter(), 0
-    while (found := TAG.search(source, at)) is not None:
-        at = found.end()
-        if found[1] or found[2]:
-            end = source.find("-->", found.start() + 2) if found[1] else source.find(">", at)
-            at = len(source) if end < 0 else end + (3 if found[1] else 1)
+    stack, held = [], Counter()
+    for start, end, closing, tag, attributes in tags:
+        if not tag or tag in VOID:
             continue
-        closing, tag = found[3], found[4].lower()
         drawn = held["svg"] + held["math"] > 0 or tag in ("svg", "math")
-        if drawn and not closing and found[5].endswith("/"):
-            out[found.start()] = at
-        elif tag in RAW:
-            if not closing:
-                at = _raw_end(source, tag, at)
-        elif tag in VOID:
-            continue
+        if drawn and not closing and attributes.endswith("/"):
+            out[start] = end
         elif not closing:
-            stack.append((tag, found.start()))
+            stack.append((tag, start))
             held[tag] += 1
         elif held[tag]:
             while True:
-                name, start = stack.pop()
+                name, begun = stack.pop()
                 held[name] -= 1
                 if name == tag:
                     break
             if tag in UNSEEN:
-                out[start] = at
+                out[begun] = end
     return out
 
 
@@ -99,8 +116,10 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.attributes, self.text, self.linked = [-1], ["body"], [""], [None], [0]
-        stack, buffer, links, linked, at, size = [0], [], 0, 0, 0, len(source)
-        unseen = _unseen(source)
+        # Of each open element, the place in the stack of the nearest one, itself included, that ends for others or holds them.
+        stack, near, held, buffer, links, linked, at = [0], [0], Counter(), [], 0, 0, 0
+        tags = list(_tags(source))
+        unseen = _unseen(tags)
 
         def flush() -> None:
             nonlocal linked
@@ -112,33 +131,24 @@ class Page:
                     self._add(stack[-1], "#", "", words, linked)
             linked = 0
 
-        while at < size:
-            found = TAG.search(source, at)
-            if found is None:
-                buffer.append(source[at:])
-                break
-            if found.start() > at:
-                buffer.append(source[at : found.start()])
-                if links:
-                    linked += found.start() - at
-            at = found.end()
-            if found[1]:  # a comment
-                end = source.find("-->", found.start() + 2)
-                at = size if end < 0 else end + 3
-                continue
-            if found[2]:
-                end = source.find(">", at)
-                at = size if end < 0 else end + 1
-                continue
-            closing, tag = found[3], found[4].lower()
-            if not closing and found.start() in unseen:
-                at = unseen[found.start()]
+        def close(i: int) -> None:
+            """Ends the open elements from the i-th."""
+            for node in stack[i:]:
+                held[self.tag[node]] -= 1
+            del stack[i:], near[i:]
+
+        for start, end, closing, tag, attributes in tags:
+            if start < at:  # inside an element that isn't seen
                 continue
-            if tag in RAW:
-                if not closing:
-                    at = _raw_end(source, tag, at)
+            if start > at:
+                buffer.append(source[at:start])
+                if links:
+                    linked += start - at
+            at = end
+            if not closing and start in unseen:
+                at = unseen[start]
                 continue
-            if tag in UNSEEN:
+            if not tag or tag in UNSEEN:
                 continue
             if tag in INLINE:
                 if tag == "a":
@@ -146,28 +156,33 @@ class Page:
                 continue
             flush()
             links = 0
-            if tag in VOID or tag == "br":
+            if tag in VOID:
                 continue
             if tag in ("html", "body"):
                 if not closing:
-                    self.attributes[0] += found[5]
+                    self.attributes[0] += attributes
                 continue
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] == tag:
-                        del stack[i:]
-                        break
+                if held[tag]:
+                    close(next(i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] == tag))
                 continue
             if self.tag[stack[-1]] == "p":
-                stack.pop()
-            for i in range(len(stack) - 1, 0, -1):
-                name = self.tag[stack[i]]
-                if tag in ENDS.get(name, ()):
-                    del stack[i:]
-                    break
-                if name in HOLDERS and name not in ENDS:
-                    break
-            stack.append(self._add(stack[-1], tag, found[5], None, 0))
+                close(len(stack) - 1)
+            if any(held[name] for name in ENDED.get(tag, ())):
+                i = near[-1]
+                while i:
+                    name = self.tag[stack[i]]
+                    if tag in ENDS.get(name, ()):
+                        close(i)
+                        break
+                    if name in HOLDERS and name not in ENDS:
+                        break
+                    i = near[i - 1]
+            stack.append(self._add(stack[-1], tag, attributes, None, 0))
+            near.append(len(stack) - 1 if tag in ENDS or tag in HOLDERS else near[-1])
+            held[tag] += 1
+        if at < len(source):
+            buffer.append(source[at:])
         flush()
 
     def _add(self, parent: int, tag: str, attributes: str, text: str | None, linked: int) -> int:
