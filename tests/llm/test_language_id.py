@@ -55,3 +55,10 @@ def test_long_text_is_read_whole(spark, sf):
     by = {r.lang: r.text for r in docs.where("n_chars > 300").select("lang", "text").collect()}
     a, b = by["en"], by["fr"]
     assert net.predict([a + b * 40])[0] == ["fr"] and net.predict([a * 40 + b])[0] == ["en"]
+
+
+def test_numbers_and_signs_are_no_letters():
+    network = li.Network(["a", "b"])._freeze()
+    names, score = network.predict(["²³", "½ 12", "①②", "Ⅷ", "_", "٣", "ª", "中", "ʰ", "x²"])
+    assert names[:6] == ["und"] * 6 and not score[:6].any()
+    assert "und" not in names[6:] and score[6:].all()

@@ -5,14 +5,13 @@ softmax layer reads those maxima.  The network is trained in numpy, on the drive
 of labelled texts.  Every text is then cut whole into windows that overlap by the widest filter less one byte, windows
 of many texts are run in one batch, and a text's probabilities are its windows' means weighted by their bytes.
 
-A null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing is labelled.  Rows with a
+A null text, or one without a letter (Unicode category L), is ``und`` with score 0, and so is every text if nothing is labelled.  Rows with a
 null id are predicted but never learned from (held_out is true).  Repeated rows are predicted alike; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,6 @@ BATCH = 64
 #: A pipeline keeps a text whose language has at least this probability.
 LEAST_SCORE = 0.35
 MOST_LANGUAGES = 1000
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def sample(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
@@ -155,7 +153,7 @@ class Network:
         stride = WINDOW - max(WIDTHS) + 1
         seen = np.zeros(len(texts), bool)
         for i, text in enumerate(texts):
-            if text is None or not LETTER.search(text):
+            if text is None or not any(map(str.isalpha, text)):
                 continue
             seen[i] = True
             data = text.encode("utf-8", "surrogatepass")
