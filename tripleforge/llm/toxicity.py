@@ -1,14 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become classes: insult, threat, target, negation, reported speech or other.  Small transducers rewrite the class
-sequence of a clause: a negation close before an insult marks it negated, a reporting verb before it marks it reported,
-a target near it marks it aimed.  They are composed into one automaton, and the arcs a clause takes add up its weights;
-isolated words have no score of their own outside a clause's reading.  A logistic layer turns a text's sums into a score.
-
-Insult and threat stems are learned: stems that begin words of toxic training texts but hardly of others are chosen
-greedily, each for the toxic texts that no earlier stem explains, so that words which merely stand in copies of one text
-are not taken up.  The layer's weights are learned around the grammar's prior.  Targets, negations and reporting verbs
-are closed word lists below.
+Words become classes: insult, threat, target, negation, reported speech or other.  Small weighted transducers rewrite the
+class sequence of a clause: a negation close before an insult marks it negated, a reporting verb before it marks it
+reported, a target close before or behind it marks it aimed; a threat says something only if it is aimed and neither
+negated nor reported.  They are composed into one transducer, whose states are made as clauses need them.  What a clause
+comes to is the sum over the readings that it takes; isolated words have no score of their own outside a clause's reading.
+A logistic layer turns a text's sums into a score, its prior being the weights of the arcs.
+
+Insult stems are learned: stems that begin words of toxic training texts but hardly of others are chosen greedily, each
+for the toxic texts that no earlier stem explains, so that words which merely stand in copies of one text are not taken
+up.  Threat stems are learned alike from the words close to a target, for the toxic texts without an insult.  Targets,
+negations and reporting verbs are closed word lists below.
 
 Texts are scored whole.  A null or empty text, and every text if no label can be learned from, has the score of a text
 without any match (0 if nothing could be learned).  Rows with a null id are held out.  Repeated rows are scored alike,
@@ -18,13 +20,14 @@ a document with several labels is learned from with each, and an empty table giv
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import sys
 import zlib
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import ahocorasick
 import numpy as np
@@ -51,70 +54,137 @@ CLAUSE_END = re.compile(r"[.!?;\n]")
 TARGETS = set("you your yours they them he him she her people women men tu vous toi te il elle ils elles ihr du dich dir sie er ihn tú usted ustedes él ella ellos ellas vosotros".split())
 NEGATIONS = set("not no never none nobody isn't aren't wasn't don't doesn't didn't won't can't ne pas jamais aucun nicht kein keine keinen nie niemals nunca jamás ningún ninguna".split())
 REPORTS = set("said says say wrote writes called calls reported reports quoted quotes claimed alleged dit disait écrit appelé sagte sagt schrieb nannte dijo dice escribió llamó".split())
-THREATS = set("kill killing murder hurt destroy shoot stab burn hang tuer tuerai détruire töten umbringen zerstören matar mataré destruir".split())
 
-#: Readings of an insult by the composed grammar, and the logistic layer's prior weights for them.
+class Transducer:
+    """Rewrites symbols one by one: ``step`` gives the next state, the symbols that come out and the arc's weight (a logarithm).
+
+    Every symbol comes out once, in order, at the latest at END.
+    """
+
+    start: object
+
+    def step(self, state, symbol: str) -> tuple[object, tuple[str, ...], float]:
+        raise NotImplementedError
+
+    def run(self, symbols: list[str]) -> tuple[list[str], float]:
+        """What the symbols of a clause become, and the weight of the way."""
+        state, out, weight = self.start, [], 0.0
+        for x in [*symbols, END]:
+            state, more, w = self.step(state, x)
+            out += more
+            weight += w
+        return [x for x in out if x != END], weight
+
+
+class Behind(Transducer):
+    """Rewrites what stands within ``reach`` words after a mark.  Its state is the number of words since the last mark."""
+
+    def __init__(self, mark: str, reach: int, rewrite: dict[str, tuple[str, float]]):
+        self.mark, self.reach, self.rewrite, self.start = mark, reach, rewrite, reach + 1
+
+    def step(self, state, symbol):
+        after = 1 if symbol == self.mark else min(state + 1, self.reach + 1)
+        out, weight = self.rewrite.get(symbol, (symbol, 0.0)) if state <= self.reach else (symbol, 0.0)
+        return after, (out,), weight
+
+
+class Ahead(Transducer):
+    """Rewrites what stands within ``reach`` words before a mark.  Its state is the symbols that may still be rewritten."""
+
+    def __init__(self, mark: str, reach: int, rewrite: dict[str, tuple[str, float]]):
+        self.mark, self.reach, self.rewrite, self.start = mark, reach, rewrite, ()
+
+    def step(self, state, symbol):
+        if symbol == END:
+            return (), (*state, END), 0.0
+        weight = 0.0
+        if symbol == self.mark:
+            weight = sum(self.rewrite.get(x, (x, 0.0))[1] for x in state)
+            state = tuple(self.rewrite.get(x, (x, 0.0))[0] for x in state)
+        state = (*state, symbol)
+        return (state, (), weight) if len(state) <= self.reach else (state[1:], state[:1], weight)
+
+
+class Composed(Transducer):
+    """The composition: what ``first`` gives out is rewritten by ``second``.  Arcs are made when they are first taken."""
+
+    def __init__(self, first: Transducer, second: Transducer):
+        self.first, self.second, self.start = first, second, (first.start, second.start)
+        self.arcs: dict = {}
+
+    def step(self, state, symbol):
+        if (known := self.arcs.get((state, symbol))) is None:
+            if len(self.arcs) >= MOST_ARCS:
+                self.arcs.clear()
+            a, b = state
+            a, between, weight = self.first.step(a, symbol)
+            out: tuple[str, ...] = ()
+            for x in between:
+                b, more, w = self.second.step(b, x)
+                out, weight = out + more, weight + w
+            known = self.arcs[state, symbol] = (a, b), out, weight
+        return known
+
+
+END = "#"
+#: Arcs of a composition that are remembered.
+MOST_ARCS = 200_000
+#: Readings of an insult or threat by the grammar, and the symbols that stand for them when all rewriting is done.
 READINGS = ("plain", "aimed", "negated", "reported", "threat")
-PRIOR = np.array([1.0, 1.3, 0.4, 0.4, 0.6])
+SYMBOLS = {"I": 0, "Ia": 1, "In": 2, "Ir": 3, "Ha": 4}
+NEGATED, REPORTED, AIMED, THREAT = math.log(0.4), math.log(0.4), math.log(1.3), math.log(0.6)
+
+
+def transducers() -> list[Transducer]:
+    """Negation, reported speech, targets before and targets behind, in the order in which they apply."""
+    aimed = {"I": ("Ia", AIMED), "H": ("Ha", THREAT)}
+    return [
+        Behind("N", NEGATED_WITHIN, {"I": ("In", NEGATED), "H": ("o", 0.0)}), Behind("R", REPORTED_WITHIN, {"I": ("Ir", REPORTED), "H": ("o", 0.0)}),
+        Behind("T", AIMED_WITHIN, aimed), Ahead("T", AIMED_WITHIN, aimed),
+    ]
+
+
+def closed_class(word: str) -> str | None:
+    return "N" if word in NEGATIONS else "R" if word in REPORTS else "T" if word in TARGETS else None
 
 
 @cache
-def composed() -> dict:
-    """The composition of the negation, report and target transducers, determinised: (state, class) -> (state, reading).
+def composed() -> Transducer:
+    """The composition of all transducers."""
+    return reduce(Composed, transducers())
 
-    A state is the number of words since the last negation, reporting verb and target, each up to its reach.
-    """
-    reach = (NEGATED_WITHIN, REPORTED_WITHIN, AIMED_WITHIN)
-    resets = {"N": 0, "R": 1, "T": 2}
-    start = tuple(r + 1 for r in reach)
-    arcs, todo, seen = {}, [start], {start}
-    while todo:
-        state = todo.pop()
-        negated, reported, aimed = (d <= r for d, r in zip(state, reach, strict=True))
-        for c in "NRTIHo":
-            after = tuple(min(d + 1, r + 1) for d, r in zip(state, reach, strict=True))
-            if c in resets:
-                after = tuple(1 if i == resets[c] else d for i, d in enumerate(after))
-            said = None
-            if c == "I":
-                said = "negated" if negated else "reported" if reported else "aimed" if aimed else "plain"
-            elif c == "H" and not negated and not reported:
-                said = "threat" if aimed else None
-            arcs[state, c] = after, said
-            if after not in seen:
-                seen.add(after)
-                todo.append(after)
-    return {"start": start, "arcs": arcs}
+
+#: The logistic layer's prior: what the arcs that lead to a reading weigh.
+PRIOR = np.exp([composed().run(x)[1] for x in (["I"], ["T", "I"], ["N", "I"], ["R", "I"], ["T", "H"])])
 
 
 class Grammar:
-    """Weighted stems, closed classes and the logistic layer."""
+    """Weighted stems of insults and threats, closed classes and the logistic layer."""
 
-    def __init__(self, stems: dict[str, float], weights: np.ndarray | None = None, bias: float = 0.0):
-        self.stems, self.bias = stems, bias
+    def __init__(self, stems: dict[str, float], weights: np.ndarray | None = None, bias: float = 0.0, threats: dict[str, float] | None = None):
+        self.stems, self.bias, self.threats = stems, bias, threats or {}
         self.weights = PRIOR if weights is None else weights
         self.finder = ahocorasick.Automaton()
-        for stem in [*stems, *THREATS]:
+        for stem in [*stems, *self.threats]:
             self.finder.add_word(stem, stem)
         self.finder.make_automaton()
 
     def __reduce__(self):
-        return Grammar, (self.stems, self.weights, self.bias)
+        return Grammar, (self.stems, self.weights, self.bias, self.threats)
 
     def _class(self, word: str) -> tuple[str, float]:
-        if word in NEGATIONS:
-            return "N", 0.0
-        if word in REPORTS:
-            return "R", 0.0
-        if word in TARGETS:
-            return "T", 0.0
-        for n in range(STEM_LETTERS, len(word) + 1):
-            if (weight := self.stems.get(word[:n])) is not None:
-                return "I", weight
-        return ("H", 1.0) if word in THREATS else ("o", 0.0)
+        if (known := closed_class(word)) is not None:
+            return known, 0.0
+        for symbol, stems in (("I", self.stems), ("H", self.threats)):
+            for n in range(STEM_LETTERS, len(word) + 1):
+                if (weight := stems.get(word[:n])) is not None:
+                    return symbol, weight
+        return "o", 0.0
 
     def _clauses(self, text: str) -> Iterator[list[str]]:
         """Words of the clauses in which a stem begins a word; parts of a clause out of every reach are left out."""
+        if not len(self.finder):
+            return
         at = sorted({end + 1 - len(stem) for end, stem in self.finder.iter(text)})
         at = [start for start in at if not start or not (text[start - 1].isalnum() or text[start - 1] == "_")]
         begin = end = k = 0
@@ -141,14 +211,10 @@ class Grammar:
         out, machine = np.zeros(len(READINGS)), composed()
         for words in self._clauses((text or "").lower()):
             classes = [self._class(w) for w in words]
-            state, ahead = machine["start"], len(words)
-            for i, (c, weight) in enumerate(classes):
-                state, said = machine["arcs"][state, c]
-                if said == "plain" or c == "H" and said is None and state[0] > NEGATED_WITHIN:
-                    near = any(k == "T" for k, _ in classes[i + 1 : min(ahead, i + 1 + AIMED_WITHIN)])
-                    said = ("aimed" if c == "I" else "threat") if near else said
-                if said:
-                    out[READINGS.index(said)] += weight
+            symbols, _ = machine.run([c for c, _ in classes])
+            for x, (_, weight) in zip(symbols, classes, strict=True):
+                if (reading := SYMBOLS.get(x)) is not None:
+                    out[reading] += weight
         return np.log1p(out)
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -156,6 +222,17 @@ class Grammar:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights + self.bias, -30, 30)))
 
 
+def _words(text: str | None) -> tuple[set[str], set[str]]:
+    """The words of a text that are long enough for a stem; and those of them that stand close to a target in a clause."""
+    every, near = set(), set()
+    for clause in CLAUSE_END.split((text or "").lower()):
+        words = WORD.findall(clause)
+        every.update(words)
+        for i in (i for i, w in enumerate(words) if w in TARGETS):
+            near.update(words[max(0, i - AIMED_WITHIN) : i + 1 + AIMED_WITHIN])
+    return {w for w in every if len(w) >= STEM_LETTERS}, {w for w in near if len(w) >= STEM_LETTERS and closed_class(w) is None}
+
+
 def _stems(word: str) -> Iterator[str]:
     yield from (word[:n] for n in range(STEM_LETTERS, len(word) + 1))
 
@@ -218,18 +295,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar | None:
     chosen = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isNotNull() & (draw < share)).select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"))
     rows = docs.join(F.broadcast(chosen), "doc_id")  # the sample's bound is this broadcast's
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            words = [" ".join(sorted({w for w in WORD.findall((t or "").lower()) if len(w) >= STEM_LETTERS})) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "words": words})
+            words = [_words(t) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "words": [" ".join(sorted(w)) for w, _ in words], "aimed": [" ".join(sorted(w)) for _, w in words]})
 
-    found = sorted(rows.mapInPandas(reduce, f"doc_id {dict(rows.dtypes)['doc_id']}, toxic int, words string").collect(), key=lambda r: (r.doc_id, r.toxic))
-    toxic = [set(map(sys.intern, r.words.split())) for r in found if r.toxic]
-    clean = [set(map(sys.intern, r.words.split())) for r in found if not r.toxic]
+    found = sorted(rows.mapInPandas(gathered, f"doc_id {dict(rows.dtypes)['doc_id']}, toxic int, words string, aimed string").collect(), key=lambda r: (r.doc_id, r.toxic))
+    as_set = lambda words: set(map(sys.intern, words.split()))
+    toxic, clean = [as_set(r.words) for r in found if r.toxic], [as_set(r.words) for r in found if not r.toxic]
     if not toxic or not clean:
         return None
-    stems = learn_stems(toxic, clean, (n[0] / len(clean)) / (n[1] / len(toxic)))
-    grammar = Grammar(stems)
+    odds = (n[0] / len(clean)) / (n[1] / len(toxic))
+    stems = learn_stems(toxic, clean, odds)
+    insulting = lambda words: any(s in stems for w in words for s in _stems(w))
+    near = [as_set(r.aimed) for r in found if r.toxic and not insulting(r.words.split())]
+    threats = learn_stems(near, [as_set(r.aimed) for r in found if not r.toxic], odds) if near else {}
+    grammar = Grammar(stems, threats=threats)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -239,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar | None:
     data = sorted((r.toxic, *r.f) for r in data)
     y, x = np.array([d[0] for d in data], float), np.array([d[1:] for d in data])
     weights, bias = _logistic(x, y)
-    return Grammar(stems, weights, bias)
+    return Grammar(stems, weights, bias, threats)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, pull: float = 0.01) -> tuple[np.ndarray, float]:
