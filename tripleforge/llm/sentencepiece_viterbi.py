@@ -1,13 +1,18 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The search keeps, for each boundary between characters, the best way to reach it.  A piece is at most ``longest``
-characters long, so only the last ``longest`` boundaries can be extended; whenever the ways of all of those go through
-one boundary, the ids before it are committed and forgotten.  Memory is bounded by that window and doesn't grow with the
-text.
+The search goes through the boundaries between characters and extends the best way to each by the pieces that start there,
+read off a tree.  A piece is at most ``longest`` characters long, so only the next ``longest`` boundaries are open; whenever
+the ways to all of those go through one boundary, the ids before it are committed and forgotten.  What is held is the
+characters behind that boundary, whatever the length of the text.  Nothing is committed earlier than that, as it could
+change ids.
 
 Unigram models: the way with the largest sum of scores.  BPE models: a sequence of pieces is what the merges make of a
 text exactly if each piece alone, and each two neighbours together, come out of the merges unchanged; so every boundary
-has just one way, found by asking the last piece's predecessor.  Both kinds give the ids of the library.
+has just one way, that of the longest piece that stays apart from the one before it.  Both kinds give the ids of the
+library.
+
+Where no piece of a model goes on past the end of a word, every way meets there.  The search then commits at each word's
+end, and may remember what it found for a word; with ``remember`` 0 it runs over whole texts and finds the same.
 
 Null texts give null ids; an empty text gives no ids.  Repeated rows are encoded alike.  An empty table gives an empty
 result.  Texts are encoded whole.
@@ -15,6 +20,7 @@ result.  Texts are encoded whole.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -31,6 +37,9 @@ REMEMBERED = 200_000
 #: Pairs of pieces whose merging is remembered, likewise.
 MOST_PAIRS = 400_000
 LONGEST_REMEMBERED = 64
+#: Characters that the search takes in at a time.
+BLOCK = 64
+NONE = -1
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -110,11 +119,8 @@ class _Merges:
     """Which neighbours the merges of a BPE model leave apart."""
 
     def __init__(self, model: Model):
-        self.rank = {p: -model.scores[i] for p, i in model.ids.items()}
-        self.numbers: dict[str, int] = {}
-        self.pairs: dict[int, bool] = {}
-        self.alone: dict[str, bool] = {}
-        self.rows: dict[int, dict[int, bool]] = {}  # by ids, left and right, for words
+        self.pieces, self.rank = model.pieces, {p: -model.scores[i] for p, i in model.ids.items()}
+        self.rows: dict[int, dict[int, bool]] = {}  # by ids, left and right
         self.held = 0
 
     def merge(self, text: str) -> list[str]:
@@ -134,154 +140,122 @@ class _Merges:
                 joins[at] = rank(parts[at] + parts[at + 1], np.inf)
         return parts
 
-    def stays(self, piece: str) -> bool:
-        if (known := self.alone.get(piece)) is None:
-            if len(self.alone) > MOST_PAIRS:
-                self.alone.clear()
-            known = self.alone[piece] = len(piece) == 1 or self.merge(piece) == [piece]
-        return known
-
-    def apart(self, left: str, right: str) -> bool:
-        numbers = self.numbers
-        key = numbers.setdefault(left, len(numbers)) << 32 | numbers.setdefault(right, len(numbers))
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > MOST_PAIRS:
-                self.pairs.clear()
-                numbers.clear()
-                key = numbers.setdefault(left, len(numbers)) << 32 | numbers.setdefault(right, len(numbers))
-            known = self.pairs[key] = self.merge(left + right) == [left, right]
-        return known
+    def row(self, left: int) -> dict[int, bool]:
+        """What is known of the pieces behind ``left``."""
+        if self.held > MOST_PAIRS:
+            self.rows.clear()
+            self.held = 0
+        return self.rows.setdefault(left, {})
+
+    def apart(self, left: int, right: int) -> bool:
+        self.held += 1
+        return left == NONE or self.merge(self.pieces[left] + self.pieces[right]) == [self.pieces[left], self.pieces[right]]
 
 
 class Encoder:
-    """Encodes and decodes texts with one model."""
+    """Encodes and decodes texts with one model; ``remember``: words whose ids are kept, in each of two generations."""
 
-    def __init__(self, data: bytes):
-        self.model = Model(data)
+    def __init__(self, data: bytes, remember: int = REMEMBERED):
+        self.model, self.remember = Model(data), remember
         self.merges = _Merges(self.model)  # for BPE models
         self.known: dict[str, list[int]] = {}  # of two generations, the newer
         self.older: dict[str, list[int]] = {}
         self.text_of = [self._bytes(k) for k in range(len(self.model.pieces))]
         self.tree: dict = {}
-        for piece, k in self.model.ids.items() if self.model.bpe else ():
-            if self.merges.stays(piece):
+        for piece, k in self.model.ids.items():
+            if not self.model.bpe or len(piece) == 1 or self.merges.merge(piece) == [piece]:
                 node = self.tree
                 for c in piece:
                     node = node.setdefault(c, {})
                 node[""] = k
 
-    def stream(self, chars: Iterable[str]) -> Iterator[str]:
-        """Pieces of normalised text that comes character by character; each is given out once it is certain."""
-        model, ids, scores, longest = self.model, self.model.ids, self.model.scores, self.model.longest
-        stays, apart = self.merges.stays, self.merges.apart
-        window = ""  # characters since the last committed boundary
-        last: list[int] = [0]  # length of the last piece on the way to each boundary of the window
-        score: list[float] = [0.0]
-        before = ""  # the last committed piece
+    def stream(self, blocks: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of normalised text that comes in blocks; they are given out once they are certain."""
+        model, tree, longest, bpe, scores = self.model, self.tree, self.model.longest, self.model.bpe, self.model.scores
         floor = model.least - 10.0
-        due = longest
-        for c in chars:
-            window += c
-            end = len(window)
-            length, best = 1, -np.inf
-            if model.bpe:  # the one piece that stays apart from the one before it
-                for start in range(max(0, end - longest), end):
-                    piece = window[start:end]
-                    if (piece in ids or start == end - 1) and stays(piece):
-                        left = window[start - last[start] : start] if start else before
-                        if not left or apart(left, piece):
-                            length = end - start
+        window, start, due = "", 0, 2 * longest
+        # Of each boundary of the window, the last piece on the way to it: its id (NONE: a character that no piece covers) and length.
+        ids, last, score = [NONE], [0], [0.0]
+        unknown = False  # whether the last id given out is that of an unknown character
+        for block in itertools.chain(blocks, (None,)):
+            if block is not None:
+                window += block
+                n = len(block)
+                ids += [NONE] * n
+                last += [1] * n
+                score += [-np.inf] * n
+            size = len(window)
+            stop = size - longest if block is not None else size
+            while start < stop:
+                node = tree
+                if bpe:  # of the pieces to a boundary, the first found, which is the longest, that stays apart from its left
+                    left = ids[start]
+                    row = self.merges.row(left)
+                    for end in range(start + 1, size + 1):
+                        node = node.get(window[end - 1])
+                        if node is None:
                             break
-            else:
-                for start in range(max(0, end - longest), end):
-                    k = ids.get(window[start:end])
-                    if (k is not None or start == end - 1) and (s := score[start] + (floor if k is None else scores[k])) > best:
-                        best, length = s, end - start
-            last.append(length)
-            score.append(best)
-            if end < due:
-                continue
-            # Every way onwards starts at one of the last ``longest`` boundaries.
-            due = end + longest
-            if meet := self._meeting(last, max(0, end + 1 - longest), end):
-                done = self._way(window, last, meet)
-                yield from done
-                before, due = done[-1], due - meet
-                window, last, score = window[meet:], [0, *last[meet + 1 :]], [0.0, *(x - score[meet] for x in score[meet + 1 :])]
-        yield from self._way(window, last, len(window))
-
-    @staticmethod
-    def _way(window: str, last: list[int], at: int) -> list[str]:
-        done = []
-        while at:
-            done.append(window[at - last[at] : at])
-            at -= last[at]
-        return done[::-1]
+                        if ids[end] == NONE and (k := node.get("")) is not None:
+                            stays = row.get(k)
+                            if stays is None:
+                                stays = row[k] = self.merges.apart(left, k)
+                            if stays:
+                                ids[end], last[end] = k, end - start
+                else:
+                    here = score[start]
+                    for end in range(start + 1, size + 1):
+                        node = node.get(window[end - 1])
+                        if node is None:
+                            break
+                        if (k := node.get("")) is not None and here + scores[k] > score[end]:
+                            ids[end], last[end], score[end] = k, end - start, here + scores[k]
+                    if score[start + 1] == -np.inf or (window[start] not in tree or "" not in tree[window[start]]) and here + floor > score[start + 1]:
+                        ids[start + 1], last[start + 1], score[start + 1] = NONE, 1, here + floor
+                start += 1
+                if start < due or start == size:
+                    continue
+                due = start + longest
+                if meet := self._meeting(ids, last, start, min(size, start + longest)):
+                    part, unknown = self._given(window, ids, last, meet, unknown)
+                    yield part
+                    window, ids, last = window[meet:], ids[meet:], last[meet:]
+                    score = [x - score[meet] for x in score[meet:]]
+                    last[0], start, due, stop, size = 0, start - meet, due - meet, stop - meet, size - meet
+        if window:
+            yield self._given(window, ids, last, len(window), unknown)[0]
 
     @staticmethod
-    def _meeting(last: list[int], low: int, high: int) -> int:
-        """The latest boundary that the ways of all boundaries from ``low`` to ``high`` go through."""
-        heads = set(range(low, high + 1))
+    def _meeting(ids: list[int], last: list[int], start: int, end: int) -> int:
+        """The latest boundary that the ways to ``start`` and to all boundaries reached behind it go through."""
+        heads = {start, *(x for x in range(start + 1, end + 1) if ids[x] != NONE)}
         while len(heads) > 1:
             top = max(heads)
             heads.discard(top)
             heads.add(top - last[top])
         return heads.pop()
 
-    def _ids(self, pieces: Iterable[str]) -> list[int]:
-        out, ids = [], self.model.ids
-        unknown = False
-        for p in pieces:
-            k = ids.get(p)
-            if k is not None:
-                out.append(k)
+    def _given(self, window: str, ids: list[int], last: list[int], end: int, unknown: bool) -> tuple[list[int], bool]:
+        """Ids on the way to a boundary, and whether the last is an unknown character; neighbouring ones are one unknown piece."""
+        way = []
+        while end:
+            way.append(end)
+            end -= last[end]
+        out: list[int] = []
+        for x in reversed(way):
+            if ids[x] != NONE:
+                out.append(ids[x])
                 unknown = False
             elif self.model.bytes:
-                out += self.model.fallback(p)
-            elif not unknown:  # neighbouring unknown characters are one unknown piece
-                out.append(self.model.unknown)
+                out += self.model.fallback(window[x - 1])
+            else:
+                out += [] if unknown else [self.model.unknown]
                 unknown = True
-        return out
-
-    def _merged(self, word: str) -> list[int]:
-        """Ids of a word of a BPE model: the same search over a window that is the word, committed at its end.
-
-        Boundaries are gone through from the left; from each, the pieces that start there are read off a tree, and each
-        is the way to its end if that is still open, so that of several pieces the longest is asked first.
-        """
-        rows, pieces, tree, size = self.merges.rows, self.model.pieces, self.tree, len(word)
-        ids, last = [0] * (size + 1), [1] * (size + 1)  # of the last piece on the way to each boundary: its id (0: none), its length
-        for start in range(size):
-            left, node = ids[start], tree
-            row = rows.get(left)
-            if row is None:
-                row = rows[left] = {}
-            for end in range(start + 1, size + 1):
-                node = node.get(word[end - 1])
-                if node is None:
-                    break
-                if not ids[end] and (k := node.get("")) is not None:
-                    stay = row.get(k)
-                    if stay is None:
-                        stay = row[k] = not left or self.merges.merge(pieces[left] + pieces[k]) == [pieces[left], pieces[k]]
-                        self.merges.held += 1
-                    if stay:
-                        ids[end], last[end] = k, end - start
-        if self.merges.held > MOST_PAIRS:
-            rows.clear()
-            self.merges.held = 0
-        out: list[list[int]] = []
-        end = len(word)
-        while end:
-            out.append([ids[end]] if ids[end] else self.model.fallback(word[end - 1]))
-            end -= last[end]
-        return [k for part in reversed(out) for k in part]
+        return out, unknown
 
     def encode(self, text: str) -> list[int]:
         text = self.model.normal(text)
-        if not self.model.by_word or not self.model.bytes:
-            return self._ids(self.stream(text))
-        # Every way passes where a word ends, so ids are committed there and those of a word can be remembered.
+        if not self.remember or not self.model.by_word or not self.model.bytes:
+            return [k for part in self.stream(text[i : i + BLOCK] for i in range(0, len(text), BLOCK)) for k in part]
         out: list[int] = []
         known = self.known
         for word in self.model.chunks.findall(text):
@@ -289,9 +263,9 @@ class Encoder:
             if ids is None and (ids := self.older.get(word)) is not None:
                 known[word] = ids
             elif ids is None:
-                ids = self._merged(word) if self.model.bpe and len(word) <= LONGEST_REMEMBERED else self._ids(self.stream(word))
+                ids = [k for part in self.stream(word[i : i + BLOCK] for i in range(0, len(word), BLOCK)) for k in part]
                 if len(word) <= LONGEST_REMEMBERED:
-                    if len(known) >= REMEMBERED:
+                    if len(known) >= self.remember:
                         self.older, self.known = known, {}
                         known = self.known
                     known[word] = ids
