@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ SPACE = "▁"
 #: Default model; any other is a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids are remembered, in each of two generations; when the newer is full, the older is forgotten.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Pairs of pieces whose merging is remembered, likewise.
 MOST_PAIRS = 400_000
 LONGEST_REMEMBERED = 64
@@ -158,8 +159,8 @@ class Encoder:
     def __init__(self, data: bytes, remember: int = REMEMBERED):
         self.model, self.remember = Model(data), remember
         self.merges = _Merges(self.model)  # for BPE models
-        self.known: dict[str, list[int]] = {}  # of two generations, the newer
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # of two generations, the newer
+        self.older: dict[str, bytes] = {}
         self.text_of = [self._bytes(k) for k in range(len(self.model.pieces))]
         self.tree: dict = {}
         for piece, k in self.model.ids.items():
@@ -169,58 +170,70 @@ class Encoder:
                     node = node.setdefault(c, {})
                 node[""] = k
 
+    def _extend(self, window: str, ids: list[int], last: list[int], score: list[float], start: int, stop: int) -> None:
+        """Extends the best ways to the boundaries from ``start`` until ``stop`` by the pieces that begin there.
+
+        Of each boundary, ``ids`` and ``last`` are the id (NONE: a character that no piece covers) and the length of the
+        last piece on the way to it.
+        """
+        tree, longest = self.tree, self.model.longest
+        if self.model.bpe:  # of the pieces to a boundary, the first found, which is the longest, that stays apart from its left
+            rows, merges = self.merges.rows, self.merges
+            for at in range(start, stop):
+                left, node, end = ids[at], tree, at
+                row = rows.get(left)
+                if row is None:
+                    row = merges.row(left)
+                for c in window[at : at + longest]:
+                    node = node.get(c)
+                    if node is None:
+                        break
+                    end += 1
+                    if ids[end] < 0 and (k := node.get("")) is not None:
+                        stays = row.get(k)
+                        if stays is None:
+                            stays = row[k] = merges.apart(left, k)
+                        if stays:
+                            ids[end], last[end] = k, end - at
+            return
+        scores, floor = self.model.scores, self.model.least - 10.0
+        for at in range(start, stop):
+            here, node, end = score[at], tree, at
+            for c in window[at : at + longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                end += 1
+                if (k := node.get("")) is not None and here + scores[k] > score[end]:
+                    ids[end], last[end], score[end] = k, end - at, here + scores[k]
+            if "" not in tree.get(window[at], ()) and here + floor > score[at + 1]:
+                ids[at + 1], last[at + 1], score[at + 1] = NONE, 1, here + floor
+
     def stream(self, blocks: Iterable[str]) -> Iterator[list[int]]:
         """Ids of normalised text that comes in blocks; they are given out once they are certain."""
-        model, tree, longest, bpe, scores = self.model, self.tree, self.model.longest, self.model.bpe, self.model.scores
-        floor = model.least - 10.0
+        longest = self.model.longest
         window, start, due = "", 0, 2 * longest
-        # Of each boundary of the window, the last piece on the way to it: its id (NONE: a character that no piece covers) and length.
         ids, last, score = [NONE], [0], [0.0]
         unknown = False  # whether the last id given out is that of an unknown character
         for block in itertools.chain(blocks, (None,)):
             if block is not None:
                 window += block
-                n = len(block)
-                ids += [NONE] * n
-                last += [1] * n
-                score += [-np.inf] * n
-            size = len(window)
-            stop = size - longest if block is not None else size
-            while start < stop:
-                node = tree
-                if bpe:  # of the pieces to a boundary, the first found, which is the longest, that stays apart from its left
-                    left = ids[start]
-                    row = self.merges.row(left)
-                    for end in range(start + 1, size + 1):
-                        node = node.get(window[end - 1])
-                        if node is None:
-                            break
-                        if ids[end] == NONE and (k := node.get("")) is not None:
-                            stays = row.get(k)
-                            if stays is None:
-                                stays = row[k] = self.merges.apart(left, k)
-                            if stays:
-                                ids[end], last[end] = k, end - start
-                else:
-                    here = score[start]
-                    for end in range(start + 1, size + 1):
-                        node = node.get(window[end - 1])
-                        if node is None:
-                            break
-                        if (k := node.get("")) is not None and here + scores[k] > score[end]:
-                            ids[end], last[end], score[end] = k, end - start, here + scores[k]
-                    if score[start + 1] == -np.inf or (window[start] not in tree or "" not in tree[window[start]]) and here + floor > score[start + 1]:
-                        ids[start + 1], last[start + 1], score[start + 1] = NONE, 1, here + floor
-                start += 1
-                if start < due or start == size:
+                ids += [NONE] * len(block)
+                last += [1] * len(block)
+                score += [-np.inf] * len(block)
+            while start < (stop := len(window) - longest if block is not None else len(window)):
+                to = min(stop, max(due, start + 1))
+                self._extend(window, ids, last, score, start, to)
+                start = to
+                if start < due or start == len(window):
                     continue
                 due = start + longest
-                if meet := self._meeting(ids, last, start, min(size, start + longest)):
+                if meet := self._meeting(ids, last, start, min(len(window), start + longest)):
                     part, unknown = self._given(window, ids, last, meet, unknown)
                     yield part
                     window, ids, last = window[meet:], ids[meet:], last[meet:]
                     score = [x - score[meet] for x in score[meet:]]
-                    last[0], start, due, stop, size = 0, start - meet, due - meet, stop - meet, size - meet
+                    last[0], start, due = 0, start - meet, due - meet
         if window:
             yield self._given(window, ids, last, len(window), unknown)[0]
 
@@ -236,41 +249,52 @@ class Encoder:
 
     def _given(self, window: str, ids: list[int], last: list[int], end: int, unknown: bool) -> tuple[list[int], bool]:
         """Ids on the way to a boundary, and whether the last is an unknown character; neighbouring ones are one unknown piece."""
-        way = []
-        while end:
-            way.append(end)
-            end -= last[end]
         out: list[int] = []
-        for x in reversed(way):
-            if ids[x] != NONE:
-                out.append(ids[x])
-                unknown = False
+        while end:
+            if (k := ids[end]) != NONE:
+                out.append(k)
             elif self.model.bytes:
-                out += self.model.fallback(window[x - 1])
+                out += self.model.fallback(window[end - 1])[::-1]
             else:
-                out += [] if unknown else [self.model.unknown]
-                unknown = True
-        return out, unknown
-
-    def encode(self, text: str) -> list[int]:
+                out.append(NONE)
+            end -= last[end]
+        out.reverse()
+        if NONE in out:
+            ends = out[-1] == NONE
+            out = [self.model.unknown if k == NONE else k for i, k in enumerate(out) if k != NONE or not (out[i - 1] == NONE if i else unknown)]
+            return out, ends
+        return out, unknown and not out
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, as 32-bit numbers one after another."""
         text = self.model.normal(text)
         if not self.remember or not self.model.by_word or not self.model.bytes:
-            return [k for part in self.stream(text[i : i + BLOCK] for i in range(0, len(text), BLOCK)) for k in part]
-        out: list[int] = []
-        known = self.known
+            return b"".join(array("i", part).tobytes() for part in self.stream(text[i : i + BLOCK] for i in range(0, len(text), BLOCK)))
+        parts: list[bytes] = []
+        known, older = self.known, self.older
         for word in self.model.chunks.findall(text):
             ids = known.get(word)
-            if ids is None and (ids := self.older.get(word)) is not None:
-                known[word] = ids
-            elif ids is None:
-                ids = [k for part in self.stream(word[i : i + BLOCK] for i in range(0, len(word), BLOCK)) for k in part]
+            if ids is None:
+                if (ids := older.get(word)) is None:
+                    ids = self._word(word)
                 if len(word) <= LONGEST_REMEMBERED:
                     if len(known) >= self.remember:
-                        self.older, self.known = known, {}
-                        known = self.known
+                        self.older, self.known = older, known = known, {}
                     known[word] = ids
-            out += ids
-        return out
+            parts.append(ids)
+        return b"".join(parts)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word, at whose end all ways meet; a short one is a window of its own."""
+        n = len(word)
+        if n > BLOCK:
+            return b"".join(array("i", part).tobytes() for part in self.stream(word[i : i + BLOCK] for i in range(0, n, BLOCK)))
+        ids, last, score = [NONE] * (n + 1), [1] * (n + 1), [0.0, *[-np.inf] * n]
+        self._extend(word, ids, last, score, 0, n)
+        return array("i", self._given(word, ids, last, n, False)[0]).tobytes()
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def _bytes(self, k: int) -> bytes:
         piece, kind = self.model.pieces[k], self.model.kinds[k]
@@ -313,9 +337,8 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         for pdf in batches:
             for at in range(0, len(pdf), 64):  # so that few rows' ids are held as Python lists
                 part = pdf.iloc[at : at + 64]
-                ids = [None if t is None else encoder.encode(t) for t in part["text"]]
-                same = [None if t is None else encoder.decode(x) == t for t, x in zip(part["text"], ids, strict=True)]
-                ids = [None if x is None else np.array(x, np.int32) for x in ids]
+                ids = [None if t is None else np.frombuffer(encoder.packed(t), np.int32) for t in part["text"]]
+                same = [None if t is None else encoder.decode(x.tolist()) == t for t, x in zip(part["text"], ids, strict=True)]
                 n = pd.array([None if x is None else len(x) for x in ids], "Int64")
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": pd.Series(ids, part.index, dtype=object), "n_ids": pd.Series(n, part.index), "round_trip": pd.Series(same, part.index, dtype=object)})
 
