@@ -30,4 +30,3 @@ def test_sparse_topics_find_all_partners(spark):
     least = perturb.overlap_partner(every, every.select("id", F.lit("hub").alias("topic"))).collect()
     assert len(least) == 30 and all(r.shared == 1 and r.other != r.id for r in least)
     assert perturb.overlap_partner(items.limit(1), topics).count() == 0
-    assert sum(r.shared == 0 for r in perturb.least_overlap(items, topics, most=True).collect()) > 300, "a sample misses most"

@@ -7,14 +7,17 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import durable
+
 TRIPLES = "array<array<string>>"
-# Tokens that stand for a missing subject or object.
-PLACEHOLDERS = ["subject", "relation", "object", "entity", "none", "null", "n/a", "unknown", ""]
+# Tokens of the prompt that an answer must not hold as subject or object.
+PLACEHOLDERS = ["entity1", "entity2", "entity3", "entity4", "relation"]
 
 
 def _literal(cells: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -58,9 +61,9 @@ def canonical(s: Column, p: Column, o: Column) -> Column:
 
 
 def valid(s: Column, p: Column, o: Column) -> Column:
-    """Whether subject and object are there and no placeholder; the relation only has to be there."""
-    good = lambda x: x.isNotNull() & ~F.lower(F.trim(x)).isin(PLACEHOLDERS)
-    return good(s) & good(o) & p.isNotNull()
+    """Whether all three are there and neither subject nor object is a placeholder; false for nulls."""
+    good = lambda x: ~F.lower(F.trim(x)).isin(PLACEHOLDERS)
+    return F.coalesce(good(s) & good(o) & p.isNotNull(), F.lit(False))
 
 
 def until_blank(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -72,9 +75,12 @@ def until_blank(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
 
 
 def edges(triples: DataFrame) -> DataFrame:
-    """pair_id, side, u, v, relation: undirected, lower-cased, u <= v; the last relation stays."""
+    """pair_id, side, u, v, relation: undirected, lower-cased, u <= v; the last relation stays.
+
+    A triple without a subject or an object is no edge; the relation may be null.  Repeated triples are one edge.
+    """
     s, o = F.lower("s"), F.lower("o")
-    rows = triples.select("pair_id", "side", "pos", F.least(s, o).alias("u"), F.greatest(s, o).alias("v"), F.lower("p").alias("p"))
+    rows = triples.where("s is not null and o is not null").select("pair_id", "side", "pos", F.least(s, o).alias("u"), F.greatest(s, o).alias("v"), F.lower("p").alias("p"))
     return rows.groupBy("pair_id", "side", "u", "v").agg(F.max_by("p", "pos").alias("relation"))
 
 
@@ -88,24 +94,38 @@ def vocabulary(triples: DataFrame) -> DataFrame:
     return rows.withColumn("id", (F.row_number().over(Window.partitionBy("pair_id", "kind").orderBy("label")) - 1).cast("long"))
 
 
-def wl_relational(triples: DataFrame, pairs: DataFrame, iterations: int = 2) -> DataFrame:
+def light(triple: Column) -> Column:
+    """A triple's parts without white space around them; null parts are empty."""
+    return F.transform(triple, lambda x: F.trim(F.coalesce(x, F.lit(""))))
+
+
+def filled(s: Column, p: Column, o: Column) -> list[Column]:
+    """Parts of a triple for a network: a blank subject or object is one space, a blank relation ``related``."""
+    part = lambda x, name: F.when(F.trim(F.coalesce(x, F.lit(""))) == "", name).otherwise(x)
+    return [part(s, " ").alias("s"), part(p, "related").alias("p"), part(o, " ").alias("o")]
+
+
+def wl_relational(triples: DataFrame, pairs: DataFrame, iterations: int = 5) -> DataFrame:
     """pair_id, wl: the normalised kernel over levels 0 to ``iterations`` by joins on nodes; null where a graph has no edge.
 
-    One join and one aggregation a level, all keyed by the pair and a node, so a large graph is spread over tasks.
+    The edges and each level's labels are written once, so the plan of a level doesn't hold the levels before it.  One
+    join and one aggregation a level, keyed by the pair and a node: a large graph is spread over tasks.  Labels are
+    64-bit hashes, which meet only labels of the same pair.
     """
     e = edges(triples).select("pair_id", "side", "u", "v")
-    both = e.union(e.select("pair_id", "side", F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    labels = both.select("pair_id", "side", "u").distinct().withColumn("label", F.col("u"))
-    counts = None
+    both = durable(e.union(e.select("pair_id", "side", F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = both.select("pair_id", "side", "u").distinct().withColumn("label", F.xxhash64("u"))
+    levels = []
     for level in range(iterations + 1):
-        own = labels.groupBy("pair_id", "label").agg(F.sum((F.col("side") == 0).cast("long")).alias("c0"), F.sum((F.col("side") == 1).cast("long")).alias("c1"))
-        own = own.groupBy("pair_id").agg(F.sum(F.col("c0") * F.col("c1")).alias("k01"), F.sum(F.col("c0") * F.col("c0")).alias("k00"), F.sum(F.col("c1") * F.col("c1")).alias("k11"))
-        counts = own if counts is None else counts.union(own)
+        labels = durable(labels)
+        levels.append(labels.select("pair_id", "side", F.lit(level).alias("level"), "label"))
         if level < iterations:
             near = both.join(labels.select("pair_id", "side", F.col("u").alias("v"), F.col("label").alias("near")), ["pair_id", "side", "v"])
-            near = near.groupBy("pair_id", "side", "u").agg(F.array_join(F.array_sort(F.collect_list("near")), ",").alias("near"))
-            labels = labels.join(near, ["pair_id", "side", "u"]).select("pair_id", "side", "u", F.md5(F.concat_ws("#", "label", "near")).alias("label"))
-    total = counts.groupBy("pair_id").agg(*[F.sum(k).alias(k) for k in ("k01", "k00", "k11")])
+            near = near.groupBy("pair_id", "side", "u").agg(F.array_sort(F.collect_list("near")).alias("near"))
+            labels = labels.join(near, ["pair_id", "side", "u"]).select("pair_id", "side", "u", F.xxhash64("label", "near").alias("label"))
+    c = [F.sum((F.col("side") == k).cast("long")).alias(f"c{k}") for k in (0, 1)]
+    own = reduce(DataFrame.unionByName, levels).groupBy("pair_id", "level", "label").agg(*c)
+    total = own.groupBy("pair_id").agg(*[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"k{i}{j}") for i, j in ((0, 1), (0, 0), (1, 1))])
     wl = F.when((F.col("k00") > 0) & (F.col("k11") > 0), F.col("k01") / F.sqrt(F.col("k00").cast("double") * F.col("k11")))
     return pairs.select("pair_id").distinct().join(total.select("pair_id", wl.alias("wl")), "pair_id", "left")
 

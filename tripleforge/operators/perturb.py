@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import durable
+
 # Relations and their opposites.
 OPPOSITES = {
     "increases": "decreases", "decreases": "increases", "causes": "prevents", "prevents": "causes", "includes": "excludes", "excludes": "includes", "won": "lost", "lost": "won",
@@ -108,24 +110,6 @@ def omit_fact(text: Column) -> Column:
     return F.when(F.size(s) > 1, F.array_join(F.concat(F.slice(s, 1, drop), F.slice(s, drop + 2, F.size(s))), " "))
 
 
-def least_overlap(items: DataFrame, topics: DataFrame, rounds: int = 4, seed: str = "7", most: bool = False) -> DataFrame:
-    """id, other, shared: for each item (id) another that shares fewest (or ``most``) topics (id, topic) of those drawn for it.
-
-    A sample: some 16 candidates an item, however many items there are.  ``overlap_partner`` looks at all of them.
-
-    Items are drawn together by hash, in each round into slots of about four, so candidates are few for every item and
-    no item is compared with all others; of equals the smaller id is taken.
-    """
-    slots = max(1, -(-items.count() // 4))
-    each = [F.struct(F.lit(k).alias("k"), F.pmod(draw(f"{seed}-{k}", "id"), F.lit(slots)).alias("slot")) for k in range(rounds)]
-    dealt = items.select("id", F.explode(F.array(*each)).alias("d")).select("id", "d.*")
-    pairs = dealt.join(dealt.withColumnRenamed("id", "other"), ["k", "slot"]).where("id <> other").select("id", "other").distinct()
-    shared = pairs.join(topics, "id").join(topics.withColumnRenamed("id", "other"), ["other", "topic"]).groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"))
-    rows = pairs.join(shared, ["id", "other"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    order = F.struct((-F.col("shared") if most else F.col("shared")).alias("by"), "other", "shared")
-    return rows.groupBy("id").agg(F.min(order).alias("b")).select("id", "b.other", "b.shared")
-
-
 def overlap_partner(items: DataFrame, topics: DataFrame, seed: str = "7", most: bool = False) -> DataFrame:
     """id, other, shared: for each item (id) the one of all others that shares fewest (or ``most``) topics (id, topic).
 
@@ -134,7 +118,7 @@ def overlap_partner(items: DataFrame, topics: DataFrame, seed: str = "7", most:
     first in hash order is taken; a single item has no partner.
     """
     order = numbered(items.select("id").distinct().withColumns({"_draw": draw(seed, "id"), "_one": F.lit(0)}), "_one", ["id"])
-    order = order.select("id", F.col("_nth").alias("nth")).localCheckpoint()
+    order = durable(order.select("id", F.col("_nth").alias("nth")))
     n = order.count()
     held = topics.select("id", "topic").distinct().join(order, "id").select("nth", "topic")
     met = held.join(held.withColumnRenamed("nth", "b"), "topic").where("nth <> b").groupBy("nth", "b").agg(F.count(F.lit(1)).alias("shared"))

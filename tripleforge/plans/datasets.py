@@ -8,7 +8,7 @@ from ..operators import kg, matching, metrics, perturb
 from ..sources import extraction, tables
 from . import evaluation as ev
 from . import graphs
-from .perturbation import SWAPS, S, brands, docs, draw, hashed
+from .perturbation import SWAPS, S, docs, draw, hashed
 from .registry import query, read
 
 # --- sources and extraction
@@ -199,18 +199,3 @@ def changed_until_enough(spark, sf_dir):
 @query("papers", S + ", w as (select doc_id, s, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from s) select doc_id, md5(array_to_string(w[1:300], ' ')) as digest from w where len(w) >= 30 and len(s) >= 2")
 def papers(spark, sf_dir):
     return perturb.papers(docs(spark, sf_dir).select("doc_id", "text"), "text").select("doc_id", hashed(F.col("context")).alias("digest"))
-
-
-@query(
-    "same_domain_partner",
-    f"""
-with i as (select s_suppkey as id from supplier), m as (select greatest(1, ceil(count(*) / 4))::bigint as m from i),
-d as ({" union all ".join(f"select id, {k} as k, {draw(f'7-{k}', 'id')} % m as slot from i, m" for k in range(4))}),
-p as (select distinct a.id, b.id as other from d a join d b on a.k = b.k and a.slot = b.slot and a.id <> b.id),
-t as (select distinct l_suppkey as id, p_brand || ' ' || p_size as topic from lineitem join part on l_partkey = p_partkey),
-c as (select p.id, p.other, count(y.topic) as shared from p left join t x on x.id = p.id left join t y on y.id = p.other and y.topic = x.topic group by 1, 2)
-select id, other, shared from c qualify row_number() over (partition by id order by shared desc, other) = 1
-""",
-)
-def same_domain_partner(spark, sf_dir):
-    return perturb.least_overlap(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), brands(spark, sf_dir), most=True)

@@ -23,18 +23,34 @@ kg as (select pair_id, side, pos, w[1] as s, w[2] as p, w[-1] as o from w where
 EDGES = ", e as (select pair_id, side, least(s, o) as u, greatest(s, o) as v, arg_max(p, pos) as relation from kg group by 1, 2, 3, 4)"
 
 
-def _wl(levels: int) -> str:
-    sql = ", b as (select pair_id, side, u, v from e union select pair_id, side, v, u from e), l0 as (select distinct pair_id, side, u, u as label from b)"
+def _wl(levels: int, name: str = "", edges: str = "e", label: str = "u") -> str:
+    """CTEs of the kernel over the given edges; the last, ``t`` and the name, has a pair's three sums."""
+    b, c, t, l = (f"{x}{name}" for x in ("b", "c", "t", "l"))
+    sql = f", {b} as (select pair_id, side, u, v from {edges} union select pair_id, side, v, u from {edges}), {l}0 as (select distinct pair_id, side, u, {label} as label from {b})"
     for k in range(1, levels + 1):
-        sql += f", l{k} as (select a.pair_id, a.side, a.u, md5(any_value(a.label) || '#' || string_agg(n.label, ',' order by n.label)) as label from l{k - 1} a join b using (pair_id, side, u) join l{k - 1} n on n.pair_id = b.pair_id and n.side = b.side and n.u = b.v group by 1, 2, 3)"
-    parts = " union all ".join(f"select {k} as h, pair_id, label, sum((side = 0)::int) as c0, sum((side = 1)::int) as c1 from l{k} group by 1, 2, 3" for k in range(levels + 1))
-    return sql + f", c as ({parts}), t as (select pair_id, sum(c0 * c1) as k01, sum(c0 * c0) as k00, sum(c1 * c1) as k11 from c group by 1)"
+        sql += f", {l}{k} as (select a.pair_id, a.side, a.u, md5(any_value(a.label) || '#' || string_agg(n.label, ',' order by n.label)) as label from {l}{k - 1} a join {b} b using (pair_id, side, u) join {l}{k - 1} n on n.pair_id = b.pair_id and n.side = b.side and n.u = b.v group by 1, 2, 3)"
+    parts = " union all ".join(f"select {k} as h, pair_id, label, sum((side = 0)::int) as c0, sum((side = 1)::int) as c1 from {l}{k} group by 1, 2, 3" for k in range(levels + 1))
+    return sql + f", {c} as ({parts}), {t} as (select pair_id, sum(c0 * c1) as k01, sum(c0 * c0) as k00, sum(c1 * c1) as k11 from {c} group by 1)"
 
 
-@query("wl_kernel_h2", KG + EDGES + _wl(2) + "select pair_id, round(case when k00 > 0 and k11 > 0 then k01 / sqrt(k00::double * k11::double) end, 6) as wl from (select distinct doc_id // 2 as pair_id from documents) left join t using (pair_id)")
-def wl_kernel_h2(spark, sf_dir):
+WL = "select pair_id, round(case when k00 > 0 and k11 > 0 then k01 / sqrt(k00::double * k11::double) end, 6) as wl from (select distinct doc_id // 2 as pair_id from documents) left join t using (pair_id)"
+
+
+def wl(spark, sf_dir, iterations):
     pairs = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 2).alias("pair_id"))
-    return kg.wl_relational(sentences(spark, sf_dir), pairs, 2).withColumn("wl", F.round("wl", 6))
+    return kg.wl_relational(sentences(spark, sf_dir), pairs, iterations).withColumn("wl", F.round("wl", 6))
+
+
+@query("wl_kernel_h2", KG + EDGES + _wl(2) + WL)
+def wl_kernel_h2(spark, sf_dir):
+    """The kernel over the first three levels."""
+    return wl(spark, sf_dir, 2)
+
+
+@query("wl_kernel", KG + EDGES + _wl(5) + WL)
+def wl_kernel(spark, sf_dir):
+    """The kernel over all six levels."""
+    return wl(spark, sf_dir, 5)
 
 
 @query("kg_undirected_edges", KG + EDGES + "select * from e")
@@ -62,13 +78,43 @@ def kg_normal_labels(spark, sf_dir):
 PLACES = ", ".join(f"'{x}'" for x in kg.PLACEHOLDERS)
 
 
-@query("kg_valid_triples", f"select c_custkey, case when c_custkey % 7 = 0 then 'Unknown' else c_name end as s, c_mktsegment as p, n_name as o from customer join nation on c_nationkey = n_nationkey where lower(case when c_custkey % 7 = 0 then 'Unknown' else c_name end) not in ({PLACES}) and lower(n_name) not in ({PLACES})")
+NAMES = "case c_custkey % 7 when 0 then ' Entity' || c_custkey % 5 when 1 then 'relation' when 2 then null else c_name end"
+
+
+@query("kg_valid_triples", f"with t as (select c_custkey, {NAMES} as s, case when c_custkey % 3 = 0 then 'relation' else c_mktsegment end as p, n_name as o from customer join nation on c_nationkey = n_nationkey) select * from t where s is not null and lower(trim(s)) not in ({PLACES}) and lower(trim(o)) not in ({PLACES})")
 def kg_valid_triples(spark, sf_dir):
+    """Tokens of the prompt are rejected as subjects and objects, not as relations."""
     rows = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    rows = rows.select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, "Unknown").otherwise(F.col("c_name")).alias("s"), F.col("c_mktsegment").alias("p"), F.col("n_name").alias("o"))
+    k = F.col("c_custkey") % 7
+    s = F.when(k == 0, F.concat(F.lit(" Entity"), F.col("c_custkey") % 5)).when(k == 1, "relation").when(k == 2, None).otherwise(F.col("c_name"))
+    rows = rows.select("c_custkey", s.alias("s"), F.when(F.col("c_custkey") % 3 == 0, "relation").otherwise(F.col("c_mktsegment")).alias("p"), F.col("n_name").alias("o"))
     return rows.where(kg.valid(F.col("s"), F.col("p"), F.col("o")))
 
 
+HOLES = "select user_id as pair_id, (event_id % 2)::int as side, event_id as pos, case when event_id % 5 = 0 then null else event_type end as s, 'did' as p, case when event_id % 7 = 0 then null else 'User ' || user_id % 10 end as o from events"
+
+
+@query("kg_edges_with_holes", f"with h as ({HOLES}) select pair_id, side, least(lower(s), lower(o)) as u, greatest(lower(s), lower(o)) as v, arg_max(p, pos) as relation from h where s is not null and o is not null group by 1, 2, 3, 4")
+def kg_edges_with_holes(spark, sf_dir):
+    """Triples without a subject or an object are no edges."""
+    e = read(spark, sf_dir, "events")
+    s, o = F.when(F.col("event_id") % 5 == 0, None).otherwise(F.col("event_type")), F.when(F.col("event_id") % 7 == 0, None).otherwise(F.concat(F.lit("User "), F.col("user_id") % 10))
+    return kg.edges(e.select(F.col("user_id").alias("pair_id"), (F.col("event_id") % 2).cast("int").alias("side"), F.col("event_id").alias("pos"), s.alias("s"), F.lit("did").alias("p"), o.alias("o")))
+
+
+@query("kg_light_strip", "select s_suppkey, s_name as s, 'in' as p, '' as o from supplier")
+def kg_light_strip(spark, sf_dir):
+    t = kg.light(F.array(F.concat(F.lit("  "), "s_name", F.lit(" ")), F.lit("in "), F.lit(None).cast("string")))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", *[F.get(t, F.lit(i)).alias(c) for i, c in enumerate("spo")])
+
+
+@query("kg_filled_triples", "select s_suppkey, case when s_suppkey % 3 = 0 then ' ' else s_name end as s, case when s_suppkey % 4 = 0 then 'related' else 'in' end as p, case when s_suppkey % 5 = 0 then ' ' else 'x' end as o from supplier")
+def kg_filled_triples(spark, sf_dir):
+    k = F.col("s_suppkey")
+    s, p, o = F.when(k % 3 == 0, "  ").otherwise(F.col("s_name")), F.when(k % 4 == 0, None).otherwise(F.lit("in")), F.when(k % 5 == 0, "").otherwise(F.lit("x"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", *kg.filled(s, p, o))
+
+
 @query("kg_canonical_key", "select s_suppkey, lower(s_name) || '|in nation|' || lower(trim(n_name)) as key from supplier join nation on s_nationkey = n_nationkey")
 def kg_canonical_key(spark, sf_dir):
     rows = read(spark, sf_dir, "supplier").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -112,10 +158,69 @@ def kg_similarity_all(spark, sf_dir):
     return similarity.score_pairs(triples)
 
 
-@query("kg_similarity_texts")
+#: Methods that SQL states as well, and the digits to which they are compared.
+CHECKED, DIGITS = ["wl", "aligned_wl", "pooled", "gaussian", "best_match", "graph_p", "graph_r", "triple_p", "triple_r", "triple_f1"], 5
+LETTERS = "[" + ", ".join(f"'{c}'" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+
+
+def _vector(text):
+    return f"list_transform({LETTERS}, lambda c: (length({text}) - length(replace({text}, c, '')))::double)"
+
+
+def _labels(name, source):
+    """A CTE of labels with their vectors and norms; ``source`` gives pair_id, k, label."""
+    return f", {name}_ as ({source}), {name} as (select pair_id, k, label, {_vector('label')} as v from {name}_), {name}n as (select *, sqrt(list_dot_product(v, v)) as n from {name})"
+
+
+def _near(name, one, two):
+    """A CTE of the cosines of two tables of labels."""
+    return f", {name} as (select pair_id, a.k as a, a.label as la, b.k as b, b.label as lb, round(list_dot_product(a.v, b.v) / (a.n * b.n + 1e-8::double), 10) as cos, list_dot_product(a.v, b.v) / (a.n * b.n) as plain from {one}n a join {two}n b using (pair_id))"
+
+
+def _prf(name, near):
+    return f", {name} as (select pair_id, p, r, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f from (select pair_id, avg(m) as p from (select pair_id, b, max(cos) as m from {near} group by 1, 2) group by 1) join (select pair_id, avg(m) as r from (select pair_id, a, max(cos) as m from {near} group by 1, 2) group by 1) using (pair_id))"
+
+
+def _mapping(name, one, two, near, prefix):
+    best = f"select pair_id, la as label, lb, cos from {near} qualify row_number() over (partition by pair_id, la order by cos desc, lb) = 1"
+    return f""", {name} as (select coalesce(x.pair_id, y.pair_id) as pair_id, coalesce(x.label, y.label) as label,
+      case when x.cos >= 0.65::double then '{prefix}_' || x.lb when y.label is not null then '{prefix}_' || y.label else x.label end as anchor from ({best}) x full join {two}_ y on x.pair_id = y.pair_id and x.label = y.label)"""
+
+
+def _distinct(table, *columns):
+    return "select distinct pair_id, label as k, label from (" + " union ".join(f"select pair_id, {c} as label from {table}" for c in columns) + ")"
+
+
+SIMILARITIES = (
+    KG + EDGES + _wl(5)
+    + ", g0 as (select * from kg where side = 0), g1 as (select * from kg where side = 1), whole as (select distinct pair_id from g0 where pair_id in (select pair_id from g1))"
+    + _labels("t0", "select pair_id, pos as k, s || ' ' || p || ' ' || o as label from g0") + _labels("t1", "select pair_id, pos as k, s || ' ' || p || ' ' || o as label from g1") + _near("tt", "t0", "t1")
+    + ", kept as (select * from g1 where (pair_id, pos) in (select (pair_id, b) from (select * from tt qualify row_number() over (partition by pair_id, a order by cos desc, b) = 1)))"
+    + ", means as (select pair_id, i, avg(v[i]) filter (side = 0) as x, avg(v[i]) filter (side = 1) as y from (select pair_id, 0 as side, v, unnest(range(1, 27)) as i from t0 union all select pair_id, 1, v, unnest(range(1, 27)) from t1 where (pair_id, k) in (select (pair_id, pos) from kept)) group by 1, 2)"
+    + ", pooled as (select pair_id, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)) + 1e-8::double), 10) as pooled from means group by 1)"
+    + _labels("n0", _distinct("g0", "s", "o")) + _labels("n1", _distinct("kept", "s", "o")) + _near("nn", "n0", "n1") + _mapping("nodemap", "n0", "n1", "nn", "node")
+    + _labels("r0", _distinct("g0", "p")) + _labels("r1", _distinct("kept", "p")) + _near("rr", "r0", "r1") + _mapping("edgemap", "r0", "r1", "rr", "edge")
+    + ", anchors as (select pair_id, label, coalesce(e.anchor, n.anchor) as anchor from nodemap n left join edgemap e using (pair_id, label))"
+    + ", ea_ as (select pair_id, side, least(s, o) as u, greatest(s, o) as v from (select * from g0 union all select * from kept) group by all), ea as (select x.pair_id, side, u, v from ea_ x)"
+    + _wl(5, "a", "ea", "(select anchor from anchors m where m.pair_id = ba.pair_id and m.label = ba.u)")
+    + _labels("a0", _distinct("g0", "s", "p", "o")) + _labels("a1", _distinct("g1", "s", "p", "o")) + _near("aa", "a0", "a1")
+    + ", gaussian as (select pair_id, avg(m) as gaussian from (select pair_id, a, max(exp(-greatest(0, 2 - 2 * plain) / 2)) as m from aa group by 1, 2) group by 1)"
+    + _labels("w0", _distinct("g0", "s", "o")) + _labels("w1", _distinct("g1", "s", "o")) + _near("ww", "w0", "w1") + _prf("fn", "ww")
+    + _labels("p0", "select pair_id, pos as k, p as label from g0") + _labels("p1", "select pair_id, pos as k, p as label from g1") + _near("pp", "p0", "p1") + _prf("fe", "pp") + _prf("ft", "tt")
+    + ", scores as (select pair_id, t.k01 / sqrt(t.k00::double * t.k11) as wl, ta.k01 / sqrt(ta.k00::double * ta.k11) as aligned_wl, pooled, gaussian, 0.6 * fn.p + 0.4 * fe.p as graph_p, 0.6 * fn.r + 0.4 * fe.r as graph_r, ft.p as triple_p, ft.r as triple_r, ft.f as triple_f1, "
+    + "least(1, greatest(0, 0.5 * (0.6 * fn.f + 0.4 * fe.f) + 0.5 * ft.f)) as best_match from whole join t using (pair_id) join ta using (pair_id) join pooled using (pair_id) join gaussian using (pair_id) join fn using (pair_id) join fe using (pair_id) join ft using (pair_id))"
+)
+
+
+@query(
+    "kg_similarity_texts",
+    SIMILARITIES + " select pair_id, " + ", ".join(f"round({m}::double, {DIGITS}) as {m}" for m in CHECKED) + ", "
+    + ", ".join(f"round({k / 10}::double * aligned_wl + (1 - {k / 10}::double) * least(1, greatest(0, pooled)), {DIGITS}) as blend_{k}" for k in range(11)) + " from (select distinct pair_id from kg) left join scores using (pair_id)",
+)
 def kg_similarity_texts(spark, sf_dir):
-    """Kernel and matching methods on the sentence graphs of all pairs of documents."""
-    return similarity.score_pairs(sentences(spark, sf_dir), ["wl", "aligned_wl", "pooled", "gaussian", "best_match"])
+    """Kernel and matching methods and all blends on the sentence graphs of all pairs of documents, with an encoder that SQL can state."""
+    out = similarity.score_pairs(sentences(spark, sf_dir), CHECKED, similarity.letter_encoder)
+    return out.withColumns({c: F.round(c, DIGITS) for c in out.columns if c != "pair_id"})
 
 
 @query("kg_similarity_texts_all")
@@ -125,6 +230,10 @@ def kg_similarity_texts_all(spark, sf_dir):
     return pairs.join(similarity.score_pairs(sentences(spark, sf_dir)), "pair_id", "left")
 
 
-@query("kg_coverage")
+METHODS = [*similarity.METHODS, *(f"blend_{k}" for k in range(11))]
+
+
+@query("kg_coverage", KG + ", f as (select pair_id, count(distinct side) = 2 as ok from kg group by 1), c as (select count(*) as n, count(*) filter (ok) as valid from (select distinct doc_id // 2 as pair_id from documents) left join f using (pair_id)) select unnest([" + ", ".join(f"'{m}'" for m in METHODS) + "]) as method, valid, n - valid as missing from c")
 def kg_coverage(spark, sf_dir):
+    """Pairs of documents for which each method has a score, and those for which it has none."""
     return similarity.coverage(kg_similarity_texts_all(spark, sf_dir))

@@ -96,43 +96,28 @@ def inversion_blindness(spark, sf_dir):
 
 
 def brands(spark, sf_dir):
-    """Suppliers and the brands that they delivered: id, topic."""
-    return read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("id"), F.concat("p_brand", F.lit(" "), "p_size").alias("topic")).distinct()
-
-
-@query(
-    "least_overlap",
-    f"""
-with i as (select s_suppkey as id from supplier), m as (select greatest(1, ceil(count(*) / 4))::bigint as m from i),
-d as ({" union all ".join(f"select id, {k} as k, {draw(f'7-{k}', 'id')} % m as slot from i, m" for k in range(4))}),
-p as (select distinct a.id, b.id as other from d a join d b on a.k = b.k and a.slot = b.slot and a.id <> b.id),
-t as (select distinct l_suppkey as id, p_brand || ' ' || p_size as topic from lineitem join part on l_partkey = p_partkey),
-c as (select p.id, p.other, count(y.topic) as shared from p left join t x on x.id = p.id left join t y on y.id = p.other and y.topic = x.topic group by 1, 2)
-select id, other, shared from c qualify row_number() over (partition by id order by shared, other) = 1
-""",
-)
-def least_overlap(spark, sf_dir):
-    return perturb.least_overlap(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), brands(spark, sf_dir))
+    """Suppliers and the parts that they delivered: id, topic."""
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("topic")).distinct()
 
 
 def overlap_sql(by):
     return f"""
-with t as (select distinct l_suppkey as id, p_brand || ' ' || p_size as topic from lineitem join part on l_partkey = p_partkey),
+with t as (select distinct l_suppkey as id, l_partkey as topic from lineitem),
 p as (select a.s_suppkey as id, b.s_suppkey as other from supplier a join supplier b on a.s_suppkey <> b.s_suppkey),
 c as (select p.id, p.other, count(y.topic) as shared from p left join t x on x.id = p.id left join t y on y.id = p.other and y.topic = x.topic group by 1, 2)
 select id, other, shared from c qualify row_number() over (partition by id order by {by}, {draw('7', 'other')}, other) = 1
 """
 
 
-@query("least_overlap_all", overlap_sql("shared"))
-def least_overlap_all(spark, sf_dir):
-    """Of all other suppliers the one that shares fewest brands."""
+@query("least_overlap", overlap_sql("shared"))
+def least_overlap(spark, sf_dir):
+    """Of all other suppliers the one that shares fewest parts."""
     return perturb.overlap_partner(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), brands(spark, sf_dir))
 
 
-@query("same_domain_partner_all", overlap_sql("shared desc"))
-def same_domain_partner_all(spark, sf_dir):
-    """Of all other suppliers the one that shares most brands."""
+@query("same_domain_partner", overlap_sql("shared desc"))
+def same_domain_partner(spark, sf_dir):
+    """Of all other suppliers the one that shares most parts."""
     return perturb.overlap_partner(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), brands(spark, sf_dir), most=True)
 
 
