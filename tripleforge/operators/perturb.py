@@ -24,14 +24,13 @@ def draw(seed: str, *columns: str) -> Column:
 
 
 def balanced_sample(df: DataFrame, label: str, key: list[str], n: int | None = None, seed: str = "42") -> DataFrame:
-    """As many rows of each label as the rarest has, and ``n`` at most; chosen by hash.
+    """As many rows of each label as the rarest has, and ``n`` at most; the first by hash, ties by key.
 
-    The threshold is a rank: only rows below a hash that surely holds enough of them are ranked.
+    Rows are ranked in hash ranges, so no task orders a whole label.
     """
     least = df.groupBy(label).count().agg(F.min("count").alias("c")).first()["c"] or 0
     n = min(n, least) if n is not None else least
-    nth = F.row_number().over(Window.partitionBy(label).orderBy("_draw", *key))
-    return df.withColumn("_draw", draw(seed, *key)).withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_draw", "_nth")
+    return numbered(df.withColumn("_draw", draw(seed, *key)), label, key).where(F.col("_nth") < n).drop("_draw", "_nth")
 
 
 def binarize(df: DataFrame, score: str, threshold: float = 3.0) -> DataFrame:
@@ -46,6 +45,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
+def once(value: Column, f) -> Column:
+    """f(value), with the value computed once a row however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def phrases(text: Column, stop: list[str] = ()) -> Column:
     """Capitalised words of over three ASCII letters in order, each once, without those that begin a sentence's first word."""
     found = F.regexp_extract_all(text, F.lit(r"[a-z,;] ([A-Z][a-z]{3,})"), F.lit(1))
@@ -62,16 +66,14 @@ def is_prose(text: Column, least: int = 80, most: int = 400) -> Column:
 
 def reorder(text: Column) -> Column:
     """First and last sentence stay, those between are reversed; null for fewer than four."""
-    s = sentences(text)
-    middle = F.reverse(F.slice(s, 2, F.size(s) - 2))
-    return F.when(F.size(s) >= 4, F.array_join(F.concat(F.slice(s, 1, 1), middle, F.slice(s, -1, 1)), " "))
+    made = lambda s: F.when(F.size(s) >= 4, F.array_join(F.concat(F.slice(s, 1, 1), F.reverse(F.slice(s, 2, F.size(s) - 2)), F.slice(s, -1, 1)), " "))
+    return once(sentences(text), made)
 
 
 def delete_sentence(text: Column, holding: Column) -> Column:
-    """Without the sentences that hold the phrase; null if none or all do."""
-    s = sentences(text)
-    kept = F.filter(s, lambda x: ~F.contains(x, holding))
-    return F.when((F.size(kept) > 0) & (F.size(kept) < F.size(s)), F.array_join(kept, " "))
+    """Without the sentences that hold the phrase; null if none or all do, or for a null phrase."""
+    made = lambda s: once(F.filter(s, lambda x: ~F.contains(x, holding)), lambda k: F.when((F.size(k) > 0) & (F.size(k) < F.size(s)), F.array_join(k, " ")))
+    return once(sentences(text), made)
 
 
 def replace_relation(text: Column, opposites: dict[str, str] = OPPOSITES) -> Column:
@@ -84,12 +86,37 @@ def replace_relation(text: Column, opposites: dict[str, str] = OPPOSITES) -> Col
     return F.when(at > 0, F.array_join(swapped, " "))
 
 
-def scale_number(text: Column, factor: Column) -> Column:
-    """The first whole number, unless a year from 1900 to 2024, is multiplied by the factor; null if there is none."""
-    number = F.regexp_extract(text, r"(?<![\d.])(?!(?:19\d\d|20[01]\d|202[0-4])(?!\d))(\d{1,9})(?![\d.])", 1)
-    changed = F.round(F.nullif(number, F.lit("")).cast("double") * factor).cast("long").cast("string")
-    place = F.regexp_instr(text, F.lit(r"(?<![\d.])(?!(?:19\d\d|20[01]\d|202[0-4])(?!\d))\d{1,9}(?![\d.])"))
-    return F.when(number != "", F.concat(F.substr(text, F.lit(1), place - 1), changed, F.substr(text, place + F.length(number))))
+#: Numbers that may be changed: up to nine digits before the point.
+NUMBER = r"[0-9]+(?:\.[0-9]+)?"
+
+
+def distort_numbers(text: Column, seed: Column, most: int = 3, years: bool = True) -> Column:
+    """The first ``most`` numbers times a factor from 0.40 to 0.65, or from 1.35 to 1.60, by the seed and their place.
+
+    Zeros, numbers of more than nine digits and, if ``years``, whole numbers from 1900 to 2024 stay.  Whole numbers stay
+    whole, others keep one digit.  Null if no number can be changed.
+    """
+
+    def changed(x: Column, i: Column) -> Column:
+        step = F.pmod(seed + 7 * i, F.lit(52)).cast("double")
+        scaled = x.cast("double") * F.when(step < 26, 40 + step).otherwise(109 + step) / 100
+        tenths = F.floor(scaled * 10 + 0.5).cast("string")
+        parts = F.concat(F.substr(tenths, F.lit(1), F.length(tenths) - 1), F.lit("."), F.substring(tenths, -1, 1))
+        one = F.when(F.length(tenths) == 1, F.concat(F.lit("0."), tenths)).otherwise(parts)
+        return F.when(x.cast("double") == F.floor(x.cast("double")), F.floor(scaled + 0.5).cast("string")).otherwise(one)
+
+    def eligible(x: Column) -> Column:
+        year = x.rlike("^(19[0-9][0-9]|20[01][0-9]|202[0-4])$") if years else F.lit(False)
+        return (x.cast("double") > 0) & (F.length(F.regexp_extract(x, "^[0-9]+", 0)) <= 9) & ~year
+
+    def made(numbers: Column) -> Column:
+        places = F.slice(F.filter(F.transform(numbers, lambda x, i: F.when(eligible(x), i)), lambda i: i.isNotNull()), 1, most)
+        between = F.split(text, NUMBER)
+        new = lambda at: F.transform(numbers, lambda x, i: F.when(F.array_contains(at, i), changed(x, i)).otherwise(x))
+        joined = lambda at: F.array_join(F.transform(F.zip_with(between, new(at), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), lambda x: x), "")
+        return once(places, lambda at: F.when(F.size(at) > 0, joined(at)))
+
+    return once(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), made)
 
 
 def invert_triples(triples: DataFrame) -> DataFrame:
@@ -97,17 +124,83 @@ def invert_triples(triples: DataFrame) -> DataFrame:
     return triples.withColumns({"s": F.col("o"), "o": F.col("s")})
 
 
-def importance(sentence: Column) -> Column:
-    """2 for each capitalised word, 1.5 for a digit, a thirtieth of the length."""
-    return 2 * F.size(F.regexp_extract_all(sentence, F.lit("[A-Z][a-z]+"), F.lit(0))) + F.when(sentence.rlike("[0-9]"), 1.5).otherwise(0.0) + F.length(sentence) / 30.0
+def swap_spans(text: Column, one: Column, two: Column) -> Column:
+    """The two spans exchanged wherever they stand; null unless both are there and differ."""
+    mark = F.lit("\ue000")
+    there = F.contains(text, one) & F.contains(text, two) & (one != two) & (one != "") & (two != "")
+    return F.when(there, F.replace(F.replace(F.replace(text, one, mark), two, one), mark, two))
+
+
+def importance(sentence: Column, decision: Column | None = None) -> Column:
+    """2 for each capitalised word, 1.5 for a digit, 3 if it names the decision, a thirtieth of its words."""
+    words = F.size(F.filter(F.split(sentence, r"\s+"), lambda x: x != ""))
+    named = F.lit(0.0) if decision is None else F.when((decision != "") & F.contains(F.lower(sentence), decision), 3.0).otherwise(0.0)
+    return 2 * F.size(F.regexp_extract_all(sentence, F.lit("[A-Z][a-z]+"), F.lit(0))) + F.when(sentence.rlike("[0-9]"), 1.5).otherwise(0.0) + named + words / 30.0
+
 
+def omit_facts(text: Column, decision: Column | None = None) -> Column:
+    """Without the most important sentence, or the two most important of five and more, the first of equals; null for a single one."""
 
-def omit_fact(text: Column) -> Column:
-    """Without the most important sentence, the first of equals; null for a single one."""
-    s = sentences(text)
-    ranked = F.array_sort(F.transform(s, lambda x, i: F.struct((-importance(x)).alias("v"), i.alias("i"))))
-    drop = F.get(ranked, F.lit(0))["i"]
-    return F.when(F.size(s) > 1, F.array_join(F.concat(F.slice(s, 1, drop), F.slice(s, drop + 2, F.size(s))), " "))
+    def made(s: Column) -> Column:
+        worth = F.transform(s, lambda x, i: F.struct(importance(x, decision).alias("v"), (-i).alias("i")))
+
+        def without(w: Column) -> Column:
+            first = F.array_max(w)
+            second = F.when(F.size(w) >= 5, F.array_max(F.filter(w, lambda x: x != first))["i"]).otherwise(F.lit(1))
+            keep = lambda d: F.array_join(F.filter(s, lambda x, i: (i != -d["a"]) & (i != -d["b"])), " ")
+            return once(F.struct(first["i"].alias("a"), second.alias("b")), keep)
+
+        return F.when(F.size(s) > 1, once(worth, without))
+
+    return once(sentences(text), made)
+
+
+def first_success(seed: Column, strategies: list[Column]) -> Column:
+    """What the first strategy that isn't null makes of a row; the seed says which is tried first, the others follow in turn."""
+    turn, out = F.pmod(seed, F.lit(len(strategies))), None
+    for k in range(len(strategies)):
+        own = F.coalesce(*strategies[k:], *strategies[:k])
+        out = F.when(turn == k, own) if out is None else out.when(turn == k, own)
+    return out
+
+
+def replace_entities(text: Column, entities: Column, replacement: Column, most: int = 3) -> Column:
+    """Each of the first ``most`` entities of the text replaced by the replacement, wherever it stands."""
+    return F.aggregate(F.slice(entities, 1, most), text, lambda now, e: F.replace(now, e, replacement))
+
+
+def hallucinate(text: Column, entities: Column, replacement: Column, seed: Column, most: int = 3) -> Column:
+    """Up to ``most`` entities replaced and one number changed; null if neither can be."""
+    swapped = replace_entities(text, entities, replacement, most)
+    return once(swapped, lambda x: once(F.coalesce(distort_numbers(x, seed, 1, years=False), x), lambda y: F.when(y != text, y)))
+
+
+def pair_table(made: dict[str, DataFrame], key: str, text: str = "text", label: int = 0) -> DataFrame:
+    """pair_id, key, response1, response2, label, perturbation_type: all generators' changed rows (key, text, made), numbered from 0."""
+    out = None
+    for name, df in made.items():
+        own = df.where("made is not null").select(key, F.col(text).alias("response1"), F.col("made").alias("response2"), F.lit(label).alias("label"), F.lit(name).alias("perturbation_type"))
+        out = own if out is None else out.unionByName(own)
+    return ordinals(out, [key, "perturbation_type"], "pair_id")
+
+
+def ordinals(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with the number from 0 of each row in the given order, which must tell rows apart.
+
+    Rows are sorted in ranges; a row's number is the count of the earlier ranges and its place in its own, so no task
+    orders the whole table and the driver sees one count a range.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_range"), place.alias("_place"))
+    rows = durable(rows)
+    before, at = [], 0
+    for r in rows.groupBy("_range").count().orderBy("_range").collect():
+        before.append((r["_range"], at))
+        at += r["count"]
+    told = F.broadcast(spark.createDataFrame(before, "_range int, _before long"))  # one row a range
+    return rows.join(told, "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
 
 
 def overlap_partner(items: DataFrame, topics: DataFrame, seed: str = "7", most: bool = False) -> DataFrame:
@@ -190,25 +283,30 @@ def consecutive(df: DataFrame, kind: str, title: str, key: str, seed: str = "11"
 
 def delete_linked_sentence(text: Column, phrase: str = r"[A-Z][a-z]{3,}", at_least: int = 2) -> Column:
     """Without the first sentence that links so many phrases; null if there is none or it is all."""
-    s = sentences(text)
-    at = F.array_position(F.transform(s, lambda x: F.size(F.regexp_extract_all(x, F.lit(phrase), F.lit(0))) >= at_least), True).cast("int")
-    return F.when((at > 0) & (F.size(s) > 1), F.array_join(F.concat(F.slice(s, 1, at - 1), F.slice(s, at + 1, F.size(s))), " "))
+
+    def made(s: Column) -> Column:
+        at = F.array_position(F.transform(s, lambda x: F.size(F.regexp_extract_all(x, F.lit(phrase), F.lit(0))) >= at_least), True).cast("int")
+        return once(at, lambda n: F.when((n > 0) & (F.size(s) > 1), F.array_join(F.concat(F.slice(s, 1, n - 1), F.slice(s, n + 1, F.size(s))), " ")))
+
+    return once(sentences(text), made)
 
 
 def swap_words(text: Column, vocabulary: dict[str, str], most: int = 2) -> Column:
-    """The first occurrence of each word of the vocabulary, in any case, replaced, for ``most`` entries in order; null if none occurs."""
-    entries = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in vocabulary.items()])
-    start = F.struct(F.split(text, " ").alias("words"), F.lit(0).alias("n"))
+    """The first whole-word occurrence of each entry of the vocabulary, in any case, replaced, for ``most`` entries in order; null if none occurs.
+
+    A word ends where no ASCII letter, digit or underscore follows, so punctuation doesn't hide it.
+    """
+    def replacing(whole: str, by: str):
+        def step(v: Column) -> Column:
+            hit = (v["n"] < most) & v["x"].rlike(whole)
+            return F.struct(F.when(hit, F.regexp_replace(v["x"], whole, f"$1{by}$2")).otherwise(v["x"]).alias("x"), (v["n"] + hit.cast("int")).alias("n"))
 
-    def step(now: Column, entry: Column) -> Column:
-        at = F.array_position(F.transform(now["words"], F.lower), entry["a"])
-        hit = (at > 0) & (now["n"] < most)
-        one = at.cast("int")  # slices, so that no function over the words looks for the place again
-        words = F.concat(F.slice(now["words"], 1, one - 1), F.array(entry["b"]), F.slice(now["words"], one + 1, F.size(now["words"])))
-        return F.struct(F.when(hit, words).otherwise(now["words"]).alias("words"), (now["n"] + hit.cast("int")).alias("n"))
+        return step
 
-    done = F.aggregate(entries, start, step)
-    return F.when(done["n"] > 0, F.array_join(done["words"], " "))
+    now = F.struct(text.alias("x"), F.lit(0).alias("n"))
+    for a, b in vocabulary.items():
+        now = once(now, replacing(rf"(?is)^(|.*?[^a-z0-9_]){a}($|[^a-z0-9_])", b))
+    return once(now, lambda v: F.when(v["n"] > 0, v["x"]))
 
 
 def entity_pool(df: DataFrame, text: str, pattern: str) -> DataFrame:
@@ -216,11 +314,11 @@ def entity_pool(df: DataFrame, text: str, pattern: str) -> DataFrame:
     return df.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def corrupt(text: Column, factor: Column, vocabulary: dict[str, str]) -> Column:
-    """struct<text, subtype>: a changed number, or else changed words; null if neither is there."""
-    number, words = scale_number(text, factor), swap_words(text, vocabulary, 1)
+def corrupt(text: Column, seed: Column, vocabulary: dict[str, str]) -> Column:
+    """struct<text, subtype>: changed numbers, or else changed words; null if neither is there."""
+    number, words = distort_numbers(text, seed), swap_words(text, vocabulary, 1)
     made = F.struct(F.coalesce(number, words).alias("text"), F.when(number.isNotNull(), "number").otherwise("entity").alias("subtype"))
-    return F.when(number.isNotNull() | words.isNotNull(), made)
+    return once(made, lambda x: F.when(x["text"].isNotNull(), x))
 
 
 def until_enough(df: DataFrame, made: str, n: int, key: str, seed: str = "13") -> DataFrame:

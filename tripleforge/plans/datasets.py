@@ -8,7 +8,7 @@ from ..operators import kg, matching, metrics, perturb
 from ..sources import extraction, tables
 from . import evaluation as ev
 from . import graphs
-from .perturbation import SWAPS, S, docs, draw, hashed
+from .perturbation import SWAPS, S, distorted, docs, draw, hashed
 from .registry import query, read
 
 # --- sources and extraction
@@ -170,23 +170,31 @@ def entity_pool(spark, sf_dir):
     return perturb.entity_pool(docs(spark, sf_dir), "text", ENTITY)
 
 
-def _swapped(vocabulary, most):
-    sql, last = "with w0 as (select doc_id, string_split(text, ' ') as w, 0 as n from documents)", 0
+def swapped(vocabulary, most, source="documents", text="text"):
+    """SQL of swapped words: CTEs up to ``w`` and the number of entries, with doc_id, x, n."""
+    sql, last = f"w0 as (select *, {text} as x, 0 as n from {source})", 0
     for i, (a, b) in enumerate(vocabulary.items(), 1):
-        sql += f", p{i} as (select *, case when n < {most} then coalesce(list_position(list_transform(w, lambda x: lower(x)), '{a}'), 0) else 0 end as hit from w{last}), w{i} as (select doc_id, list_transform(w, lambda x, i: case when i = hit then '{b}' else x end) as w, n + (hit > 0)::int as n from p{i})"
+        whole = f"(?is)^(|.*?[^a-z0-9_]){a}($|[^a-z0-9_])"
+        sql += f", w{i} as (select * exclude (x, n), case when n < {most} then regexp_replace(x, '{whole}', '\\1{b}\\2') else x end as x, n + (n < {most} and regexp_matches(x, '{whole}'))::int as n from w{last})"
         last = i
-    return sql + f" select doc_id, md5(array_to_string(w, ' ')) as digest from w{last} where n > 0"
+    return sql, f"w{last}"
 
 
-@query("vocabulary_swap", _swapped(SWAPS, 2))
+SWAPPED = swapped(SWAPS, 2)
+
+
+@query("vocabulary_swap", f"with {SWAPPED[0]} select doc_id, md5(x) as digest from {SWAPPED[1]} where n > 0")
 def vocabulary_swap(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", hashed(perturb.swap_words(F.col("text"), SWAPS, 2)).alias("digest")).where("digest is not null")
 
 
-@query("factual_corruption")
+ONE_SWAPPED = swapped(SWAPS, 1, "made")
+
+
+@query("factual_corruption", "with d as (select doc_id, text from documents)" + distorted("text", draw("3", "doc_id"), 3) + f", {ONE_SWAPPED[0]} select doc_id, case when new is null then 'entity' else 'number' end as subtype, md5(coalesce(new, x)) as digest from {ONE_SWAPPED[1]} where new is not null or n > 0")
 def factual_corruption(spark, sf_dir):
-    """A number changed, or else a word, and which of the two it was."""
-    made = perturb.corrupt(F.col("text"), 0.4 + (perturb.draw("3", "doc_id") % 31) / 100.0, SWAPS)
+    """Numbers changed, or else a word, and which of the two it was."""
+    made = perturb.corrupt(F.col("text"), perturb.draw("3", "doc_id"), SWAPS)
     return docs(spark, sf_dir).select("doc_id", made.alias("m")).where("m is not null").select("doc_id", "m.subtype", hashed(F.col("m.text")).alias("digest"))
 
 

@@ -69,18 +69,40 @@ def relation_replacement(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", hashed(perturb.replace_relation(F.col("text"), SWAPS)).alias("digest")).where("digest is not null")
 
 
-IMPORTANCE = "2 * len(regexp_extract_all(x, '[A-Z][a-z]+')) + case when regexp_matches(x, '[0-9]') then 1.5 else 0 end + length(x) / 30.0::double"
+IMPORTANCE = "2 * len(regexp_extract_all(x, '[A-Z][a-z]+')) + case when regexp_matches(x, '[0-9]') then 1.5 else 0 end + case when contains(lower(x), lang) then 3 else 0 end + len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) / 30.0::double"
 
 
-@query("fact_omission", S + f", r as (select doc_id, s, list_transform(s, lambda x: ({IMPORTANCE})::double) as v from s where len(s) > 1), d as (select doc_id, s, list_position(v, list_max(v)) as pos from r) select doc_id, md5(array_to_string(list_filter(s, lambda x, i: i <> pos), ' ')) as digest from d")
+@query("fact_omission", S.replace("select doc_id, text,", "select doc_id, text, lang,") + f"""
+, r as (select doc_id, s, list_transform(s, lambda x: ({IMPORTANCE})::double) as v from s where len(s) > 1),
+d as (select doc_id, s, v, list_position(v, list_max(v)) as d1 from r), e as (select *, list_transform(v, lambda x, i: case when i = d1 then -1 else x end) as v2 from d),
+f as (select *, case when len(s) >= 5 then list_position(v2, list_max(v2)) else 0 end as d2 from e)
+select doc_id, md5(array_to_string(list_filter(s, lambda x, i: i <> d1 and i <> d2), ' ')) as digest from f
+""")
 def fact_omission(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", hashed(perturb.omit_fact(F.col("text"))).alias("digest")).where("digest is not null")
+    """Texts without their one or two most important sentences; the decision named is the language's code."""
+    return docs(spark, sf_dir).select("doc_id", hashed(perturb.omit_facts(F.col("text"), F.col("lang"))).alias("digest")).where("digest is not null")
+
+
+def distorted(text, seed, most, years=True):
+    """SQL of changed numbers: CTEs up to ``made`` (doc_id, text, new), the latter null if nothing could change; ``text`` and ``seed`` over table ``d``."""
+    year = "and not regexp_full_match(x, '19[0-9][0-9]|20[01][0-9]|202[0-4]')" if years else ""
+    fine = f"(x::double > 0 and length(regexp_extract(x, '^[0-9]+')) <= 9 {year})"
+    scaled = "x::double * case when step < 26 then 40 + step else 109 + step end / 100"
+    tenths = f"floor({scaled} * 10 + 0.5)::bigint::varchar".replace("step", "(((seed + 7 * (i - 1)) % 52)::double)")
+    whole = f"floor({scaled} + 0.5)::bigint::varchar".replace("step", "(((seed + 7 * (i - 1)) % 52)::double)")
+    one = f"case when length({tenths}) = 1 then '0.' || {tenths} else left({tenths}, -1) || '.' || right({tenths}, 1) end"
+    return f"""
+, n as (select *, {text} as x0, {seed} as seed, regexp_extract_all({text}, '[0-9]+(?:\\.[0-9]+)?') as nums, regexp_split_to_array({text}, '[0-9]+(?:\\.[0-9]+)?') as between from d),
+k as (select *, list_filter(list_transform(nums, lambda x, i: case when {fine} then i end), lambda i: i is not null)[1:{most}] as spots from n),
+made as (select * exclude (x0, nums, between, spots, seed), case when len(spots) > 0 then
+  array_to_string(list_transform(between, lambda b, j: b || coalesce(list_transform(nums, lambda x, i: case when not list_contains(spots, i) then x when x::double = floor(x::double) then {whole} else {one} end)[j], '')), '') end as new from k)
+"""
 
 
-@query("number_distortion")
+@query("number_distortion", "with d as (select doc_id, text from documents)" + distorted("text", draw("3", "doc_id"), 3) + "select doc_id, md5(new) as digest from made where new is not null")
 def number_distortion(spark, sf_dir):
-    factor = 0.4 + (perturb.draw("3", "doc_id") % 31) / 100.0
-    return docs(spark, sf_dir).select("doc_id", hashed(perturb.scale_number(F.col("text"), factor)).alias("digest")).where("digest is not null")
+    """Up to three numbers that are no years, decimals included."""
+    return docs(spark, sf_dir).select("doc_id", hashed(perturb.distort_numbers(F.col("text"), perturb.draw("3", "doc_id"))).alias("digest")).where("digest is not null")
 
 
 @query("triple_inversion", graphs.KG + "select pair_id, side, pos, o as s, p, s as o from kg")
