@@ -114,4 +114,4 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, "t")], "id long, text string").withColumn("q", extraction.prompt([__import__("pyspark").sql.functions.col("text")]))
     out = extraction.extract(df, "q", lambda: lambda text: '```json\n{"kg_1": [["a", "b", "c"]]}\n```')
     assert out.select(extraction.recover(out.answer)["kg_1"][0][2]).first()[0] == "c"
-    assert extraction.wait_seconds("try again in 1m2.5s") == 67.5 and math.isclose(extraction.wait_seconds("x"), 5.0)
+    assert extraction.wait_seconds("try again in 1m2.5s") == 67.5 and math.isclose(extraction.wait_seconds("x"), 65.0)

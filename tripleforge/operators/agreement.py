@@ -19,11 +19,18 @@ def aligned_prf(gold: DataFrame, said: DataFrame) -> DataFrame:
     return out.withColumn("f1", _share(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r"), 0.0))
 
 
+def first_rows(gold: DataFrame, said: DataFrame, most: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Both tables (row_id, key) with the first ``most`` of the rows that both have, by id."""
+    both = gold.select("row_id").distinct().join(said.select("row_id").distinct(), "row_id", "left_semi").orderBy("row_id").limit(most)
+    chosen = F.broadcast(both)  # ``most`` ids
+    return gold.join(chosen, "row_id", "left_semi"), said.join(chosen, "row_id", "left_semi")
+
+
 def averages(rows: DataFrame, digits: int = 4) -> DataFrame:
-    """Micro averages from summed counts; macro averages of the values as rounded in each row."""
+    """Micro averages from summed counts; macro averages of the values as rounded, ties to even, in each row."""
     tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
     p, r = _share(tp, tp + fp, 1.0), _share(tp, tp + fn, 1.0)
-    mean = lambda c: F.avg(F.round(c, digits)).alias(f"macro_{c}")
+    mean = lambda c: F.avg(F.bround(c, digits)).alias(f"macro_{c}")
     return rows.agg(p.alias("micro_p"), r.alias("micro_r"), _share(2 * p * r, p + r, 0.0).alias("micro_f1"), mean("p"), mean("r"), mean("f1"), F.count(F.lit(1)).alias("n"))
 
 

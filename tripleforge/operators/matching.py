@@ -76,6 +76,25 @@ def partwise_classes(parts: DataFrame, t: float = 0.7) -> DataFrame:
     return best.withColumn("class", kind)
 
 
+def three_classes(couples: DataFrame, aligned: float = 0.76, entity: float = 0.8, relation: float = 0.7) -> DataFrame:
+    """pair_id, pos1, pos2, score, class, from couples with the score of the whole triples and the cosines of their parts.
+
+    The best couple by score, the first of equals: near enough as a whole: aligned; else by its parts, both entities but
+    not the relation: relation_different; the relation and an entity: entity_different; else unclassified.
+    """
+    rows = couples.withColumn("score", F.round("score", 6))
+    best = rows.groupBy("pair_id", "pos1").agg(F.max_by(F.struct("pos2", "score", "head", "rel", "tail"), F.struct("score", -F.col("pos2"))).alias("b")).select("pair_id", "pos1", "b.*")
+    h, r, t = F.col("head") >= entity, F.col("rel") >= relation, F.col("tail") >= entity
+    kind = F.when(F.col("score") >= aligned, "aligned").when(h & t & ~r, "relation_different").when(r & (h | t), "entity_different").otherwise("unclassified")
+    return best.withColumn("class", kind)
+
+
+def class_columns(classes: DataFrame, kinds: list[str]) -> DataFrame:
+    """pair_id and a column a class: the couples [pos1, pos2] of the class in order, as JSON."""
+    each = [F.to_json(F.array_sort(F.collect_list(F.when(F.col("class") == k, F.array("pos1", "pos2"))))).alias(k) for k in kinds]
+    return classes.groupBy("pair_id").agg(*each)
+
+
 def extras(two: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of the second side that no classified match uses."""
     used = classes.where(~F.col("class").isin("missing", "unclassified")).select("pair_id", F.col("pos2").alias("pos")).distinct()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import durable
+from ..sources.storage import durable, ordinals
 
 # Relations and their opposites.
 OPPOSITES = {
@@ -78,12 +78,14 @@ def delete_sentence(text: Column, holding: Column) -> Column:
 
 def replace_relation(text: Column, opposites: dict[str, str] = OPPOSITES) -> Column:
     """The first word that has an opposite is replaced by it; null if there is none."""
-    words = F.split(text, " ")
     table = F.create_map(*[F.lit(x) for pair in opposites.items() for x in pair])
-    at = F.array_position(F.transform(words, lambda w: table[w].isNotNull()), True)
-    one = at.cast("int")  # slices, so that no function over the words looks for the place again
-    swapped = F.concat(F.slice(words, 1, one - 1), F.array(table[F.get(words, one - 1)]), F.slice(words, one + 1, F.size(words)))
-    return F.when(at > 0, F.array_join(swapped, " "))
+
+    def made(words: Column) -> Column:
+        at = F.array_position(F.transform(words, lambda w: table[w].isNotNull()), True).cast("int")
+        swapped = lambda n: F.concat(F.slice(words, 1, n - 1), F.array(table[F.get(words, n - 1)]), F.slice(words, n + 1, F.size(words)))
+        return once(at, lambda n: F.when(n > 0, F.array_join(swapped(n), " ")))
+
+    return once(F.split(text, " "), made)
 
 
 #: Numbers that may be changed: up to nine digits before the point.
@@ -184,25 +186,6 @@ def pair_table(made: dict[str, DataFrame], key: str, text: str = "text", label:
     return ordinals(out, [key, "perturbation_type"], "pair_id")
 
 
-def ordinals(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``df`` with the number from 0 of each row in the given order, which must tell rows apart.
-
-    Rows are sorted in ranges; a row's number is the count of the earlier ranges and its place in its own, so no task
-    orders the whole table and the driver sees one count a range.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_range"), place.alias("_place"))
-    rows = durable(rows)
-    before, at = [], 0
-    for r in rows.groupBy("_range").count().orderBy("_range").collect():
-        before.append((r["_range"], at))
-        at += r["count"]
-    told = F.broadcast(spark.createDataFrame(before, "_range int, _before long"))  # one row a range
-    return rows.join(told, "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
-
-
 def overlap_partner(items: DataFrame, topics: DataFrame, seed: str = "7", most: bool = False) -> DataFrame:
     """id, other, shared: for each item (id) the one of all others that shares fewest (or ``most``) topics (id, topic).
 

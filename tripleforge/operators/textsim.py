@@ -41,18 +41,28 @@ def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
     return s.withColumn("f", F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)))
 
 
+def spaced(text: Column) -> Column:
+    """Lower-cased words between white space."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
+
+
 def bleu(pairs: DataFrame, most: int = 4) -> DataFrame:
-    """pair_id, bleu: clipped n-gram precisions to ``most``, 0.1 in place of no match, brevity penalty; 0 for an empty side."""
-    out = pairs.select("pair_id", F.size(tokens(F.col("reference"))).alias("lr"), F.size(tokens(F.col("candidate"))).alias("lc"))
-    for n in range(1, most + 1):
-        s = counts(pairs, n).groupBy("pair_id").agg(F.sum(F.least("r", "c")).alias(f"m{n}"))
-        out = out.join(s, "pair_id", "left")
-    logs, one = F.lit(0.0), F.coalesce("m1", F.lit(0))
+    """pair_id, bleu: clipped n-gram precisions to ``most``, 0.1 in place of no match, brevity penalty; 0 for an empty side or no common word.
+
+    Words lie between white space.  The n-grams of both texts and all n are exploded once and counted in one aggregation.
+    """
+    words = pairs.select("pair_id", spaced(F.col("reference")).alias("x"), spaced(F.col("candidate")).alias("y"))
+    own = lambda c, n, k: F.transform(ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(k).alias("k")))
+    grams = F.concat(*[own(c, n, k) for n in range(1, most + 1) for c, k in (("x", 0), ("y", 1))])
+    rows = words.select("pair_id", F.size("x").alias("lr"), F.size("y").alias("lc"), F.explode_outer(grams).alias("e"))
+    held = rows.groupBy("pair_id", "lr", "lc", "e.n", "e.g").agg(F.sum(1 - F.col("e.k")).alias("r"), F.sum("e.k").alias("c"))
+    match = [F.coalesce(F.sum(F.when(F.col("n") == n, F.least("r", "c"))), F.lit(0)).alias(f"m{n}") for n in range(1, most + 1)]
+    out = held.groupBy("pair_id", "lr", "lc").agg(*match)
+    logs = F.lit(0.0)
     for n in range(1, most + 1):
-        total = F.greatest(F.lit(1), F.col("lc") - n + 1)
-        logs = logs + F.log(F.when(F.coalesce(f"m{n}", F.lit(0)) > 0, F.col(f"m{n}")).otherwise(0.1) / total) / most
+        logs = logs + F.log(F.when(F.col(f"m{n}") > 0, F.col(f"m{n}")).otherwise(0.1) / F.greatest(F.lit(1), F.col("lc") - n + 1)) / most
     brevity = F.when(F.col("lc") > F.col("lr"), 0.0).otherwise(1 - F.col("lr") / F.col("lc"))
-    return out.select("pair_id", F.when((one > 0) & (F.col("lc") > 0), F.exp(logs + brevity)).otherwise(0.0).alias("bleu"))
+    return out.select("pair_id", F.when(F.col("m1") > 0, F.exp(logs + brevity)).otherwise(0.0).alias("bleu"))
 
 
 def _common(a: list[str], b: list[str]) -> int:

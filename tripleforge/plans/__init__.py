@@ -1,4 +1,4 @@
 """Queries over the synthetic tables, one module for each family of operators."""
 
 from . import registry  # noqa: F401  isort: skip
-from . import datasets, evaluation, graphs, pairs, perturbation, ranking  # noqa: F401
+from . import building, datasets, evaluation, graphs, pairs, perturbation, ranking  # noqa: F401

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import kg, similarity
+from ..operators import kg, ranking, similarity
 from .registry import query, read
 
 
-def sentences(spark, sf_dir):
-    """pair_id, side, pos, s, p, o: documents 2k and 2k + 1 are a pair; a triple is a sentence's first, second and last word."""
-    d = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 2).alias("pair_id"), (F.col("doc_id") % 2).cast("int").alias("side"), F.posexplode(F.split(F.lower("text"), r"[.\n]+")).alias("pos", "x"))
-    w = d.withColumn("w", F.regexp_extract_all("x", F.lit("[a-z]+"), F.lit(0))).where("size(w) >= 3")
+def as_triples(texts):
+    """pair_id, side, pos, s, p, o of texts (pair_id, side, text): a triple is a sentence's first, second and last word."""
+    w = texts.select("pair_id", "side", F.posexplode(F.split(F.lower("text"), r"[.\n]+")).alias("pos", "x"))
+    w = w.withColumn("w", F.regexp_extract_all("x", F.lit("[a-z]+"), F.lit(0))).where("size(w) >= 3")
     return w.select("pair_id", "side", "pos", F.get("w", F.lit(0)).alias("s"), F.get("w", F.lit(1)).alias("p"), F.element_at("w", -1).alias("o"))
 
 
+def sentences(spark, sf_dir):
+    """The triples of all documents; documents 2k and 2k + 1 are a pair."""
+    return as_triples(read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 2).alias("pair_id"), (F.col("doc_id") % 2).cast("int").alias("side"), "text"))
+
+
 KG = """
 with x as (select doc_id // 2 as pair_id, (doc_id % 2)::int as side, unnest(range(len(a)))::int as pos, unnest(a) as x from (select doc_id, regexp_split_to_array(lower(text), '[.\\n]+') as a from documents)),
 w as (select *, regexp_extract_all(x, '[a-z]+') as w from x),
@@ -159,7 +164,7 @@ def kg_similarity_all(spark, sf_dir):
 
 
 #: Methods that SQL states as well, and the digits to which they are compared.
-CHECKED, DIGITS = ["wl", "aligned_wl", "pooled", "gaussian", "best_match", "graph_p", "graph_r", "triple_p", "triple_r", "triple_f1"], 5
+CHECKED, DIGITS = ["wl", "aligned_wl", "pooled", "gaussian", "best_match", "aligned_best_match", "graph_p", "graph_r", "triple_p", "triple_r", "triple_f1"], 5
 LETTERS = "[" + ", ".join(f"'{c}'" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
 
 
@@ -169,12 +174,12 @@ def _vector(text):
 
 def _labels(name, source):
     """A CTE of labels with their vectors and norms; ``source`` gives pair_id, k, label."""
-    return f", {name}_ as ({source}), {name} as (select pair_id, k, label, {_vector('label')} as v from {name}_), {name}n as (select *, sqrt(list_dot_product(v, v)) as n from {name})"
+    return f", {name}_ as ({source}), {name} as (select pair_id, k, label, {_vector('label')} as v from {name}_), {name}n as materialized (select *, sqrt(list_dot_product(v, v)) as n from {name})"
 
 
 def _near(name, one, two):
     """A CTE of the cosines of two tables of labels."""
-    return f", {name} as (select pair_id, a.k as a, a.label as la, b.k as b, b.label as lb, round(list_dot_product(a.v, b.v) / (a.n * b.n + 1e-8::double), 10) as cos, list_dot_product(a.v, b.v) / (a.n * b.n) as plain from {one}n a join {two}n b using (pair_id))"
+    return f", {name} as materialized (select pair_id, a.k as a, a.label as la, b.k as b, b.label as lb, round(list_dot_product(a.v, b.v) / (a.n * b.n + 1e-8::double), 10) as cos, list_dot_product(a.v, b.v) / (a.n * b.n) as plain from {one}n a join {two}n b using (pair_id))"
 
 
 def _prf(name, near):
@@ -183,7 +188,7 @@ def _prf(name, near):
 
 def _mapping(name, one, two, near, prefix):
     best = f"select pair_id, la as label, lb, cos from {near} qualify row_number() over (partition by pair_id, la order by cos desc, lb) = 1"
-    return f""", {name} as (select coalesce(x.pair_id, y.pair_id) as pair_id, coalesce(x.label, y.label) as label,
+    return f""", {name} as materialized (select coalesce(x.pair_id, y.pair_id) as pair_id, coalesce(x.label, y.label) as label,
       case when x.cos >= 0.65::double then '{prefix}_' || x.lb when y.label is not null then '{prefix}_' || y.label else x.label end as anchor from ({best}) x full join {two}_ y on x.pair_id = y.pair_id and x.label = y.label)"""
 
 
@@ -195,7 +200,7 @@ SIMILARITIES = (
     KG + EDGES + _wl(5)
     + ", g0 as (select * from kg where side = 0), g1 as (select * from kg where side = 1), whole as (select distinct pair_id from g0 where pair_id in (select pair_id from g1))"
     + _labels("t0", "select pair_id, pos as k, s || ' ' || p || ' ' || o as label from g0") + _labels("t1", "select pair_id, pos as k, s || ' ' || p || ' ' || o as label from g1") + _near("tt", "t0", "t1")
-    + ", kept as (select * from g1 where (pair_id, pos) in (select (pair_id, b) from (select * from tt qualify row_number() over (partition by pair_id, a order by cos desc, b) = 1)))"
+    + ", kept as materialized (select * from g1 where (pair_id, pos) in (select (pair_id, b) from (select * from tt qualify row_number() over (partition by pair_id, a order by cos desc, b) = 1)))"
     + ", means as (select pair_id, i, avg(v[i]) filter (side = 0) as x, avg(v[i]) filter (side = 1) as y from (select pair_id, 0 as side, v, unnest(range(1, 27)) as i from t0 union all select pair_id, 1, v, unnest(range(1, 27)) from t1 where (pair_id, k) in (select (pair_id, pos) from kept)) group by 1, 2)"
     + ", pooled as (select pair_id, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)) + 1e-8::double), 10) as pooled from means group by 1)"
     + _labels("n0", _distinct("g0", "s", "o")) + _labels("n1", _distinct("kept", "s", "o")) + _near("nn", "n0", "n1") + _mapping("nodemap", "n0", "n1", "nn", "node")
@@ -207,8 +212,16 @@ SIMILARITIES = (
     + ", gaussian as (select pair_id, avg(m) as gaussian from (select pair_id, a, max(exp(-greatest(0, 2 - 2 * plain) / 2)) as m from aa group by 1, 2) group by 1)"
     + _labels("w0", _distinct("g0", "s", "o")) + _labels("w1", _distinct("g1", "s", "o")) + _near("ww", "w0", "w1") + _prf("fn", "ww")
     + _labels("p0", "select pair_id, pos as k, p as label from g0") + _labels("p1", "select pair_id, pos as k, p as label from g1") + _near("pp", "p0", "p1") + _prf("fe", "pp") + _prf("ft", "tt")
-    + ", scores as (select pair_id, t.k01 / sqrt(t.k00::double * t.k11) as wl, ta.k01 / sqrt(ta.k00::double * ta.k11) as aligned_wl, pooled, gaussian, 0.6 * fn.p + 0.4 * fe.p as graph_p, 0.6 * fn.r + 0.4 * fe.r as graph_r, ft.p as triple_p, ft.r as triple_r, ft.f as triple_f1, "
-    + "least(1, greatest(0, 0.5 * (0.6 * fn.f + 0.4 * fe.f) + 0.5 * ft.f)) as best_match from whole join t using (pair_id) join ta using (pair_id) join pooled using (pair_id) join gaussian using (pair_id) join fn using (pair_id) join fe using (pair_id) join ft using (pair_id))"
+    + ", amap as materialized (select coalesce(e.pair_id, n.pair_id) as pair_id, coalesce(e.label, n.label) as label, coalesce(e.anchor, n.anchor) as anchor from nodemap n full join edgemap e on e.pair_id = n.pair_id and e.label = n.label)"
+    + "".join(
+        _labels(f"x{i}", f"select pair_id, label as k, anchor as label from n{i}_ n join amap using (pair_id, label)")
+        + _labels(f"y{i}", f"select g.pair_id, pos as k, anchor as label from {g} g join amap m on m.pair_id = g.pair_id and m.label = g.p")
+        + _labels(f"z{i}", f"select g.pair_id, pos as k, string_agg(anchor, ' ' order by nth) as label from (select pair_id, pos, unnest([1, 2, 3]) as nth, unnest([s, p, o]) as label from {g}) g join amap m on m.pair_id = g.pair_id and m.label = g.label group by 1, 2")
+        for i, g in ((0, "g0"), (1, "kept"))
+    )
+    + _near("xx", "x0", "x1") + _near("yy", "y0", "y1") + _near("zz", "z0", "z1") + _prf("fx", "xx") + _prf("fy", "yy") + _prf("fz", "zz")
+    + ", scores as (select least(1, greatest(0, 0.5 * (0.6 * fx.f + 0.4 * fy.f) + 0.5 * fz.f)) as aligned_best_match, pair_id, t.k01 / sqrt(t.k00::double * t.k11) as wl, ta.k01 / sqrt(ta.k00::double * ta.k11) as aligned_wl, pooled, gaussian, 0.6 * fn.p + 0.4 * fe.p as graph_p, 0.6 * fn.r + 0.4 * fe.r as graph_r, ft.p as triple_p, ft.r as triple_r, ft.f as triple_f1, "
+    + "least(1, greatest(0, 0.5 * (0.6 * fn.f + 0.4 * fe.f) + 0.5 * ft.f)) as best_match from whole join t using (pair_id) join ta using (pair_id) join pooled using (pair_id) join gaussian using (pair_id) join fn using (pair_id) join fe using (pair_id) join ft using (pair_id) join fx using (pair_id) join fy using (pair_id) join fz using (pair_id))"
 )
 
 
@@ -223,6 +236,24 @@ def kg_similarity_texts(spark, sf_dir):
     return out.withColumns({c: F.round(c, DIGITS) for c in out.columns if c != "pair_id"})
 
 
+TRIPLETS = KG.replace("doc_id // 2 as pair_id, (doc_id % 2)::int as side,", "doc_id // 3 * 2 + j as pair_id, (doc_id % 3 > 0)::int as side,").replace("regexp_split_to_array(lower(text), '[.\\n]+') as a from documents", "j, regexp_split_to_array(lower(text), '[.\\n]+') as a from documents, (select unnest([0, 1]) as j) where doc_id % 3 in (0, j + 1)")
+
+
+@query("gold_context_similarity", SIMILARITIES.replace(KG, TRIPLETS) + """
+, bl as (select pair_id, 0.5 * aligned_wl + 0.5 * least(1, greatest(0, pooled)) as x from scores), it as (select pair_id // 2 as item, max(x) filter (pair_id % 2 = 0) as gold, max(x) filter (pair_id % 2 = 1) as context from (select distinct pair_id from kg) left join bl using (pair_id) group by 1)
+select item, round(gold, 5) as gold, round(context, 5) as context, round(case when coalesce(gold, 0) + coalesce(context, 0) > 0 then 2 * coalesce(gold, 0) * coalesce(context, 0) / (coalesce(gold, 0) + coalesce(context, 0)) else 0 end, 5) as cus from it
+""")
+def gold_context_similarity(spark, sf_dir):
+    """Of documents 3k, 3k + 1 and 3k + 2 as an answer's, the gold and the context's graph: the answer's blend with each, and their harmonic mean."""
+    d = read(spark, sf_dir, "documents").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
+    d = d.where((F.col("doc_id") % 3 == 0) | (F.col("doc_id") % 3 == F.col("j") + 1))
+    triples = as_triples(d.select((F.floor(F.col("doc_id") / 3) * 2 + F.col("j")).alias("pair_id"), (F.col("doc_id") % 3 > 0).cast("int").alias("side"), "text"))
+    scores = similarity.score_pairs(triples, ["aligned_wl", "pooled"], similarity.letter_encoder, (0.5,))
+    both = scores.groupBy(F.floor(F.col("pair_id") / 2).alias("item")).agg(*[F.max(F.when(F.col("pair_id") % 2 == j, F.col("blend_5"))).alias(c) for j, c in enumerate(("gold", "context"))])
+    out = both.withColumn("cus", ranking.harmonic(F.col("gold"), F.col("context")))
+    return out.withColumns({c: F.round(c, 5) for c in ("gold", "context", "cus")})
+
+
 @query("kg_similarity_texts_all")
 def kg_similarity_texts_all(spark, sf_dir):
     """Every method on the sentence graphs of all pairs of documents; a pair without two graphs has null scores."""

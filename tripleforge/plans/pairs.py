@@ -140,9 +140,12 @@ def rouge2_f(spark, sf_dir):
     return textsim.rouge_n(turns(spark, sf_dir), 2).withColumns({c: F.round(c, 6) for c in ("p", "r", "f")})
 
 
+SPACED = T[: T.index("regexp_extract_all(lower(a.text)")] + "list_filter(regexp_split_to_array(lower(a.text), '\\s+'), lambda w: w <> '') as x, list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda w: w <> '') as y" + T[T.index(" from conversations a join") :]
+
+
 @query(
     "bleu4",
-    T + _grams(1) + _grams(2) + _grams(3) + _grams(4)
+    SPACED + _grams(1) + _grams(2) + _grams(3) + _grams(4)
     + ", l as (select p.pair_id, len(x) as lr, len(y) as lc, "
     + ", ".join(f"coalesce(s{n}.m, 0) as m{n}" for n in range(1, 5)) + " from p " + " ".join(f"left join s{n} on s{n}.pair_id = p.pair_id" for n in range(1, 5)) + ")"
     + " select pair_id, round(case when m1 > 0 and lc > 0 then exp(" + " + ".join(f"ln(case when m{n} > 0 then m{n} else 0.1 end::double / greatest(1, lc - {n - 1})) / 4" for n in range(1, 5)) + " + case when lc > lr then 0 else 1 - lr / lc end) else 0 end, 6) as bleu from l",
@@ -151,7 +154,16 @@ def bleu4(spark, sf_dir):
     return textsim.bleu(turns(spark, sf_dir)).withColumn("bleu", F.round("bleu", 6))
 
 
-@query("rouge_l")
+@query(
+    "rouge_l",
+    T.replace("with p as", "with recursive p as")
+    + """
+, r as (select pair_id, 0 as i, list_transform(y, lambda w: 0) as row from p union all
+  select r.pair_id, i + 1, list_transform(range(1, len(y) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(row[k], case when y[k] = x[i + 1] then coalesce(row[k - 1], 0) + 1 else 0 end)))) from r join p using (pair_id) where i < len(x)),
+d as (select p.pair_id, len(x) as lx, len(y) as ly, row[len(y)] as n from p join r on r.pair_id = p.pair_id and i = len(x))
+select pair_id, round(case when n > 0 then 2 * n / (lx + ly) else 0 end, 6) as f from d
+""",
+)
 def rouge_l(spark, sf_dir):
     return turns(spark, sf_dir).select("pair_id", F.round(textsim.rouge_l(F.col("reference"), F.col("candidate")), 6).alias("f"))
 
@@ -231,10 +243,40 @@ def aligned_prf(spark, sf_dir):
     "aligned_prf_averages",
     PRF
     + """
-, a as (select sum(tp) / (sum(tp) + sum(fp)) as p, sum(tp) / (sum(tp) + sum(fn)) as r, avg(round(p, 4)) as mp, avg(round(r, 4)) as mr, avg(round(f1, 4)) as mf, count(*) as n from f)
+, a as (select sum(tp) / (sum(tp) + sum(fp)) as p, sum(tp) / (sum(tp) + sum(fn)) as r, avg(round_even(p, 4)) as mp, avg(round_even(r, 4)) as mr, avg(round_even(f1, 4)) as mf, count(*) as n from f)
 select round(p, 6) as micro_p, round(r, 6) as micro_r, round(2 * p * r / (p + r), 6) as micro_f1, round(mp, 6) as macro_p, round(mr, 6) as macro_r, round(mf, 6) as macro_f1, n from a
 """,
 )
 def aligned_prf_averages(spark, sf_dir):
     out = agreement.averages(prf(spark, sf_dir))
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c != "n"})
+
+
+@query("aligned_prf_first", PRF + "select row_id, tp, fp, fn, round(p, 6) as p, round(r, 6) as r, round(f1, 6) as f1 from f where row_id in (select row_id from (select distinct row_id from v where a1 = 1 intersect select distinct row_id from v where a2 = 1) order by row_id limit 12)")
+def aligned_prf_first(spark, sf_dir):
+    """The first twelve of the days that both annotators marked."""
+    m = marks(spark, sf_dir).withColumnRenamed("item", "key")
+    return agreement.aligned_prf(*agreement.first_rows(m.where("annotator = 1"), m.where("annotator = 2"), 12)).withColumns({c: F.round(c, 6) for c in ("p", "r", "f1")})
+
+
+THREE = CLASSES + """
+, b as (select *, round((h + r + t) / 3, 6) as score from q qualify row_number() over (partition by pair_id, pos1 order by round((h + r + t) / 3, 6) desc, pos2) = 1)
+select pair_id, pos1, pos2, score, case when score >= 0.3::double then 'aligned' when h >= 0.2::double and t >= 0.2::double and not r >= 0.1::double then 'relation_different'
+  when r >= 0.1::double and (h >= 0.2::double or t >= 0.2::double) then 'entity_different' else 'unclassified' end as class from b
+"""
+
+
+@query("triplet_classes", THREE)
+def triplet_classes(spark, sf_dir):
+    """Three classes by a whole score and, below it, by parts; thresholds that tell random vectors apart."""
+    couples = parts(spark, sf_dir).withColumn("score", (F.col("head") + F.col("rel") + F.col("tail")) / 3)
+    return matching.three_classes(couples, 0.3, 0.2, 0.1).select("pair_id", "pos1", "pos2", "score", "class")
+
+
+KINDS = ["aligned", "relation_substitution", "entity_substitution", "missing", "unclassified"]
+
+
+@query("partwise_json", CLASSES + "select pair_id, " + ", ".join(f"to_json(coalesce(list([pos1, pos2] order by pos1) filter (class = '{k}'), []))::varchar as {k}" for k in KINDS) + " from k group by 1")
+def partwise_json(spark, sf_dir):
+    """The couples of each class in a column of their own, as JSON."""
+    return matching.class_columns(matching.partwise_classes(parts(spark, sf_dir)), KINDS)

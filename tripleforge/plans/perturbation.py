@@ -144,17 +144,20 @@ def same_domain_partner(spark, sf_dir):
 
 
 QUADS = S + f"""
-, a as (select doc_id from s where len(s) >= 4), b as (select doc_id from (select doc_id, s, list_filter(s, lambda x: not contains(x, 'th')) as k from s) where len(k) > 0 and len(k) < len(s)),
-c as (select doc_id from documents where len(list_filter(string_split(text, ' '), lambda x: x in ({KEYS}))) > 0)
-select doc_id, unnest([4, 3, 2, 1]) as level from a join b using (doc_id) join c using (doc_id)
+, w as (select doc_id, string_split(text, ' ') as w from documents), p as (select doc_id, w, list_position(list_transform(w, lambda x: x in ({KEYS})), true) as pos from w),
+c as (select doc_id, array_to_string(list_transform(w, lambda x, i: case when i = pos then {CASE} else x end), ' ') as t from p where pos > 0),
+a as (select doc_id, text, array_to_string(list_concat(s[1:1], list_reverse(s[2:-2]), s[-1:]), ' ') as t from s where len(s) >= 4),
+b as (select doc_id, array_to_string(k, ' ') as t from (select doc_id, s, list_filter(s, lambda x: not contains(x, 'th')) as k from s) where len(k) > 0 and len(k) < len(s))
+select doc_id, unnest([4, 3, 2, 1]) as level, unnest([md5(a.text), md5(a.t), md5(b.t), md5(c.t)]) as digest from a join b using (doc_id) join c using (doc_id)
 """
 
 
 @query("quadruplets", QUADS)
 def quadruplets(spark, sf_dir):
+    """The four texts of every document that has one at each level."""
     d, text = docs(spark, sf_dir), F.col("text")
     made = {4: text, 3: perturb.reorder(text), 2: perturb.delete_sentence(text, F.lit("th")), 1: perturb.replace_relation(text, SWAPS)}
-    return perturb.quadruplets({k: d.select("doc_id", c.alias("text")) for k, c in made.items()}, "doc_id").select("doc_id", "level")
+    return perturb.quadruplets({k: d.select("doc_id", c.alias("text")) for k, c in made.items()}, "doc_id").select("doc_id", "level", hashed(F.col("text")).alias("digest"))
 
 
 @query("domain_union", "select 'labels.' || n as domain, count(*) as n from (select case when quality = 1 then 'good' else 'bad' end as n from labels) group by 1 union all select 'documents.' || lang, count(*) from documents group by lang")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,30 +27,110 @@ def recover(answer: Column) -> Column:
     return F.coalesce(F.from_json(bare, ANSWER), F.from_json(F.regexp_extract(bare, r"(?s)\{.*\}", 0), ANSWER))
 
 
-def wait_seconds(message: str, extra: float = 5.0, most: float = 120.0) -> float:
-    """How long a rate-limit message asks to wait."""
-    found = re.search(r"try again in (?:(\d+)m)?([\d.]+)s", message)
-    return min(most, extra + (60 * int(found[1] or 0) + float(found[2]) if found else 0.0))
+def wait_seconds(message: str, extra: float = 5.0, most: float = 120.0, unsaid: float = 60.0) -> float:
+    """How long a rate-limit message asks to wait, and a little more; ``unsaid`` if it names no time."""
+    found = re.search(r"try again in (?:(\d+)m)?(\d+\.?\d*)s", message)
+    return min(most, extra + (60 * int(found[1] or 0) + float(found[2]) if found else unsaid))
 
 
-def extract(df: DataFrame, prompts: str, client: Callable[[], Callable[[str], str]], tries: int = 3, pause: Callable[[float], None] = time.sleep) -> DataFrame:
-    """``df`` with ``answer``; one client for each partition, made there.  Rows whose calls all fail have a null answer."""
+@dataclass(frozen=True)
+class Policy:
+    """How a kind of client is called: tries, seconds between calls, words that tell a rate limit, and the waits after errors."""
+
+    tries: int = 3
+    spacing: float = 0.0
+    limits: tuple[str, ...] = ("429", "rate_limit")
+    after_limit: Callable[[str, int], float] = lambda message, attempt: wait_seconds(message)
+    after_error: Callable[[int], float] = lambda attempt: 1.0
+
+    def wait(self, message: str, attempt: int) -> float:
+        limited = any(x.lower() in message.lower() for x in self.limits)
+        return self.after_limit(message, attempt) if limited else self.after_error(attempt)
+
+
+def _asked(message: str, attempt: int) -> float:
+    found = re.search(r"retry in (\d+(?:\.\d+)?)s", message, re.I)
+    return float(found[1]) + 1.0 if found else min(15.0 * 2**attempt, 60.0)
+
+
+#: Policies by family of clients; a model's family is told by its name.
+POLICIES = {
+    "gemini": Policy(5, 4.0, ("429", "RESOURCE_EXHAUSTED"), _asked, lambda attempt: 0.0),
+    "openai": Policy(3),
+    "groq": Policy(5, after_error=lambda attempt: min(2.0**attempt * 5, 60.0)),
+    "local": Policy(3),
+}
+
+
+def family(model: str) -> str:
+    """Which family a model's name belongs to; the first rule that holds."""
+    name = model.lower()
+    for kind, words in (("gemini", ("gemini",)), ("openai", ("gpt", "openai")), ("groq", ("groq", "llama", "mixtral"))):
+        if any(w in name for w in words):
+            return kind
+    return "local"
+
+
+class Clients:
+    """Makes the client of a model by its family's maker, once for each model."""
+
+    def __init__(self, makers: dict[str, Callable[[str], Callable[[str], str]]]):
+        self.makers, self.made = makers, {}
+
+    def get(self, model: str) -> Callable[[str], str]:
+        if model not in self.made:
+            if (kind := family(model)) not in self.makers:
+                raise ValueError(f"no client for {kind} models")
+            self.made[model] = self.makers[kind](model)
+        return self.made[model]
+
+
+def holds_graph(answer: str | None) -> bool:
+    """Whether an answer holds any triple: a list that isn't empty, under any key."""
+    bare = re.sub(r"^```(?:json)?\s*|\s*```$", "", (answer or "").strip())
+    for text in (bare, *re.findall(r"(?s)\{.*\}", bare)):
+        try:
+            value = json.loads(text)
+        except ValueError:
+            continue
+        return isinstance(value, dict) and any(isinstance(x, list) and x for x in value.values())
+    return False
+
+
+def extract(
+    df: DataFrame, prompts: str, client: Callable[[], Callable[[str], str]], policy: Policy = Policy(), pause: Callable[[float], None] = time.sleep, good: Callable[[str | None], bool] = holds_graph, rounds: int = 3
+) -> DataFrame:
+    """``df`` with ``answer``; one client for each partition, made there.
+
+    A prompt is asked again, ``rounds`` times at most and a second apart, until its answer holds a graph; the last answer
+    stays.  A call that fails is tried again as the policy says; rows whose calls all fail have a null answer.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = client()
+        ask, last = client(), [None]
+
+        def call(text: str) -> str | None:
+            for attempt in range(policy.tries):
+                if last[0] is not None and (early := policy.spacing - (time.monotonic() - last[0])) > 0:
+                    pause(early)
+                last[0] = time.monotonic()
+                try:
+                    return ask(text)
+                except Exception as problem:  # noqa: BLE001  a client's own errors
+                    if attempt + 1 < policy.tries and (wait := policy.wait(str(problem), attempt)) > 0:
+                        pause(wait)
+            return None
+
         for pdf in batches:
             out = []
             for text in pdf[prompts]:
                 answer = None
-                for _ in range(tries):
-                    try:
-                        answer = ask(text)
-                    except Exception as problem:  # noqa: BLE001  a client's own errors
-                        pause(wait_seconds(str(problem)))
-                        continue
-                    if answer:
+                for nth in range(rounds):
+                    answer = call(text) or answer
+                    if answer is None or good(answer):
                         break
-                    pause(1.0)
+                    if nth + 1 < rounds:
+                        pause(1.0)
                 out.append(answer)
             yield pdf.assign(answer=out)
 
