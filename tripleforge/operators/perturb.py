@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import once
 from ..sources.storage import durable, ordinals
 
 # Relations and their opposites.
@@ -45,11 +46,6 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
-def once(value: Column, f) -> Column:
-    """f(value), with the value computed once a row however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def phrases(text: Column, stop: list[str] = ()) -> Column:
     """Capitalised words of over three ASCII letters in order, each once, without those that begin a sentence's first word."""
     found = F.regexp_extract_all(text, F.lit(r"[a-z,;] ([A-Z][a-z]{3,})"), F.lit(1))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import once
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of a-z and 0-9."""
@@ -21,8 +23,13 @@ def tokens(text: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    count = F.size(words) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """The n-grams of words in order, joined by spaces."""
+
+    def made(w: Column) -> Column:
+        gram = lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]) if n > 1 else F.get(w, i)
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), gram)).otherwise(F.array().cast("array<string>"))
+
+    return once(words, made)
 
 
 def counts(pairs: DataFrame, n: int, reference: str = "reference", candidate: str = "candidate") -> DataFrame:
@@ -49,14 +56,18 @@ def spaced(text: Column) -> Column:
 def bleu(pairs: DataFrame, most: int = 4) -> DataFrame:
     """pair_id, bleu: clipped n-gram precisions to ``most``, 0.1 in place of no match, brevity penalty; 0 for an empty side or no common word.
 
-    Words lie between white space.  The n-grams of both texts and all n are exploded once and counted in one aggregation.
+    Words lie between white space.  The n-grams of both texts and all n are exploded together and counted in one
+    aggregation, by 64-bit hashes, which need only differ within a pair.
     """
-    words = pairs.select("pair_id", spaced(F.col("reference")).alias("x"), spaced(F.col("candidate")).alias("y"))
-    own = lambda c, n, k: F.transform(ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(k).alias("k")))
-    grams = F.concat(*[own(c, n, k) for n in range(1, most + 1) for c, k in (("x", 0), ("y", 1))])
-    rows = words.select("pair_id", F.size("x").alias("lr"), F.size("y").alias("lc"), F.explode_outer(grams).alias("e"))
-    held = rows.groupBy("pair_id", "lr", "lc", "e.n", "e.g").agg(F.sum(1 - F.col("e.k")).alias("r"), F.sum("e.k").alias("c"))
-    match = [F.coalesce(F.sum(F.when(F.col("n") == n, F.least("r", "c"))), F.lit(0)).alias(f"m{n}") for n in range(1, most + 1)]
+
+    def lists(x: Column, y: Column) -> Column:
+        own = lambda w, n, k: F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.size(x).alias("lr"), F.size(y).alias("lc"), F.transform(ngrams(w, n), lambda g: F.xxhash64(g)).alias("grams"))
+        return F.array(*[own(w, n, k) for n in range(1, most + 1) for w, k in ((x, 0), (y, 1))])
+
+    both = once(spaced(F.col("reference")), lambda x: once(spaced(F.col("candidate")), lambda y: lists(x, y)))
+    rows = pairs.select("pair_id", F.explode(both).alias("e")).select("pair_id", "e.n", "e.k", "e.lr", "e.lc", F.explode_outer("e.grams").alias("g"))
+    held = rows.groupBy("pair_id", "lr", "lc", "n", "g").agg(F.sum(1 - F.col("k")).alias("r"), F.sum("k").alias("c"))
+    match = [F.coalesce(F.sum(F.when((F.col("n") == n) & F.col("g").isNotNull(), F.least("r", "c"))), F.lit(0)).alias(f"m{n}") for n in range(1, most + 1)]
     out = held.groupBy("pair_id", "lr", "lc").agg(*match)
     logs = F.lit(0.0)
     for n in range(1, most + 1):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import perturb
 from ..sources import storage, tables
 from .datasets import swapped
-from .perturbation import SWAPS, S, brands, distorted, docs, draw, hashed, overlap_sql
+from .perturbation import SWAPS, S, brands, changed, distorted, docs, draw, hashed, overlap_sql
 from .registry import query, read
 
 # --- files
@@ -130,7 +130,7 @@ WORDS, LAST = swapped(SWAPS, 2, "s")
 def composite_paraphrase(spark, sf_dir):
     """Reordered sentences or swapped words, whichever the hash says first; the other where that fails."""
     made = perturb.first_success(perturb.draw("21", "doc_id"), [perturb.reorder(F.col("text")), perturb.swap_words(F.col("text"), SWAPS)])
-    return docs(spark, sf_dir).select("doc_id", hashed(made).alias("digest")).where("digest is not null")
+    return changed(docs(spark, sf_dir), hashed(made))
 
 
 @query("entity_hallucination", "with d as (select doc_id, text as old, list_sort(list_distinct(regexp_extract_all(text, '[a-z]{9,}'))) as e, " + "replace(" * 3 + "text" + "".join(f", coalesce(list_sort(list_distinct(regexp_extract_all(text, '[a-z]{{9,}}')))[{k}], ''), 'Zanzibar')" for k in (1, 2, 3)) + " as text from documents)" + distorted("text", draw("5", "doc_id"), 1, years=False) + "select doc_id, md5(coalesce(new, text)) as digest from made where coalesce(new, text) <> old")
@@ -138,7 +138,7 @@ def entity_hallucination(spark, sf_dir):
     """Up to three long words replaced by a foreign name, and one number changed."""
     entities = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), F.lit(0))))
     made = perturb.hallucinate(F.col("text"), entities, F.lit("Zanzibar"), perturb.draw("5", "doc_id"))
-    return docs(spark, sf_dir).select("doc_id", hashed(made).alias("digest")).where("digest is not null")
+    return changed(docs(spark, sf_dir), hashed(made))
 
 
 @query("span_inversion", "select s_suppkey, 'In ' || n_name || ' ' || s_name || ' delivers.' as inverted from supplier join nation on s_nationkey = n_nationkey")

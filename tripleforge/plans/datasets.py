@@ -8,7 +8,7 @@ from ..operators import kg, matching, metrics, perturb
 from ..sources import extraction, tables
 from . import evaluation as ev
 from . import graphs
-from .perturbation import SWAPS, S, distorted, docs, draw, hashed
+from .perturbation import SWAPS, S, changed, distorted, docs, draw, hashed
 from .registry import query, read
 
 # --- sources and extraction
@@ -144,7 +144,7 @@ def paragraph_kind(spark, sf_dir):
 
 @query("first_paragraph", "select doc_id, md5(p) as digest from (select doc_id, list_filter(string_split(text, chr(10))[1:4], lambda x: not regexp_matches(x, '\\[\\[|\\{\\{|==') and len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) between 20 and 400 and length(x) - length(replace(x, '.', '')) >= 2)[1] as p from documents) where p is not null")
 def first_paragraph(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", hashed(perturb.first_paragraph(F.col("text"), least=20)).alias("digest")).where("digest is not null")
+    return changed(docs(spark, sf_dir), hashed(perturb.first_paragraph(F.col("text"), least=20)))
 
 
 @query("node_replacement", f"""
@@ -159,7 +159,7 @@ def node_replacement(spark, sf_dir):
 
 @query("edge_deletion", S + ", p as (select doc_id, s, list_position(list_transform(s, lambda x: len(regexp_extract_all(x, '[a-z]{8,}')) >= 2), true) as hit from s where len(s) > 1) select doc_id, md5(array_to_string(list_filter(s, lambda x, i: i <> hit), ' ')) as digest from p where hit > 0")
 def edge_deletion(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", hashed(perturb.delete_linked_sentence(F.col("text"), "[a-z]{8,}")).alias("digest")).where("digest is not null")
+    return changed(docs(spark, sf_dir), hashed(perturb.delete_linked_sentence(F.col("text"), "[a-z]{8,}")))
 
 
 ENTITY = "[a-z]{3,}(?:tion|ment|heit|keit)"
@@ -185,7 +185,7 @@ SWAPPED = swapped(SWAPS, 2)
 
 @query("vocabulary_swap", f"with {SWAPPED[0]} select doc_id, md5(x) as digest from {SWAPPED[1]} where n > 0")
 def vocabulary_swap(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", hashed(perturb.swap_words(F.col("text"), SWAPS, 2)).alias("digest")).where("digest is not null")
+    return changed(docs(spark, sf_dir), hashed(perturb.swap_words(F.col("text"), SWAPS, 2)))
 
 
 ONE_SWAPPED = swapped(SWAPS, 1, "made")

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import once
 from ..operators import kg, ranking, similarity
 from .registry import query, read
 
 
 def as_triples(texts):
     """pair_id, side, pos, s, p, o of texts (pair_id, side, text): a triple is a sentence's first, second and last word."""
-    w = texts.select("pair_id", "side", F.posexplode(F.split(F.lower("text"), r"[.\n]+")).alias("pos", "x"))
-    w = w.withColumn("w", F.regexp_extract_all("x", F.lit("[a-z]+"), F.lit(0))).where("size(w) >= 3")
-    return w.select("pair_id", "side", "pos", F.get("w", F.lit(0)).alias("s"), F.get("w", F.lit(1)).alias("p"), F.element_at("w", -1).alias("o"))
+    ends = lambda w: F.when(F.size(w) >= 3, F.struct(F.get(w, F.lit(0)).alias("s"), F.get(w, F.lit(1)).alias("p"), F.element_at(w, -1).alias("o")))
+    triples = F.transform(F.split(F.lower("text"), r"[.\n]+"), lambda x: once(F.regexp_extract_all(x, F.lit("[a-z]+"), F.lit(0)), ends))
+    return texts.select("pair_id", "side", F.posexplode(triples).alias("pos", "t")).where("t is not null").select("pair_id", "side", "pos", "t.s", "t.p", "t.o")
 
 
 def sentences(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import not_null
 from ..operators import kg, perturb
 from . import graphs
 from .registry import query, read
@@ -21,6 +22,11 @@ def hashed(x):
     return F.md5(x)
 
 
+def changed(df, made):
+    """doc_id and digest of the rows for which something was made."""
+    return not_null(df, ["doc_id"], made, "digest")
+
+
 S = """
 with s as (select doc_id, text, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as s from documents)
 """
@@ -52,12 +58,12 @@ def proper_phrases(spark, sf_dir):
 
 @query("sentence_reorder", S + "select doc_id, md5(array_to_string(list_concat(s[1:1], list_reverse(s[2:-2]), s[-1:]), ' ')) as digest from s where len(s) >= 4")
 def sentence_reorder(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", hashed(perturb.reorder(F.col("text"))).alias("digest")).where("digest is not null")
+    return changed(docs(spark, sf_dir), hashed(perturb.reorder(F.col("text"))))
 
 
 @query("sentence_deletion", S + ", h as (select doc_id, s, list_filter(s, lambda x: not contains(x, 'th')) as k from s) select doc_id, md5(array_to_string(k, ' ')) as digest from h where len(k) > 0 and len(k) < len(s)")
 def sentence_deletion(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", hashed(perturb.delete_sentence(F.col("text"), F.lit("th"))).alias("digest")).where("digest is not null")
+    return changed(docs(spark, sf_dir), hashed(perturb.delete_sentence(F.col("text"), F.lit("th"))))
 
 
 KEYS = ", ".join(f"'{k}'" for k in SWAPS)
@@ -66,7 +72,7 @@ CASE = "case " + " ".join(f"when x = '{k}' then '{v}'" for k, v in SWAPS.items()
 
 @query("relation_replacement", f"with w as (select doc_id, string_split(text, ' ') as w from documents), p as (select doc_id, w, list_position(list_transform(w, lambda x: x in ({KEYS})), true) as pos from w) select doc_id, md5(array_to_string(list_transform(w, lambda x, i: case when i = pos then {CASE} else x end), ' ')) as digest from p where pos > 0")
 def relation_replacement(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", hashed(perturb.replace_relation(F.col("text"), SWAPS)).alias("digest")).where("digest is not null")
+    return changed(docs(spark, sf_dir), hashed(perturb.replace_relation(F.col("text"), SWAPS)))
 
 
 IMPORTANCE = "2 * len(regexp_extract_all(x, '[A-Z][a-z]+')) + case when regexp_matches(x, '[0-9]') then 1.5 else 0 end + case when contains(lower(x), lang) then 3 else 0 end + len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) / 30.0::double"
@@ -80,7 +86,7 @@ select doc_id, md5(array_to_string(list_filter(s, lambda x, i: i <> d1 and i <>
 """)
 def fact_omission(spark, sf_dir):
     """Texts without their one or two most important sentences; the decision named is the language's code."""
-    return docs(spark, sf_dir).select("doc_id", hashed(perturb.omit_facts(F.col("text"), F.col("lang"))).alias("digest")).where("digest is not null")
+    return changed(docs(spark, sf_dir), hashed(perturb.omit_facts(F.col("text"), F.col("lang"))))
 
 
 def distorted(text, seed, most, years=True):
@@ -102,7 +108,7 @@ made as (select * exclude (x0, nums, between, spots, seed), case when len(spots)
 @query("number_distortion", "with d as (select doc_id, text from documents)" + distorted("text", draw("3", "doc_id"), 3) + "select doc_id, md5(new) as digest from made where new is not null")
 def number_distortion(spark, sf_dir):
     """Up to three numbers that are no years, decimals included."""
-    return docs(spark, sf_dir).select("doc_id", hashed(perturb.distort_numbers(F.col("text"), perturb.draw("3", "doc_id"))).alias("digest")).where("digest is not null")
+    return changed(docs(spark, sf_dir), hashed(perturb.distort_numbers(F.col("text"), perturb.draw("3", "doc_id"))))
 
 
 @query("triple_inversion", graphs.KG + "select pair_id, side, pos, o as s, p, s as o from kg")
