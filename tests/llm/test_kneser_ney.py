@@ -36,7 +36,10 @@ def brute(train, texts):
     return [float(np.exp(-np.mean([np.log(p(g, 4)) for g in grams(t)]))) for t in texts]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast,held,size", [(1 << 20, 1 << 21, 6 << 20), (0, 1 << 21, 6 << 20), (1 << 20, 5, 40)])
+def test_against_brute_force(spark, monkeypatch, broadcast, held, size):
+    for name, value in (("HELD_OUT", 10**9), ("MOST_BROADCAST", broadcast), ("MOST_HELD", held), ("BUCKET_BYTES", size)):
+        monkeypatch.setattr(kn, name, value)
     train = ["the cat sat on the mat", "a cat and a dog", "the dog sat"] * 2 + ["other words here"]
     rows = [(i, "en", t) for i, t in enumerate(train)] + [(20, "en", "the cat sat on a dog"), (21, "en", "zzqx %%% é"), (22, "en", None), (23, None, "no model"), (24, "fr", "")]
     df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
@@ -48,6 +51,26 @@ def test_against_brute_force(spark):
     assert got[20].kept and not got[21].kept and len(got) == len(rows)
 
 
+def test_threshold_comes_from_held_out_texts(spark, monkeypatch):
+    """The worst held-out text is kept, being the threshold itself; texts without an id are spread and never trusted."""
+    monkeypatch.setattr(kn, "HELD_OUT", 2)
+    monkeypatch.setattr(kn, "BUCKET_BYTES", 50)
+    rows = [(i, "en", f"some words {'abcdefgh'[i % 8] * (i % 5 + 1)} here") for i in range(60)] + [(None, "en", "some words here")] * 40 + [(100, "en", "@@##")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("bucket", df_lit("x"))
+    got = kn.classify(df, spark.createDataFrame([(i,) for i in range(60)] + [(None,)], "doc_id long"), quantile=1.0).collect()
+    assert len(got) == len(rows) and sum(r.trusted for r in got) == 60
+    worst = max(r.perplexity for r in got if r.kept)
+    assert worst == got[0].threshold and any(r.perplexity == worst and r.trusted for r in got)
+    assert not next(r for r in got if r.doc_id == 100).kept
+    assert len({r.perplexity for r in got if r.doc_id is None}) == 1
+
+
+def df_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, lang string, text string")
     assert kn.classify(df, df.select("doc_id")).count() == 0

@@ -1,18 +1,20 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of byte n-grams, one for each language.
 
-The model is counted over all trusted texts: raw counts for the longest n-grams, continuation counts below, three
-discounts an order from the counts of counts.  It stays a sharded table (language, key, value) of weights: what an
-n-gram adds at its order, and what a context passes on to the order below.
-
-Texts are dealt into buckets by a hash of the id, packed and compressed by batch, bucket and language, so that shuffling
-them costs less than they take on disk.  A bucket meets the ids of its trusted texts to count those.  Scoring never joins
-single positions: each bucket asks for the distinct n-grams it holds, those join the sharded weights, and what comes back
-meets the bucket's texts again, whose positions are then read off a table.
-
-A text is kept if its perplexity is at most a quantile of the trusted texts' perplexities in its language (of all texts,
-if none is trusted).  A null text counts as empty; an empty text has the perplexity of its end alone and is judged like
-any other.  A null language is a language of its own; without a model every byte is equally likely.  Repeated rows are
-rows, and an empty table gives an empty result.
+The model is counted over all trusted texts but every HELD_OUT-th: raw counts for the longest n-grams, continuation counts
+below, three discounts an order from the counts of counts.  It stays a sharded table (language, key, value) of weights:
+what an n-gram adds at its order, and what a context passes on to the order below.
+
+Texts are dealt into buckets of about BUCKET_BYTES by a hash of the id, packed and compressed by batch, bucket and
+language, so that shuffling them costs less than they take on disk.  Trusted texts are counted where they are read if
+their ids are few enough to broadcast; otherwise a bucket meets the ids of its trusted texts.  Scoring never joins single
+positions: each bucket asks for the distinct n-grams it holds, those join the sharded weights, and what comes back meets
+the bucket's texts again, whose positions are then read off a table.
+
+A text is kept if its perplexity is at most a quantile of the held-out trusted texts' perplexities in its language (of all
+trusted texts if none is held out, of all texts if none is trusted).  A null text counts as empty; an empty text has the
+perplexity of its end alone and is judged like any other.  A null language is a language of its own; without a model every
+byte is equally likely.  Rows with a null id are never trusted.  Repeated rows are rows, and an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -29,9 +31,15 @@ from .common import durable
 
 ORDER = 4  # n-grams are read as two pairs of bytes
 SYMBOLS = 257
-QUANTILE, SLACK = 0.995, 1.1
-#: Texts of a bucket, about; what a bucket asks for grows much more slowly than its texts.
-BUCKET_TEXTS = 3000
+QUANTILE = 0.999
+#: Of so many trusted texts one is not counted, so that thresholds come from texts that the model hasn't seen.
+HELD_OUT = 5
+#: Bytes of a bucket's texts, about; what a bucket asks for grows much more slowly than its texts.
+BUCKET_BYTES = 6 << 20
+#: Trusted ids that are broadcast; more meet the texts by bucket.
+MOST_BROADCAST = 1 << 20
+#: N-grams that a task holds before it gives out their counts.
+MOST_HELD = 1 << 21
 #: Thresholds of so many languages are broadcast; more are joined by shuffling.
 FEW_LANGUAGES = 10_000
 FIRST, LAST = 0, 1
@@ -96,7 +104,7 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
                 data, sizes = _joined(list(own["text"]))
                 yield pd.DataFrame({"bucket": np.int32([bucket]), "lang": [lang], "ids": [list(own["doc_id"])], "sizes": [sizes], "packed": [squeeze.compress(data.tobytes())]})
 
-    rows = docs.select(_bucket(buckets), "doc_id", "lang", "text")
+    rows = docs.select(_spread(buckets), "doc_id", "lang", "text")
     return rows.mapInPandas(pack, f"bucket int, lang string, ids array<{dict(docs.dtypes)['doc_id']}>, sizes array<long>, packed binary")
 
 
@@ -104,6 +112,12 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
 
 
+def _spread(buckets: int) -> Column:
+    """The bucket of a row; rows without an id are spread by their text and the part of the table they are read in."""
+    loose = F.pmod(F.xxhash64("text", F.spark_partition_id()), F.lit(buckets)).cast("int")
+    return F.when(F.col("doc_id").isNull(), loose).otherwise(_bucket(buckets)).alias("bucket")
+
+
 def _unpacked(packed: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
 
@@ -127,6 +141,34 @@ def count(dealt: DataFrame, trusted: DataFrame) -> DataFrame:
     return found.groupBy("lang", "code").agg(F.sum("c").alias("c"))
 
 
+def count_read(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The same counts of docs (doc_id, lang, text), by tasks that read them; for few trusted ids."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def given() -> Iterator[pd.DataFrame]:
+            for lang, parts in held.items():
+                codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                yield pd.DataFrame({"lang": lang, "code": codes, "c": np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)})
+            held.clear()
+
+        for pdf in batches:
+            for lang, own in pdf.groupby("lang"):
+                for i in range(0, len(own), 512):
+                    grams = _Grams(*_joined(list(own["text"].iloc[i : i + 512])))
+                    held.setdefault(lang, []).append((grams.codes(), grams.counts))
+                    size += len(grams.distinct)
+                    if size > MOST_HELD:
+                        yield from given()
+                        size = 0
+        yield from given()
+
+    mine = docs.join(F.broadcast(trusted), "doc_id", "left_semi").select("lang", "text")
+    return mine.mapInPandas(run, "lang string, code long, c long").groupBy("lang", "code").agg(F.sum("c").alias("c"))
+
+
 def weights(top: DataFrame) -> DataFrame:
     """lang, key, value: weights of n-grams and contexts of all orders, from the counts of the longest n-grams."""
     counts = durable(top.withColumn("k", F.lit(ORDER)))
@@ -139,10 +181,11 @@ def weights(top: DataFrame) -> DataFrame:
     ratio = lambda i: F.coalesce(F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.0))
     y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
     cut = [F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * F.col("y") * ratio(i))).alias(f"d{i}") for i in range(1, 4)]
-    discounts = counts.groupBy("lang", "k").agg(*of).withColumn("y", y).select("lang", "k", *cut)
+    discounts = durable(counts.groupBy("lang", "k").agg(*of).withColumn("y", y).select("lang", "k", *cut))
+    few = F.broadcast(discounts) if discounts.count() <= ORDER * FEW_LANGUAGES else discounts
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     context = F.shiftright("code", 8)
-    rows = counts.join(F.broadcast(discounts), ["lang", "k"]).select("lang", "k", "code", context.alias("h"), "c", d.alias("d"))  # ORDER rows a language
+    rows = counts.join(few, ["lang", "k"]).select("lang", "k", "code", context.alias("h"), "c", d.alias("d"))
     held = rows.groupBy("lang", "k", "h").agg(F.sum("c").alias("all"), F.sum("d").alias("cut"))
     level = F.col("k").cast("long") * _ORDER
     seen = rows.join(held.select("lang", "k", "h", "all"), ["lang", "k", "h"]).select("lang", (level + F.col("code")).alias("key"), ((F.col("c") - F.col("d")) / F.col("all")).alias("value"))
@@ -200,18 +243,20 @@ def perplexities(dealt: DataFrame, model: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(answer, f"doc_id {kind}, lang string, n_bytes long, perplexity double")
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """One row per document: doc_id, lang, trusted, n_bytes, perplexity, threshold, kept; ``trusted`` holds the ids (doc_id) of trusted texts."""
     lang = F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit(""))
-    buckets = max(1, -(-docs.count() // BUCKET_TEXTS))
-    dealt = _deal(docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text")), buckets)
+    rows = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text"))
+    buckets = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
     good = trusted.select("doc_id").where("doc_id is not null").distinct()
-    model = durable(weights(count(dealt, good.select(_bucket(buckets), "doc_id"))))
-    scored = durable(perplexities(dealt, model).join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))))
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    own = F.percentile_approx(F.when(F.col("trusted"), F.col("perplexity")), F.lit(quantile), F.lit(10_000))
-    limit = scored.groupBy("lang").agg((F.coalesce(own, at) * slack).alias("threshold"))
-    limit = durable(limit)
+    good = durable(good.withColumn("seen", F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) > 0))
+    seen = good.where("seen").select("doc_id")
+    dealt = _deal(rows, buckets)
+    counts = count_read(rows, seen) if seen.count() <= MOST_BROADCAST else count(dealt, seen.select(_bucket(buckets), "doc_id"))
+    model = durable(weights(counts))
+    scored = durable(perplexities(dealt, model).join(good, "doc_id", "left").withColumn("trusted", F.col("seen").isNotNull()))
+    at = lambda which: F.percentile_approx(F.when(which, F.col("perplexity")), F.lit(quantile), F.lit(10_000))
+    limit = durable(scored.groupBy("lang").agg(F.coalesce(at(~F.col("seen")), at(F.col("trusted")), at(F.lit(True))).alias("threshold")))
     out = scored.join(F.broadcast(limit) if limit.count() <= FEW_LANGUAGES else limit, "lang")
     name = F.when(F.col("lang") == "", F.lit(None)).otherwise(F.substring("lang", 2, 1_000_000))
     return out.select("doc_id", name.alias("lang"), "trusted", "n_bytes", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("kept"))
