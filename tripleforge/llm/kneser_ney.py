@@ -35,7 +35,7 @@ QUANTILE = 0.999
 #: Of so many trusted texts one is not counted, so that thresholds come from texts that the model hasn't seen.
 HELD_OUT = 5
 #: Bytes of a bucket's texts, about; what a bucket asks for grows much more slowly than its texts.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 10 << 20
 #: Trusted ids that are broadcast; more meet the texts by bucket.
 MOST_BROADCAST = 1 << 20
 #: N-grams that a task holds before it gives out their counts.
@@ -227,7 +227,8 @@ def perplexities(dealt: DataFrame, model: DataFrame) -> DataFrame:
         for (bucket, lang), codes in held.items():
             yield pd.DataFrame({"bucket": np.int32(bucket), "lang": lang, "key": np.unique(np.concatenate([x for pair in keys(codes) for x in pair]))})
 
-    asked = dealt.mapInPandas(ask, "bucket int, lang string, key long").distinct()
+    # A bucket lies in one partition, so each of its keys is asked for once.
+    asked = dealt.mapInPandas(ask, "bucket int, lang string, key long")
     told = asked.join(model, ["lang", "key"])
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
