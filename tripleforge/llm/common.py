@@ -59,21 +59,21 @@ def staged(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, on: str, times: str, total: int) -> DataFrame:
+def with_facts(rows: DataFrame, facts: DataFrame, on: str | list[str], times: str, total: int) -> DataFrame:
     """Rows joined to the one row of ``facts`` with their key; hot keys are spread over the tasks that hold their rows.
 
     ``times`` is the number of rows that have the key, ``total`` that of all rows.  Keys with more than total / MOST_HOT
     rows, of which there are fewer than MOST_HOT, are broadcast; rows of all other keys are joined by shuffling, so no task
     gets more than that many rows of one key.  Rows without facts are dropped.
     """
+    on = [on] if isinstance(on, str) else on
     limit = max(LEAST_HOT, -(-total // MOST_HOT))
     mark = unused(rows.join(facts, on), "_hot")[0]
     hot = facts.where(F.col(times) > limit).withColumn(mark, F.lit(True))
     met = rows.join(F.broadcast(hot), on, "left")
-    names = [c for c in facts.columns if c != on]
+    columns = [*rows.columns, *[c for c in facts.columns if c not in on]]
     others = met.where(F.col(mark).isNull()).select(*rows.columns)
     others = others.join(facts.where(F.col(times) <= limit), on)
-    columns = [*rows.columns, *names]
     return met.where(F.col(mark)).select(*columns).unionByName(others.select(*columns))
 
 

@@ -20,12 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, durable, unused
+from .common import WORDS, durable, unused, with_facts
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_COPIES = 3
 NEWTON_STEPS = 40
 TOLERANCE = 1e-10
+#: Sources whose facts are broadcast; those of more are joined by shuffling.
+MOST_BROADCAST = 100_000
 
 
 def _source_key(source_col: str) -> Column:
@@ -115,7 +117,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     # A source's group is its distinct lengths, whatever the number of its documents.
     plan = histogram.join(facts.select("k", "rate"), "k").groupBy("k").applyInPandas(_additional, "k string, size long, n long, rate double, base long, extra long")
-    planned = rows.join(durable(plan), ["k", "size"])
+    planned = with_facts(rows, durable(plan), ["k", "size"], "n", rows.count())
+    few = F.broadcast(facts) if len(sizes) <= MOST_BROADCAST else facts
     settled = (F.col("extra") == 0) | (F.col("extra") == F.col("n"))
     whole = planned.where(settled).withColumn("more", F.when(F.col("extra") > 0, 1).otherwise(0).cast("long"))
     # Documents of one source and length are dealt into sqrt(n) blocks; blocks get copies in order, and one block is cut.
@@ -130,7 +133,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     columns = ["doc_id", "k", "raw", "size", "base", "more"]
     both = whole.select(columns).unionByName(cut.select(columns))
     copies = (F.col("base") + F.col("more")).alias("copies")
-    return both.join(facts, "k").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies, "rate", *([] if mark is None else ["k", "raw"]))
+    return both.join(few, "k").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies, "rate", *([] if mark is None else ["k", "raw"]))
 
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
