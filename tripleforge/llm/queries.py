@@ -77,3 +77,26 @@ def op6(spark, sf_dir):
 @query("op2_reply_order")
 def op2(spark, sf_dir):
     return quotes.reply_ordered(read(spark, sf_dir, "conversations"))
+
+
+QUOTED = r"""
+with recursive m as (select conv_id, turn, coalesce(text, '') as text, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) as said from conversations),
+q as (select a.conv_id, a.turn, b.said from m a join m b on a.conv_id = b.conv_id and b.turn = a.turn - case when a.turn % 3 = 0 then 2 else 1 end where a.turn % 5 <> 4),
+r as (select q.conv_id, q.turn, min(m.turn) as reply_to from q join m using (conv_id, said) where said <> '' and m.turn < q.turn group by 1, 2),
+t as (select m.conv_id, m.turn, m.turn as thread, 0 as depth, null::bigint as reply_to from m left join r using (conv_id, turn) where r.reply_to is null
+  union all select r.conv_id, r.turn, t.thread, t.depth + 1, r.reply_to from r join t on t.conv_id = r.conv_id and t.turn = r.reply_to)
+select t.conv_id, t.turn, thread, depth, reply_to, md5(regexp_replace(m.text, '^\s+|\s+$', '', 'g')) as digest, (q.turn is not null)::bigint as n_quotes, (reply_to is not null)::bigint as n_linked
+from t join m using (conv_id, turn) left join q on q.conv_id = t.conv_id and q.turn = t.turn
+"""
+
+
+@query("quoted_conversations", QUOTED)
+def quoted_conversations(spark, sf_dir):
+    """Conversations in which most messages quote the one before them, or the one before that, in reply order and without the quotes."""
+    c = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    back = F.when(F.col("turn") % 3 == 0, 2).otherwise(1)
+    quoted = c.select("conv_id", F.col("turn").alias("at"), F.regexp_replace("text", "(?m)^", "> ").alias("quote"))
+    rows = c.withColumn("at", F.when(F.col("turn") % 5 != 4, F.col("turn") - back)).join(quoted, ["conv_id", "at"], "left")
+    rows = rows.select("conv_id", "turn", "role", F.concat_ws("\n", "quote", "text").alias("text"))
+    out = quotes.reply_ordered(rows)
+    return out.select("conv_id", "turn", "thread", "depth", "reply_to", F.md5("text").alias("digest"), "n_quotes", "n_linked")
