@@ -60,7 +60,7 @@ def test_sketch_never_underestimates(spark):
     bits = divergence.sketch(df, width, least)
     found = defaultdict(Counter)
     for text, lang, _ in docs:
-        found[lang].update(set(divergence.terms(text or "")))
+        found[lang].update(set(divergence.terms((text or "").encode())))
     rare = 0
     for lang, own in found.items():
         at = divergence.cells(lang, list(own), width)

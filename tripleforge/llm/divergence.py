@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -41,9 +42,9 @@ MOST_HELD = 400_000
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms(text: str) -> list[bytes]:
-    """Runs of ASCII letters and of what is beyond ASCII; only A-Z are lower-cased."""
-    return text.encode("utf-8", "surrogatepass").translate(_TERMS).split()
+def terms(text: bytes) -> list[bytes]:
+    """Runs of ASCII letters and of what is beyond ASCII in a text in UTF-8; only A-Z are lower-cased."""
+    return text.translate(_TERMS).split()
 
 
 def cells(lang: str, found: list[bytes], width: int) -> np.ndarray:
@@ -62,11 +63,11 @@ def sketch(docs: DataFrame, width: int, least: int) -> np.ndarray:
     """
     least = min(least, 127)  # as far as a byte counts; the exact count decides
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter[bytes]] = {}
         squeeze, size = zstandard.ZstdCompressor(level=1), 0
 
-        def given() -> Iterator[pd.DataFrame]:
+        def given() -> Iterator[pa.RecordBatch]:
             at, n = [], []
             for lang, own in held.items():
                 at.append(cells(lang, list(own), width).ravel())
@@ -79,13 +80,13 @@ def sketch(docs: DataFrame, width: int, least: int) -> np.ndarray:
             piece = cell // PIECE
             cut = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
             packed = [squeeze.compress((cell[i:j] % PIECE).astype(np.uint16).tobytes() + total[i:j].tobytes()) for i, j in zip(cut, np.append(cut[1:], len(cell)), strict=True)]
-            yield pd.DataFrame({"piece": piece[cut].astype(np.int32), "packed": packed})
+            yield pa.RecordBatch.from_arrays([pa.array(piece[cut], pa.int32()), pa.array(packed, pa.binary())], ["piece", "packed"])
 
-        for pdf in batches:
-            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 own = held.setdefault(lang, Counter())
                 size -= len(own)
-                own.update(set(terms(text)))
+                own.update(set(terms(text.as_py())))
                 size += len(own)
                 if size > MOST_HELD:
                     yield from given()
@@ -104,7 +105,7 @@ def sketch(docs: DataFrame, width: int, least: int) -> np.ndarray:
         for piece, own in total.items():
             yield pd.DataFrame({"piece": np.int32([piece]), "bits": [np.packbits(own >= least).tobytes()]})
 
-    pieces = docs.select("lang", "text").mapInPandas(count, "piece int, packed binary")
+    pieces = docs.select("lang", "text").mapInArrow(count, "piece int, packed binary")
     merged = pieces.repartition(max(1, DEPTH * width // PIECE // 16), "piece").mapInPandas(merge, "piece int, bits binary")
     out = np.zeros((DEPTH * width // PIECE, PIECE // 8), np.uint8)
     for r in merged.collect():  # DEPTH x MOST_CELLS bits at most
@@ -116,35 +117,38 @@ def counted(docs: DataFrame, bits: np.ndarray, width: int) -> DataFrame:
     """lang, source, term, n, df: occurrences and documents of the terms that the sketch lets through."""
     told = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
         size = 0
 
-        def given() -> Iterator[pd.DataFrame]:
+        def given() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, df) in held.items():
-                found = list(n)
-                at = cells(lang, found, width)
-                on = ((told.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
-                kept = [t for t, x in zip(found, on, strict=True) if x]
-                if kept:
-                    yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode("utf-8", "surrogatepass") for t in kept], "n": [n[t] for t in kept], "df": [df[t] for t in kept]})
+                if not n:
+                    continue
+                at = cells(lang, list(n), width)
+                on = pa.array(((told.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0))
+                found = pa.array(n, pa.binary()).filter(on).cast(pa.string())
+                names = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(found), np.int8))) for x in (lang, source)]
+                counts = [pa.array(np.fromiter(c, np.int64, len(n))).filter(on) for c in (n.values(), map(df.__getitem__, n))]
+                yield pa.RecordBatch.from_arrays([*names, found, *counts], ["lang", "source", "term", "n", "df"])
             held.clear()
 
-        for pdf in batches:
-            for lang, source, text in zip(pdf["lang"], pdf["source"], pdf["text"], strict=True):
+        for batch in batches:
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 n, df = held.setdefault((lang, source), (Counter(), Counter()))
-                own = Counter(terms(text))
+                own = terms(text.as_py())
                 size -= len(n)
                 n.update(own)
-                df.update(own.keys())
+                df.update(set(own))
                 size += len(n)
                 if size > MOST_HELD:
                     yield from given()
                     size = 0
         yield from given()
 
-    found = docs.select("lang", "source", "text").mapInPandas(run, "lang string, source string, term string, n long, df long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    found = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, df long")
+    # What tasks have counted is dealt by term, where the next two sums need no other exchange.
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def _share(n: Column, total: Column, kept: Column) -> Column:
@@ -165,18 +169,19 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     groups = durable(rows.groupBy("lang", "source").agg(F.sum(F.octet_length("text")).alias("size")))
     n_groups, size = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     width = min(MOST_CELLS, max(LEAST_CELLS, 1 << int(size // 64).bit_length()))
-    found = durable(counted(rows, sketch(rows, width, least), width))
-    kept = found.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("all")).where(F.col("df") >= least).select("lang", "term", "all")
-    own = durable(found.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "all"))
+    by_term = counted(rows, sketch(rows, width, least), width).groupBy("lang", "term")
+    kept = by_term.agg(F.sum("df").alias("df"), F.sum("n").alias("all"), F.collect_list(F.struct("source", "n")).alias("counts"))  # a row a source
+    kept = durable(kept.where(F.col("df") >= least).select("lang", "term", "all", "counts"))
+    own = kept.select("lang", "term", "all", F.explode("counts").alias("c")).select("lang", "c.source", "term", "c.n", "all")
     totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("has"))
-    lang = own.groupBy("lang", "term").agg(F.first("all").alias("all")).groupBy("lang").agg(F.sum("all").alias("lang_total"), F.count(F.lit(1)).alias("v"))
+    lang = kept.groupBy("lang").agg(F.sum("all").alias("lang_total"), F.count(F.lit(1)).alias("v"))
     none = lambda *c: [F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in c]
     groups = groups.join(totals, ["lang", "source"], "left").join(lang, "lang", "left").select("lang", "source", *none("total", "has", "lang_total", "v"))
     # p0 is the probability of a term that a source doesn't have.
     groups = durable(groups.withColumn("p0", F.when(F.col("v") > 0, _share(F.lit(0), F.col("total"), F.col("v")))))
     few = F.broadcast if n_groups <= FEW_GROUPS else lambda df: df
     n_own = groups.agg(F.sum("has")).first()[0] or 0
-    p = with_facts(own, groups, ["lang", "source"], "has", n_own)
+    p = own.join(F.broadcast(groups), ["lang", "source"]) if n_groups <= FEW_GROUPS else with_facts(own, groups, ["lang", "source"], "has", n_own)
     p = p.select("lang", "source", "term", "p0", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"), _share(F.col("all"), F.col("lang_total"), F.col("v")).alias("q"))
     p = durable(p)
 
