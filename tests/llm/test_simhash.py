@@ -124,3 +124,82 @@ def test_hot_keys_join_once(spark, monkeypatch):
     got = common.with_facts(rows, facts, "k", "n", 61)
     assert got.columns == ["k", "_hot", "n", "top"]
     assert sorted(map(tuple, got.collect())) == sorted((("x", i, 40, 59) if i % 3 else (str(i), i, 1, i)) for i in range(1, 60))
+
+
+@pytest.mark.parametrize("rows,want", [
+    # A - B - C, B without an id: all reach 1.
+    ([(1, 0), (None, 0b111), (3, 0b111111)], [(1, 1), (3, 1), (None, 1)]),
+    # One id with two texts joins nothing of its own.
+    ([(5, 0), (7, 0b1111), (5, (1 << 40) - 1), (9, (1 << 40) - 16)], [(5, 5), (5, 5), (7, 5), (9, 5)]),
+    ([(5, 0), (7, 0b1111), (6, (1 << 40) - 1), (5, (1 << 40) - 1), (9, (1 << 40) - 16), (8, (1 << 40) - 16)], [(5, 5), (5, 5), (6, 5), (7, 5), (8, 5), (9, 5)]),
+    # Chains of rows without ids have none; with one at the end they have it.
+    ([(None, 0), (None, 0b11)], [(None, None), (None, None)]),
+    ([(None, 0), (None, 0b1111), (None, 0b11111111), (4, 0b111111111111)], [(4, 4), (None, 4), (None, 4), (None, 4)]),
+])
+def test_ids_follow_fingerprints(spark, monkeypatch, rows, want):
+    stated = spark.createDataFrame([(i, 0, fp) for i, fp in rows], "doc_id long, raw long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: stated)
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_dedup(stated).collect()), key=repr)
+    assert got == sorted(want, key=repr)
+
+
+def test_two_texts_of_an_id_do_not_join_others(spark, monkeypatch):
+    far = ((1 << 30) - 1) << 20
+    stated = spark.createDataFrame([(5, 0, 0), (7, 0, 0b11), (5, 0, far), (9, 0, far ^ 1)], "doc_id long, raw long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: stated)
+    rows = simhash._classes(stated, "doc_id", "text", None).collect()
+    of = {(r.doc_id, r.fp): r["class"] for r in rows}
+    assert of[5, 0] == of[7, 0b11] != of[5, far] == of[9, far ^ 1]
+    assert {r.component_id for r in rows} == {5}
+
+
+def random_rows(rng, n):
+    """Fingerprints near each other, some of rows without an id, some ids with several."""
+    codes = clusters(rng, n, 12, 5)
+    codes = codes[rng.integers(0, len(codes), n)]
+    ids = [None if rng.random() < 0.4 else int(rng.integers(0, n // 2)) for _ in range(n)]
+    return [(i, 0, int(np.int64(np.uint64(c)))) for i, c in zip(ids, codes)]
+
+
+def brute_rows(rows):
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, (_, _, a) in enumerate(rows):
+        for j in range(i):
+            if bin((a ^ rows[j][2]) & (2**64 - 1)).count("1") <= 4:
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    least = {}
+    for i, (d, _, _) in enumerate(rows):
+        least[root(i)] = min([x for x in (d, least.get(root(i))) if x is not None], default=None)
+    return [(d, least[root(i)]) for i, (d, _, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed,range_rows,parts", [(1, 1 << 20, None), (2, 40, "16")])
+def test_null_and_repeated_ids_equal_brute_force(spark, monkeypatch, seed, range_rows, parts):
+    """Also with so small ranges that groups lie in several, for the second pass."""
+    monkeypatch.setattr(simhash, "RANGE_ROWS", range_rows)
+    rows = random_rows(np.random.default_rng(seed), 240)
+    stated = spark.createDataFrame(rows, "doc_id long, raw long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: stated)
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_dedup(stated).collect()), key=repr)
+    assert got == sorted(brute_rows(rows), key=repr)
+
+
+def test_one_row_of_each_class_stays(spark):
+    a = "one two three four five six seven eight nine ten eleven twelve " * 6
+    rows = [(7, a, "x"), (3, a + "thirteen", "y"), (None, a, "z"), (9, "quite another text of other words altogether here", "x"), (None, "alone without an id and near nothing else", "y"), (None, None, "q"), (None, "", "q"), (3, "the id three once more with a far text of its own", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class string")
+    kept = simhash.keep_representatives(df)
+    assert kept.columns == df.columns
+    fps = {r.doc_id: r.component_id for r in simhash.near_dedup(df.where("doc_id in (7, 9)")).collect()}
+    assert fps == {7: 7, 9: 9}
+    got = sorted((repr(r.doc_id), (r.text or "")[:5]) for r in kept.collect())
+    linked = bin(simhash.fingerprint(a) ^ simhash.fingerprint(a + "thirteen")).count("1") <= 4
+    assert linked
+    assert got == sorted([("3", "one t"), ("3", "the i"), ("9", "quite"), ("None", "alone"), ("None", ""), ("None", "")])

@@ -10,8 +10,9 @@ Groups whose members are linked already are left as well, so a dense group costs
 Only distinct fingerprints enter; copies follow their fingerprint.  Tables are cut by rank into even ranges, so a hot
 group is spread over tasks; what then lies in several ranges is compared across them in a second pass.
 
-A null or empty text has fingerprint zero and is linked like any other.  A null id is never a component's id; a
-fingerprint that only null ids have is left alone.  Repeated rows are rows.  An empty table gives an empty result.
+Links are between fingerprints, so rows without an id and ids with several texts link like all others; a component's id
+is the smallest of all ids that links reach, null if none of its rows has one.  A null or empty text has fingerprint zero
+and is linked like any other.  Repeated rows are rows.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -233,7 +234,7 @@ def _chunk_links(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
-    """rep, component for all fingerprints (fp, rep) that are linked to others, rep being a distinct id each."""
+    """node, component (as ``components``) of all fingerprints (fp, rep) that are linked to others, rep being a distinct number each."""
     spark = distinct.sparkSession
     n = distinct.count()
     blocks = next(b for b in (6, 7, 8, 9) if b == 9 or n <= 64 << tables(b)[1])
@@ -274,25 +275,34 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return components(durable(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, mark: Column | None) -> DataFrame:
+    """doc_id, raw, fp, class (a fingerprint that stands for all that links join), component_id: links are between fingerprints, ids follow them."""
+    rows = durable(fingerprints(docs, id_col, text_col, mark))
+    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times")))
+    linked = near_links(distinct.select("fp", F.col("fp").alias("rep"))).withColumnRenamed("node", "fp")
+    of = durable(distinct.join(linked, "fp", "left").withColumn("class", F.coalesce("component", "fp")).drop("component"))
+    ids = of.groupBy("class").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    n, total = of.agg(F.count(F.lit(1)), F.coalesce(F.sum("times"), F.lit(0))).first()
+    of = with_facts(of, ids, "class", "members", n).select("fp", "class", "component_id", "times")
+    return with_facts(rows, of, "fp", "times", total)
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest id that links reach), raw (``mark``)."""
-    rows = durable(fingerprints(docs, id_col, text_col, mark))
-    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times")))
-    linked = near_links(distinct.where("rep is not null").drop("times"))
-    of = distinct.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "times")
-    total = distinct.agg(F.sum("times")).first()[0] or 0
-    return with_facts(rows, of, "fp", "times", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "raw")
+    rows = _classes(docs, id_col, text_col, mark)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "raw")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay for their component, with all their columns.
+    """The rows of ``docs`` that stay for what links join, with all their columns.
 
-    That is the row whose id is the component's.  Rows that repeat this id stay together if their texts are equal or
-    linked as well.  Rows without an id stay if no row with an id has their
-    fingerprint.
+    Of each class the row with the smallest id stays, of rows without an id none if another row of the class has one.  Of
+    several texts with this id, or without any id, the one with the smallest hash stays; rows that repeat id and text
+    can't be told apart and stay together.
     """
     name, same = unused(docs, "_stays_id", "_stays_raw")
     raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    stays = near_dedup(docs, id_col, text_col, raw).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = stays.select(F.col("doc_id").alias(name), F.col("raw").alias(same))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("b")
+    stays = _classes(docs, id_col, text_col, raw).groupBy("class").agg(first)
+    stays = stays.select(F.col("b.doc_id").alias(name), F.col("b.raw").alias(same))
     return docs.join(stays, F.col(id_col).eqNullSafe(F.col(name)) & (raw == F.col(same)), "left_semi")
