@@ -8,9 +8,11 @@ choices in which a chosen node's parent is chosen too, so no text is kept inside
 text is all dropped for a gain.  The trees are trained on labelled pages that a generator lays out at random.
 
 A null or empty page has an empty text.  Character references are decoded; white space in a block becomes one space;
-blocks are joined in page order by one space.  Unclosed tags, comments and scripts are closed as browsers do, in time
-linear in the page.  Drawings, players, lists of choices and the like are left out with their content where they are
-closed inside the element that holds them; a tag that nothing closes there, or that closes itself, hides nothing.  Repeated rows are treated alike and an empty table gives an empty result.
+blocks are joined in page order by one space.  Comments, scripts and tags that nothing ends go on to the end of the page,
+in time linear in the page.  Drawings, templates, lists of choices and annotations of formulas are left out with their
+content where they are closed inside the element that holds them; a tag that nothing closes there, or that closes itself,
+hides nothing.  Text for readers without scripts or players (``noscript``, ``audio``, ``video``, ``canvas``, ``object``)
+is text like that around it.  Repeated rows are treated alike and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .html_trees import Boosted
 TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)(?:((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*))|([^>]*))>)")
 #: The same without regard to quotes, for what follows a quote that nothing closes.
 LOOSE_TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)()([^>]*)>)")
+#: What begins a tag, a comment or the like.
+CUT_OFF = re.compile(r"<[!?/a-zA-Z]")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 TOKEN = re.compile(r"[a-z]+")
@@ -41,8 +45,8 @@ MARK = "\ue000"  # a private-use character
 #: Content of these is no markup and no text of the page; without a closing tag it goes on to the end of the page.
 RAW = set("script style textarea title iframe head".split())
 #: Elements whose content is no text of the page, if they are closed.
-UNSEEN = set("noscript template svg select audio video canvas annotation annotation-xml".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img picture source input ruby rb rt rp output meter progress map area nobr object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose merror msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
+UNSEEN = set("template svg select annotation annotation-xml".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img picture source input ruby rb rt rp output meter progress map area nobr object noscript audio video canvas math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose merror msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the left kind ends where one of the right kinds begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
@@ -59,7 +63,8 @@ def _tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
     """Start, end, whether it closes, name and attributes of each tag; comments and RAW elements are one nameless tag each.
 
     The time is linear in the page: no tag is looked for behind the last ``>``, and quotes count only until one is found
-    that nothing closes, so no part of the page is gone through again and again.
+    that nothing closes, so no part of the page is gone through again and again.  What begins like a tag or a comment
+    behind the last ``>`` is one to the end of the page.
     """
     pattern, at, last, size, no_end, drawn = TAG, 0, source.rfind(">") + 1, len(source), set(), 0
     while (found := pattern.search(source, at, last)) is not None:
@@ -83,6 +88,8 @@ def _tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
                     at = size
             tag = ""
         yield start, at, closing, tag, found[5] or found[6] or ""
+    if (found := CUT_OFF.search(source, max(at, last))) is not None:
+        yield found.start(), size, False, "", ""
 
 
 def _unseen(tags: list[tuple[int, int, bool, str, str]]) -> dict[int, int]:
