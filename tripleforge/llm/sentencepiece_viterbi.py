@@ -33,10 +33,12 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Default model; any other is a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose ids are remembered, in each of two generations; when the newer is full, the older is forgotten.
-REMEMBERED = 200_000
-#: Pairs of pieces whose merging is remembered, likewise.
-MOST_PAIRS = 400_000
+#: Bytes of the words whose ids are remembered, in each of two generations; when the newer is full, the older is forgotten.
+REMEMBERED = 24_000_000
+#: Bytes that a remembered word takes besides its characters and ids, about.
+ENTRY = 200
+#: Pairs of pieces whose merging is remembered; then they are forgotten.
+MOST_PAIRS = 250_000
 LONGEST_REMEMBERED = 64
 #: Characters that the search takes in at a time.
 BLOCK = 64
@@ -154,10 +156,11 @@ class _Merges:
 
 
 class Encoder:
-    """Encodes and decodes texts with one model; ``remember``: words whose ids are kept, in each of two generations."""
+    """Encodes and decodes texts with one model; ``remember``: bytes of words whose ids are kept, in each of two generations."""
 
     def __init__(self, data: bytes, remember: int = REMEMBERED):
-        self.model, self.remember = Model(data), remember
+        self.model, self.remember, self.held = Model(data), remember, 0
+        self.lossy: set[str] = set()  # short words whose ids don't decode to them
         self.merges = _Merges(self.model)  # for BPE models
         self.known: dict[str, bytes] = {}  # of two generations, the newer
         self.older: dict[str, bytes] = {}
@@ -267,22 +270,36 @@ class Encoder:
 
     def packed(self, text: str) -> bytes:
         """Ids of a text, as 32-bit numbers one after another."""
-        text = self.model.normal(text)
+        return self.checked(text)[0]
+
+    def checked(self, text: str) -> tuple[bytes, bool]:
+        """The same, and whether they decode to the text, which words tell one by one."""
+        whole, text = text, self.model.normal(text)
         if not self.remember or not self.model.by_word or not self.model.bytes:
-            return b"".join(array("i", part).tobytes() for part in self.stream(text[i : i + BLOCK] for i in range(0, len(text), BLOCK)))
+            ids = b"".join(array("i", part).tobytes() for part in self.stream(text[i : i + BLOCK] for i in range(0, len(text), BLOCK)))
+            return ids, self.decode(np.frombuffer(ids, np.int32).tolist()) == whole
         parts: list[bytes] = []
-        known, older = self.known, self.older
+        known, older, same = self.known, self.older, True
         for word in self.model.chunks.findall(text):
             ids = known.get(word)
             if ids is None:
                 if (ids := older.get(word)) is None:
                     ids = self._word(word)
+                    if self._text(ids) != word.replace(SPACE, " "):
+                        same = False
+                        if len(word) <= LONGEST_REMEMBERED:
+                            self.lossy.add(word)
                 if len(word) <= LONGEST_REMEMBERED:
-                    if len(known) >= self.remember:
-                        self.older, self.known = older, known = known, {}
+                    if self.held >= self.remember:
+                        self.older, self.known, self.held = older, known, _ = known, {}, 0
+                        self.lossy &= older.keys()
                     known[word] = ids
+                    self.held += ENTRY + 2 * len(word) + len(ids)
+            if self.lossy and word in self.lossy:
+                same = False
             parts.append(ids)
-        return b"".join(parts)
+        plain = text.replace(SPACE, " ")
+        return b"".join(parts), same and (plain[1:] if self.model.prefix else plain) == whole
 
     def _word(self, word: str) -> bytes:
         """Ids of a word, at whose end all ways meet; a short one is a window of its own."""
@@ -309,6 +326,10 @@ class Encoder:
         text = b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.prefix and text.startswith(" ") else text
 
+    def _text(self, ids: bytes) -> str:
+        """What ids, packed, stand for inside a text."""
+        return b"".join(map(self.text_of.__getitem__, array("i", ids))).decode("utf-8", "replace")
+
 
 _encoders: dict[int, Encoder] = {}
 
@@ -337,8 +358,8 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         for pdf in batches:
             for at in range(0, len(pdf), 64):  # so that few rows' ids are held as Python lists
                 part = pdf.iloc[at : at + 64]
-                ids = [None if t is None else np.frombuffer(encoder.packed(t), np.int32) for t in part["text"]]
-                same = [None if t is None else encoder.decode(x.tolist()) == t for t, x in zip(part["text"], ids, strict=True)]
+                both = [(None, None) if t is None else encoder.checked(t) for t in part["text"]]
+                ids, same = [None if x is None else np.frombuffer(x, np.int32) for x, _ in both], [x for _, x in both]
                 n = pd.array([None if x is None else len(x) for x in ids], "Int64")
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": pd.Series(ids, part.index, dtype=object), "n_ids": pd.Series(n, part.index), "round_trip": pd.Series(same, part.index, dtype=object)})
 
