@@ -6,17 +6,28 @@ Sentences end with full stops, question marks or exclamation marks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import once
 from ..sources.storage import durable, ordinals
 
-# Relations and their opposites.
+#: Words and their opposites; any other table is a parameter.
 OPPOSITES = {
     "increases": "decreases", "decreases": "increases", "causes": "prevents", "prevents": "causes", "includes": "excludes", "excludes": "includes", "won": "lost", "lost": "won",
     "accepted": "rejected", "rejected": "accepted", "joined": "left", "supports": "opposes", "opposes": "supports", "before": "after", "after": "before",
 }
+# Verbs and their opposites, for verbs that no larger lexicon has, and verbs that are never replaced.
+VERB_OPPOSITES = {
+    "increase": "decrease", "expand": "reduce", "support": "oppose", "win": "lose", "create": "destroy", "join": "leave", "lead": "follow", "founded": "dissolved", "help": "hinder",
+    "accept": "reject", "approve": "disapprove", "gain": "lose", "build": "demolish", "grow": "decline", "rise": "fall", "improve": "worsen", "defend": "attack", "enter": "exit",
+    "begin": "end", "open": "close", "include": "exclude", "allow": "prevent", "promote": "demote", "elect": "dismiss", "appoint": "remove", "produce": "consume", "sell": "buy",
+    "send": "receive", "give": "take", "love": "hate", "born": "died", "married": "divorced", "hired": "fired", "passed": "failed", "won": "lost", "gained": "lost",
+    "acquired": "sold", "joined": "left", "signed": "rejected",
+}
+KEPT_VERBS = ["is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did"]
 
 
 def draw(seed: str, *columns: str) -> Column:
@@ -84,6 +95,38 @@ def replace_relation(text: Column, opposites: dict[str, str] = OPPOSITES) -> Col
     return once(F.split(text, " "), made)
 
 
+def replace_verb(text: Column, table: dict[str, str], kept: list[str] = KEPT_VERBS, phrase: str = r"[A-Z][a-z]{3,}", at_least: int = 2) -> Column:
+    """In the first sentence of so many phrases that has a word of the table, the first such word is replaced; null if there is none.
+
+    ``table`` maps words to words, as ``inflection.inflected`` makes it of a lexicon; words in ``kept`` stay.  Words are
+    compared in lower case, between characters that are no ASCII letters, digits or underscores; a capital stays.
+    """
+    table = {k.lower(): v for k, v in table.items() if k.lower() not in kept}
+    if not table:
+        return F.lit(None).cast("string")
+    words = "|".join(re.escape(w) for w in sorted(table, key=lambda w: (-len(w), w)))
+    found = rf"(?is)^(|.*?[^a-z0-9_])({words})($|[^a-z0-9_].*)$"
+    by = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
+    def changed(sentence: Column) -> Column:
+        def put(word: Column) -> Column:
+            other = by[F.lower(word)]
+            other = F.when(F.substring(word, 1, 1) != F.lower(F.substring(word, 1, 1)), F.concat(F.upper(F.substring(other, 1, 1)), F.substring(other, 2, 1_000))).otherwise(other)
+            return F.concat(F.regexp_extract(sentence, found, 1), other, F.regexp_extract(sentence, found, 3))
+
+        linked = F.size(F.regexp_extract_all(sentence, F.lit(phrase), F.lit(0))) >= at_least
+        return F.when(linked & sentence.rlike(found), once(F.regexp_extract(sentence, found, 2), put))
+
+    def made(s: Column) -> Column:
+        def joined(new: Column) -> Column:
+            at = F.array_position(F.transform(new, lambda x: x.isNotNull()), True).cast("int")
+            return once(at, lambda n: F.when(n > 0, F.array_join(F.transform(s, lambda x, i: F.when(i == n - 1, F.get(new, i)).otherwise(x)), " ")))
+
+        return once(F.transform(s, changed), joined)
+
+    return once(sentences(text), made)
+
+
 #: Numbers that may be changed: up to nine digits before the point.
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 

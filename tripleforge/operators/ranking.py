@@ -6,7 +6,7 @@ is one aggregation with map-side partial sums, or a rank that is computed from c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -130,25 +130,86 @@ def _mean_ranks(df: DataFrame, by: list[str], value: str, counts: list[Column])
 
 
 def mann_whitney(df: DataFrame, by: list[str], value: str, first: Column) -> DataFrame:
-    """by, u, z, n1, n2: U of the rows that ``first`` marks against the others, and its normal approximation with ties."""
+    """by, u, z, n1, n2, tied, spread: U of the rows that ``first`` marks against the others, its normal approximation with ties, and whether there are any.
+
+    Null values count as rows of the lowest rank, equal ones of each other; give rows that have a value.
+    """
     r = _mean_ranks(df, by, value, [F.sum(first.cast("int")).alias("k")])
     n1, n, ties = F.sum("k"), F.sum("n"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n"))
     out = r.groupBy(*by).agg((F.sum(F.col("k") * F.col("rank")) - n1 * (n1 + 1) / 2.0).alias("u"), n1.alias("n1"), (n - n1).alias("n2"), ties.alias("ties"))
     n1, n2 = F.col("n1"), F.col("n2")
     spread = F.sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - F.col("ties") / ((n1 + n2) * (n1 + n2 - 1))))
-    return out.select(*by, "u", F.try_divide(F.col("u") - n1 * n2 / 2.0, spread).alias("z"), "n1", "n2")
+    return out.select(*by, "u", F.try_divide(F.col("u") - n1 * n2 / 2.0, spread).alias("z"), "n1", "n2", (F.col("ties") > 0).alias("tied"), spread.alias("spread"))
 
 
 def wilcoxon(df: DataFrame, by: list[str], difference: str) -> DataFrame:
-    """by, w, z, n: signed-rank statistic min(W+, W-) over differences that aren't zero."""
+    """by, w, z, n, tied, zeros: signed-rank statistic min(W+, W-) over differences that aren't zero, whether there are ties, and the zeros left out.
+
+    Null differences are left out; a group of zeros alone gives no row.
+    """
     d = F.col(difference)
+    zeros = df.where(d == 0).groupBy(*by).agg(F.count(F.lit(1)).alias("zeros"))
     rows = df.where(d != 0).select(*by, F.abs(d).alias("size"), (d > 0).cast("int").alias("up"))
     r = _mean_ranks(rows, by, "size", [F.sum("up").alias("k")])
     up, down = F.sum(F.col("k") * F.col("rank")), F.sum((F.col("n") - F.col("k")) * F.col("rank"))
     out = r.groupBy(*by).agg(F.least(up, down).alias("w"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
     n = F.col("n")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
-    return out.select(*by, "w", F.try_divide(F.col("w") - n * (n + 1) / 4.0, spread).alias("z"), "n")
+    out = out.select(*by, "w", F.try_divide(F.col("w") - n * (n + 1) / 4.0, spread).alias("z"), "n", (F.col("ties") > 0).alias("tied"))
+    met = out.join(zeros, by, "left") if by else out.crossJoin(zeros)  # without groups both are one row
+    return met.withColumn("zeros", F.coalesce("zeros", F.lit(0)))
+
+
+#: Signed ranks of up to so many differences, and rank sums whose smaller sample has up to so many rows, have exact p.
+EXACT_SIGNED, EXACT_SAMPLE = 50, 8
+#: Exact rank sums are counted up to this U; beyond, the normal approximation differs by less than rounding shows.
+MOST_U = 1 << 20
+LEAST_ROWS = 5
+
+
+def _p(df: DataFrame, columns: list[str], tail: Callable) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for pdf in batches:
+            yield pd.Series([tail(*row) for row in pdf.itertuples(index=False)], dtype="float64")
+
+    run.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
+    return df.withColumn("p", F.pandas_udf(run, "double")(F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns])))
+
+
+def wilcoxon_p(stats: DataFrame) -> DataFrame:
+    """``wilcoxon``'s rows with p and stars: exact for up to ``EXACT_SIGNED`` differences without ties and zeros, else by the normal approximation.
+
+    Groups of fewer than ``LEAST_ROWS`` rows, zeros included, are left out.
+    """
+
+    def tail(w, z, n, tied, zeros) -> float:
+        if n <= EXACT_SIGNED and not tied and not zeros:
+            return distributions.wilcoxon_exact(w, int(n))
+        return distributions.normal_two_sided(z) if z == z else float("nan")
+
+    rows = stats.where(F.col("n") + F.col("zeros") >= LEAST_ROWS)
+    return starred(_p(rows, ["w", "z", "n", "tied", "zeros"], tail))
+
+
+def mann_whitney_p(stats: DataFrame) -> DataFrame:
+    """``mann_whitney``'s rows with p and stars: exact if the smaller sample has up to ``EXACT_SAMPLE`` rows and there are no ties, else by the normal
+    approximation, half a step nearer the middle.  Groups of which a sample has fewer than ``LEAST_ROWS`` rows are left out.
+    """
+
+    def tail(u, spread, n1, n2, tied) -> float:
+        if min(n1, n2) <= EXACT_SAMPLE and not tied and n1 * n2 <= MOST_U:
+            return distributions.mann_whitney_exact(u, int(n1), int(n2))
+        far = abs(u - n1 * n2 / 2) - 0.5
+        return min(1.0, distributions.normal_two_sided(max(far, 0.0) / spread)) if spread > 0 else 1.0
+
+    rows = stats.where((F.col("n1") >= LEAST_ROWS) & (F.col("n2") >= LEAST_ROWS))
+    return starred(_p(rows, ["u", "spread", "n1", "n2", "tied"], tail))
+
+
+def starred(df: DataFrame) -> DataFrame:
+    """With ``stars``: *** below 0.001, ** below 0.01, * below 0.05, else ns; empty without a p."""
+    p = F.col("p")
+    return df.withColumn("stars", F.when(p.isNull() | F.isnan(p), "").when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns"))
 
 
 def percentile_filter(df: DataFrame, by: list[str], columns: list[str], share: float = 0.05) -> DataFrame:

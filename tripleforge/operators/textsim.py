@@ -1,4 +1,4 @@
-"""Text-overlap baselines: ROUGE, BLEU, longest common subsequence, sequence ratio.
+"""Text-overlap baselines: ROUGE with and without stems, BLEU, longest common subsequence, sequence ratio.
 
 N-gram measures are aggregations of counts by (pair, n-gram): both texts are exploded once, counted in one pass and
 summed by pair.  What needs an alignment of two sequences is an Arrow function on the two texts of a row.
@@ -15,11 +15,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import once
+from ..functions.stemming import stem
 
+#: Words of more characters than this are stemmed.
+UNSTEMMED = 3
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of a-z and 0-9."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+def tokens(text: Column, stemmed: bool = False) -> Column:
+    """Lower-cased runs of a-z and 0-9; null gives null."""
+    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return stems(found) if stemmed else found
+
+
+def stems(words: Column) -> Column:
+    """An array of words with those of more than ``UNSTEMMED`` characters stemmed; each worker remembers the stems of the words it met."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            yield pd.Series([None if x is None else [stem(w) if len(w) > UNSTEMMED else w for w in x] for x in lists])
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<string>")(words)
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -32,16 +48,16 @@ def ngrams(words: Column, n: int) -> Column:
     return once(words, made)
 
 
-def counts(pairs: DataFrame, n: int, reference: str = "reference", candidate: str = "candidate") -> DataFrame:
+def counts(pairs: DataFrame, n: int, reference: str = "reference", candidate: str = "candidate", stemmed: bool = False) -> DataFrame:
     """pair_id, r, c: how often each n-gram stands in the pair's reference and candidate."""
-    side = lambda text, k: pairs.select("pair_id", tokens(F.col(text)).alias("w")).select("pair_id", F.explode(ngrams(F.col("w"), n)).alias("g"), F.lit(k).alias("k"))
+    side = lambda text, k: pairs.select("pair_id", tokens(F.col(text), stemmed).alias("w")).select("pair_id", F.explode(ngrams(F.col("w"), n)).alias("g"), F.lit(k).alias("k"))
     rows = side(reference, 0).unionByName(side(candidate, 1))
     return rows.groupBy("pair_id", "g").agg(F.sum(1 - F.col("k")).alias("r"), F.sum("k").alias("c"))
 
 
-def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
-    """pair_id, p, r, f: overlap of n-gram multisets; 0 without any."""
-    s = counts(pairs, n).groupBy("pair_id").agg(F.sum(F.least("r", "c")).alias("both"), F.sum("r").alias("nr"), F.sum("c").alias("nc"))
+def rouge_n(pairs: DataFrame, n: int, stemmed: bool = False) -> DataFrame:
+    """pair_id, p, r, f: overlap of n-gram multisets; 0 without any, as for a null or empty text.  Pairs are told apart by pair_id."""
+    s = counts(pairs, n, stemmed=stemmed).groupBy("pair_id").agg(F.sum(F.least("r", "c")).alias("both"), F.sum("r").alias("nr"), F.sum("c").alias("nc"))
     s = pairs.select("pair_id").join(s, "pair_id", "left").na.fill(0, ["both", "nr", "nc"])
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     s = s.select("pair_id", share("both", "nc").alias("p"), share("both", "nr").alias("r"))
@@ -98,11 +114,14 @@ def _pairwise(measure):
     return F.pandas_udf(run, "double")
 
 
-def rouge_l(reference: Column, candidate: Column) -> Column:
-    """F of the longest common subsequence of two texts' tokens."""
+def rouge_l(reference: Column, candidate: Column, stemmed: bool = False) -> Column:
+    """F of the longest common subsequence of two texts' tokens; 0 for a null or empty text."""
 
     def measure(a, b) -> float:
-        n = _common(list(a), list(b))
+        a, b = ([] if x is None else list(x) for x in (a, b))
+        if stemmed:
+            a, b = ([stem(w) if len(w) > UNSTEMMED else w for w in x] for x in (a, b))
+        n = _common(a, b)
         return 2 * n / (len(a) + len(b)) if n else 0.0
 
     return _pairwise(measure)(tokens(reference), tokens(candidate))

@@ -148,8 +148,8 @@ def first_paragraph(spark, sf_dir):
 
 
 @query("node_replacement", f"""
-with d as (select doc_id, lang, source, {draw('11', 'doc_id')} as h from documents), b as (select *, h % (select greatest(1, count(*) // 1000) from documents) as block from d),
-n as (select doc_id, source, row_number() over w as nth, lead(doc_id) over w as other, lead(source) over w as title from b window w as (partition by lang, block order by h, doc_id))
+with d as (select doc_id, lang, source, {draw('11', 'doc_id')} as h from documents),
+n as (select doc_id, source, row_number() over w as nth, lead(doc_id) over w as other, lead(source) over w as title from d window w as (partition by lang order by h, doc_id))
 select doc_id, other from n where nth % 2 = 1 and other is not null and source <> title
 """)
 def node_replacement(spark, sf_dir):

@@ -104,14 +104,49 @@ def welch_t_cohens_d(spark, sf_dir):
     return out.withColumns({"t": F.round("t", 6), "df": F.round("df", 4), "d": F.round("d", 6)})
 
 
-@query("adjacent_tests_p")
+def _simpson(density: str, to: str, n: int = 2000) -> str:
+    """SQL of the integral from 0 to ``to`` of a density of u, by Simpson's rule over n steps."""
+    weight = f"case when i in (0, {n}) then 1 when i % 2 = 1 then 4 else 2 end"
+    return f"list_sum(list_transform(range(0, {n + 1}), lambda i: {weight} * ({density.replace('@', f'({to} * i / {n})')}))) * {to} / {3 * n}"
+
+
+def _rounded(p: str) -> str:
+    return f"round(greatest(0, least(1, {p})), 6) + 0.0"
+
+
+T_TAIL = "1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * " + _simpson("power(1 + @ * @ / df, -(df + 1) / 2)", "abs(t)")
+NORMAL_TAIL = "1 - 2 / sqrt(2 * pi()) * " + _simpson("exp(-@ * @ / 2)", "abs(z)")
+#: With x = f u^2, whose density has no steep end at 0 for two or more degrees of freedom.
+F_TAIL = "1 - 2 * exp(lgamma((df1 + df2) / 2) - lgamma(df1 / 2) - lgamma(df2 / 2)) * power(df1 * f / df2, df1 / 2) * " + _simpson("power(@, df1 - 1) * power(1 + df1 * f * @ * @ / df2, -(df1 + df2) / 2)", "1.0::double")
+WEEKS = Q + """
+, s as (select week, level, count(*) as n, avg(score) as m, var_samp(score) as v from q group by 1, 2),
+x as (select a.week, a.level as hi, b.level as lo, (a.m - b.m) / nullif(sqrt(a.v / a.n + b.v / b.n), 0) as t,
+  power(a.v / a.n + b.v / b.n, 2) / nullif(power(a.v / a.n, 2) / nullif(a.n - 1, 0) + power(b.v / b.n, 2) / nullif(b.n - 1, 0), 0) as df, (a.m - b.m) / nullif(sqrt((a.v + b.v) / 2), 0) as d
+  from s a join s b on a.week = b.week and a.level = b.level + 1)
+"""
+
+
+@query("adjacent_tests_p", WEEKS + f"select week, hi, lo, round(t, 6) as t, round(df, 4) as df, round(d, 6) as d, case when t is not null and df is not null then {_rounded(T_TAIL)} end as p from x")
 def adjacent_tests_p(spark, sf_dir):
-    return r.with_p(r.adjacent_tests(quads(spark, sf_dir), ["week"], "level", "score"), "t", ["t", "df"])
+    """Checked by integrating the density."""
+    out = r.with_p(r.adjacent_tests(quads(spark, sf_dir), ["week"], "level", "score"), "t", ["t", "df"])
+    return out.withColumns({"t": F.round("t", 6), "df": F.round("df", 4), "d": F.round("d", 6), "p": F.round("p", 6)})
 
 
-@query("anova_p")
+@query(
+    "anova_p",
+    Q
+    + f"""
+, p as (select week, level, count(*) as n, avg(score) as m, var_pop(score) * count(*) as w from q group by 1, 2),
+g as (select week, sum(n * m) / sum(n) as mm from p group by 1),
+x as (select week, (sum(n * (m - mm) * (m - mm)) / nullif(count(*) - 1, 0)) / nullif(sum(w) / nullif(sum(n) - count(*), 0), 0) as f, (count(*) - 1)::double as df1, (sum(n) - count(*))::double as df2 from p join g using (week) group by 1)
+select week, round(f, 4) as f, df1::bigint as df1, df2::bigint as df2, case when f is not null then {_rounded(F_TAIL)} end as p from x
+""",
+)
 def anova_p(spark, sf_dir):
-    return r.with_p(r.anova(quads(spark, sf_dir), ["week"], "level", "score"), "f", ["f", "df1", "df2"])
+    """Checked by integrating the density."""
+    out = r.with_p(r.anova(quads(spark, sf_dir), ["week"], "level", "score"), "f", ["f", "df1", "df2"])
+    return out.withColumns({"f": F.round("f", 4), "p": F.round("p", 6)})
 
 
 def answers(spark, sf_dir):
@@ -188,10 +223,68 @@ def mannwhitney_u(spark, sf_dir):
     return r.mann_whitney(rows, ["dataset"], "gold", F.col("model") == "m0").select("dataset", "u", "n1", "n2")
 
 
-@query("mannwhitney_p")
+U = """
+, k as (select g, first, rank() over (partition by g order by v) + (count(*) over (partition by g, v) - 1) / 2.0 as r from rows),
+e as (select g, sum(c * c * c - c) as ties from (select g, v, count(*) as c from rows group by 1, 2) group by 1),
+u as (select g, sum(r) filter (first) - count(*) filter (first) * (count(*) filter (first) + 1) / 2.0 as u, count(*) filter (first) as n1, count(*) filter (not first) as n2, any_value(ties) as ties from k join e using (g) group by 1),
+s as (select *, sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) as s from u)
+"""
+
+
+@query("mannwhitney_p", A + ", rows as (select dataset as g, gold as v, model = 'm0' as first from c where model in ('m0', 'm1'))" + U + f", x as (select *, (u - n1 * n2 / 2.0) / s as z from s) select g as dataset, u, round(z, 6) as z, n1, n2, {_rounded(NORMAL_TAIL)} as p from x")
 def mannwhitney_p(spark, sf_dir):
+    """The normal approximation alone."""
     rows = answers(spark, sf_dir).where(F.col("model").isin("m0", "m1"))
-    return r.with_p(r.mann_whitney(rows, ["dataset"], "gold", F.col("model") == "m0"), "normal", ["z"])
+    out = r.with_p(r.mann_whitney(rows, ["dataset"], "gold", F.col("model") == "m0"), "normal", ["z"])
+    return out.select("dataset", "u", F.round("z", 6).alias("z"), "n1", "n2", F.round("p", 6).alias("p"))
+
+
+STARS = "case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else 'ns' end as stars"
+#: The number of partitions of U into n1 parts of n2 at most is a product of (1 - x^(n2 + k)) / (1 - x^k): a step a factor.
+RANK_SUMS = """
+, need as (select distinct least(n1, n2) as a, greatest(n1, n2) as b from s where n1 >= 5 and n2 >= 5 and least(n1, n2) <= 8 and ties = 0),
+l as (select a, b, 0 as k, list_transform(range(0, a * b + 1), lambda i: case when i = 0 then 1.0 else 0.0 end::double) as c from need
+  union all select a, b, k + 1, list_transform(range(0, a * b + 1), lambda i: list_sum(list_transform(range(0, i // (k + 1) + 1), lambda j: c[i - j * (k + 1) + 1] - coalesce(c[i - j * (k + 1) - (b + k + 1) + 1], 0) * (i - j * (k + 1) >= b + k + 1)::int))) from l where k < a),
+counts as (select a, b, c, list_sum(c) as total from l where k = a)
+"""
+
+
+@query(
+    "mannwhitney_exact_p",
+    "with recursive rows as (select user_id as g, value as v, event_type = 'click' as first from events where event_type in ('click', 'view'))" + U + RANK_SUMS
+    + f"""
+, x as (select *, (abs(u - n1 * n2 / 2.0) - 0.5) / s as zz from s left join counts on a = least(n1, n2) and b = greatest(n1, n2) and ties = 0 where n1 >= 5 and n2 >= 5),
+y as (select g, u, n1, n2, c, total, greatest(zz, 0) as z from x),
+p as (select g, u, n1, n2, case when c is not null then least(1, 2 * list_sum(c[1:floor(least(u, n1 * n2 - u))::int + 1]) / total) else greatest(0, least(1, {NORMAL_TAIL})) end as p from y)
+select g as user_id, u, n1, n2, round(p, 6) + 0.0 as p, {STARS} from p
+""",
+)
+def mannwhitney_exact_p(spark, sf_dir):
+    """Users' clicks against their views: exact where one of them is few and nothing is tied, else approximated."""
+    e = read(spark, sf_dir, "events").where("event_type in ('click', 'view')").select("user_id", "event_type", "value")
+    out = r.mann_whitney_p(r.mann_whitney(e, ["user_id"], "value", F.col("event_type") == "click"))
+    return out.select("user_id", "u", "n1", "n2", F.round("p", 6).alias("p"), "stars")
+
+
+@query(
+    "wilcoxon_p",
+    f"""
+with recursive d as (select user_id, event_type, round(value * 100)::bigint - 4000 as diff from events),
+k as (select user_id, event_type, diff, rank() over (partition by user_id, event_type order by abs(diff)) + (count(*) over (partition by user_id, event_type, abs(diff)) - 1) / 2.0 as r from d where diff <> 0),
+e as (select user_id, event_type, sum(c * c * c - c) as ties from (select user_id, event_type, abs(diff) as a, count(*) as c from d where diff <> 0 group by all) group by all),
+o as (select user_id, event_type, count(*) filter (diff = 0) as zeros from d group by all),
+w as (select user_id, event_type, least(coalesce(sum(r) filter (diff > 0), 0), coalesce(sum(r) filter (diff < 0), 0)) as w, count(*) as n from k group by all),
+x as (select *, (w - n * (n + 1) / 4.0) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 0) as z from w join e using (user_id, event_type) join o using (user_id, event_type) where n + zeros >= 5),
+l as (select 0 as k, [1.0::double] as c union all select k + 1, list_transform(range(0, (k + 1) * (k + 2) // 2 + 1), lambda i: (coalesce(c[i + 1], 0) + case when i > k then coalesce(c[i - k], 0) else 0 end) / 2) from l where k < 50),
+p as (select user_id, event_type, w, n, case when ties = 0 and zeros = 0 and c is not null then least(1, 2 * list_sum(c[1:floor(w)::int + 1])) else greatest(0, least(1, {NORMAL_TAIL})) end as p from x left join l on l.k = x.n)
+select user_id, event_type, w, n, round(p, 6) + 0.0 as p, {STARS} from p
+""",
+)
+def wilcoxon_p(spark, sf_dir):
+    """Whether a user's values of one kind lie about 40: exact for up to fifty without ties and zeros, else approximated."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_type", (F.round(F.col("value") * 100).cast("long") - 4000).alias("diff"))
+    out = r.wilcoxon_p(r.wilcoxon(e, ["user_id", "event_type"], "diff"))
+    return out.select("user_id", "event_type", "w", "n", F.round("p", 6).alias("p"), "stars")
 
 
 @query(

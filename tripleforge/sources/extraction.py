@@ -9,10 +9,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.kg import PLACEHOLDERS
+
 ANSWER = "map<string, array<array<string>>>"
 
 
@@ -27,6 +31,7 @@ def recover(answer: Column) -> Column:
     return F.coalesce(F.from_json(bare, ANSWER), F.from_json(F.regexp_extract(bare, r"(?s)\{.*\}", 0), ANSWER))
 
 
+# The pattern of the message, and the seconds.
 def wait_seconds(message: str, extra: float = 5.0, most: float = 120.0, unsaid: float = 60.0) -> float:
     """How long a rate-limit message asks to wait, and a little more; ``unsaid`` if it names no time."""
     found = re.search(r"try again in (?:(\d+)m)?(\d+\.?\d*)s", message)
@@ -53,7 +58,7 @@ def _asked(message: str, attempt: int) -> float:
     return float(found[1]) + 1.0 if found else min(15.0 * 2**attempt, 60.0)
 
 
-#: Policies by family of clients; a model's family is told by its name.
+# Tries, spacings, waits and the words of the services' own messages, by family of clients.
 POLICIES = {
     "gemini": Policy(5, 4.0, ("429", "RESOURCE_EXHAUSTED"), _asked, lambda attempt: 0.0),
     "openai": Policy(3),
@@ -86,45 +91,78 @@ class Clients:
 
 
 def holds_graph(answer: str | None) -> bool:
-    """Whether an answer holds any triple: a list that isn't empty, under any key."""
+    """Whether an answer holds a valid triple under any key: three texts, of which the first and the last are no token of the prompt."""
     bare = re.sub(r"^```(?:json)?\s*|\s*```$", "", (answer or "").strip())
     for text in (bare, *re.findall(r"(?s)\{.*\}", bare)):
         try:
             value = json.loads(text)
         except ValueError:
             continue
-        return isinstance(value, dict) and any(isinstance(x, list) and x for x in value.values())
+        lists = [x for x in value.values() if isinstance(x, list)] if isinstance(value, dict) else []
+        return any(_valid(t) for own in lists for t in own)
     return False
 
 
+def _valid(triple: object) -> bool:
+    whole = isinstance(triple, list) and len(triple) == 3 and all(isinstance(x, str) for x in triple)
+    return whole and not any(triple[i].strip().lower() in PLACEHOLDERS for i in (0, 2))
+
+
+class Turns:
+    """When a task may call, so that the calls of all tasks together keep the spacing.
+
+    Time is cut into slots of the spacing's length, which the tasks take in turn by the machines' clocks: nothing is
+    agreed on while they run, and a task that is run again has the same slots.  A call begins at the start of a slot.
+    """
+
+    def __init__(self, spacing: float, task: int, tasks: int, pause: Callable[[float], None], now: Callable[[], float] = time.time):
+        self.spacing, self.task, self.tasks, self.pause, self.now, self.last = spacing, task, tasks, pause, now, -1
+
+    def wait(self) -> None:
+        if self.spacing <= 0:
+            return
+        slot = int(self.now() // self.spacing) + 1
+        slot = max(slot + (self.task - slot) % self.tasks, self.last + self.tasks if self.last >= 0 else 0)
+        self.last = slot
+        if (early := slot * self.spacing - self.now()) > 0:
+            self.pause(early)
+
+
 def extract(
-    df: DataFrame, prompts: str, client: Callable[[], Callable[[str], str]], policy: Policy = Policy(), pause: Callable[[float], None] = time.sleep, good: Callable[[str | None], bool] = holds_graph, rounds: int = 3
+    df: DataFrame, prompts: str, client: Callable[[], Callable[[str], str]], policy: Policy = Policy(), pause: Callable[[float], None] = time.sleep, good: Callable[[str | None], bool] = holds_graph, rounds: int = 3,
+    tasks: int = 4, problem: str | None = None,
 ) -> DataFrame:
     """``df`` with ``answer``; one client for each partition, made there.
 
     A prompt is asked again, ``rounds`` times at most and a second apart, until its answer holds a graph; the last answer
-    stays.  A call that fails is tried again as the policy says; rows whose calls all fail have a null answer.
+    stays.  A call that fails is tried again as the policy says; rows whose calls all fail have a null answer and, if a
+    column ``problem`` is named, the last error there.  A policy with a spacing is kept by all tasks together: the rows
+    are dealt to ``tasks`` partitions, which take turns.
     """
+    if policy.spacing > 0:
+        df = df.repartition(tasks)
+    columns = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask, last = client(), [None]
+        ask, said = client(), [None]
+        context = TaskContext.get()
+        turns = Turns(policy.spacing, context.partitionId() % tasks if context else 0, tasks, pause)
 
         def call(text: str) -> str | None:
             for attempt in range(policy.tries):
-                if last[0] is not None and (early := policy.spacing - (time.monotonic() - last[0])) > 0:
-                    pause(early)
-                last[0] = time.monotonic()
+                turns.wait()
                 try:
                     return ask(text)
-                except Exception as problem:  # noqa: BLE001  a client's own errors
-                    if attempt + 1 < policy.tries and (wait := policy.wait(str(problem), attempt)) > 0:
+                except Exception as error:  # noqa: BLE001  a client's own errors
+                    said[0] = str(error)
+                    if attempt + 1 < policy.tries and (wait := policy.wait(said[0], attempt)) > 0:
                         pause(wait)
             return None
 
         for pdf in batches:
-            out = []
+            out, wrong = [], []
             for text in pdf[prompts]:
-                answer = None
+                answer, said[0] = None, None
                 for nth in range(rounds):
                     answer = call(text) or answer
                     if answer is None or good(answer):
@@ -132,9 +170,39 @@ def extract(
                     if nth + 1 < rounds:
                         pause(1.0)
                 out.append(answer)
-            yield pdf.assign(answer=out)
+                wrong.append(said[0] if answer is None else None)
+            made = pdf[columns].assign(answer=out)
+            yield made.assign(**{problem: wrong}) if problem else made
+
+    fields = [T.StructField(c, T.StringType()) for c in ("answer", problem) if c]
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, *fields]))
+
+
+def stored_answers(spark: SparkSession, path: str) -> DataFrame | None:
+    """What earlier runs have stored, or nothing."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("answer", T.StringType())]))
+
+def extract_stored(df: DataFrame, key: str, prompts: str, path: str, client: Callable[[], Callable[[str], str]], most_runs: int = 5, **options) -> DataFrame:
+    """``df`` with the answers stored at ``path``, where those of this run are added.
+
+    Keys with an answer are not asked again, nor are those that ``most_runs`` runs have failed on; keys that failed are
+    kept with their error and the number of the run.  Rows that repeat a key are asked once, for the smallest prompt.
+    """
+    spark = df.sparkSession
+    before, nth = stored_answers(spark, path), 1
+    asked = df.groupBy(F.col(key)).agg(F.min(prompts).alias("_prompt")).where(F.col(key).isNotNull())
+    if before is not None:
+        tried = before.groupBy(key).agg(F.max(F.col("answer").isNotNull()).alias("_told"), F.count_if(F.col("answer").isNull()).alias("_failed"))
+        asked = asked.join(tried, key, "left").where(~F.coalesce("_told", F.lit(False)) & (F.coalesce("_failed", F.lit(0)) < most_runs)).drop("_told", "_failed")
+        nth = (before.agg(F.max("run")).first()[0] or 0) + 1
+    made = extract(asked, "_prompt", client, problem="problem", **options)
+    made.select(key, "answer", "problem", F.lit(nth).alias("run")).write.mode("append").parquet(path)
+    told = spark.read.parquet(path).where("answer is not null").groupBy(key).agg(F.max_by("answer", "run").alias("answer"))
+    return df.join(told, key, "left")
 
 
 def not_done(df: DataFrame, done: DataFrame, key: str, cells: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import ordinals
+from .storage import durable, ordinals
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, recursive: bool = False, line_breaks: bool = False, keep_empty: bool = False) -> DataFrame:
@@ -39,6 +39,60 @@ def read_scored(spark: SparkSession, root: str, columns: list[str], line_breaks:
     return df.withColumns(scores).select("*", *path_metadata(F.col("_path"))).drop("_path")
 
 
+#: Different headers that one tree may have, and columns of one file.
+MOST_HEADERS, MOST_COLUMNS = 1000, 4096
+
+
+def headers(spark: SparkSession, root: str, suffix: str = ".csv", skip: tuple[str, ...] = ()) -> DataFrame:
+    """path, names: the header of every CSV file below a folder, read by tasks that take the files' first lines.
+
+    Files whose name doesn't end with ``suffix`` and those below a folder named in ``skip`` are left out, and so are
+    files without a line.  Names are trimmed.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(root)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("start")).where("start = 0")
+    for folder in skip:
+        lines = lines.where(~F.contains("path", F.lit(f"/{folder}/")))
+    first = lines.withColumn("nth", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "nth").alias("line"))
+    cells = F.regexp_extract_all(F.regexp_replace("line", "^\ufeff|\r$", ""), F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    bare = lambda x: F.trim(F.when(F.startswith(x, F.lit('"')), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    return first.select("path", F.transform(cells, bare).alias("names"))
+
+
+def read_tree(spark: SparkSession, root: str, scores: list[str], skip: tuple[str, ...] = ("Analysis_plot_temps",), line_breaks: bool = False) -> DataFrame:
+    """All CSV files below a folder that have every one of the score columns, united by the names of their own headers.
+
+    Files may have their columns in any order and columns that others lack, which are null there.  Files without a score
+    column and the folders of results in ``skip`` are left out.  Scores become doubles, null if unreadable; dataset, model,
+    temperature and source_file come from the path.  The files are read once, by place of column; a table of their headers
+    says which name each place has.  Of a name that a header repeats, the first place counts.
+    """
+    found = headers(spark, root, skip=skip)
+    for c in scores:
+        found = found.where(F.array_contains("names", c))
+    found = durable(found)
+    kinds = [r["names"] for r in found.select("names").distinct().limit(MOST_HEADERS + 1).collect()]
+    if len(kinds) > MOST_HEADERS:
+        raise ValueError(f"more than {MOST_HEADERS} different headers")
+    names = list(dict.fromkeys(n for kind in kinds for n in kind if n))
+    width = max((len(kind) for kind in kinds), default=1)
+    if width > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} columns in a file")
+    if clash := {"dataset", "model", "temperature", "source_file"} & set(names):
+        raise ValueError(f"columns named like those from the path: {sorted(clash)}")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("header", True).option("enforceSchema", True)
+    reader = reader.option("multiLine", line_breaks).option("escape", '"').schema(", ".join(f"c{i} string" for i in range(width)))
+    rows = reader.csv(root).select(F.col("_metadata.file_path").alias("path"), F.array(*[f"c{i}" for i in range(width)]).alias("cells"))
+    kind_of = spark.createDataFrame([(i, kind) for i, kind in enumerate(kinds)], "kind int, names array<string>")  # the different headers
+    told = found.join(F.broadcast(kind_of), "names").select("path", "kind")
+    few = told.count() <= MOST_COLUMNS * MOST_HEADERS // 16
+    met = rows.join(F.broadcast(told) if few else told, "path")
+    places = F.array(*[F.array(*[F.lit(kind.index(n) if n in kind else -1) for n in names] or [F.lit(-1)]) for kind in kinds] or [F.array(F.lit(-1))])
+    cell = lambda k: F.get(F.col("cells"), F.nullif(F.get(F.get(places, F.col("kind")), F.lit(k)), F.lit(-1)))
+    value = lambda n, k: cell(k).try_cast("double") if n in scores else cell(k)
+    return met.select(*[value(n, k).alias(n) for k, n in enumerate(names)], *path_metadata(F.col("path")), F.col("path").alias("source_file"))
+
+
 def resolve(df: DataFrame, candidates: list[str]) -> str | None:
     """The first of the candidate column names that the table has."""
     return next((c for c in candidates if c in df.columns), None)
