@@ -34,7 +34,7 @@ SPACE = "▁"
 #: Default model; any other is a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of the words whose ids are remembered, in each of two generations; when the newer is full, the older is forgotten.
-REMEMBERED = 24_000_000
+REMEMBERED = 48_000_000
 #: Bytes that a remembered word takes besides its characters and ids, about.
 ENTRY = 200
 #: Pairs of pieces whose merging is remembered; then they are forgotten.
@@ -46,6 +46,10 @@ NONE = -1
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
+#: What has no UTF-8, so that its bytes are no text.
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """Number and value of each field of a protocol buffer message."""
     at = 0
@@ -275,7 +279,7 @@ class Encoder:
     def checked(self, text: str) -> tuple[bytes, bool]:
         """The same, and whether they decode to the text, which words tell one by one."""
         whole, text = text, self.model.normal(text)
-        if not self.remember or not self.model.by_word or not self.model.bytes:
+        if not self.remember or not self.model.by_word or not self.model.bytes or not whole.isascii() and _SURROGATE.search(whole):
             ids = b"".join(array("i", part).tobytes() for part in self.stream(text[i : i + BLOCK] for i in range(0, len(text), BLOCK)))
             return ids, self.decode(np.frombuffer(ids, np.int32).tolist()) == whole
         parts: list[bytes] = []
@@ -285,7 +289,7 @@ class Encoder:
             if ids is None:
                 if (ids := older.get(word)) is None:
                     ids = self._word(word)
-                    if self._text(ids) != word.replace(SPACE, " "):
+                    if b"".join(map(self.text_of.__getitem__, array("i", ids))) != word.replace(SPACE, " ").encode():
                         same = False
                         if len(word) <= LONGEST_REMEMBERED:
                             self.lossy.add(word)
@@ -326,10 +330,6 @@ class Encoder:
         text = b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.prefix and text.startswith(" ") else text
 
-    def _text(self, ids: bytes) -> str:
-        """What ids, packed, stand for inside a text."""
-        return b"".join(map(self.text_of.__getitem__, array("i", ids))).decode("utf-8", "replace")
-
 
 _encoders: dict[int, Encoder] = {}
 
