@@ -106,8 +106,7 @@ class Model:
         self.least = min((self.scores[i] for i in self.ids.values()), default=0.0)
         #: Whether no piece goes on past the end of a word, so that every way passes there.
         joined = {c for p in self.ids if len(p) > 1 for c in p}
-        alone = "" if "\n" in joined else "\n"
-        self.chunks = re.compile("".join(f"{re.escape(c)}|" for c in alone) + f"{SPACE}+[^{alone}{SPACE}]*|[^{alone}{SPACE}]+")
+        self.by_line = "\n" not in joined  # and whether the same holds for the ends of lines
         self.by_word = not any(a != SPACE and b == SPACE for p in self.ids for a, b in zip(p, p[1:], strict=False))
 
     def normal(self, text: str) -> str:
@@ -164,7 +163,7 @@ class Encoder:
 
     def __init__(self, data: bytes, remember: int = REMEMBERED):
         self.model, self.remember, self.held = Model(data), remember, 0
-        self.lossy: set[str] = set()  # short words whose ids don't decode to them
+        self.lossy = False  # whether a word was met whose ids don't decode to it
         self.merges = _Merges(self.model)  # for BPE models
         self.known: dict[str, bytes] = {}  # of two generations, the newer
         self.older: dict[str, bytes] = {}
@@ -277,33 +276,44 @@ class Encoder:
         return self.checked(text)[0]
 
     def checked(self, text: str) -> tuple[bytes, bool]:
-        """The same, and whether they decode to the text, which words tell one by one."""
-        whole, text = text, self.model.normal(text)
-        if not self.remember or not self.model.by_word or not self.model.bytes or not whole.isascii() and _SURROGATE.search(whole):
-            ids = b"".join(array("i", part).tobytes() for part in self.stream(text[i : i + BLOCK] for i in range(0, len(text), BLOCK)))
-            return ids, self.decode(np.frombuffer(ids, np.int32).tolist()) == whole
+        """The same, and whether they decode to the text; where words are searched alone, each tells its part of it when it is found."""
+        model = self.model
+        plain = model.by_word and model.by_line and model.bytes and model.prefix and not model.squeeze and text and SPACE not in text
+        if not self.remember or not plain or not text.isascii() and _SURROGATE.search(text):
+            normal = model.normal(text)
+            ids = b"".join(array("i", part).tobytes() for part in self.stream(normal[i : i + BLOCK] for i in range(0, len(normal), BLOCK)))
+            return ids, self.decode(np.frombuffer(ids, np.int32).tolist()) == text
         parts: list[bytes] = []
-        known, older, same = self.known, self.older, True
-        for word in self.model.chunks.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                if (ids := older.get(word)) is None:
-                    ids = self._word(word)
-                    if b"".join(map(self.text_of.__getitem__, array("i", ids))) != word.replace(SPACE, " ").encode():
-                        same = False
-                        if len(word) <= LONGEST_REMEMBERED:
-                            self.lossy.add(word)
-                if len(word) <= LONGEST_REMEMBERED:
-                    if self.held >= self.remember:
-                        self.older, self.known, self.held = older, known, _ = known, {}, 0
-                        self.lossy &= older.keys()
-                    known[word] = ids
-                    self.held += ENTRY + 2 * len(word) + len(ids)
-            if self.lossy and word in self.lossy:
-                same = False
-            parts.append(ids)
-        plain = text.replace(SPACE, " ")
-        return b"".join(parts), same and (plain[1:] if self.model.prefix else plain) == whole
+        for nth, line in enumerate(text.split("\n")):
+            words = line.split(" ")  # each behind a space, but for the first of a later line
+            if nth:
+                parts.append(self._found("\n"))
+                if words[0]:
+                    parts.append(self._found(f"\n{words[0]}"))
+                del words[0]
+            if "" in words:
+                words = _runs(words)
+            found = list(map(self.known.get, words))
+            if None in found:
+                found = [self._found(w) if x is None else x for w, x in zip(words, found, strict=True)]
+            parts += found
+        ids = b"".join(parts)
+        return ids, not self.lossy or self.decode(np.frombuffer(ids, np.int32).tolist()) == text
+
+    def _found(self, key: str) -> bytes:
+        """Ids of a word behind a space, or, if the key begins with a line's end, of that end alone or of the word behind it."""
+        if (ids := self.known.get(key)) is not None:
+            return ids
+        if (ids := self.older.get(key)) is None:
+            word = key if key == "\n" else key[1:] if key.startswith("\n") else SPACE + key.replace(" ", SPACE)
+            ids = self._word(word)
+            self.lossy |= b"".join(map(self.text_of.__getitem__, array("i", ids))) != word.replace(SPACE, " ").encode()
+        if len(key) <= LONGEST_REMEMBERED:
+            if self.held >= self.remember:
+                self.older, self.known, self.held = self.known, {}, 0
+            self.known[key] = ids
+            self.held += ENTRY + len(key) + len(ids)
+        return ids
 
     def _word(self, word: str) -> bytes:
         """Ids of a word, at whose end all ways meet; a short one is a window of its own."""
@@ -331,6 +341,18 @@ class Encoder:
         return text[1:] if self.model.prefix and text.startswith(" ") else text
 
 
+def _runs(words: list[str]) -> list[str]:
+    """Words between single spaces, with the spaces of longer runs put before the word that follows; a run at the end is one more, without a word."""
+    out, spaces = [], ""
+    for word in words:
+        if word:
+            out.append(spaces + word)
+            spaces = ""
+        else:
+            spaces += " "
+    return [*out, spaces[1:]] if spaces else out
+
+
 _encoders: dict[int, Encoder] = {}
 
 
