@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ SPACE = "▁"
 #: Default model; any other is a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of the words whose ids are remembered, in each of two generations; when the newer is full, the older is forgotten.
-REMEMBERED = 48_000_000
+REMEMBERED = 64_000_000
 #: Bytes that a remembered word takes besides its characters and ids, about.
 ENTRY = 200
 #: Pairs of pieces whose merging is remembered; then they are forgotten.
@@ -42,6 +43,8 @@ MOST_PAIRS = 250_000
 LONGEST_REMEMBERED = 64
 #: Characters that the search takes in at a time.
 BLOCK = 64
+#: Texts that are encoded before their ids are handed on.
+ROWS = 256
 NONE = -1
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -375,17 +378,20 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for pdf in batches:
-            for at in range(0, len(pdf), 64):  # so that few rows' ids are held as Python lists
-                part = pdf.iloc[at : at + 64]
-                both = [(None, None) if t is None else encoder.checked(t) for t in part["text"]]
-                ids, same = [None if x is None else np.frombuffer(x, np.int32) for x, _ in both], [x for _, x in both]
-                n = pd.array([None if x is None else len(x) for x in ids], "Int64")
-                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": pd.Series(ids, part.index, dtype=object), "n_ids": pd.Series(n, part.index), "round_trip": pd.Series(same, part.index, dtype=object)})
-
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>, n_ids long, round_trip boolean")
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):  # few rows' texts and ids are held at a time
+                part = batch.slice(at, ROWS)
+                both = [(None, None) if t is None else encoder.checked(t) for t in (x.as_py() for x in part.column("text"))]
+                sizes = [0 if ids is None else len(ids) // 4 for ids, _ in both]
+                none = pa.array([ids is None for ids, _ in both])
+                values = pa.array(np.frombuffer(b"".join(ids for ids, _ in both if ids), np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values, mask=none)
+                n = pa.array([None if ids is None else k for (ids, _), k in zip(both, sizes, strict=True)], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, n, pa.array([x for _, x in both], pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"])
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>, n_ids long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
