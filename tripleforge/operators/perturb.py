@@ -6,6 +6,7 @@ Sentences end with full stops, question marks or exclamation marks.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,16 +132,21 @@ def replace_verb(text: Column, table: dict[str, str], kept: list[str] = KEPT_VER
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 
 
-def distort_numbers(text: Column, seed: Column, most: int = 3, years: bool = True) -> Column:
-    """The first ``most`` numbers times a factor from 0.40 to 0.65, or from 1.35 to 1.60, by the seed and their place.
+# Per cent to which numbers are changed, for ranked answers and for compound changes.
+RANKED_FACTORS, COMPOUND_FACTORS = ((40, 65), (135, 165)), ((40, 70), (130, 170))
+
+
+def distort_numbers(text: Column, seed: Column, most: int = 3, years: bool = True, factors: tuple[tuple[int, int], tuple[int, int]] = RANKED_FACTORS) -> Column:
+    """The first ``most`` numbers times a factor of one of the two ranges, ends included, by the seed and their place.
 
     Zeros, numbers of more than nine digits and, if ``years``, whole numbers from 1900 to 2024 stay.  Whole numbers stay
     whole, others keep one digit.  Null if no number can be changed.
     """
 
     def changed(x: Column, i: Column) -> Column:
-        step = F.pmod(seed + 7 * i, F.lit(52)).cast("double")
-        scaled = x.cast("double") * F.when(step < 26, 40 + step).otherwise(109 + step) / 100
+        (low, end), (high, top) = factors
+        step = F.pmod(seed + 7 * i, F.lit(end - low + top - high + 2)).cast("double")
+        scaled = x.cast("double") * F.when(step <= end - low, low + step).otherwise(high - (end - low + 1) + step) / 100
         tenths = F.floor(scaled * 10 + 0.5).cast("string")
         parts = F.concat(F.substr(tenths, F.lit(1), F.length(tenths) - 1), F.lit("."), F.substring(tenths, -1, 1))
         one = F.when(F.length(tenths) == 1, F.concat(F.lit("0."), tenths)).otherwise(parts)
@@ -213,7 +219,7 @@ def replace_entities(text: Column, entities: Column, replacement: Column, most:
 def hallucinate(text: Column, entities: Column, replacement: Column, seed: Column, most: int = 3) -> Column:
     """Up to ``most`` entities replaced and one number changed; null if neither can be."""
     swapped = replace_entities(text, entities, replacement, most)
-    return once(swapped, lambda x: once(F.coalesce(distort_numbers(x, seed, 1, years=False), x), lambda y: F.when(y != text, y)))
+    return once(swapped, lambda x: once(F.coalesce(distort_numbers(x, seed, 1, False, COMPOUND_FACTORS), x), lambda y: F.when(y != text, y)))
 
 
 def pair_table(made: dict[str, DataFrame], key: str, text: str = "text", label: int = 0) -> DataFrame:
@@ -225,28 +231,44 @@ def pair_table(made: dict[str, DataFrame], key: str, text: str = "text", label:
     return ordinals(out, [key, "perturbation_type"], "pair_id")
 
 
-def overlap_partner(items: DataFrame, topics: DataFrame, seed: str = "7", most: bool = False) -> DataFrame:
+#: Items that are tried as the partner of all others, in hash order, before topics are joined.
+TRIED = 8
+
+
+def overlap_partner(items: DataFrame, topics: DataFrame, seed: str = "7", most: bool = False, tried: int = TRIED) -> DataFrame:
     """id, other, shared: for each item (id) the one of all others that shares fewest (or ``most``) topics (id, topic).
 
-    Items that share something meet through their topics.  The first item that shares nothing is the first number missing
-    among those of the item itself and of all that meet it, so no item is compared with all others.  Of equals, the
-    first in hash order is taken; a single item has no partner.
+    For fewest, the first few items in hash order are tried as the partner of all: who shares nothing with one of them is
+    done.  Only the others, and for most all, meet those that share something through their topics; among them the first
+    item that shares nothing is the first number missing, so no item is compared with all others.  Of equals, the first
+    in hash order is taken; a single item has no partner.
     """
     order = numbered(items.select("id").distinct().withColumns({"_draw": draw(seed, "id"), "_one": F.lit(0)}), "_one", ["id"])
     order = durable(order.select("id", F.col("_nth").alias("nth")))
     n = order.count()
-    held = topics.select("id", "topic").distinct().join(order, "id").select("nth", "topic")
-    met = held.join(held.withColumnRenamed("nth", "b"), "topic").where("nth <> b").groupBy("nth", "b").agg(F.count(F.lit(1)).alias("shared"))
+    held = durable(topics.select("id", "topic").distinct().join(order, "id").select("nth", "topic"))
+    left, done = order.select("nth"), None
+    for b in range(0 if most else min(tried, n)):
+        theirs = held.where(F.col("nth") == b).select("topic")
+        sharing = held.join(theirs, "topic", "left_semi").select("nth").distinct()
+        free = left.join(sharing, "nth", "left_anti").where(F.col("nth") != b)
+        own = free.select("nth", F.lit(b).cast("long").alias("b"), F.lit(0).cast("long").alias("shared"))
+        done = own if done is None else done.unionByName(own)
+        left = durable(left.join(free, "nth", "left_anti"))
+        if left.isEmpty():
+            break
+    met = held.join(left, "nth", "left_semi").join(held.withColumnRenamed("nth", "b"), "topic").where("nth <> b").groupBy("nth", "b").agg(F.count(F.lit(1)).alias("shared"))
     pick = F.min(F.struct((-F.col("shared") if most else F.col("shared")).alias("by"), "b", "shared"))
     best = met.groupBy("nth").agg(pick.alias("p")).select("nth", "p.b", "p.shared")
     if most:
-        missing = order.select("nth", F.when(F.col("nth") == 0, 1).otherwise(0).cast("long").alias("free"))
+        missing = left.select("nth", F.when(F.col("nth") == 0, 1).otherwise(0).cast("long").alias("free"))
     else:
-        taken = met.select("nth", "b").unionByName(order.select("nth", F.col("nth").alias("b")))
+        taken = met.select("nth", "b").unionByName(left.select("nth", F.col("nth").alias("b")))
         place = F.row_number().over(Window.partitionBy("nth").orderBy("b")) - 1
         missing = taken.withColumn("place", place).groupBy("nth").agg(F.count_if(F.col("b") == F.col("place")).alias("free"))
     known = F.col("b").isNotNull() if most else F.col("free") >= n
     rows = missing.join(best, "nth", "left").select("nth", F.when(known, F.col("b")).otherwise(F.col("free")).alias("b"), F.when(known, F.col("shared")).otherwise(0).alias("shared"))
+    rows = rows if done is None else rows.unionByName(done)
     named = rows.join(order, "nth").join(order.select(F.col("nth").alias("b"), F.col("id").alias("other")), "b")
     return named.select("id", "other", "shared")
 
@@ -278,8 +300,12 @@ def first_paragraph(text: Column, of: int = 4, least: int = 80, most: int = 400)
 
 
 def numbered(rows: DataFrame, kind: str, ties: list[str], block: int = 1000) -> DataFrame:
-    """``rows`` with ``_nth``: the number from 0 of each row in its kind, by ``_draw``; in two levels, by hash ranges of about ``block`` rows."""
-    ranges = max(1, rows.count() // block)
+    """``rows`` with ``_nth``: the number from 0 of each row in its kind, by ``_draw``; in two levels, by hash ranges.
+
+    Ranges hold about ``block`` rows, and of large tables as many rows as there are ranges, so both levels are small.
+    """
+    n = rows.count()
+    ranges = max(1, min(n // block, math.isqrt(n)))
     rows = rows.withColumn("_range", F.floor(F.col("_draw") * ranges / 2**32))
     before = F.sum("_n").over(Window.partitionBy(kind).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     held = rows.groupBy(kind, "_range").agg(F.count(F.lit(1)).alias("_n"))

@@ -64,13 +64,50 @@ def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
+#: Parts that the distinct values of a group are ranked in.
+PARTS = 256
+
+
+def below(distinct: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``distinct`` (by, value, n) with ``below``: how many rows of the group have a smaller value; null values are below all.
+
+    The values of a group are cut at approximate quantiles of theirs into parts, which are counted and ranked apart, so no
+    task orders a group, however its values are spread.
+    """
+    key = F.struct(*by) if by else F.lit(0)
+    rows = distinct.withColumn("_key", key)
+    cuts = rows.groupBy("_key").agg(F.percentile_approx(F.col(value).cast("double"), [i / PARTS for i in range(1, PARTS)], F.lit(4 * PARTS)).alias("_cuts"))
+    part = F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= F.col(value))))
+    rows = rows.join(cuts, "_key").withColumn("_part", part).drop("_cuts")
+    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy("_key", "_part").agg(F.sum("n").alias("_n")).select("_key", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("n").over(Window.partitionBy("_key", "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.join(counts, ["_key", "_part"]).withColumn("below", F.col("_before") + F.coalesce(inside, F.lit(0))).drop("_key", "_part", "_before")
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, share: float, name: str) -> DataFrame:
+    """by, name: the percentile of a group's values that aren't null, linear between neighbours; groups without any are left out."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = below(counts, by, "_v")
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
+    met = ranked.join(totals, by) if by else ranked.crossJoin(totals)  # one row
+    at = F.lit(share) * (F.col("_all") - 1)
+    holds = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col("_v")))
+    out = met.groupBy(*by).agg(holds(F.floor(at)).alias("_low"), holds(F.ceil(at)).alias("_high"), F.max(at - F.floor(at)).alias("_rest"))
+    return out.select(*by, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_rest")).alias(name))
+
+
 def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, n, mean, median, std, min, max, near_one, high, rmse_vs_one; null values are left out, a group of nulls has null statistics."""
     v = F.col(value)
     share = lambda t: F.avg((v >= t).cast("int"))
-    return df.groupBy(*by).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+    out = df.groupBy(*by).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         share(0.99).alias("near_one"), share(0.8).alias("high"), F.sqrt(F.avg((1 - v) * (1 - v))).alias("rmse_vs_one"),
     )
+    median = percentiles(df, by, value, 0.5, "median")
+    out = out.join(median, by, "left") if by else out.crossJoin(median)  # one row
+    return out.select(*by, "n", "mean", "median", "std", "min", "max", "near_one", "high", "rmse_vs_one")
 
 
 def anova(df: DataFrame, by: list[str], level: str, value: str) -> DataFrame:
@@ -107,6 +144,39 @@ def with_p(df: DataFrame, kind: str, columns: list[str]) -> DataFrame:
     return df.withColumn("p", F.pandas_udf(run, "double")(F.struct(*[F.col(c).cast("double") for c in columns])))
 
 
+def metric_matrix(df: DataFrame, row: str, column: str, columns: list[str], metrics: list[str], digits: int = 4, empty: str = "N/A") -> DataFrame:
+    """row and a column <column>_<metric> for each: means as texts of so many digits, ``empty`` where there is none."""
+    mean = lambda c, m: F.avg(F.when(F.col(column) == c, F.col(m)))
+    cell = lambda x: F.coalesce(F.regexp_replace(F.format_number(x, digits), ",", ""), F.lit(empty))
+    return df.groupBy(row).agg(*[cell(mean(c, m)).alias(f"{c}_{m}") for c in columns for m in metrics])
+
+
+def wide_statistics(df: DataFrame, by: list[str], levels: list[int], group: list[str], level: str = "level", score: str = "score") -> DataFrame:
+    """One row for each of ``by`` (one column at least): n, mean, std, min and max of each level, F over the levels, and t, df, d and the inversion rate of each two neighbouring ones.
+
+    Scores that are missing or no numbers are left out.  ``group`` tells the candidates' questions apart.
+    """
+    rows = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    stats = ("n", "mean", "std", "min", "max")
+    wide = describe(rows, [*by, level], score).groupBy(*by).agg(*[F.max(F.when(F.col(level) == k, F.col(s))).alias(f"{s}_l{k}") for k in levels for s in stats])
+    tests = adjacent_tests(rows, by, level, score)
+    tests = tests.groupBy(*by).agg(*[F.max(F.when(F.col("hi") == k, F.col(s))).alias(f"{s}_l{k}_l{k - 1}") for k in levels[:-1] for s in ("t", "df", "d")])
+    inverted = [F.avg(F.coalesce(F.col(f"l{hi}") <= F.col(f"l{lo}"), F.lit(False)).cast("int")).alias(f"inversions_l{hi}_l{lo}") for hi, lo in zip(levels, levels[1:], strict=False)]
+    rates = levels_wide(rows, [*by, *group], levels, level, score).groupBy(*by).agg(*inverted)
+    return wide.join(anova(rows, by, level, score), by, "left").join(tests, by, "left").join(rates, by, "left")
+
+
+def statistics_text(row: dict) -> str:
+    """A summary of one row of ``wide_statistics``, a line a level and a line a pair of levels."""
+    shown = lambda x: "-" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
+    levels = sorted({int(c.rsplit("_l", 1)[1]) for c in row if c.startswith("mean_l")}, reverse=True)
+    lines = [f"level {k}: n {shown(row[f'n_l{k}'])}, mean {shown(row[f'mean_l{k}'])}, std {shown(row[f'std_l{k}'])}, from {shown(row[f'min_l{k}'])} to {shown(row[f'max_l{k}'])}" for k in levels]
+    lines.append(f"F {shown(row['f'])} ({shown(row['df1'])}, {shown(row['df2'])})")
+    for hi, lo in zip(levels, levels[1:], strict=False):
+        lines.append(f"level {hi} to {lo}: t {shown(row[f't_l{hi}_l{lo}'])}, d {shown(row[f'd_l{hi}_l{lo}'])}, inverted {shown(row[f'inversions_l{hi}_l{lo}'])}")
+    return "\n".join(lines)
+
+
 def harmonic(a: Column, b: Column) -> Column:
     """Harmonic mean of two scores, null counting as 0; 0 if they don't add up to more."""
     a, b = F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0))
@@ -125,8 +195,7 @@ def win_rates(df: DataFrame, keys: list[str], model: str, value: str) -> DataFra
 def _mean_ranks(df: DataFrame, by: list[str], value: str, counts: list[Column]) -> DataFrame:
     """by, value, the counts, and the mean rank of the value's rows: from distinct values, so a group isn't sorted by row."""
     distinct = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *counts)
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return distinct.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2.0)
+    return below(distinct, by, value).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0).drop("below")
 
 
 def mann_whitney(df: DataFrame, by: list[str], value: str, first: Column) -> DataFrame:
@@ -215,8 +284,11 @@ def starred(df: DataFrame) -> DataFrame:
 def percentile_filter(df: DataFrame, by: list[str], columns: list[str], share: float = 0.05) -> DataFrame:
     """``df`` with low_<column> for each column and ``passes``: below the group's percentile (linear), and above all of them."""
     clean = df.withColumns({c: F.coalesce(F.expr(f"try_cast(`{c}` as double)"), F.lit(0.0)) for c in columns})
-    cut = clean.groupBy(*by).agg(*[F.percentile(c, F.lit(share)).alias(f"_cut_{c}") for c in columns])
-    out = clean.join(cut, by).withColumns({f"low_{c}": F.col(c) < F.col(f"_cut_{c}") for c in columns})
+    out = clean
+    for c in columns:
+        cut = percentiles(clean, by, c, share, f"_cut_{c}")
+        out = out.join(cut, by) if by else out.crossJoin(cut)  # one row
+    out = out.withColumns({f"low_{c}": F.col(c) < F.col(f"_cut_{c}") for c in columns})
     ok = F.lit(True)
     for c in columns:
         ok = ok & ~F.col(f"low_{c}")

@@ -212,3 +212,23 @@ def passive(text: Column, seed: Column, tagger: Tagger, least_words: int = 1) ->
         return None
 
     return _per_text(change)(text, seed)
+
+
+def inverted(sentences: Column, tagger: Tagger) -> Column:
+    """An array of sentences with subject and object exchanged where a sentence is a plain clause, and null elsewhere."""
+
+    def change(sentence: str) -> str | None:
+        spans = tokens(sentence)
+        found = CLAUSE.match("".join(LETTERS.get(t, "?") for t in tagger.tag([w for *_, w in spans])))
+        if found is None:
+            return None
+        at = lambda k: (spans[found.start(k)][0], spans[found.end(k) - 1][1])
+        (a, b), (c, d) = at(1), at(4)
+        return f"{sentence[:a]}{sentence[c:d]}{sentence[b:c]}{sentence[a:b]}{sentence[d:]}" if sentence[a:b] != sentence[c:d] else None
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            yield pd.Series([None if x is None else [None if t is None else change(t) for t in x] for x in lists])
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<string>")(sentences)

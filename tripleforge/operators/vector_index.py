@@ -87,7 +87,7 @@ class Index:
         self.vectors = spark.read.parquet(f"{path}/vectors")
         rows = spark.read.parquet(f"{path}/lists").orderBy("list").collect()  # bounded by CENTRE_BYTES
         self.numbers = np.array([r["list"] for r in rows], np.int32)
-        self.centres = np.array([r["centre"] for r in rows], float).reshape(len(rows), -1)
+        self.centres = np.array([r["centre"] for r in rows], float) if rows else np.zeros((0, 0))
         self.radius, self.n = np.array([r["radius"] for r in rows]), np.array([r["n"] for r in rows])
 
     def search(self, queries: DataFrame, k: int, probes: int = 8, exact: bool = False, id_col: str = "id", vector_col: str = "v") -> DataFrame:

@@ -1,4 +1,4 @@
 """Queries over the synthetic tables, one module for each family of operators."""
 
 from . import registry  # noqa: F401  isort: skip
-from . import baselines, building, connectors, datasets, evaluation, graphs, language, pairs, perturbation, ranking  # noqa: F401
+from . import assemblies, baselines, building, connectors, datasets, evaluation, graphs, language, pairs, perturbation, ranking  # noqa: F401

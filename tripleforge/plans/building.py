@@ -133,7 +133,7 @@ def composite_paraphrase(spark, sf_dir):
     return changed(docs(spark, sf_dir), hashed(made))
 
 
-@query("entity_hallucination", "with d as (select doc_id, text as old, list_sort(list_distinct(regexp_extract_all(text, '[a-z]{9,}'))) as e, " + "replace(" * 3 + "text" + "".join(f", coalesce(list_sort(list_distinct(regexp_extract_all(text, '[a-z]{{9,}}')))[{k}], ''), 'Zanzibar')" for k in (1, 2, 3)) + " as text from documents)" + distorted("text", draw("5", "doc_id"), 1, years=False) + "select doc_id, md5(coalesce(new, text)) as digest from made where coalesce(new, text) <> old")
+@query("entity_hallucination", "with d as (select doc_id, text as old, list_sort(list_distinct(regexp_extract_all(text, '[a-z]{9,}'))) as e, " + "replace(" * 3 + "text" + "".join(f", coalesce(list_sort(list_distinct(regexp_extract_all(text, '[a-z]{{9,}}')))[{k}], ''), 'Zanzibar')" for k in (1, 2, 3)) + " as text from documents)" + distorted("text", draw("5", "doc_id"), 1, False, perturb.COMPOUND_FACTORS) + "select doc_id, md5(coalesce(new, text)) as digest from made where coalesce(new, text) <> old")
 def entity_hallucination(spark, sf_dir):
     """Up to three long words replaced by a foreign name, and one number changed."""
     entities = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), F.lit(0))))

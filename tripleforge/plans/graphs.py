@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import once
 from ..operators import kg, ranking, similarity
+from ..sources import extraction
 from .registry import query, read
 
 
@@ -150,9 +151,13 @@ def paragraphs_until_blank(spark, sf_dir):
     return kg.until_blank(wide, ["conv_id"], ["p1", "p2", "p3"])
 
 
-@query("resume_left_anti", "select doc_id, source from documents where doc_id not in (select doc_id from labels)")
+@query("resume_left_anti", "select doc_id, source from documents where doc_id not in (select doc_id from labels where quality = 1 or toxic = 1)")
 def resume_left_anti(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    """Documents without a graph in either cell of an earlier run; empty lists, empty cells and none are no graph."""
+    done = read(spark, sf_dir, "labels")
+    cell = lambda c, none: F.when(F.col(c) == 1, "[['a', 'b', 'c']]").otherwise(F.lit(none))
+    done = done.select("doc_id", cell("quality", " [] ").alias("kg_1"), cell("toxic", None).alias("kg_2"))
+    return extraction.not_done(read(spark, sf_dir, "documents").select("doc_id", "source"), done, "doc_id", ["kg_1", "kg_2"])
 
 
 @query("kg_similarity_all")

@@ -168,7 +168,17 @@ def rouge_l(spark, sf_dir):
     return turns(spark, sf_dir).select("pair_id", F.round(textsim.rouge_l(F.col("reference"), F.col("candidate")), 6).alias("f"))
 
 
-@query("sequence_ratio")
+#: The longest common run of both texts, the first in the one and in the other, and then what lies left and right of it.
+RATIO = """
+with recursive p as (select c_custkey as k, lag(c_name) over (partition by c_nationkey, c_mktsegment order by c_custkey) as a, c_name as b from customer),
+r as (select k, a, b, 0::bigint as n from p where a is not null
+  union all select k, unnest([left(a, strpos(a, m)::int - 1), substr(a, strpos(a, m)::int + length(m))]), unnest([left(b, strpos(b, m)::int - 1), substr(b, strpos(b, m)::int + length(m))]), unnest([length(m), 0])
+  from (select k, a, b, list_filter(flatten(list_transform(range(length(a), 0, -1), lambda n: list_transform(range(1, length(a) - n + 2), lambda i: substr(a, i, n)))), lambda x: contains(b, x))[1] as m from r where a <> '' and b <> '') where m is not null)
+select k as c_custkey, round(2 * sum(n) / max(t), 6) as ratio from r join (select k, length(a) + length(b) as t from p where a is not null) using (k) group by 1
+"""
+
+
+@query("sequence_ratio", RATIO)
 def sequence_ratio(spark, sf_dir):
     """Names of customers of a nation and segment that follow one another."""
     from pyspark.sql import Window

@@ -89,13 +89,15 @@ def fact_omission(spark, sf_dir):
     return changed(docs(spark, sf_dir), hashed(perturb.omit_facts(F.col("text"), F.col("lang"))))
 
 
-def distorted(text, seed, most, years=True):
+def distorted(text, seed, most, years=True, factors=perturb.RANKED_FACTORS):
     """SQL of changed numbers: CTEs up to ``made`` (doc_id, text, new), the latter null if nothing could change; ``text`` and ``seed`` over table ``d``."""
+    (low, end), (high, top) = factors
     year = "and not regexp_full_match(x, '19[0-9][0-9]|20[01][0-9]|202[0-4]')" if years else ""
     fine = f"(x::double > 0 and length(regexp_extract(x, '^[0-9]+')) <= 9 {year})"
-    scaled = "x::double * case when step < 26 then 40 + step else 109 + step end / 100"
-    tenths = f"floor({scaled} * 10 + 0.5)::bigint::varchar".replace("step", "(((seed + 7 * (i - 1)) % 52)::double)")
-    whole = f"floor({scaled} + 0.5)::bigint::varchar".replace("step", "(((seed + 7 * (i - 1)) % 52)::double)")
+    scaled = f"x::double * case when step < {end - low + 1} then {low} + step else {high - (end - low + 1)} + step end / 100"
+    place = f"(((seed + 7 * (i - 1)) % {end - low + top - high + 2})::double)"
+    tenths = f"floor({scaled} * 10 + 0.5)::bigint::varchar".replace("step", place)
+    whole = f"floor({scaled} + 0.5)::bigint::varchar".replace("step", place)
     one = f"case when length({tenths}) = 1 then '0.' || {tenths} else left({tenths}, -1) || '.' || right({tenths}, 1) end"
     return f"""
 , n as (select *, {text} as x0, {seed} as seed, regexp_extract_all({text}, '[0-9]+(?:\\.[0-9]+)?') as nums, regexp_split_to_array({text}, '[0-9]+(?:\\.[0-9]+)?') as between from d),

@@ -329,3 +329,38 @@ def histogram_bins(spark, sf_dir):
 @query("linear_trend", A + "select model, round(regr_slope(gold, context), 6) as slope, round(regr_intercept(gold, context), 6) as intercept from c group by 1")
 def linear_trend(spark, sf_dir):
     return answers(spark, sf_dir).groupBy("model").agg(F.round(F.regr_slope("gold", "context"), 6).alias("slope"), F.round(F.regr_intercept("gold", "context"), 6).alias("intercept"))
+
+
+TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("metric_matrix", A + "select model, " + ", ".join(f"coalesce(printf('%.4f', avg({m}) filter (dataset = '{c}')), 'N/A') as {c}_{m}" for c in [*TYPES, "none"] for m in ("gold", "context", "cus")) + " from c group by 1")
+def metric_matrix(spark, sf_dir):
+    """Models by data set and metric, as texts; a data set that the table lacks has none."""
+    return r.metric_matrix(answers(spark, sf_dir), "model", "dataset", [*TYPES, "none"], ["gold", "context", "cus"])
+
+
+PER_LEVEL = ", ".join(f"max({s}) filter (level = {k}) as {s}_l{k}" for k in LEVELS for s in ("n", "mean", "std", "min", "max"))
+
+
+@query(
+    "wide_statistics",
+    Q
+    + f"""
+, s as (select week, level, count(*) as n, avg(score) as mean, stddev_pop(score) as std, min(score) as min, max(score) as max, var_samp(score) as v, var_pop(score) * count(*) as w from q group by 1, 2),
+g as (select week, sum(n * mean) / sum(n) as mm from s group by 1),
+an as (select week, round((sum(n * (mean - mm) * (mean - mm)) / nullif(count(*) - 1, 0)) / nullif(sum(w) / nullif(sum(n) - count(*), 0), 0), 4) as f, count(*) - 1 as df1, (sum(n) - count(*))::bigint as df2 from s join g using (week) group by 1),
+t as (select a.week, a.level as hi, (a.mean - b.mean) / nullif(sqrt(a.v / a.n + b.v / b.n), 0) as t,
+  power(a.v / a.n + b.v / b.n, 2) / nullif(power(a.v / a.n, 2) / nullif(a.n - 1, 0) + power(b.v / b.n, 2) / nullif(b.n - 1, 0), 0) as df, (a.mean - b.mean) / nullif(sqrt((a.v + b.v) / 2), 0) as d from s a join s b on a.week = b.week and a.level = b.level + 1),
+tw as (select week, {", ".join(f"round(max({x}) filter (hi = {k}), 4) as {x}_l{k}_l{k - 1}" for k in LEVELS[:-1] for x in ("t", "df", "d"))} from t group by 1),
+iv as (select week, {", ".join(f"round(avg(coalesce(l{k} <= l{k - 1}, false)::int), 6) as inversions_l{k}_l{k - 1}" for k in LEVELS[:-1])} from wide group by 1),
+ds as (select week, {PER_LEVEL} from s group by 1)
+select ds.week, {", ".join(f"n_l{k}, round(mean_l{k}, 6) as mean_l{k}, round(std_l{k}, 6) as std_l{k}, min_l{k}, max_l{k}" for k in LEVELS)}, f, df1, df2, tw.* exclude (week), iv.* exclude (week)
+from ds left join an using (week) left join tw using (week) left join iv using (week)
+""",
+)
+def wide_statistics(spark, sf_dir):
+    """One row a week with the statistics of all levels and of neighbouring ones."""
+    out = r.wide_statistics(quads(spark, sf_dir), ["week"], LEVELS, ["user_id"])
+    six = {c: F.round(c, 6) for c in out.columns if c.startswith(("mean_", "std_", "inversions_"))}
+    return out.withColumns({**six, **{c: F.round(c, 4) for c in out.columns if c.startswith(("t_", "df_", "d_")) or c == "f"}})
