@@ -93,3 +93,30 @@ def test_odd_pages(spark):
     n = len("One, two, three and four are numbers.")
     assert got == [(0, 0, ""), (1, n, "One, two,"), (1, n, "One, two,"), (2, 599_999, "word and "), (3, 0, "")]
     assert h.extract(df.limit(0)).count() == 0
+
+
+PAGES = {
+    "a blog without article tags": (
+        """<!doctype html><html><head><title>T</title><style>p{}</style></head><body><div id="top-menu"><ul><li><a href="/">Home</a></li><li><a href="/a">About</a></li><li><a href="/c">Contact</a></li></ul></div>
+        <div class="post-content"><h1>On slow trains</h1><p>Last summer we crossed four countries by train, and none of the journeys took less than nine hours.</p>
+        <p>What surprised us most was how quickly the hours went by &amp; how little we missed our phones.</p><ul><li>Bring a book that you have read before.</li><li>Bring bread, cheese and a knife.</li></ul></div>
+        <div class="sidebar widget"><h3>Popular posts</h3><ul><li><a href="/1">Ten towns</a></li><li><a href="/2">Five rivers</a></li></ul></div><div class="footer">Copyright 2020. All rights reserved.</div></body></html>""",
+        "On slow trains Last summer we crossed four countries by train, and none of the journeys took less than nine hours. What surprised us most was how quickly the hours went by & how little we missed our phones. Bring a book that you have read before. Bring bread, cheese and a knife.",
+    ),
+    "news with notices, adverts and comments": (
+        """<body><header><nav><a href="/">Front page</a> <a href="/w">World</a> <a href="/s">Sports</a></nav></header><div class="cookie-notice">We use cookies to improve your visit. <button>Accept</button></div>
+        <main><article><h2>River rises again</h2><p>The river rose by two metres on Monday night, the highest level that has been measured in the town since 1954.</p><div class="advertisement">Buy two tyres and get one for free!</div>
+        <p>Schools stay closed until Thursday, said the mayor, who had spent the night at the town hall with the fire brigade.</p></article>
+        <section class="comments"><h3>Comments</h3><div class="comment"><p>Stay safe everybody, the bridge in our street is closed as well.</p></div></section></main><footer><p>Imprint and privacy</p></footer></body>""",
+        "River rises again The river rose by two metres on Monday night, the highest level that has been measured in the town since 1954. Schools stay closed until Thursday, said the mayor, who had spent the night at the town hall with the fire brigade.",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_written_by_hand(name):
+    """Pages outside the generator's layouts: nearly all words of the article, nearly none of the rest."""
+    source, want = PAGES[name]
+    got, held = h.texts([source], h.trained())[0].split(), want.split()
+    assert sum(w in got for w in held) >= 0.95 * len(held)
+    assert len([w for w in got if w not in held]) <= 0.05 * len(held)

@@ -62,3 +62,35 @@ def test_numbers_and_signs_are_no_letters():
     names, score = network.predict(["²³", "½ 12", "①②", "Ⅷ", "_", "٣", "ª", "中", "ʰ", "x²"])
     assert names[:6] == ["und"] * 6 and not score[:6].any()
     assert "und" not in names[6:] and score[6:].all()
+
+
+def test_forward_pass_by_definition():
+    """Windows, filters, maxima and softmax with plain loops give the same probabilities and predictions."""
+    import numpy as np
+
+    from tripleforge.llm import language_id as li
+
+    rng = np.random.default_rng(3)
+    net = li.Network(["a", "b", "c"])
+    net.bias[:] = rng.standard_normal(net.bias.shape)
+    net.offset[:] = rng.standard_normal(3)
+    net._freeze()
+
+    def probabilities(data):
+        top = []
+        for w, filters, bias in zip(li.WIDTHS, net.filters, net.bias):
+            for f in range(li.FILTERS):
+                top.append(max(sum(float(net.embed[data[at + j]] @ filters[j, :, f]) for j in range(w)) for at in range(li.WINDOW - w + 1)) + float(bias[f]))
+        z = np.maximum(top, 0) @ net.dense + net.offset
+        z = np.exp(z - z.max())
+        return z / z.sum()
+
+    texts = ["short één", "word and more words " * 17, None, "12 34", ""]
+    names, score = net.predict(texts)
+    assert names[2:] == ["und"] * 3 and list(score[2:]) == [0, 0, 0]
+    for text, name, s in zip(texts[:2], names, score):
+        data, total = text.encode(), np.zeros(3)
+        for at in range(0, max(1, len(data) - max(li.WIDTHS) + 1), li.WINDOW - max(li.WIDTHS) + 1):
+            part = data[at : at + li.WINDOW]
+            total += len(part) * probabilities(part.ljust(li.WINDOW, b"\0"))
+        assert name == "abc"[total.argmax()] and abs(s - total.max() / total.sum()) < 1e-5

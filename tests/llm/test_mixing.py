@@ -74,3 +74,36 @@ def test_repeat_tells_rows_without_ids_apart(spark):
     equal = [times.get(("y y y", i), 0) for i in range(50)]
     assert max(equal) - min(equal) <= 1
     assert sum(r.copies for r in mixing.mix(df).collect()) == len(out)
+
+
+def test_rates_and_rounding_by_definition(spark):
+    """The dual in numpy, by plain Newton steps, and the rounding, length by length, over the documents themselves."""
+    import math
+
+    import numpy as np
+
+    rows = corpus(600)
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    source = {i: "" if s is None else f"={s}" for i, _, s in rows}
+    words = {k: sum(size[i] for i in source if source[i] == k) for k in set(source.values())}
+    target = mixing.targets(words)
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for k, total in words.items():
+        own = np.array([size[i] for i in source if source[i] == k], float)
+        tilt = 0.0
+        for _ in range(200):  # minimise sum(own) exp(tilt) - tilt target
+            mass = float((own * np.exp(tilt)).sum())
+            tilt -= max(-1.0, min(1.0, (mass - target[k]) / mass))
+        rate = math.exp(tilt)
+        ids = [i for i in source if source[i] == k]
+        assert all(got[i].rate == pytest.approx(rate) for i in ids)
+        base, owed = math.floor(rate + 1e-9), 0.0
+        for length in sorted({size[i] for i in ids}, reverse=True):
+            same = [i for i in ids if size[i] == length]
+            extra = [got[i].copies - base for i in same]
+            assert set(extra) <= {0, 1}
+            if length:
+                owed += (rate - base) * len(same) * length
+                want = min(len(same), max(0, round(owed / length))) if base < 3 else 0
+                assert sum(extra) == want and abs(owed - want * length) <= max(length / 2, owed - want * length) + 1e-6
+                owed -= want * length
