@@ -112,12 +112,12 @@ def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def anova(df: DataFrame, by: list[str], level: str, value: str) -> DataFrame:
     """by, f, df1, df2 of a one-way analysis of variance over the levels."""
-    per = df.groupBy(*by, level).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("within"))
-    n, k = F.sum("n"), F.count(F.lit(1))
-    grand = F.sum(F.col("n") * F.col("mean")) / n
-    between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - n * grand * grand
-    out = per.groupBy(*by).agg(between.alias("b"), F.sum("within").alias("w"), (k - 1).alias("df1"), (n - k).alias("df2"))
-    return out.select(*by, F.try_divide(F.col("b") / F.col("df1"), F.col("w") / F.col("df2")).alias("f"), "df1", "df2")
+    per = df.groupBy(*by, level).agg(F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("_within"))
+    n, k = F.sum("_n"), F.count(F.lit(1))
+    grand = F.sum(F.col("_n") * F.col("_mean")) / n
+    between = F.sum(F.col("_n") * F.col("_mean") * F.col("_mean")) - n * grand * grand
+    out = per.groupBy(*by).agg(between.alias("_b"), F.sum("_within").alias("_w"), (k - 1).alias("df1"), (n - k).alias("df2"))
+    return out.select(*by, F.try_divide(F.col("_b") / F.col("df1"), F.col("_w") / F.col("df2")).alias("f"), "df1", "df2")
 
 
 def adjacent_tests(df: DataFrame, by: list[str], level: str, value: str) -> DataFrame:

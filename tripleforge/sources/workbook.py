@@ -254,7 +254,8 @@ def write_workbook(sheets: dict[str, tuple[DataFrame, list[str]]], path: str) ->
         nested = lambda f: f.dataType.simpleString().startswith(("array", "map", "struct"))
         cells = [F.to_json(f"`{f.name}`").alias(f.name) if nested(f) else F.col(f"`{f.name}`") if isinstance(f.dataType, plain) else F.col(f"`{f.name}`").cast("string") for f in df.schema]
         finite = [F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c) if isinstance(f.dataType, (DoubleType, FloatType)) else c for c, f in zip(cells, df.schema, strict=True)]
-        each = F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(F.get(F.split(F.to_json(F.struct(c.alias("x"))), '^\\{"x":|\\}$'), F.lit(1)), F.lit("null")) for c in finite]), F.lit("]"))
+        inside = lambda x: F.substr(x, F.lit(6), F.length(x) - 6)  # noqa: E731  of {"x":...}
+        each = F.concat(F.lit("["), F.concat_ws(",", *[F.when(c.isNull(), "null").otherwise(inside(F.to_json(F.struct(c.alias("x"))))) for c in finite]), F.lit("]"))
         own = df.select(F.lit(nth).alias("at"), F.lit(name).alias("sheet"), F.struct(*[F.col(f"`{c}`") for c in order]).alias("by"), each.alias("cells"))
         own = own.orderBy("by").select("at", "sheet", F.monotonically_increasing_id().alias("nth"), "cells")
         head = spark.createDataFrame([(nth, name, -1, json.dumps(df.columns))], "at int, sheet string, nth long, cells string")
