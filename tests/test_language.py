@@ -123,3 +123,12 @@ def test_words_keep_their_tags_beyond_the_vocabulary(spark):
     more = [("20000", 0, "Le", "NNP"), *[(f"3{i}", 0, w, "NNP") for i, w in enumerate(["Za", "Zb", "Zc"] * 10)], ("40000", 0, "le", "XX")]
     large = tagging.train(spark.createDataFrame(more, "sentence string, pos int, word string, tag string"))
     assert large.tag(["Le", "le"]) == ["NNP", "XX"]
+
+
+def test_synonyms_beyond_the_vocabulary(spark):
+    """A word that only looks like a noun by its end is not replaced, also if the model has no room for all words."""
+    words = [f"{a}{b}tion" for a in "abcdeé" for b in "fghijklm"]
+    rows = spark.createDataFrame([(i, 0, w, "NN" if w[0].isascii() else "XX") for i, w in enumerate(words)], "sentence long, pos int, word string, tag string")
+    df = spark.createDataFrame([("aftion éftion bgtion éhtion chtion",)], "text string")
+    made = tagging.synonyms(F.col("text"), F.lit(0), tagging.train(rows, vocabulary=8), lambda w, _: f"{w}s")
+    assert df.select(made.alias("x")).first().x == "aftions éftion bgtions éhtion chtions"
