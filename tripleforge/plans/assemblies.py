@@ -57,8 +57,7 @@ made as (select 'node_replacement' as kind, doc_id, text as one, theirs as two f
 def paragraph_pairs(spark, sf_dir):
     """All pairs that the five generators make of the documents as paragraphs of articles."""
     rows = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("lang").alias("kind"), "text")
-    out = assemble.paragraph_pairs(rows, inflection.inflected(VERBS), pattern=PATTERN, least_words=LEAST, at_least=1)
-    return out.withColumns({c: hashed(F.col(c)) for c in ("response1", "response2")})
+    return assemble.paragraph_pairs(rows, inflection.inflected(VERBS), pattern=PATTERN, least_words=LEAST, at_least=1, finish=hashed)
 
 
 PARTNERS = f"""
@@ -119,5 +118,4 @@ def inverted(sentences):
 def answer_pairs(spark, sf_dir):
     """All pairs that the five generators make of the documents as answers, their languages and sources as topics."""
     rows = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("question"), F.col("lang").alias("context"), F.col("text").alias("answer"), F.col("lang").alias("decision"))
-    out = assemble.answer_pairs(rows, topics(spark, sf_dir), lambda x: F.regexp_extract_all(x, F.lit(ENTITY), F.lit(0)), inverted, lambda text, seed: perturb.reorder(text), least_words=LEAST)
-    return out.withColumns({c: hashed(F.col(c)) for c in ("response1", "response2")})
+    return assemble.answer_pairs(rows, topics(spark, sf_dir), lambda x: F.regexp_extract_all(x, F.lit(ENTITY), F.lit(0)), inverted, lambda text, seed: perturb.reorder(text), least_words=LEAST, finish=hashed)
