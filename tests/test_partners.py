@@ -30,3 +30,21 @@ def test_sparse_topics_find_all_partners(spark):
     least = perturb.overlap_partner(every, every.select("id", F.lit("hub").alias("topic"))).collect()
     assert len(least) == 30 and all(r.shared == 1 and r.other != r.id for r in least)
     assert perturb.overlap_partner(items.limit(1), topics).count() == 0
+
+
+def test_pairs_are_counted_where_they_are_made(spark, monkeypatch):
+    """However topics are cut into lists; no more is moved than lists of items, not one row a pair."""
+    items = spark.range(120)
+    topics = items.select("id", F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(12)) for k in range(5)])).alias("topic")).distinct()
+    held = {i: set() for i in range(120)}
+    for r in topics.collect():
+        held[r.id].add(r.topic)
+    hash_order = [r.id for r in items.withColumn("h", perturb.draw("7", "id")).orderBy("h", "id").collect()]
+    for most, size in ((True, 16384), (True, 7), (False, 7)):
+        monkeypatch.setattr(perturb, "HOLDERS", size)
+        got = {r.id: (r.other, r.shared) for r in perturb.overlap_partner(items, topics, most=most).collect()}
+        sign = -1 if most else 1
+        best = {i: min((x for x in hash_order if x != i), key=lambda x: sign * len(held[i] & held[x])) for i in held}
+        assert got == {i: (x, len(held[i] & held[x])) for i, x in best.items()}
+    plan = perturb.overlap_partner(items, topics, most=True)._jdf.queryExecution().toString()
+    assert "explode(others" in plan and "explode(others" not in plan.split("REPARTITION_BY_NUM")[-1]

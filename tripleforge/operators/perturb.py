@@ -233,6 +233,10 @@ def pair_table(made: dict[str, DataFrame], key: str, text: str = "text", label:
 
 #: Items that are tried as the partner of all others, in hash order, before topics are joined.
 TRIED = 8
+#: Items of a topic that are sent in one list, by their numbers.
+HOLDERS = 16384
+#: Pairs that a task counts, about, so that their counts fit its memory.
+PAIRS = 4_000_000
 
 
 def overlap_partner(items: DataFrame, topics: DataFrame, seed: str = "7", most: bool = False, tried: int = TRIED) -> DataFrame:
@@ -257,7 +261,12 @@ def overlap_partner(items: DataFrame, topics: DataFrame, seed: str = "7", most:
         left = durable(left.join(free, "nth", "left_anti"))
         if left.isEmpty():
             break
-    met = held.join(left, "nth", "left_semi").join(held.withColumnRenamed("nth", "b"), "topic").where("nth <> b").groupBy("nth", "b").agg(F.count(F.lit(1)).alias("shared"))
+    # A topic's items go to each item as lists, dealt by the item, so that pairs are made and counted where they stay.
+    pairs = held.groupBy("topic").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
+    parts = max(int(order.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs / PAIRS))
+    holders = held.groupBy("topic", F.floor(F.col("nth") / HOLDERS).alias("_list")).agg(F.collect_list("nth").alias("others")).drop("_list")
+    lists = held.join(left, "nth", "left_semi").join(holders, "topic").select("nth", "others").repartition(parts, "nth")
+    met = lists.select("nth", F.explode("others").alias("b")).where("nth <> b").groupBy("nth", "b").agg(F.count(F.lit(1)).alias("shared"))
     pick = F.min(F.struct((-F.col("shared") if most else F.col("shared")).alias("by"), "b", "shared"))
     best = met.groupBy("nth").agg(pick.alias("p")).select("nth", "p.b", "p.shared")
     if most:
