@@ -115,3 +115,16 @@ def test_sources(spark, tmp_path):
     out = extraction.extract(df, "q", lambda: lambda text: '```json\n{"kg_1": [["a", "b", "c"]]}\n```')
     assert out.select(extraction.recover(out.answer)["kg_1"][0][2]).first()[0] == "c"
     assert extraction.wait_seconds("try again in 1m2.5s") == 67.5 and math.isclose(extraction.wait_seconds("x"), 65.0)
+
+
+def test_kernels_in_one_shuffle_are_those_by_joins(spark, monkeypatch):
+    """Pairs across batches, loops, repeated edges, a side without edges and no pair at all."""
+    rows = [(k, j % 2, j, f"n{j * j % 7}", "p", f"N{j * k % 5}") for k in range(40) for j in range(k % 9)] + [(50, 0, 0, "a", "p", None), (51, 1, 0, "a", "p", "a"), (None, 0, 0, "a", "p", "b")]
+    df = spark.createDataFrame(rows, "pair_id long, side int, pos int, s string, p string, o string")
+    pairs = spark.createDataFrame([(k,) for k in [*range(60), None]], "pair_id long")
+    monkeypatch.setattr(kg, "TOGETHER", 7)
+    got = {r.pair_id: r.wl for r in kg.wl_grouped(df, pairs, 3).collect()}
+    sides = {k: [[(s, p, o) for q, i, _, s, p, o in rows if q == k and i == j and o] for j in (0, 1)] for k in range(60)}
+    want = {k: similarity.wl_kernel(*map(similarity.graph, g), 3) for k, g in sides.items()}
+    assert got.pop(None) is None and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) if want[k] is not None else got[k] is None for k in want)

@@ -9,7 +9,9 @@ import ast
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +128,90 @@ def wl_relational(triples: DataFrame, pairs: DataFrame, iterations: int = 5) ->
     c = [F.sum((F.col("side") == k).cast("long")).alias(f"c{k}") for k in (0, 1)]
     own = reduce(DataFrame.unionByName, levels).groupBy("pair_id", "level", "label").agg(*c)
     total = own.groupBy("pair_id").agg(*[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"k{i}{j}") for i, j in ((0, 1), (0, 0), (1, 1))])
+    return _normalised(total, pairs)
+
+
+#: Edges of whole pairs that a task labels together, at least one pair.
+TOGETHER = 1 << 18
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit numbers spread over all 64-bit numbers, one to one."""
+    x = x ^ np.uint64(salt)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Places in sorted columns where another row begins."""
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]))
+
+
+def wl_sums(pair: np.ndarray, side: np.ndarray, u: np.ndarray, v: np.ndarray, iterations: int) -> np.ndarray:
+    """Sums k01, k00 and k11 over levels 0 to ``iterations`` for pairs 0, 1, .. of edges between nodes named by 64-bit numbers.
+
+    A label of the next level is a hash of a node's label and of the sum of its neighbours' mixed labels, which tells
+    multisets apart as their sorted labels do; labels meet only those of the same pair.
+    """
+    graph, name = np.tile(2 * pair + side, 2), np.concatenate([u, v])
+    order = np.lexsort((name, graph))
+    graph, name = graph[order], name[order]
+    first = _firsts(graph, name)
+    node = np.empty(len(order), np.int64)
+    node[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    graph, label, n = graph[first], name[first].view(np.uint64), len(first)
+    one, two = node[: len(u)], node[len(u) :]
+    both = np.unique(np.concatenate([one * n + two, two * n + one]))  # repeated edges once, by node
+    start, near = _firsts(both // n), both % n
+    group, right, out = graph // 2, graph % 2, np.zeros((3, int(pair[-1]) + 1))
+    for level in range(iterations + 1):
+        order = np.lexsort((label, group))
+        first = _firsts(group[order], label[order])
+        c1 = np.add.reduceat(right[order], first)
+        c0 = np.diff(np.append(first, n)) - c1
+        for k, product in enumerate((c0 * c1, c0 * c0, c1 * c1)):
+            out[k] += np.bincount(group[order][first], product, out.shape[1])
+        if level < iterations:
+            label = _mixed(_mixed(label, 1) + np.add.reduceat(_mixed(label, 2)[near], start), 3)
+    return out.astype(np.int64)
+
+
+def wl_grouped(triples: DataFrame, pairs: DataFrame, iterations: int = 5) -> DataFrame:
+    """As ``wl_relational``, with the edges of a pair in one task: they are shuffled once, as hashes of their nodes, whatever the levels."""
+    s, o = F.xxhash64(F.lower("s")).alias("u"), F.xxhash64(F.lower("o")).alias("v")
+    e = triples.where("s is not null and o is not null and pair_id is not null").select("pair_id", F.col("side").cast("long").alias("side"), s, o)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges come by pair; whole pairs gather until they are ``TOGETHER`` edges."""
+        held: list[pa.RecordBatch] = []
+        rows, enough = 0, TOGETHER
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= enough:
+                t = pa.Table.from_batches(held).combine_chunks()
+                codes = t["pair_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+                whole = int(np.searchsorted(codes, codes[-1]))  # the last pair may go on
+                if whole:
+                    yield sums(t.slice(0, whole))
+                held = t.slice(whole).combine_chunks().to_batches()
+                rows = t.num_rows - whole
+                enough = max(TOGETHER, 2 * rows)
+        if rows:
+            yield sums(pa.Table.from_batches(held).combine_chunks())
+
+    def sums(t: pa.Table) -> pa.RecordBatch:
+        pair = t["pair_id"].combine_chunks().dictionary_encode()
+        k = wl_sums(pair.indices.to_numpy().astype(np.int64), *(t[c].to_numpy() for c in ("side", "u", "v")), iterations)
+        return pa.RecordBatch.from_arrays([pair.dictionary, *(pa.array(x) for x in k)], ["pair_id", "k01", "k00", "k11"])
+
+    kind = dict(triples.dtypes)["pair_id"]
+    own = e.repartition("pair_id").sortWithinPartitions("pair_id").mapInArrow(run, f"pair_id {kind}, k01 long, k00 long, k11 long")
+    return _normalised(own, pairs)
+
+
+def _normalised(total: DataFrame, pairs: DataFrame) -> DataFrame:
     wl = F.when((F.col("k00") > 0) & (F.col("k11") > 0), F.col("k01") / F.sqrt(F.col("k00").cast("double") * F.col("k11")))
     return pairs.select("pair_id").distinct().join(total.select("pair_id", wl.alias("wl")), "pair_id", "left")
 

@@ -45,7 +45,7 @@ WL = "select pair_id, round(case when k00 > 0 and k11 > 0 then k01 / sqrt(k00::d
 
 def wl(spark, sf_dir, iterations):
     pairs = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 2).alias("pair_id"))
-    return kg.wl_relational(sentences(spark, sf_dir), pairs, iterations).withColumn("wl", F.round("wl", 6))
+    return kg.wl_grouped(sentences(spark, sf_dir), pairs, iterations).withColumn("wl", F.round("wl", 6))
 
 
 @query("wl_kernel_h2", KG + EDGES + _wl(2) + WL)
