@@ -128,3 +128,10 @@ def test_kernels_in_one_shuffle_are_those_by_joins(spark, monkeypatch):
     want = {k: similarity.wl_kernel(*map(similarity.graph, g), 3) for k, g in sides.items()}
     assert got.pop(None) is None and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) if want[k] is not None else got[k] is None for k in want)
+
+
+def test_sizes_of_graphs_in_one_shuffle(spark):
+    rows = [(1, 0, 0, "A", "p", "b"), (1, 0, 1, "B", "q", "a"), (1, 0, 2, "c", None, "c"), (1, 1, 0, "a", "p", None), (2, 1, 0, "x", "p", "y"), (2, 1, 1, "x", "P", "z"), (None, 0, 0, "a", "p", "b")]
+    made = kg.node_counts(spark.createDataFrame(rows, "pair_id long, side int, pos int, s string, p string, o string"))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, made.collect()), key=str) == [(1, 0, 3, 2, 1), (2, 1, 3, 2, 1), (None, 0, 2, 1, 1)]

@@ -86,6 +86,21 @@ def edges(triples: DataFrame) -> DataFrame:
     return rows.groupBy("pair_id", "side", "u", "v").agg(F.max_by("p", "pos").alias("relation"))
 
 
+def node_counts(triples: DataFrame) -> DataFrame:
+    """pair_id, side, nodes, edges, relations: the sizes of each graph.
+
+    The triples are dealt once by graph; edges, and then nodes and relations, are counted where they lie.
+    """
+    # A stated number of partitions, which the engine doesn't join, so that a task's tables stay small.
+    parts = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = edges(triples.where("s is not null and o is not null").repartition(parts, "pair_id", "side"))
+    part = lambda kind, name, edge: F.struct(F.lit(kind).alias("kind"), F.col(name).alias("name"), F.lit(edge).alias("edge"))
+    ends = e.select("pair_id", "side", F.explode(F.array(part(0, "u", 0), part(0, "v", 0), part(1, "relation", 1))).alias("x")).select("pair_id", "side", "x.*")
+    named = ends.groupBy("pair_id", "side", "kind", "name").agg(F.sum("edge").alias("edge"))
+    count = lambda kind: F.count(F.when(F.col("kind") == kind, F.col("name")))
+    return named.groupBy("pair_id", "side").agg(count(0).alias("nodes"), F.sum("edge").alias("edges"), count(1).alias("relations"))
+
+
 def vocabulary(triples: DataFrame) -> DataFrame:
     """pair_id, kind (entity or relation), label, id: numbers by label over both graphs of a pair."""
     from pyspark.sql import Window

@@ -72,8 +72,7 @@ def kg_vocabulary(spark, sf_dir):
 
 @query("kg_node_counts", KG + EDGES + "select pair_id, side, count(distinct n) as nodes, count(distinct (u, v)) as edges, count(distinct relation) as relations from (select *, unnest([u, v]) as n from e) group by 1, 2")
 def kg_node_counts(spark, sf_dir):
-    e = kg.edges(sentences(spark, sf_dir)).withColumn("n", F.explode(F.array("u", "v")))
-    return e.groupBy("pair_id", "side").agg(F.countDistinct("n").alias("nodes"), F.countDistinct("u", "v").alias("edges"), F.countDistinct("relation").alias("relations"))
+    return kg.node_counts(sentences(spark, sf_dir))
 
 
 @query("kg_normal_labels", "select p_partkey, trim(regexp_replace(lower(replace(replace(p_name || '__' || p_type, ' ', '_'), '_', ' ')), ' {2,}', ' ', 'g')) as label from part")
