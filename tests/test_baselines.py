@@ -153,3 +153,9 @@ def test_index_of_odd_vectors(spark, tmp_path):
     assert [(r.query_id, r["rank"], r.id, r.score) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == [(1, 1, None, 1.0), (1, 2, 1, 1.0), (1, 3, 2, 0.0), (8, 1, None, 0.0), (8, 2, 1, 0.0), (8, 3, 2, 0.0)]
     vector_index.build(df.limit(0), str(tmp_path / "empty"))
     assert vector_index.Index(spark, str(tmp_path / "empty")).search(df, 3).count() == 0
+
+
+def test_stems_of_null_words_and_lists(spark):
+    rows = [(0, ["running", None, "running", "cat"]), (1, None), (2, []), (3, ["ponies"])]
+    df = spark.createDataFrame(rows, "id int, w array<string>").coalesce(1).where("id <> 9")
+    assert [r.x for r in df.select("id", textsim.stems(F.col("w")).alias("x")).orderBy("id").collect()] == [["run", None, "run", "cat"], None, [], ["poni"]]

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +30,20 @@ def tokens(text: Column, stemmed: bool = False) -> Column:
 
 
 def stems(words: Column) -> Column:
-    """An array of words with those of more than ``UNSTEMMED`` characters stemmed; each worker remembers the stems of the words it met."""
+    """An array of words with those of more than ``UNSTEMMED`` characters stemmed; each worker remembers the stems of the words it met.
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for lists in batches:
-            yield pd.Series([None if x is None else [stem(w) if len(w) > UNSTEMMED else w for w in x] for x in lists])
+    A batch's lists stay in Arrow, and only its distinct words become Python's, so a worker holds no object a token.
+    """
+
+    def run(lists: pa.Array) -> pa.Array:
+        found = lists.flatten().dictionary_encode()
+        made = pa.array([None if w is None else stem(w) if len(w) > UNSTEMMED else w for w in found.dictionary.to_pylist()], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, made.take(found.indices), mask=lists.is_null())
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "array<string>")(words)
+    run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<string>")(words)
 
 
 def ngrams(words: Column, n: int) -> Column:
