@@ -138,3 +138,18 @@ def test_pairs_trained_side_by_side_are_as_trained_alone():
     assert np.allclose(together, [plain(*p) for p in pairs], atol=1e-7)
     assert together == [similarity.transe(*p) for p in pairs]
     assert similarity.translated(pairs, True) == [similarity.rotate(*p) for p in pairs]
+
+
+def test_a_pair_is_compared_once(monkeypatch):
+    """What several methods need of a pair is made once; the scores are those that each method gives alone."""
+    a = [("ann", "met", "bob"), ("bob", "saw", "İda"), ("carl", "met", "ann"), ("ann", "met", "dora")]
+    b = [("anne", "met", "bob"), ("bob", "sees", "ida"), ("carl", "met", "emil")]
+    methods = {k: f for k, f in similarity.METHODS.items() if k in ("wl", "aligned_wl", "pooled", "gaussian", "best_match", "aligned_best_match", "graph_p", "graph_r", "triple_p", "triple_r", "triple_f1")}
+    want = {k: f(a, b, similarity.letter_encoder) for k, f in methods.items()}
+    seen, plain = [], similarity.cosines
+    monkeypatch.setattr(similarity, "cosines", lambda x, y: seen.append(1) or plain(x, y))
+    once = similarity.Remembering(similarity.letter_encoder)
+    assert {k: f(a, b, once) for k, f in methods.items()} == want
+    assert len(seen) == 9  # triples, two mappings, pooled, nodes, relations, and the three after alignment
+    counts = similarity.letter_encoder(["Añb", "", "İi\nz", "\ud800a"])
+    assert counts.shape == (4, 26) and counts.sum(axis=1).tolist() == [2, 0, 3, 1] and similarity.letter_encoder([]).shape == (0, 26)
