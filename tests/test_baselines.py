@@ -159,3 +159,27 @@ def test_stems_of_null_words_and_lists(spark):
     rows = [(0, ["running", None, "running", "cat"]), (1, None), (2, []), (3, ["ponies"])]
     df = spark.createDataFrame(rows, "id int, w array<string>").coalesce(1).where("id <> 9")
     assert [r.x for r in df.select("id", textsim.stems(F.col("w")).alias("x")).orderBy("id").collect()] == [["run", None, "run", "cat"], None, [], ["poni"]]
+
+
+def test_overlap_is_counted_where_both_texts_lie(spark):
+    """BLEU shuffles no n-gram, and words of a batch are numbers, its distinct ones alone being Python's; results are those of plain counting."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    data = [(1, "a b a b c", "A b a b"), (2, "a b", "c d"), (3, None, "a"), (4, "", ""), (5, "x y z", "x y z w"), (6, "running dogs ran", "run dog ran"), (7, "a b c", None)]
+    df = spark.createDataFrame(data, "pair_id long, reference string, candidate string")
+    plan = textsim.bleu(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
+    got = {r.pair_id: r.bleu for r in textsim.bleu(df).collect()}
+    assert got[2] == got[3] == got[4] == got[7] == 0 and got[5] == pytest.approx((3 / 4 * 2 / 3 * 1 / 2 * 0.1) ** 0.25)
+    lists = [[None if t is None else t.lower().split() for t in side] for side in list(zip(*data))[1:]]
+    table = textsim._clipped(*[pa.array(side, pa.list_(pa.string())) for side in lists], 4)
+    for a, b, row in zip(*lists, table.tolist(), strict=True):
+        a, b = a or [], b or []
+        grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        assert row == [len(a), len(b), *[(grams(a, n) & grams(b, n)).total() for n in range(1, 5)]]
+    (one, two), ends, words = textsim._numbered(*[pa.array(side, pa.list_(pa.string())) for side in lists])
+    assert len(words) == len({w for side in lists for x in side if x for w in x}) and ends[0][-1] == len(one) and ends[1][-1] == len(two)
+    out = df.select("pair_id", textsim.rouge_l(F.col("reference"), F.col("candidate"), stemmed=True).alias("f")).collect()
+    assert {r.pair_id: round(r.f, 6) for r in out} == {1: round(8 / 9, 6), 2: 0, 3: 0, 4: 0, 5: round(6 / 7, 6), 6: 1, 7: 0}

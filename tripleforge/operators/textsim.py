@@ -77,22 +77,55 @@ def spaced(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
 
 
+#: Pairs whose n-grams are counted together.
+ROWS = 256
+
+
+def _numbered(*lists: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], pa.Array]:
+    """For each array of lists of words: the words as numbers, and where each list begins and ends; and the distinct words.  A null list has no words."""
+    flat = [x.flatten() for x in lists]
+    held = pa.concat_arrays(flat).dictionary_encode()
+    numbers = held.indices.to_numpy().astype(np.int64)
+    ends = [np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy())]).astype(np.int64) for x in lists]
+    return np.split(numbers, np.cumsum([len(x) for x in flat])[:-1]), ends, held.dictionary
+
+
+def _clipped(reference: pa.Array, candidate: pa.Array, most: int) -> np.ndarray:
+    """A row a pair: the numbers of words of both sides, and for each n to ``most`` how many n-grams they share."""
+    sides, ends, words = _numbered(reference, candidate)
+    rows, width = len(reference), max(1, len(words))
+    size = [np.diff(e) for e in ends]
+    row = [np.repeat(np.arange(rows), n) for n in size]
+    left = [np.repeat(e[1:], n) - np.arange(len(x)) for e, n, x in zip(ends, size, sides, strict=True)]  # words from here to the list's end
+    grams, out = sides, [*size]
+    for n in range(1, most + 1):
+        if n > 1:
+            longer = [np.concatenate([g[: len(g) - 1] * width + x[n - 1 :], np.zeros(1, np.int64)])[: max(0, len(x) - n + 1)] for g, x in zip(grams, sides, strict=True)]
+            told = np.unique(np.concatenate(longer), return_inverse=True)[1]
+            grams = np.split(told, [len(longer[0])])
+        here = [own[: len(g)][rest[: len(g)] >= n] * (len(sides[0]) + len(sides[1]) + 1) + g[rest[: len(g)] >= n] for own, rest, g in zip(row, left, grams, strict=True)]
+        (one, a), (two, b) = (np.unique(x, return_counts=True) for x in here)
+        _, i, j = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+        shared = np.zeros(rows, np.int64)
+        np.add.at(shared, one[i] // (len(sides[0]) + len(sides[1]) + 1), np.minimum(a[i], b[j]))
+        out.append(shared)
+    return np.stack(out, axis=1)
+
+
 def bleu(pairs: DataFrame, most: int = 4) -> DataFrame:
     """pair_id, bleu: clipped n-gram precisions to ``most``, 0.1 in place of no match, brevity penalty; 0 for an empty side or no common word.
 
-    Words lie between white space.  The n-grams of both texts and all n are exploded together and counted in one
-    aggregation, by 64-bit hashes, which need only differ within a pair.
+    Words lie between white space.  A row is a pair: the n-grams are numbered and counted where both texts lie, so none is shuffled.
     """
 
-    def lists(x: Column, y: Column) -> Column:
-        own = lambda w, n, k: F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.size(x).alias("lr"), F.size(y).alias("lc"), F.transform(ngrams(w, n), lambda g: F.xxhash64(g)).alias("grams"))
-        return F.array(*[own(w, n, k) for n in range(1, most + 1) for w, k in ((x, 0), (y, 1))])
+    def run(reference: pa.Array, candidate: pa.Array) -> pa.Array:
+        found = [_clipped(reference.slice(at, ROWS), candidate.slice(at, ROWS), most) for at in range(0, len(reference), ROWS)]
+        table = np.concatenate(found) if found else np.zeros((0, most + 2), np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * (most + 2)), pa.array(table.ravel()))
 
-    both = once(spaced(F.col("reference")), lambda x: once(spaced(F.col("candidate")), lambda y: lists(x, y)))
-    rows = pairs.select("pair_id", F.explode(both).alias("e")).select("pair_id", "e.n", "e.k", "e.lr", "e.lc", F.explode_outer("e.grams").alias("g"))
-    held = rows.groupBy("pair_id", "lr", "lc", "n", "g").agg(F.sum(1 - F.col("k")).alias("r"), F.sum("k").alias("c"))
-    match = [F.coalesce(F.sum(F.when((F.col("n") == n) & F.col("g").isNotNull(), F.least("r", "c"))), F.lit(0)).alias(f"m{n}") for n in range(1, most + 1)]
-    out = held.groupBy("pair_id", "lr", "lc").agg(*match)
+    run.__annotations__ = {"reference": pa.Array, "candidate": pa.Array, "return": pa.Array}
+    counted = F.arrow_udf(run, "array<bigint>")(spaced(F.col("reference")), spaced(F.col("candidate")))
+    out = pairs.select("pair_id", counted.alias("c")).select("pair_id", *[F.get("c", F.lit(i)).alias(x) for i, x in enumerate(["lr", "lc", *(f"m{n}" for n in range(1, most + 1))])])
     logs = F.lit(0.0)
     for n in range(1, most + 1):
         logs = logs + F.log(F.when(F.col(f"m{n}") > 0, F.col(f"m{n}")).otherwise(0.1) / F.greatest(F.lit(1), F.col("lc") - n + 1)) / most
@@ -100,15 +133,13 @@ def bleu(pairs: DataFrame, most: int = 4) -> DataFrame:
     return out.select("pair_id", F.when(F.col("m1") > 0, F.exp(logs + brevity)).otherwise(0.0).alias("bleu"))
 
 
-def _common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, a row of the table at a time."""
-    if not a or not b:
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the longest common subsequence of two lists of numbers, a row of the table at a time."""
+    if not len(x) or not len(y):
         return 0
-    at = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    y = np.array([at[w] for w in b])
-    row = np.zeros(len(b) + 1, np.int32)
-    for w in a:
-        step = np.concatenate(([0], row[:-1] + (y == at[w])))
+    row = np.zeros(len(y) + 1, np.int32)
+    for w in x:
+        step = np.concatenate(([0], row[:-1] + (y == w)))
         row = np.maximum.accumulate(np.maximum(row, step))
     return int(row[-1])
 
@@ -125,14 +156,21 @@ def _pairwise(measure):
 def rouge_l(reference: Column, candidate: Column, stemmed: bool = False) -> Column:
     """F of the longest common subsequence of two texts' tokens; 0 for a null or empty text."""
 
-    def measure(a, b) -> float:
-        a, b = ([] if x is None else list(x) for x in (a, b))
-        if stemmed:
-            a, b = ([stem(w) if len(w) > UNSTEMMED else w for w in x] for x in (a, b))
-        n = _common(a, b)
-        return 2 * n / (len(a) + len(b)) if n else 0.0
-
-    return _pairwise(measure)(tokens(reference), tokens(candidate))
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = np.zeros(len(a))
+        for at in range(0, len(a), ROWS):  # words stay in Arrow and become numbers; only a few rows' distinct ones become Python's
+            (x, y), (i, j), words = _numbered(a.slice(at, ROWS), b.slice(at, ROWS))
+            if stemmed:
+                made = pa.array([w if w is None or len(w) <= UNSTEMMED else stem(w) for w in words.to_pylist()], pa.string()).dictionary_encode().indices.to_numpy().astype(np.int64)
+                x, y = made[x], made[y]
+            for k in range(len(i) - 1):
+                one, two = x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]
+                if n := _common(one, two):
+                    out[at + k] = 2 * n / (len(one) + len(two))
+        return pa.array(out)
+
+    run.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "double")(tokens(reference), tokens(candidate))
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
