@@ -199,3 +199,12 @@ def test_each_sentence_is_translated_once(spark, tmp_path):
         made = memo.there_and_back(df, "id", perturb.sentences(F.col("text")), str(tmp_path / "memo"), make, back, perturb.sentences)
         assert rows(made, "id", "made") == want
     assert len(os.listdir(calls)) == 5 and all(len(open(f"{calls}/{f}").read()) == 1 for f in os.listdir(calls))
+
+
+def test_sentences_are_moved_as_marks(spark, tmp_path):
+    """Rows meet the store by marks, so a sentence is shuffled once to be told apart and not again; only one job asks."""
+    df = spark.createDataFrame([(1, "A b. C d."), (2, "C d. A b."), (3, None)], "id long, text string")
+    made = memo.mapped_sentences(df, "id", perturb.sentences(F.col("text")), str(tmp_path / "memo"), lambda: lambda texts: [t.upper() for t in texts])
+    assert rows(made, "id", "made") == [(1, "A B. C D."), (2, "C D. A B."), (3, None)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "_mark" in plan and plan.count("Aggregate") == 1  # the distinct texts aren't sought once more
