@@ -53,9 +53,18 @@ def binarize(df: DataFrame, score: str, threshold: float = 3.0) -> DataFrame:
     return df.withColumn("label", (F.col(score) * factor >= threshold).cast("int"))
 
 
+#: White space around sentences, as ``\s`` has it.
+SPACES = " \t\n\x0b\f\r"
+
+
 def sentences(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), F.lit(0))
-    return F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.filter(F.transform(found, lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
+
+
+def of_sentences(text: Column, parts: Column | None, f) -> Column:
+    """f of the text's sentences: of ``parts``, where they are known."""
+    return once(sentences(text), f) if parts is None else f(parts)
 
 
 def phrases(text: Column, stop: list[str] = ()) -> Column:
@@ -72,10 +81,10 @@ def is_prose(text: Column, least: int = 80, most: int = 400) -> Column:
     return ~text.rlike(r"\[\[|\{\{|==") & (words >= least) & (words <= most) & (stops >= 2)
 
 
-def reorder(text: Column) -> Column:
-    """First and last sentence stay, those between are reversed; null for fewer than four."""
+def reorder(text: Column, parts: Column | None = None) -> Column:
+    """First and last sentence stay, those between are reversed; null for fewer than four.  ``parts`` has the text's sentences, where they are known."""
     made = lambda s: F.when(F.size(s) >= 4, F.array_join(F.concat(F.slice(s, 1, 1), F.reverse(F.slice(s, 2, F.size(s) - 2)), F.slice(s, -1, 1)), " "))
-    return once(sentences(text), made)
+    return of_sentences(text, parts, made)
 
 
 def delete_sentence(text: Column, holding: Column) -> Column:
@@ -96,17 +105,19 @@ def replace_relation(text: Column, opposites: dict[str, str] = OPPOSITES) -> Col
     return once(F.split(text, " "), made)
 
 
-def replace_verb(text: Column, table: dict[str, str], kept: list[str] = KEPT_VERBS, phrase: str = r"[A-Z][a-z]{3,}", at_least: int = 2) -> Column:
+def replace_verb(text: Column, table: dict[str, str], kept: list[str] = KEPT_VERBS, phrase: str = r"[A-Z][a-z]{3,}", at_least: int = 2, parts: Column | None = None) -> Column:
     """In the first sentence of so many phrases that has a word of the table, the first such word is replaced; null if there is none.
 
     ``table`` maps words to words, as ``inflection.inflected`` makes it of a lexicon; words in ``kept`` stay.  Words are
     compared in lower case, between characters that are no ASCII letters, digits or underscores; a capital stays.
+    ``parts`` has the text's sentences, where they are known.
     """
     table = {k.lower(): v for k, v in table.items() if k.lower() not in kept}
     if not table:
         return F.lit(None).cast("string")
     words = "|".join(re.escape(w) for w in sorted(table, key=lambda w: (-len(w), w)))
     found = rf"(?is)^(|.*?[^a-z0-9_])({words})($|[^a-z0-9_].*)$"
+    there = rf"(?i)(?:^|[^a-z0-9_])(?:{words})(?:$|[^a-z0-9_])"  # where ``found`` matches, without its groups
     by = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
     def changed(sentence: Column) -> Column:
@@ -115,17 +126,17 @@ def replace_verb(text: Column, table: dict[str, str], kept: list[str] = KEPT_VER
             other = F.when(F.substring(word, 1, 1) != F.lower(F.substring(word, 1, 1)), F.concat(F.upper(F.substring(other, 1, 1)), F.substring(other, 2, 1_000))).otherwise(other)
             return F.concat(F.regexp_extract(sentence, found, 1), other, F.regexp_extract(sentence, found, 3))
 
-        linked = F.size(F.regexp_extract_all(sentence, F.lit(phrase), F.lit(0))) >= at_least
-        return F.when(linked & sentence.rlike(found), once(F.regexp_extract(sentence, found, 2), put))
+        return once(F.regexp_extract(sentence, found, 2), put)
 
     def made(s: Column) -> Column:
-        def joined(new: Column) -> Column:
-            at = F.array_position(F.transform(new, lambda x: x.isNotNull()), True).cast("int")
-            return once(at, lambda n: F.when(n > 0, F.array_join(F.transform(s, lambda x, i: F.when(i == n - 1, F.get(new, i)).otherwise(x)), " ")))
-
-        return once(F.transform(s, changed), joined)
-
-    return once(sentences(text), made)
+        fits = lambda x: (F.size(F.regexp_extract_all(x, F.lit(phrase), F.lit(0))) >= at_least) & x.rlike(there)
+        joined = lambda n: F.array_join(F.transform(s, lambda x, i: F.when(i == n - 1, changed(x)).otherwise(x)), " ")
+        # The first sentence that fits; those behind it aren't looked at.
+        step = lambda now, x: F.struct((now["i"] + 1).alias("i"), F.when(now["at"] > 0, now["at"]).when(fits(x), now["i"] + 1).otherwise(F.lit(0)).alias("at"))
+        first = F.aggregate(s, F.struct(F.lit(0).alias("i"), F.lit(0).alias("at")), step, lambda now: now["at"])
+        return once(first, lambda n: F.when(n > 0, joined(n)))
+
+    return of_sentences(text, parts, made)
 
 
 #: Numbers that may be changed: up to nine digits before the point.
