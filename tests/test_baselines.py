@@ -155,6 +155,44 @@ def test_index_of_odd_vectors(spark, tmp_path):
     assert vector_index.Index(spark, str(tmp_path / "empty")).search(df, 3).count() == 0
 
 
+@pytest.mark.parametrize("size", [8192, 100, 1])
+def test_queries_meet_shelves_of_lists(spark, vectors, tmp_path, monkeypatch, size):
+    """Without clusters an exact search must visit nearly all; a query is sent once to a shelf of lists, not to each list."""
+    monkeypatch.setattr(vector_index, "SHELF", size)
+    monkeypatch.setattr(vector_index, "BLOCK", 16)
+    v = np.random.default_rng(5).standard_normal((2000, 24))
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    vector_index.build(df, str(tmp_path / "index"))
+    index, sent, visit = vector_index.Index(spark, str(tmp_path / "index")), [], vector_index.Index._visit
+    shelves = vector_index._shelves(index.centres, index.n, size)
+    held = [index.n[shelves == x] for x in range(shelves.max() + 1)]
+    assert all(own.sum() <= size or len(own) == 1 for own in held) and len(index.numbers) > 30
+    assert size != 100 or len(held) < 60 and max(map(len, held)) > 1
+    monkeypatch.setattr(vector_index.Index, "_visit", lambda self, asked, visits, *more: sent.append(visits.count()) or visit(self, asked, visits, *more))
+    got = index.search(df.where("id % 50 = 7"), 10, exact=True).collect()
+    assert {(r.query_id, r.id) for r in got} == true_neighbours(v, range(7, 2000, 50), 10) and len(got) == 400
+    assert len(sent) == 2 and sent[1] <= 40 * len(held)
+
+
+def test_copies_in_an_index(spark, tmp_path):
+    """Equal vectors have equal products wherever they lie, so the smaller ids come first; a vector without an id before them."""
+    rng = np.random.default_rng(2)
+    v = np.repeat(rng.standard_normal((7, 37)), 150, axis=0)[rng.permutation(1050)]
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    vector_index.build(df, str(tmp_path / "index"), lists=3)
+    got = vector_index.Index(spark, str(tmp_path / "index")).search(df.where("id < 40"), 5, probes=1, exact=True).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append(r.id)
+    for q, own in found.items():
+        best = v[(v @ v[q]).argmax()]
+        assert own == [int(i) for i in np.flatnonzero((v == best).all(axis=1))[:5]]
+    assert len(found) == 40
+    low, far = [1.0, 0.0], np.array([[1.0, 0.0]] * 3)
+    who, at, score = vector_index._chosen(np.array([low]), far, np.array([np.nan]), 2)
+    assert (who.tolist(), at.tolist(), score.tolist()) == ([0, 0], [0, 1], [1.0, 1.0])
+
+
 def test_stems_of_null_words_and_lists(spark):
     rows = [(0, ["running", None, "running", "cat"]), (1, None), (2, []), (3, ["ponies"])]
     df = spark.createDataFrame(rows, "id int, w array<string>").coalesce(1).where("id <> 9")
