@@ -66,5 +66,4 @@ select case when regexp_matches(w, '^[a-z].*(tion|ment)$') then 'NN' when regexp
 """)
 def tag_counts(spark, sf_dir):
     """How many words of the documents the tagger gives each tag."""
-    tags = docs(spark, sf_dir).select(F.explode(tagging.tagged(F.col("text"), tagger(spark, sf_dir))).alias("t"))
-    return tags.where(F.col("t.word").rlike(r"^\p{L}")).groupBy("t.tag").agg(F.count(F.lit(1)).alias("n"))
+    return tagging.tag_counts(docs(spark, sf_dir), "text", tagger(spark, sf_dir))
