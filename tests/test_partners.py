@@ -1,8 +1,9 @@
 """Partners of rows that are rare in a large table."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tripleforge.operators import perturb
+from tripleforge.operators import perturb, shared_topics
 
 
 def test_rare_kinds_are_paired(spark):
@@ -48,3 +49,35 @@ def test_pairs_are_counted_where_they_are_made(spark, monkeypatch):
         assert got == {i: (x, len(held[i] & held[x])) for i, x in best.items()}
     plan = perturb.overlap_partner(items, topics, most=True)._jdf.queryExecution().toString()
     assert "explode(others" in plan and "explode(others" not in plan.split("REPARTITION_BY_NUM")[-1]
+
+
+def test_each_two_items_meet_in_one_block(spark, monkeypatch):
+    """Lists go to blocks as two bytes a number, and to each only what it has to compare."""
+    rng = np.random.default_rng(3)
+    lists = [np.sort(rng.choice(40_000, 30, replace=False)) for _ in range(400)]
+    n, values, blocks, met, size = np.array([len(x) for x in lists]), np.concatenate(lists), 21, {}, 0
+    width = -(-40_000 // blocks)
+    for block, k, many, lengths, differences in shared_topics.deal(n, values, blocks, width):
+        own = shared_topics.from_planes(lengths, k)
+        got = shared_topics._sums(shared_topics.from_planes(differences, many), own)
+        size += many
+        for x in np.split(got, np.cumsum(own)[:-1]):
+            for a in x[x // width == block]:
+                for b in x[x != a]:
+                    pair = (min(a, b), max(a, b))
+                    met.setdefault(pair, set()).add(block)
+    assert all(len(b) == 1 for b in met.values()) and len(met) == len({(a, b) for x in lists for i, a in enumerate(x) for b in x[i + 1 :]})
+    assert size < 0.51 * 30 * len(values) and len(shared_topics.planes(values)) == 2 * len(values)
+    for name, value in (("PAIRS", 50), ("RECEIVED", 200), ("TAKEN", 64), ("SENT", 100)):
+        monkeypatch.setattr(shared_topics, name, value)
+    items = spark.range(90)
+    topics = items.select("id", F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(25)).cast("string") for k in range(5)], F.lit(None))).alias("topic")).where("id <> 7")
+    topics = topics.unionByName(topics).unionByName(items.where("id < 3").select("id", F.lit("one").alias("topic")))
+    held = {i: set() for i in range(90)}
+    for r in topics.where("topic is not null").collect():
+        held[r.id].add(r.topic)
+    order = [r.id for r in items.withColumn("h", perturb.draw("7", "id")).orderBy("h", "id").collect()]
+    found = perturb.overlap_partner(items, topics, most=True)
+    best = {i: max((x for x in order if x != i), key=lambda x: len(held[i] & held[x])) for i in held}
+    assert {r.id: (r.other, r.shared) for r in found.collect()} == {i: (x, len(held[i] & held[x])) for i, x in best.items()}
+    assert "differences" in found._jdf.queryExecution().toString()

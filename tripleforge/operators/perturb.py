@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import once
-from ..sources.storage import durable, ordinals
+from ..sources.storage import durable, ordinals, written
+from . import shared_topics
 
 #: Words and their opposites; any other table is a parameter.
 OPPOSITES = {
@@ -248,22 +249,26 @@ TRIED = 8
 HOLDERS = 16384
 #: Pairs that a task counts, about, so that their counts fit its memory.
 PAIRS = 4_000_000
+#: Items whose numbers each machine gets as a whole, and rows of topics that a task turns to lists, about.
+BROADCAST, DEALT = 1_000_000, 1_000_000
 
 
 def overlap_partner(items: DataFrame, topics: DataFrame, seed: str = "7", most: bool = False, tried: int = TRIED) -> DataFrame:
     """id, other, shared: for each item (id) the one of all others that shares fewest (or ``most``) topics (id, topic).
 
     For fewest, the first few items in hash order are tried as the partner of all: who shares nothing with one of them is
-    done.  Only the others, and for most all, meet those that share something through their topics; among them the first
-    item that shares nothing is the first number missing, so no item is compared with all others.  Of equals, the first
-    in hash order is taken; a single item has no partner.
+    done.  Only the others meet those that share something through their topics; among them the first item that shares
+    nothing is the first number missing, so no item is compared with all others.  For most, all meet in blocks
+    (``shared_topics``).  Of equals, the first in hash order is taken; a single item has no partner.
     """
     order = numbered(items.select("id").distinct().withColumns({"_draw": draw(seed, "id"), "_one": F.lit(0)}), "_one", ["id"])
     order = durable(order.select("id", F.col("_nth").alias("nth")))
     n = order.count()
+    if most:
+        return _named(_most(order, topics, n), order)
     held = durable(topics.select("id", "topic").distinct().join(order, "id").select("nth", "topic"))
     left, done = order.select("nth"), None
-    for b in range(0 if most else min(tried, n)):
+    for b in range(min(tried, n)):
         theirs = held.where(F.col("nth") == b).select("topic")
         sharing = held.join(theirs, "topic", "left_semi").select("nth").distinct()
         free = left.join(sharing, "nth", "left_anti").where(F.col("nth") != b)
@@ -278,21 +283,37 @@ def overlap_partner(items: DataFrame, topics: DataFrame, seed: str = "7", most:
     holders = held.groupBy("topic", F.floor(F.col("nth") / HOLDERS).alias("_list")).agg(F.collect_list("nth").alias("others")).drop("_list")
     lists = held.join(left, "nth", "left_semi").join(holders, "topic").select("nth", "others").repartition(parts, "nth")
     met = lists.select("nth", F.explode("others").alias("b")).where("nth <> b").groupBy("nth", "b").agg(F.count(F.lit(1)).alias("shared"))
-    pick = F.min(F.struct((-F.col("shared") if most else F.col("shared")).alias("by"), "b", "shared"))
+    pick = F.min(F.struct(F.col("shared").alias("by"), "b", "shared"))
     best = met.groupBy("nth").agg(pick.alias("p")).select("nth", "p.b", "p.shared")
-    if most:
-        missing = left.select("nth", F.when(F.col("nth") == 0, 1).otherwise(0).cast("long").alias("free"))
-    else:
-        taken = met.select("nth", "b").unionByName(left.select("nth", F.col("nth").alias("b")))
-        place = F.row_number().over(Window.partitionBy("nth").orderBy("b")) - 1
-        missing = taken.withColumn("place", place).groupBy("nth").agg(F.count_if(F.col("b") == F.col("place")).alias("free"))
-    known = F.col("b").isNotNull() if most else F.col("free") >= n
+    taken = met.select("nth", "b").unionByName(left.select("nth", F.col("nth").alias("b")))
+    place = F.row_number().over(Window.partitionBy("nth").orderBy("b")) - 1
+    missing = taken.withColumn("place", place).groupBy("nth").agg(F.count_if(F.col("b") == F.col("place")).alias("free"))
+    known = F.col("free") >= n
     rows = missing.join(best, "nth", "left").select("nth", F.when(known, F.col("b")).otherwise(F.col("free")).alias("b"), F.when(known, F.col("shared")).otherwise(0).alias("shared"))
-    rows = rows if done is None else rows.unionByName(done)
+    return _named(rows if done is None else rows.unionByName(done), order)
+
+
+def _named(rows: DataFrame, order: DataFrame) -> DataFrame:
     named = rows.join(order, "nth").join(order.select(F.col("nth").alias("b"), F.col("id").alias("other")), "b")
     return named.select("id", "other", "shared")
 
 
+def _most(order: DataFrame, topics: DataFrame, n: int) -> DataFrame:
+    """nth, b, shared of all ``n`` items; who shares nothing with any has the first of the others.
+
+    Topics are dealt once, as lists of their items' numbers, which are stored; a topic's repeated rows fall out where they lie.
+    """
+    least = int(order.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = F.broadcast(order) if n <= BROADCAST else order
+    held = topics.where("topic is not null").join(numbers, "id").select(F.col("nth").cast("int").alias("nth"), "topic")
+    held = held.repartition(max(least, topics.count() // DEALT), "topic").dropDuplicates(["topic", "nth"])
+    lists = held.groupBy("topic").agg(F.array_sort(F.collect_list("nth")).alias("others")).where(F.size("others") > 1)
+    met = shared_topics.most_shared(written(lists.select("others")), n, least)
+    best = met.groupBy("nth").agg(F.min(F.struct((-F.col("shared")).alias("by"), "b", "shared")).alias("p")).select("nth", "p.b", "p.shared")
+    alone = F.when(F.col("nth") == 0, 1).otherwise(0)
+    return order.select("nth").join(best, "nth", "left").select("nth", F.coalesce("b", alone).alias("b"), F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
 def quadruplets(levels: dict[int, DataFrame], key: str) -> DataFrame:
     """Rows key, level, text of the keys that have a text at every level; ``levels`` maps a level to (key, text)."""
     rows = None
