@@ -154,9 +154,14 @@ def replaced_sql(by):
 
 
 def replaced(spark, sf_dir, most):
-    """A sentence that names an entity of a supplier, with that of a partner in its place."""
-    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    entity = read(spark, sf_dir, "lineitem").join(part, "l_partkey").groupBy(F.col("l_suppkey").alias("id")).agg(F.min(F.concat("p_name", F.lit("#"), "l_partkey")).alias("entity"))
+    """A sentence that names an entity of a supplier, with that of a partner in its place.
+
+    Entities are numbered in order, so that the first of an item is the least of numbers, not of texts, which would be sorted.
+    """
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat("p_name", F.lit("#"), "p_partkey").alias("entity")).where("entity is not null")
+    part = storage.ordinals(part, ["entity", "l_partkey"], "nth", storage.written)
+    least = read(spark, sf_dir, "lineitem").join(part.select("l_partkey", "nth"), "l_partkey").groupBy(F.col("l_suppkey").alias("id")).agg(F.min("nth").alias("nth"))
+    entity = storage.written(least.join(part.select("nth", "entity"), "nth").select("id", "entity"))  # a row an item, used for it and for its partner
     partner = perturb.overlap_partner(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), brands(spark, sf_dir), most=most)
     rows = partner.join(entity, "id").join(entity.select(F.col("id").alias("other"), F.col("entity").alias("theirs")), "other")
     text = F.concat(F.lit("We buy "), "entity", F.lit("."))

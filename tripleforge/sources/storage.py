@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,17 +41,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ordinals(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def ordinals(df: DataFrame, order: list[str], name: str, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """``df`` with the number from 0 of each row in the given order, which must tell rows apart.
 
     Rows are sorted in ranges; a row's number is the count of the earlier ranges and its place in its own, so no task
-    orders the whole table and the driver sees one count a range.
+    orders the whole table and the driver sees one count a range.  ``keep`` stores the sorted rows.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_range"), place.alias("_place"))
-    rows = durable(rows)
+    rows = keep(rows)
     before, at = [], 0
     for r in rows.groupBy("_range").count().orderBy("_range").collect():
         before.append((r["_range"], at))
